@@ -20,9 +20,9 @@ def group_by_key(
     """All values per key as sorted arrays: (key, chunk, values).
 
     A key with up to ``chunk_rows`` values is one row with chunk 0. A longer key
-    comes as several rows, its values split by hash over about
-    rows / ``chunk_rows`` chunks, since no task or row could hold it whole. Equal values are
-    counted before the shuffle and written out again at the end.
+    comes as several rows, its values split by hash over about rows / ``chunk_rows``
+    chunks, since no task or row could hold it whole. Equal values are counted before
+    the shuffle and written out again at the end.
     """
     counted = df.groupBy(key, value).agg(F.count("*").alias("n"))
     # At most rows / chunk_rows keys are longer than that: raising the limit with
@@ -34,10 +34,9 @@ def group_by_key(
         .where(F.col("rows") > limit)
         .select("long_key", F.ceil(F.col("rows") / limit).alias("chunks"))
     )
+    zero, step = (F.lit(v).cast("bigint") for v in (0, limit))
     pieces = (
-        counted.withColumn(
-            "piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint") - 1, F.lit(limit).cast("bigint")))
-        )
+        counted.withColumn("piece", F.explode(F.sequence(zero, F.col("n") - 1, step)))
         .withColumn("n", F.least(F.col("n") - F.col("piece"), F.lit(limit)).cast("int"))
         .join(F.broadcast(long_keys), F.col(key).eqNullSafe(F.col("long_key")), "left")
         .withColumn(

@@ -11,8 +11,7 @@ from eventloom.functions.aggregates import (
     count_if,
     is_purchase,
     purchase_metrics,
-    sum_if,
-    sum_or_zero,
+    sum_money,
     uniq_exact,
     uniq_exact_if,
 )
@@ -40,7 +39,7 @@ def fct_daily_revenue(stg: DataFrame) -> DataFrame:
     return stg.groupBy("event_date", "platform").agg(
         count_if(is_purchase()).alias("purchases"),
         uniq_exact_if(F.col("user_id"), is_purchase()).alias("buyers"),
-        sum_if(F.col("price"), is_purchase()).cast("decimal(18,2)").alias("revenue"),
+        sum_money(F.col("price"), is_purchase()).alias("revenue"),
     )
 
 
@@ -54,7 +53,7 @@ def daily_purchase_revenue(events: DataFrame) -> DataFrame:
     return (
         events.where(is_purchase())
         .groupBy(F.to_date("event_time").alias("event_date"), "platform")
-        .agg(sum_or_zero(F.col("price")).cast("decimal(18,2)").alias("revenue"))
+        .agg(sum_money(F.col("price")).alias("revenue"))
     )
 
 
@@ -80,7 +79,7 @@ def event_breakdown(
         .agg(
             uniq_exact(F.col("user_id")).alias("users"),
             F.count("*").alias("events"),
-            sum_or_zero(F.col("price")).cast("decimal(18,2)").alias("revenue"),
+            sum_money(F.col("price")).alias("revenue"),
         )
         .orderBy("event_date", "event_name")
     )

@@ -10,7 +10,7 @@ from eventloom.registry.base import query, raw, table, with_ev
 from eventloom.session import new_dir
 from eventloom.sinks.files import write_batched, write_lines, write_parquet, write_raw_events
 from eventloom.sources.events import (
-    SOURCE_TABLES,
+    SOURCE_SCHEMAS,
     as_event_file,
     read_events,
     read_events_day,
@@ -23,7 +23,7 @@ from eventloom.sources.streams import decode_events, events_from_sequence
 
 @query("\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, CAST(COUNT(*) AS BIGINT) AS n_rows FROM {t}"
-    for t in SOURCE_TABLES
+    for t in SOURCE_SCHEMAS
 ))
 def named_sources(spark, sf_dir):
     counts = [

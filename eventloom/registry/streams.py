@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.registry.base import query, raw, table, with_ev
+from eventloom.registry.base import query, raw, with_ev
 from eventloom.session import new_dir
 from eventloom.sinks.streams import ingest_events, read_versions, versioned_sink
-from eventloom.sources.events import as_event_file, raw_events
+from eventloom.sources.events import SOURCE_SCHEMAS, as_event_file, raw_events
 from eventloom.sources.streams import decode_events
 from eventloom.streaming import nrt
 
@@ -28,9 +28,9 @@ UNTIL_DONE = {"availableNow": True}
 
 def event_stream(spark, sf_dir):
     """The folder's events as a stream of raw events with a watermark-able time."""
-    schema = table(spark, sf_dir, "events").schema
     # As a pattern the path may name a file or a folder of files.
-    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    reader = spark.readStream.schema(SOURCE_SCHEMAS["events"])
+    files = reader.parquet(f"{sf_dir}/events.parque[t]")
     return raw_events(files).withColumn("event_time", F.col("event_time").cast("timestamp"))
 
 

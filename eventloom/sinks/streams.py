@@ -51,17 +51,32 @@ def console_sink(
     )
 
 
-def write_version(batch: DataFrame, path: str, batch_id: int) -> None:
+def write_version(
+    batch: DataFrame, path: str, batch_id: int, files: int | None = None
+) -> None:
+    """Store one micro-batch, replacing an earlier try.
+
+    A stateful batch comes in as many pieces as there are state partitions; ``files``
+    shuffles its (changed rows only) output into fewer files.
+    """
+    if files is not None:
+        batch = batch.repartition(files)
     batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def versioned_sink(
-    stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    files: int | None = None,
 ) -> StreamingQuery:
     """Keep every update as a new version of its key, see ``read_versions``."""
-    return foreach_batch_sink(
-        stream, lambda batch, batch_id: write_version(batch, path, batch_id), checkpoint, trigger
-    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_version(batch, path, batch_id, files)
+
+    return foreach_batch_sink(stream, write, checkpoint, trigger)
 
 
 def read_versions(

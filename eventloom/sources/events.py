@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +11,39 @@ from pyspark.sql import types as T
 
 from eventloom.functions.scalars import to_money
 
-# The tables of a source folder, one Parquet file or folder each.
-SOURCE_TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-    "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-)
+# The tables of a source folder, one Parquet file or folder each. The
+# declared schema spares the footer read that inferring it would take.
+SOURCE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+        "p_retailprice double"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+        "props string"
+    ),
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 # The event message and event file layout.
 EVENT_SCHEMA = T.StructType(
@@ -39,10 +67,13 @@ EVENT_NAME_OF_TYPE = {"view": "page_view", "click": "add_to_cart"}
 
 
 def sources(
-    spark: SparkSession, folder: str, tables: Sequence[str] = SOURCE_TABLES
+    spark: SparkSession, folder: str, tables: Iterable[str] = SOURCE_SCHEMAS
 ) -> dict[str, DataFrame]:
     """Raw tables by name, each also registered as a temp view."""
-    frames = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in tables}
+    frames = {
+        name: spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+        for name in tables
+    }
     for name, frame in frames.items():
         frame.createOrReplaceTempView(name)
     return frames

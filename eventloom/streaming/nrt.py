@@ -81,6 +81,7 @@ def nrt_stream(
     checkpoint: str,
     trigger: dict | None = None,
     emit: Callable[[DataFrame, int], None] | None = None,
+    files: int | None = None,
 ) -> StreamingQuery:
     """Run the exact stream into a versioned table at ``path``.
 
@@ -90,7 +91,7 @@ def nrt_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_version(batch, path, batch_id)
+        write_version(batch, path, batch_id, files)
         if emit is not None:
             emit(changed_totals(batch.sparkSession, path, batch_id), batch_id)
 

@@ -1,0 +1,160 @@
+"""Known figures, invariants, ordering, plans, empty input."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from eventloom.operators.rows import (
+    key_by,
+    map_partitions,
+    month_filter,
+    newest,
+    trailing,
+    trailing_days,
+    with_event_date,
+)
+from eventloom.plans import marts
+from eventloom.plans.incremental import materialize_view
+from eventloom.registry.base import raw, table
+from eventloom.session import new_dir
+from eventloom.sinks.files import write_raw_events
+from eventloom.streaming.nrt import nrt_revenue_1m
+
+FIGURES = {
+    "0.001": (90, 202, 189, "10424.69", 6, 84, 1000, 41, 232),
+    "0.01": (90, 1981, 1848, "95455.77", 0, 90, 9996, 329, 2665),
+    "0.1": (90, 20084, 18706, "995109.61", 0, 90, 85521, 3364, 26711),
+}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("sf", FIGURES)
+def test_known_figures(spark, sf):
+    events = raw(spark, f"/root/testdata/sf{sf}")
+    fct = marts.fct_daily_revenue(marts.stg_events(events))
+    got = fct.agg(
+        F.count("*"), F.sum("purchases"), F.sum("buyers"), F.sum("revenue").cast("string"),
+        F.count_if(F.col("purchases") == 0),
+    ).first()
+    as_of = newest(events, "event_time")
+    assert (
+        *got,
+        marts.daily_purchase_revenue(events).count(),
+        nrt_revenue_1m(events).count(),
+        trailing(events, "event_time", 24, as_of).count(),
+        trailing_days(events, "event_date", 7, as_of).count(),
+    ) == FIGURES[sf]
+
+
+def test_empty_input_keeps_the_schema(spark, sf_dir):
+    empty = raw(spark, sf_dir).where(F.lit(False))
+    fct = marts.fct_daily_revenue(marts.stg_events(empty))
+    assert fct.collect() == []
+    assert fct.dtypes == [
+        ("event_date", "date"), ("platform", "string"), ("purchases", "bigint"),
+        ("buyers", "bigint"), ("revenue", "decimal(18,2)"),
+    ]
+    assert nrt_revenue_1m(empty).collect() == []
+
+
+def test_null_keys_are_groups_and_null_users_no_buyers(spark):
+    rows = [
+        (dt.datetime(2024, 1, 1), None, "purchase", None, 1.0),
+        (dt.datetime(2024, 1, 1), 1, "purchase", None, None),
+        (None, 1, "purchase", "web", 2.0),
+    ]
+    events = spark.createDataFrame(
+        rows, "event_time timestamp, user_id long, event_name string, platform string, price double"
+    ).withColumns(
+        {
+            "price": F.col("price").cast("decimal(12,2)"),
+            "event_date": F.to_date("event_time"),
+        }
+    )
+    got = {(r["event_date"], r["platform"]): r for r in marts.fct_daily_revenue(events).collect()}
+    first = got[(dt.date(2024, 1, 1), None)]
+    assert (first["purchases"], first["buyers"], float(first["revenue"])) == (2, 1, 1.0)
+    assert float(got[(None, "web")]["revenue"]) == 2.0
+
+
+def test_money_sums_are_exact_and_signed(spark):
+    from eventloom.functions.aggregates import sum_money
+
+    prices = ["9999999999.99", "-0.01", "0.07", None, "-9999999999.98"]
+    df = spark.createDataFrame([(p,) for p in prices], "p string")
+    df = df.select(F.col("p").cast("decimal(12,2)").alias("p"))
+    assert str(df.agg(sum_money(F.col("p"))).first()[0]) == "0.07"
+    assert str(df.limit(0).agg(sum_money(F.col("p"))).first()[0]) == "0.00"
+
+
+def test_order_of_reports(spark):
+    events = raw(spark, "/root/testdata/sf0.01")
+    dau = [(r["d"], r["platform"]) for r in marts.dau(events, newest(events, "event_time")).collect()]
+    assert dau == sorted(dau, key=lambda r: (-r[0].toordinal(), r[1]))
+    counts = [r["c"] for r in marts.event_counts(events).collect()]
+    assert counts == sorted(counts, reverse=True)
+    top = marts.latest_mart_rows(marts.fct_daily_revenue(marts.stg_events(events)))
+    keys = [(r["event_date"], r["platform"]) for r in top.collect()]
+    assert len(keys) == 20 and keys == sorted(keys, key=lambda r: (-r[0].toordinal(), r[1]))
+    assert "TakeOrderedAndProject" in plan(top)
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf_dir):
+    events = raw(spark, sf_dir)
+    dau = plan(marts.dau(events, newest(events, "event_time")))
+    assert "GreaterThanOrEqual(ts" in dau and "props" not in dau
+    breakdown = plan(marts.event_breakdown(events, newest(events, "event_time")))
+    assert "GreaterThanOrEqual(ts" in breakdown
+    bought = plan(marts.daily_purchase_revenue(raw(spark, sf_dir, only=["purchase"])))
+    assert "EqualTo(event_type,purchase)" in bought and "user_id" not in bought
+
+
+def test_month_filter_prunes_folders(spark, sf_dir):
+    path = new_dir(spark, "raw")
+    write_raw_events(raw(spark, sf_dir), path)
+    recent = month_filter(spark.read.parquet(path), 7, dt.date(2024, 1, 31))
+    assert "PartitionFilters: [isnotnull(month" in plan(recent)
+    assert recent.count() == 1000
+    assert month_filter(spark.read.parquet(path), 7, dt.date(2024, 3, 1)).count() == 0
+
+
+def test_trailing_defaults_to_now(spark):
+    now = spark.sql("SELECT current_timestamp() AS t, current_date() AS d")
+    assert trailing(now, "t", 24).count() == 1
+    assert trailing_days(now, "d", 7).count() == 1
+    old = now.select((F.col("t") - F.expr("INTERVAL 25 HOURS")).alias("t"))
+    assert trailing(old, "t", 24).count() == 0
+
+
+def test_small_operators(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    assert key_by(events, F.col("user_id")).columns == ["key", "row"]
+    assert with_event_date(raw(spark, sf_dir).drop("event_date")).where("event_date is null").count() == 0
+    view = materialize_view(events, "some_events")
+    assert view.count() == spark.sql("SELECT * FROM some_events").count() == 1000
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    assert map_partitions(events, count, "n bigint").agg(F.sum("n")).first()[0] == 1000
+
+
+def test_actions(spark, sf_dir, capsys):
+    events = table(spark, sf_dir, "events").orderBy("event_id")
+    assert events.count() == 1000
+    assert [r["event_id"] for r in events.take(3)] == [0, 1, 2]
+    events.select("event_id").show(2, truncate=False)
+    assert "only showing top 2 rows" in capsys.readouterr().out
+    seen = spark.sparkContext.accumulator(0)
+    events.foreach(lambda row: seen.add(1))
+    assert seen.value == 1000
+    kept = events.repartition(4, "user_id").persist()
+    assert kept.coalesce(2).rdd.getNumPartitions() == 2 and kept.count() == 1000
+    kept.unpersist()

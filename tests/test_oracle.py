@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
-from eventloom.sources.events import SOURCE_TABLES
+from eventloom.sources.events import SOURCE_SCHEMAS
 
 FOLDERS = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
 
@@ -32,7 +32,7 @@ def rows_of(columns, rows):
 @pytest.fixture(scope="module", params=FOLDERS)
 def folder(request):
     con = duckdb.connect()
-    for name in SOURCE_TABLES:
+    for name in SOURCE_SCHEMAS:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{request.param}/{name}.parquet'")
     return request.param, con
 
