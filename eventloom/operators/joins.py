@@ -18,7 +18,7 @@ from eventloom.operators.versions import first_per_key
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 5_000_000
-MAX_HOT_KEYS = 10_000
+MAX_HOT_KEYS = 1000
 
 Keys = str | Sequence[str] | Mapping[str, str]
 
@@ -42,25 +42,24 @@ def fits_broadcast(
     return (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) <= max_bytes
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows and the number of tasks each should get.
+def hot_keys(df: DataFrame, key_hash: Column, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Key hashes with more than ``hot_rows`` rows, and the number of tasks for each.
 
-    The threshold also grows with the table so that no more than MAX_HOT_KEYS keys
-    can exceed it; so the result has a fixed upper size. None if no key is hot.
+    The threshold grows with the table, so that no more than MAX_HOT_KEYS keys exceed
+    it and the result has a fixed upper size. One pass over the key columns with a
+    frequent-items sketch per task and no shuffle of keys. The counts are estimates
+    with an error of a tenth of the threshold; a key just missed is joined like any
+    other. None if no key is hot.
     """
-    rows = df.count()
-    if rows <= hot_rows:
-        return None
-    threshold = max(hot_rows, rows // MAX_HOT_KEYS)
-    found = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > threshold)
-        .withColumn("salts", F.ceil(F.col("n") / threshold).cast("int"))
-        .drop("n")
+    sketch = F.expr(f"approx_top_k(key_hash, {MAX_HOT_KEYS}, {32 * MAX_HOT_KEYS})")
+    rows, top = (
+        df.select(key_hash.alias("key_hash")).agg(F.count("*"), sketch).first()
     )
-    schema, rows_found = found.schema, found.collect()
-    return df.sparkSession.createDataFrame(rows_found, schema) if rows_found else None
+    threshold = max(hot_rows, rows // MAX_HOT_KEYS)
+    hot = [(t["item"], -(-t["count"] // threshold)) for t in top or [] if t["count"] > threshold]
+    if not hot:
+        return None
+    return df.sparkSession.createDataFrame(hot, "_hot_hash bigint, _salts int")
 
 
 def salted_join(
@@ -77,22 +76,24 @@ def salted_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"right rows are copied per salt, which {how} joins do not allow")
-    hot = hot_keys(left, keys, hot_rows)
+    keys = list(keys)
+    # Equal keys must hash alike on both sides, so hash them in their common type.
+    common = left.select(keys).union(right.select(keys)).dtypes
+    key_hash = F.xxhash64(*(F.col(name).cast(kind) for name, kind in common))
+    hot = hot_keys(left, key_hash, hot_rows)
     if hot is None:
-        return left.join(right, list(keys), how)
+        return left.join(right, keys, how)
     hot = F.broadcast(hot)
-    salted_left = left.join(hot, list(keys), "left").withColumn(
-        "salt",
-        F.when(
-            F.col("salts").isNotNull(),
-            F.pmod(F.xxhash64(*left.columns), F.col("salts").cast("bigint")).cast("int"),
-        ).otherwise(0),
+    salts = F.col("_salts")
+    row_salt = F.pmod(F.xxhash64(*left.columns), salts.cast("bigint")).cast("int")
+    salted_left = left.join(hot, key_hash == F.col("_hot_hash"), "left").select(
+        *left.columns, F.when(salts.isNotNull(), row_salt).otherwise(0).alias("_salt")
     )
-    salted_right = right.join(hot, list(keys), "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))
+    copies = F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1)
+    salted_right = right.join(hot, key_hash == F.col("_hot_hash"), "left").select(
+        *right.columns, F.explode(copies).alias("_salt")
     )
-    joined = salted_left.drop("salts").join(salted_right.drop("salts"), [*keys, "salt"], how)
-    return joined.drop("salt")
+    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
 def enrich(

@@ -31,19 +31,34 @@ def materialize_table(df: DataFrame, path: str) -> DataFrame:
 
 
 def incremental_append(
-    spark: SparkSession, src: DataFrame, path: str, cursor: str, full_refresh: bool = False
+    spark: SparkSession,
+    src: DataFrame,
+    path: str,
+    cursor: str,
+    partition: str | None = None,
+    full_refresh: bool = False,
 ) -> DataFrame:
     """Append source rows above the stored high-water mark of ``cursor``.
 
-    The mark is a constant in the filter and prunes the source scan. Rows that
-    arrive late, below the mark, are missed: rebuild their days instead.
+    ``partition`` names a column that grows with the cursor, such as its date. The
+    table is then laid out by it, and the mark is looked up in the newest folder
+    only; the source is cut at that folder as well. The mark is a constant in the
+    filter and prunes the source scan. Rows that arrive late, below the mark, are
+    missed: rebuild their days instead.
     """
-    if full_refresh or not exists(spark, path):
-        src.write.mode("overwrite").parquet(path)
-    else:
-        mark = newest(spark.read.parquet(path), cursor)
-        new = src if mark is None else src.where(F.col(cursor) > F.lit(mark))
-        new.write.mode("append").parquet(path)
+    mode, new = "overwrite", src
+    if not full_refresh and exists(spark, path):
+        mode, stored = "append", spark.read.parquet(path)
+        if partition is not None:
+            folders = partition_values(spark, path, partition)
+            newest_folder = F.lit(max(folders)).cast(stored.schema[partition].dataType)
+            stored = stored.where(F.col(partition) == newest_folder)
+            new = new.where(F.col(partition) >= newest_folder)
+        mark = newest(stored, cursor)
+        if mark is not None:
+            new = new.where(F.col(cursor) > F.lit(mark))
+    writer = new.write.mode(mode)
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
     return spark.read.parquet(path)
 
 

@@ -187,6 +187,14 @@ def check_contract(df: DataFrame, schema: StructType) -> DataFrame:
     )
 
 
+def require_contract(df: DataFrame, schema: StructType) -> DataFrame:
+    """``df`` itself if it keeps the contract, else an error: a gate before a write."""
+    differences = check_contract(df, schema).collect()
+    if differences:
+        raise ValueError("; ".join(f"{d['column']}: {d['problem']}" for d in differences))
+    return df
+
+
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """Per column: type, rows, nulls, distinct values, least and greatest as text.
 

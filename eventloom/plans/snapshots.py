@@ -8,11 +8,14 @@ key, unique on both sides, and closed versions bypass it.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.session import new_dir
+from eventloom.storage import drop_partitions, overwrite_partitions, partition_values
+
 
 def _moment(as_of: dt.datetime | Column) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(as_of)
@@ -102,3 +105,37 @@ def scd2_check(
     return _advance(
         hist, cur, key, changed=differs, opened_at=_moment(as_of), closed_at=_moment(as_of)
     )
+
+
+def create_history(cur: DataFrame, path: str, valid_from: Column) -> None:
+    """History table of a first snapshot, see ``advance_history``."""
+    first = start_history(cur, valid_from).withColumn("closed_in", F.lit("open"))
+    first.write.mode("overwrite").partitionBy("closed_in").parquet(path)
+
+
+def advance_history(
+    spark: SparkSession,
+    path: str,
+    cur: DataFrame,
+    run_id: str,
+    step: Callable[[DataFrame, DataFrame], DataFrame],
+) -> None:
+    """Apply one snapshot to a stored history; ``step`` is one of the scd2 functions.
+
+    The table has a folder of open versions and one folder per run with the versions
+    it closed. Only the open folder is read and replaced, so a run costs as much as
+    the current state, however long the history. Closed versions are stored before
+    the open ones are replaced: a run that failed in between can be repeated under
+    the same ``run_id``, and repeating a finished one changes nothing.
+    """
+    is_open = F.col("closed_in") == "open"
+    history = spark.read.parquet(path).where(is_open).drop("closed_in")
+    staged = new_dir(spark, "history")
+    label = F.when(F.col("valid_to").isNull(), "open").otherwise(F.lit(run_id))
+    step(history, cur).withColumn("closed_in", label).write.partitionBy("closed_in").parquet(staged)
+    advanced = spark.read.schema(spark.read.parquet(path).schema).parquet(staged)
+    overwrite_partitions(advanced.where(~is_open), path, "closed_in")
+    if "open" in partition_values(spark, staged, "closed_in"):
+        overwrite_partitions(advanced.where(is_open), path, "closed_in")
+    else:
+        drop_partitions(spark, path, "closed_in", ["open"])

@@ -8,7 +8,13 @@ from eventloom.functions.scalars import uuid_from_digest
 from eventloom.operators.rows import newest
 from eventloom.registry.base import query, raw, table, with_ev
 from eventloom.session import new_dir
-from eventloom.sinks.files import write_batched, write_lines, write_parquet, write_raw_events
+from eventloom.sinks.files import (
+    write_batched,
+    write_daily_lake,
+    write_lines,
+    write_parquet,
+    write_raw_events,
+)
 from eventloom.sources.events import (
     SOURCE_SCHEMAS,
     as_event_file,
@@ -52,12 +58,7 @@ FROM ev WHERE event_date = (SELECT MAX(event_date) FROM ev) GROUP BY ALL"""))
 def event_lake_day(spark, sf_dir):
     base = new_dir(spark, "lake")
     events = raw(spark, sf_dir)
-    (
-        events.withColumn("date", F.col("event_date"))
-        .repartition("date", F.pmod("event_id", F.lit(8)))
-        .write.partitionBy("date")
-        .parquet(base)
-    )
+    write_daily_lake(events, base)
     day = read_events_day(spark, base, newest(events, "event_date"))
     return day.groupBy("date", "event_name", "platform").agg(F.count("*").alias("events"))
 

@@ -37,10 +37,12 @@ def materialized_mart(spark, sf_dir):
 def incremental_append_only(spark, sf_dir):
     """First the earlier events, then all: only the newer ones are added."""
     path = new_dir(spark, "append")
-    events = raw(spark, sf_dir).select("event_id", "event_time", "event_name")
+    events = raw(spark, sf_dir).select("event_id", "event_time", "event_name", "event_date")
     middle = newest(events, "event_time") - dt.timedelta(days=15)
-    incremental_append(spark, events.where(F.col("event_time") <= middle), path, "event_time")
-    return incremental_append(spark, events, path, "event_time")
+    earlier = events.where(F.col("event_time") <= middle)
+    for source in (earlier, events):
+        stored = incremental_append(spark, source, path, "event_time", partition="event_date")
+    return stored.drop("event_date")
 
 
 @query(with_ev(_MART))
@@ -223,6 +225,25 @@ def history_by_check(spark, sf_dir):
     return snapshots.scd2_check(history, second, "id", ["balance", "c_mktsegment"], moment)
 
 
+@query(_history_sql(
+    "new.balance IS DISTINCT FROM old.balance",
+    "TIMESTAMP '2024-02-01'", "TIMESTAMP '2024-03-01'",
+))
+def history_table(spark, sf_dir):
+    """The same, kept as a table of which only the open versions are rewritten."""
+    first, second = _customers(spark, sf_dir)
+    start, moment = (F.lit(t).cast("timestamp_ntz") for t in (_FIRST, _SECOND))
+    path = new_dir(spark, "history-table")
+
+    def step(hist, cur):
+        return snapshots.scd2_check(hist, cur, "id", ["balance", "c_mktsegment"], moment)
+
+    snapshots.create_history(first, path, start)
+    for _ in range(2):
+        snapshots.advance_history(spark, path, second, "2024-03-01", step)
+    return spark.read.parquet(path).drop("closed_in")
+
+
 @query(_history_sql(
     "new.c_mktsegment = 'BUILDING'", "TIMESTAMP '2024-02-01'",
     "CASE WHEN new.c_mktsegment IN ('BUILDING', 'SUPPLIER') THEN TIMESTAMP '2024-03-01' END",

@@ -33,11 +33,10 @@ def users(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, skewed, users, how, monkeypatch):
-    monkeypatch.setattr(joins, "MAX_HOT_KEYS", 1000)
-    hot = joins.hot_keys(skewed, ["user_id"], 500)
-    assert [r["user_id"] for r in hot.collect()] == [7]
-    assert hot.first()["salts"] > 5
+def test_salted_join_equals_plain_join(spark, skewed, users, how):
+    hot = joins.hot_keys(skewed, F.xxhash64("user_id"), 500).collect()
+    assert [r["_hot_hash"] for r in hot] == [spark.range(7, 8).select(F.xxhash64("id")).first()[0]]
+    assert hot[0]["_salts"] == 7
     got = joins.salted_join(skewed, users, ["user_id"], how, hot_rows=500)
     want = skewed.join(users, "user_id", how)
     assert got.columns == want.columns
@@ -50,11 +49,25 @@ def test_salted_join_keeps_null_keys(spark, users):
     assert got.count() == 50 + 4
 
 
+def test_salted_join_with_other_key_types(spark, skewed, users):
+    narrow = users.withColumn("user_id", F.col("user_id").cast("int"))
+    got = joins.salted_join(skewed, narrow, ["user_id"], "inner", hot_rows=500)
+    want = skewed.join(narrow, "user_id")
+    assert rows(got) == rows(want) and got.dtypes == want.dtypes
+
+
+def test_salted_join_on_two_keys(spark, skewed, users):
+    left = skewed.withColumn("part", F.lit("p"))
+    right = users.withColumn("part", F.when(F.col("attribute") % 2 == 0, "p").otherwise("q"))
+    got = joins.salted_join(left, right, ["user_id", "part"], "left", hot_rows=500)
+    assert rows(got) == rows(left.join(right, ["user_id", "part"], "left"))
+
+
 def test_salts_spread_the_hot_key(spark, skewed, users):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         joined = joins.salted_join(skewed, users, ["user_id"], "inner", hot_rows=500)
-        assert "salt" in plan(joined) and "SortMergeJoin" in plan(joined)
+        assert "_salt" in plan(joined) and "SortMergeJoin" in plan(joined)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 

@@ -98,6 +98,9 @@ def test_contract(spark):
         ("a", "type", 1), ("c", "undeclared", None), ("d", "missing", None)
     }
     assert quality.check_contract(df, df.schema).count() == 0
+    assert quality.require_contract(df, df.schema) is df
+    with pytest.raises(ValueError, match="a: type; c: undeclared; d: missing"):
+        quality.require_contract(df, schema)
 
 
 def test_profile_counts_nulls_and_estimates(spark):
@@ -157,3 +160,30 @@ def test_history_by_check_is_null_safe_and_idempotent(spark):
     twice = snapshots.scd2_check(once, second, "id", ["v"], T2)
     assert history(twice) == history(once)
     check_invariants(twice, [1, 2])
+
+
+def test_stored_history_is_repeatable(spark):
+    path = new_dir(spark, "history")
+    snapshots.create_history(state(spark, [(1, "a", T0), (2, "b", T0), (3, "c", T0)]), path, F.lit(T0))
+
+    def advance(rows, run_id, as_of):
+        def step(hist, cur):
+            return snapshots.scd2_check(hist, cur, "id", ["v"], as_of)
+
+        snapshots.advance_history(spark, path, state(spark, rows), run_id, step)
+        return history(spark.read.parquet(path))
+
+    second = [(1, "a2", T1), (2, "b", T1), (4, "d", T1)]
+    want = [(1, "a", T0, T1), (1, "a2", T1, None), (2, "b", T0, None), (3, "c", T0, T1), (4, "d", T1, None)]
+    assert advance(second, "r1", T1) == want
+    assert advance(second, "r1", T1) == want
+    third = [(1, "a2", T2), (2, "b3", T2), (4, "d", T2)]
+    rows = advance(third, "r2", T2)
+    assert len(rows) == 6 and (2, "b", T0, T2) in rows and (2, "b3", T2, None) in rows
+    check_invariants(spark.read.parquet(path), [1, 2, 4])
+    assert {r[3] for r in advance([], "r3", T2)} == {T1, T2}
+    rows = advance([(9, "z", T2)], "r4", T2)
+    check_invariants(spark.read.parquet(path), [9])
+    assert {r[0] for r in spark.read.parquet(path).select("closed_in").distinct().collect()} == {
+        "open", "r1", "r2", "r3"
+    }

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 from eventloom.functions.scalars import UUID_LAYOUT, parse_time
 from eventloom.registry.base import raw, table
 from eventloom.session import new_dir, shared_dir
-from eventloom.sinks.files import write_batched, write_lines, write_parquet, write_raw_events
+from eventloom.sinks.files import (
+    write_batched,
+    write_daily_lake,
+    write_lines,
+    write_parquet,
+    write_raw_events,
+)
 from eventloom.sinks.jdbc import write_jdbc
 from eventloom.sources.events import (
     EVENT_NAMES,
@@ -21,6 +27,7 @@ from eventloom.sources.events import (
 from eventloom.sources.generator import generate_events
 from eventloom.sources.load import load_raw_events, split_raw_events
 from eventloom.sources.seeds import load_seed
+from eventloom.sources.streams import kafka_events
 
 AS_OF = dt.datetime(2024, 3, 8)
 
@@ -131,7 +138,7 @@ def test_time_layouts(spark):
 
 def test_day_folder_keeps_its_date(spark, sf_dir):
     base = new_dir(spark, "lake")
-    raw(spark, sf_dir).withColumn("date", F.col("event_date")).write.partitionBy("date").parquet(base)
+    write_daily_lake(raw(spark, sf_dir), base)
     day = read_events_day(spark, base, "2024-01-15")
     assert day.select("date").distinct().collect()[0][0] == dt.date(2024, 1, 15)
     assert len(day.inputFiles()) < len(spark.read.parquet(base).inputFiles())
@@ -205,6 +212,39 @@ def test_jdbc_writer_settings():
     writer.save.assert_called_once_with()
 
 
+def test_kafka_reader_settings():
+    """The connector is not installed here: the reader options are checked, and
+    decode_events on files."""
+    spark = mock.MagicMock()
+    reader = spark.readStream.format.return_value
+    reader.option.return_value = reader
+    with mock.patch("eventloom.sources.streams.decode_events") as decode:
+        kafka_events(spark, "broker:9092", "events", max_offsets_per_trigger=5)
+    spark.readStream.format.assert_called_once_with("kafka")
+    assert dict(c.args for c in reader.option.call_args_list) == {
+        "kafka.bootstrap.servers": "broker:9092", "subscribe": "events",
+        "startingOffsets": "latest", "maxOffsetsPerTrigger": 5,
+    }
+    decode.assert_called_once_with(reader.load.return_value)
+
+
+def test_literal_rows_append(spark):
+    out = new_dir(spark, "insert")
+    # A uuid() column keeps its values when a DataFrame runs again: one insert, one query.
+    insert = """
+        SELECT current_timestamp() AS event_time, uuid() AS session_id, * FROM VALUES
+          (1, 'page_view', 'web', 0, '{"path":"/"}'),
+          (1, 'purchase', 'web', 199.90, '{"sku":"A1"}')
+          AS t(user_id, event_name, platform, price, props_json)
+    """
+    for _ in range(2):
+        rows = spark.sql(insert)
+        assert not load_raw_events(rows, f"{out}/events", f"{out}/rejects")
+    stored = spark.read.parquet(f"{out}/events")
+    assert stored.count() == 4 and stored.select("session_id").distinct().count() == 4
+    assert str(stored.agg(F.sum("price")).first()[0]) == "399.80"
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     cluster = mock.MagicMock()

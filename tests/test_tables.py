@@ -173,11 +173,19 @@ def test_append_only_misses_late_rows_and_rebuild_finds_them(spark):
     assert got.count() == staged.where(~late).count()
     again = incremental.incremental_append(spark, staged, appended, "event_time")
     assert again.count() == got.count()
+    assert again.agg(F.max("event_time")).first() == staged.agg(F.max("event_time")).first()
     refreshed = incremental.incremental_append(
         spark, staged, appended, "event_time", full_refresh=True
     )
     assert refreshed.count() == staged.count()
 
+    by_day = new_dir(spark, "append")
+    for source in (early, staged, staged):
+        got = incremental.incremental_append(
+            spark, source, by_day, "event_time", partition="event_date"
+        )
+    assert got.count() == staged.where(~late).count()
+
     built = new_dir(spark, "rebuild")
     incremental.incremental_rebuild(spark, early, built, fct_daily_revenue, "event_date")
     mart = incremental.incremental_rebuild(
