@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,23 @@ TIME_LAYOUTS = (
 UUID_LAYOUT = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
+def moment(value: dt.datetime | dt.date | Column | None) -> Column:
+    """A point in time as a constant column; None is now.
+
+    A datetime without zone means session time (UTC) whatever the zone of the Python
+    process, which a plain literal would go by.
+    """
+    if value is None:
+        return F.current_timestamp()
+    if isinstance(value, Column):
+        return value
+    if not isinstance(value, dt.datetime):
+        return F.lit(value)
+    if value.tzinfo is not None:
+        value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    return F.lit(value.isoformat()).cast("timestamp_ntz")
+
+
 def parse_time(text: Column) -> Column:
     """Best-effort text to timestamp, cut to milliseconds; NULL if nothing fits.
 

@@ -9,18 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from eventloom.functions.scalars import month_number
+from eventloom.functions.scalars import moment, month_number
 
 
 def newest(df: DataFrame, column: str):
-    """Greatest value of a column, as a driver-side scalar (one row)."""
-    return df.agg(F.max(column)).first()[0]
+    """Greatest value of a column, as a driver-side scalar (one row).
+
+    An instant comes as session time (UTC) without zone, see ``moment``.
+    """
+    return scalar(df, F.max(column))
 
 
-def _moment(as_of: dt.datetime | Column | None) -> Column:
-    if as_of is None:
-        return F.current_timestamp()
-    return as_of if isinstance(as_of, Column) else F.lit(as_of)
+def scalar(df: DataFrame, aggregate: Column):
+    found = df.agg(aggregate.alias("value"))
+    if found.dtypes[0][1] == "timestamp":
+        found = found.select(F.col("value").cast("timestamp_ntz"))
+    return found.first()[0]
 
 
 def trailing(
@@ -30,7 +34,7 @@ def trailing(
 
     The bound is a constant, so the filter reaches the Parquet scan.
     """
-    bound = _moment(as_of) - F.expr(f"INTERVAL {int(hours)} HOURS")
+    bound = moment(as_of) - F.expr(f"INTERVAL {int(hours)} HOURS")
     return df.where(F.col(column) >= bound)
 
 
@@ -38,7 +42,7 @@ def trailing_days(
     df: DataFrame, column: str, days: int, as_of: dt.date | dt.datetime | Column | None = None
 ) -> DataFrame:
     """Rows whose date is not before ``as_of`` minus ``days`` (bound included)."""
-    return df.where(F.col(column) >= F.date_sub(F.to_date(_moment(as_of)), days))
+    return df.where(F.col(column) >= F.date_sub(F.to_date(moment(as_of)), days))
 
 
 def month_filter(df: DataFrame, days: int, as_of: dt.date | dt.datetime | Column | None = None):
@@ -46,7 +50,7 @@ def month_filter(df: DataFrame, days: int, as_of: dt.date | dt.datetime | Column
 
     Spark does not derive this from a date filter; add it next to ``trailing_days``.
     """
-    first_day = F.date_sub(F.to_date(_moment(as_of)), days)
+    first_day = F.date_sub(F.to_date(moment(as_of)), days)
     return df.where(F.col("month") >= month_number(first_day))
 
 

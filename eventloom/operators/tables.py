@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.sinks.files import cluster
+from eventloom.sinks.files import cluster, files_for
 from eventloom.storage import drop_partitions, overwrite_partitions, partition_values
 
 
@@ -59,7 +61,7 @@ def mutate(
     emptied = [r["month"] for r in found if not set_exprs and r["hits"] == r["rows"]]
     rewritten = [r["month"] for r in found if r["month"] not in emptied]
     if rewritten:
-        affected = rows.where(F.col("month").isin(rewritten))
+        affected = rows.where(reduce(or_, (F.col("month").eqNullSafe(m) for m in rewritten)))
         if set_exprs:
             types = dict(rows.dtypes)
             changed = affected.withColumns(
@@ -70,9 +72,10 @@ def mutate(
             )
         else:
             changed = affected.where(~hit)
-        overwrite_partitions(cluster(changed), table, "month")
+        files = files_for(sum(r["rows"] for r in found), spark)
+        overwrite_partitions(cluster(changed, files), table, "month")
     drop_partitions(spark, table, "month", emptied)
-    return sorted(emptied + rewritten)
+    return sorted(emptied + rewritten, key=lambda month: month or 0)
 
 
 def drop_partition(spark: SparkSession, table: str, month: int) -> None:

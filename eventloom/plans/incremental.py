@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions.scalars import moment
 from eventloom.operators.rows import newest
 from eventloom.operators.versions import summing_merge
 from eventloom.plans.marts import daily_purchase_revenue
@@ -56,7 +57,7 @@ def incremental_append(
             new = new.where(F.col(partition) >= newest_folder)
         mark = newest(stored, cursor)
         if mark is not None:
-            new = new.where(F.col(cursor) > F.lit(mark))
+            new = new.where(F.col(cursor) > moment(mark))
     writer = new.write.mode(mode)
     (writer.partitionBy(partition) if partition else writer).parquet(path)
     return spark.read.parquet(path)
@@ -80,12 +81,14 @@ def incremental_rebuild(
     if first_build:
         model(src).write.mode("overwrite").partitionBy(partition).parquet(path)
     else:
-        stored = [v for v in partition_values(spark, path, partition) if v >= str(since)]
+        typed = type(since) if isinstance(since, int) else str
+        folders = partition_values(spark, path, partition)
+        stored = {v for v in folders if typed(v) >= typed(since)}
         touched = src.where(F.col(partition) >= F.lit(since))
         # One value per partition folder.
         remaining = {str(r[0]) for r in touched.select(partition).distinct().collect()}
         overwrite_partitions(model(touched), path, partition)
-        drop_partitions(spark, path, partition, set(stored) - remaining)
+        drop_partitions(spark, path, partition, stored - remaining)
     return spark.read.parquet(path)
 
 

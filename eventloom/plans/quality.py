@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from eventloom.functions.scalars import moment
 from eventloom.operators.joins import orphans
 
 
@@ -142,9 +143,9 @@ def freshness(
     error: dt.timedelta,
 ) -> DataFrame:
     """Age of the newest row against two limits; an empty source is an error."""
-    moment = as_of if isinstance(as_of, Column) else F.lit(as_of)
     newest = df.agg(F.max(column).alias("newest"))
-    age = F.unix_micros(moment.cast("timestamp")) - F.unix_micros(F.col("newest").cast("timestamp"))
+    seen, last = moment(as_of).cast("timestamp"), F.col("newest").cast("timestamp")
+    age = F.unix_micros(seen) - F.unix_micros(last)
 
     def older_than(limit: dt.timedelta) -> Column:
         return F.col("age_seconds") > limit.total_seconds()

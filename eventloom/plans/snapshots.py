@@ -13,14 +13,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions.scalars import moment
 from eventloom.session import new_dir
 from eventloom.storage import drop_partitions, overwrite_partitions, partition_values
 
 
-def _moment(as_of: dt.datetime | Column) -> Column:
-    return as_of if isinstance(as_of, Column) else F.lit(as_of)
-
-
 def start_history(cur: DataFrame, valid_from: Column) -> DataFrame:
     """History of a first snapshot: every row open."""
     valid_from = valid_from.alias("valid_from")
@@ -87,7 +84,7 @@ def scd2_timestamp(
         key,
         changed=newer,
         opened_at=F.col(f"new.{updated_at}"),
-        closed_at=F.coalesce(F.col(f"new.{updated_at}"), _moment(as_of)),
+        closed_at=F.coalesce(F.col(f"new.{updated_at}"), moment(as_of)),
     )
 
 
@@ -103,7 +100,7 @@ def scd2_check(
     for column in columns:
         differs = differs | ~F.col(f"new.{column}").eqNullSafe(F.col(f"old.{column}"))
     return _advance(
-        hist, cur, key, changed=differs, opened_at=_moment(as_of), closed_at=_moment(as_of)
+        hist, cur, key, changed=differs, opened_at=moment(as_of), closed_at=moment(as_of)
     )
 
 

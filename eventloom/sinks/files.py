@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.functions.scalars import month_number
@@ -10,6 +10,8 @@ from eventloom.functions.scalars import month_number
 # Sort key of the raw table inside a month.
 CLUSTER_KEYS = ("event_date", "event_name", "user_id")
 
+ROWS_PER_FILE = 10_000_000
+
 
 def write_parquet(df: DataFrame, path: str) -> None:
     """Replace ``path`` with snappy Parquet."""
@@ -20,6 +22,13 @@ def with_month(df: DataFrame) -> DataFrame:
     return df.withColumn("month", month_number(F.col("event_date")))
 
 
+def files_for(rows: int, spark: SparkSession) -> int | None:
+    """Number of files for a large table. None for a table that the session's shuffle
+    partitions can hold; adaptive execution then makes them fewer as it sees fit."""
+    files = -(-rows // ROWS_PER_FILE)
+    return files if files > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def cluster(df: DataFrame, files: int | None = None) -> DataFrame:
     """Range-partition by month and sort key, then sort each partition.
 
@@ -36,7 +45,11 @@ def cluster(df: DataFrame, files: int | None = None) -> DataFrame:
 
 
 def write_raw_events(df: DataFrame, path: str, files: int | None = None) -> None:
-    """Raw table: ``month`` partitions, rows clustered by date, event and user."""
+    """Raw table: ``month`` partitions, rows clustered by date, event and user.
+
+    The number of files grows with the rows unless it is given.
+    """
+    files = files or files_for(df.count(), df.sparkSession)
     cluster(with_month(df), files).write.mode("overwrite").partitionBy("month").parquet(path)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from eventloom.functions.scalars import moment
 from eventloom.operators.versions import latest_version
 from eventloom.storage import drop_partitions, overwrite_partitions, partition_values
 
@@ -86,7 +87,7 @@ def read_versions(
     versions = spark.read.parquet(path)
     if since is not None:
         column, bound = since
-        versions = versions.where(F.col(column) >= F.lit(bound))
+        versions = versions.where(F.col(column) >= moment(bound))
     return latest_version(versions, keys, "updated_at", tie="batch_id").drop("batch_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.scalars import parse_time, to_money, to_uuid, to_unsigned
 from eventloom.operators.rows import with_event_date
-from eventloom.sinks.files import cluster, with_month
+from eventloom.sinks.files import cluster, files_for, with_month
 
 # Raw table columns in order.
 RAW_COLUMNS = (
@@ -54,7 +54,7 @@ def load_raw_events(df: DataFrame, table: str, rejects: str) -> bool:
     rest to ``rejects``; returns whether there were any rejects.
 
     Rejects are noticed while the good rows are written, so clean input needs no
-    second pass. (The observed number itself may count a row twice, as the range
+    second pass. Appending is not repeatable: load a file once. (The observed number itself may count a row twice, as the range
     partitioning samples its input first, and is used as a flag only.)
     """
     seen = Observation()
@@ -62,8 +62,9 @@ def load_raw_events(df: DataFrame, table: str, rejects: str) -> bool:
         seen, F.count_if(F.size("reasons") > 0).alias("rejected")
     )
     good = with_event_date(typed.where(F.size("reasons") == 0).select("typed.*"))
+    files = files_for(df.count(), df.sparkSession)
     (
-        cluster(with_month(good.select(*RAW_COLUMNS)))
+        cluster(with_month(good.select(*RAW_COLUMNS)), files)
         .write.mode("append")
         .partitionBy("month")
         .parquet(table)

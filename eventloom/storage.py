@@ -6,6 +6,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Fixed value: the folder name of a NULL partition value.
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
 
 def _open(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -23,15 +26,16 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def partition_values(spark: SparkSession, table: str, column: str) -> list[str]:
-    """Values of a top-level partition column, read from directory names."""
+    """Non-NULL values of a top-level partition column, read from folder names."""
     fs, jpath = _open(spark, table)
     names = [status.getPath().getName() for status in fs.listStatus(jpath)]
-    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{column}="))
+    values = [n.split("=", 1)[1] for n in names if n.startswith(f"{column}=")]
+    return sorted(v for v in values if v != NULL_FOLDER)
 
 
 def drop_partitions(spark: SparkSession, table: str, column: str, values: Iterable) -> None:
     for value in values:
-        remove(spark, f"{table}/{column}={value}")
+        remove(spark, f"{table}/{column}={NULL_FOLDER if value is None else value}")
 
 
 def overwrite_partitions(df: DataFrame, table: str, column: str) -> None:

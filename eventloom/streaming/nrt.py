@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.functions.aggregates import count_if, is_purchase, purchase_metrics, sum_if
-from eventloom.operators.rows import flatten_window
+from eventloom.operators.rows import flatten_window, scalar
 from eventloom.sinks.streams import foreach_batch_sink, read_versions, write_version
 
 WATERMARK = "10 minutes"
@@ -54,12 +54,15 @@ def nrt_revenue_1m(
 
 
 def buyer_revenue(events: DataFrame) -> DataFrame:
-    """The same by buyer: the partial result that streams exactly."""
+    """The same by buyer: the partial result that streams exactly.
+
+    Revenue keeps the type of its sum; it is rounded once, in the total.
+    """
     grouped = with_watermark(events) if events.isStreaming else events
     partial = grouped.groupBy(
         minute(), "platform", F.when(is_purchase(), F.col("user_id")).alias("buyer")
     ).agg(
-        sum_if(F.col("price"), is_purchase()).cast("decimal(18,2)").alias("revenue"),
+        sum_if(F.col("price"), is_purchase()).alias("revenue"),
         count_if(is_purchase()).alias("purchases"),
     )
     return flatten_window(partial, "w")
@@ -107,7 +110,7 @@ def changed_totals(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     """New totals of the groups that micro-batch ``batch_id`` updated."""
     versions = spark.read.parquet(path)
     batch = versions.where(F.col("batch_id") == batch_id)
-    first = batch.agg(F.min("window_start")).first()[0]
+    first = scalar(batch, F.min("window_start"))
     if first is None:
         return roll_up(batch)
     # Versions only come for minutes the watermark has not closed, so the range

@@ -214,3 +214,23 @@ def test_rate_source_to_console_and_batch_code(spark):
     query.stop()
     assert "ConsoleTable" in progress["sink"]["description"]
     assert progress["numInputRows"] > 0
+
+
+def test_revenue_of_unrounded_prices_is_rounded_once(spark):
+    """Many buyers with fractions of a cent: the total equals the batch form."""
+    folder, out = new_dir(spark, "in"), new_dir(spark, "out")
+    rows = [
+        (i, dt.datetime(2024, 1, 1, 12, 0, i % 60), i, "purchase", 0.004, "{}") for i in range(0, 300, 3)
+    ]
+    events = spark.createDataFrame(rows, SOURCE_SCHEMAS["events"])
+    sequence = events.select(
+        F.col("ts").cast("timestamp").alias("event_time"), "user_id",
+        F.col("event_type").alias("event_name"), F.lit("web").alias("platform"),
+        F.col("value").alias("price"),
+    )
+    sequence.coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(sequence.schema).parquet(folder)
+    nrt.nrt_stream(stream, f"{out}/t", f"{out}/c", DONE).awaitTermination()
+    got = nrt.nrt_read(spark, f"{out}/t").first()
+    assert (str(got["revenue_1m"]), got["buyers_1m"]) == ("0.40", 100)
+    assert str(nrt.nrt_revenue_1m(sequence).first()["revenue_1m"]) == "0.40"

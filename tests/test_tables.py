@@ -11,6 +11,7 @@ from eventloom.plans import incremental
 from eventloom.plans.marts import daily_purchase_revenue, fct_daily_revenue, stg_events
 from eventloom.registry.base import raw
 from eventloom.session import new_dir
+from eventloom.sinks import files
 from eventloom.sinks.files import write_raw_events
 from eventloom.storage import exists, overwrite_partitions, partition_values
 
@@ -204,3 +205,39 @@ def test_rebuild_removes_days_that_became_empty(spark):
         spark, gone, built, fct_daily_revenue, "event_date", since=dt.date(2024, 1, 24)
     )
     assert mart.count() == 90 - 3
+
+
+def test_null_months_are_updated_and_removed(spark):
+    path = new_dir(spark, "raw")
+    events = raw(spark, SF).where("event_id < 200")
+    undated = F.when(F.col("event_name") != "error", F.col("event_date"))
+    write_raw_events(events.withColumn("event_date", undated), path)
+    errors = F.col("event_name") == "error"
+    assert upkeep.mutate(spark, path, errors, {"price": F.lit(1)}) == [None]
+    assert spark.read.parquet(path).where(errors & (F.col("price") == 1)).count() > 10
+    assert partition_values(spark, path, "month") == ["202401"]
+    assert upkeep.mutate(spark, path, errors) == [None]
+    assert spark.read.parquet(path).where("month IS NULL").count() == 0
+    assert spark.read.parquet(path).count() == events.where(~errors).count()
+
+
+def test_rebuild_leaves_undated_rows_and_compares_numbers(spark):
+    path = new_dir(spark, "rebuild")
+    source = spark.createDataFrame([(None, 1), (9, 1), (10, 1), (11, 1)], "part int, v int")
+
+    def model(df):
+        return df.groupBy("part").agg(F.sum("v").alias("v"))
+
+    incremental.incremental_rebuild(spark, source, path, model, "part")
+    smaller = source.where("part IS NULL OR part < 11")
+    got = incremental.incremental_rebuild(spark, smaller, path, model, "part", since=10)
+    assert {r["part"] for r in got.collect()} == {None, 9, 10}
+
+
+def test_file_count_grows_with_the_rows(spark, monkeypatch):
+    assert files.files_for(10**7, spark) is None
+    assert files.files_for(10**12, spark) == 100_000
+    monkeypatch.setattr(files, "ROWS_PER_FILE", 500)
+    path = new_dir(spark, "raw")
+    write_raw_events(raw(spark, SF), path)
+    assert len(spark.read.parquet(path).inputFiles()) == 20
