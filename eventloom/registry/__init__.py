@@ -3,4 +3,6 @@
 from eventloom.registry import aggregates, joins, loads, models, rows, streams, tables
 from eventloom.registry.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "aggregates", "joins", "loads", "models", "rows", "streams", "tables"]
+MODULES = (aggregates, joins, loads, models, rows, streams, tables)
+
+__all__ = ["MODULES", "ORACLE", "QUERIES"]

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.functions.scalars import moment
 from eventloom.operators.rows import newest
 from eventloom.plans import quality, snapshots
 from eventloom.plans.incremental import (
@@ -219,10 +220,11 @@ FROM new LEFT JOIN old ON old.id = new.id WHERE old.id IS NULL OR {changed}"""
 ))
 def history_by_check(spark, sf_dir):
     first, second = _customers(spark, sf_dir)
-    start = F.lit(_FIRST).cast("timestamp_ntz")
-    history = materialize_table(snapshots.start_history(first, start), new_dir(spark, "history"))
-    moment = F.lit(_SECOND).cast("timestamp_ntz")
-    return snapshots.scd2_check(history, second, "id", ["balance", "c_mktsegment"], moment)
+    history = materialize_table(
+        snapshots.start_history(first, moment(_FIRST)), new_dir(spark, "history")
+    )
+    columns = ["balance", "c_mktsegment"]
+    return snapshots.scd2_check(history, second, "id", columns, moment(_SECOND))
 
 
 @query(_history_sql(
@@ -232,13 +234,12 @@ def history_by_check(spark, sf_dir):
 def history_table(spark, sf_dir):
     """The same, kept as a table of which only the open versions are rewritten."""
     first, second = _customers(spark, sf_dir)
-    start, moment = (F.lit(t).cast("timestamp_ntz") for t in (_FIRST, _SECOND))
     path = new_dir(spark, "history-table")
 
     def step(hist, cur):
-        return snapshots.scd2_check(hist, cur, "id", ["balance", "c_mktsegment"], moment)
+        return snapshots.scd2_check(hist, cur, "id", ["balance", "c_mktsegment"], moment(_SECOND))
 
-    snapshots.create_history(first, path, start)
+    snapshots.create_history(first, path, moment(_FIRST))
     for _ in range(2):
         snapshots.advance_history(spark, path, second, "2024-03-01", step)
     return spark.read.parquet(path).drop("closed_in")
@@ -251,14 +252,14 @@ def history_table(spark, sf_dir):
 def history_by_timestamp(spark, sf_dir):
     """Only the grown segment and the joined suppliers carry a newer update time."""
     first, second = _customers(spark, sf_dir)
-    start, moment = (F.lit(t).cast("timestamp_ntz") for t in (_FIRST, _SECOND))
-    updated = F.when(F.col("c_mktsegment").isin("BUILDING", "SUPPLIER"), moment).otherwise(start)
+    start, seen = moment(_FIRST), moment(_SECOND)
+    updated = F.when(F.col("c_mktsegment").isin("BUILDING", "SUPPLIER"), seen).otherwise(start)
     history = materialize_table(
         snapshots.start_history(first.withColumn("updated_at", start), start),
         new_dir(spark, "history"),
     )
     advanced = snapshots.scd2_timestamp(
-        history, second.withColumn("updated_at", updated), "id", "updated_at", moment
+        history, second.withColumn("updated_at", updated), "id", "updated_at", seen
     )
     return advanced.drop("updated_at")
 
@@ -299,7 +300,9 @@ def _stats_sql(name: str, kind: str, text: str | None = None) -> str:
 
 @query(" UNION ALL ".join([
     _stats_sql("event_id", "bigint"),
-    _stats_sql("day", "date").replace("FROM events", "FROM (SELECT CAST(ts AS DATE) AS day FROM events)"),
+    _stats_sql("day", "date").replace(
+        "FROM events", "FROM (SELECT CAST(ts AS DATE) AS day FROM events)"
+    ),
     _stats_sql("user_id", "bigint"),
     _stats_sql("event_type", "string"),
     _stats_sql("value", "double"),

@@ -55,7 +55,10 @@ def struct_expansion(spark, sf_dir):
         F.struct(F.col("event_type").alias("kind"), F.col("value").alias("amount")).alias("v"),
     )
     return nested.select(
-        "event_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "v.*"
+        "event_id",
+        F.col("w.start").alias("window_start"),
+        F.col("w.end").alias("window_end"),
+        "v.*",
     )
 
 
@@ -269,7 +272,8 @@ def mixed_order(spark, sf_dir):
 
 @query("SELECT event_id, value * -1 AS negated FROM events ORDER BY value * -1, event_id")
 def sorted_by_expression(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", (F.col("value") * -1).alias("negated"))
+    negated = (F.col("value") * -1).alias("negated")
+    events = table(spark, sf_dir, "events").select("event_id", negated)
     return events.orderBy("negated", "event_id")
 
 

@@ -54,8 +54,9 @@ def load_raw_events(df: DataFrame, table: str, rejects: str) -> bool:
     rest to ``rejects``; returns whether there were any rejects.
 
     Rejects are noticed while the good rows are written, so clean input needs no
-    second pass. Appending is not repeatable: load a file once. (The observed number itself may count a row twice, as the range
-    partitioning samples its input first, and is used as a flag only.)
+    second pass. (The observed number itself may count a row twice, as the range
+    partitioning samples its input first, and is used as a flag only.) Appending is
+    not repeatable: load a file once.
     """
     seen = Observation()
     typed = type_raw_events(df).observe(

@@ -49,6 +49,11 @@ def test_salted_join_keeps_null_keys(spark, users):
     assert got.count() == 50 + 4
 
 
+def test_no_hot_keys(spark, skewed):
+    assert joins.hot_keys(skewed, F.xxhash64("user_id"), 5000) is None
+    assert joins.hot_keys(skewed.limit(0), F.xxhash64("user_id"), 1) is None
+
+
 def test_salted_join_with_other_key_types(spark, skewed, users):
     narrow = users.withColumn("user_id", F.col("user_id").cast("int"))
     got = joins.salted_join(skewed, narrow, ["user_id"], "inner", hot_rows=500)
