@@ -29,8 +29,8 @@ def group_by_key(
     # the table bounds their number, and so the size of the broadcast.
     limit = max(chunk_rows, df.count() // MAX_LONG_KEYS)
     long_keys = (
-        df.groupBy(F.col(key).alias("long_key"))
-        .agg(F.count("*").alias("rows"))
+        counted.groupBy(F.col(key).alias("long_key"))
+        .agg(F.sum("n").alias("rows"))
         .where(F.col("rows") > limit)
         .select("long_key", F.ceil(F.col("rows") / limit).alias("chunks"))
     )

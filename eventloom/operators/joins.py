@@ -61,7 +61,7 @@ def hot_keys(df: DataFrame, key_hash: Column, hot_rows: int = HOT_ROWS) -> DataF
             F.expr(f"approx_top_k_accumulate(key_hash, {items})").alias("s"),
         )
         # By a constant, not globally: combining needs at least one sketch.
-        .groupBy(F.lit(0))
+        .groupBy(F.lit("all"))
         .agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_combine(s, {items})").alias("s"))
     )
     top = F.expr(f"approx_top_k_estimate(s, {MAX_HOT_KEYS})")
