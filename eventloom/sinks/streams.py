@@ -91,17 +91,23 @@ def read_versions(
     return latest_version(versions, keys, "updated_at", tie="batch_id").drop("batch_id")
 
 
-def fold_versions(spark: SparkSession, path: str, keys: Sequence[str], into: int) -> None:
-    """Merge the versions of the batches up to ``into`` into that batch's folder.
+def fold_versions(
+    spark: SparkSession, path: str, keys: Sequence[str], into: int, after: int = -1
+) -> None:
+    """Merge the versions of the batches from ``after`` (excluded) to ``into`` into the
+    folder of ``into``.
 
-    Keeps folders and superseded rows of a long-running table bounded. ``into``
-    must be a batch that the stream has committed.
+    Keeps folders and superseded rows of a long-running table few. Ranges folded
+    earlier need not be read again: the versions of a key lie in batches close to
+    each other, and readers resolve the rest. ``into`` must be a batch that the
+    stream has committed. Repeating a fold after a crash does no harm.
     """
-    batches = [int(v) for v in partition_values(spark, path, "batch_id") if int(v) <= into]
-    rows = spark.read.parquet(path).where(F.col("batch_id").isin(batches))
+    batches = [int(v) for v in partition_values(spark, path, "batch_id")]
+    folded = [b for b in batches if after < b <= into]
+    rows = spark.read.parquet(path).where(F.col("batch_id").isin(folded))
     latest = latest_version(rows, keys, "updated_at", tie="batch_id")
     overwrite_partitions(latest.withColumn("batch_id", F.lit(into)), path, "batch_id")
-    drop_partitions(spark, path, "batch_id", [b for b in batches if b != into])
+    drop_partitions(spark, path, "batch_id", [b for b in folded if b != into])
 
 
 def ingest_events(

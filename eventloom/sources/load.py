@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.scalars import parse_time, to_money, to_uuid, to_unsigned
 from eventloom.operators.rows import with_event_date
+from eventloom.session import new_dir
 from eventloom.sinks.files import cluster, files_for, with_month
+from eventloom.storage import partition_values, remove
 
 # Raw table columns in order.
 RAW_COLUMNS = (
@@ -53,24 +55,31 @@ def load_raw_events(df: DataFrame, table: str, rejects: str) -> bool:
     """Append good rows to ``table`` (month partitions, cluster order) and the
     rest to ``rejects``; returns whether there were any rejects.
 
-    Rejects are noticed while the good rows are written, so clean input needs no
-    second pass. (The observed number itself may count a row twice, as the range
-    partitioning samples its input first, and is used as a flag only.) Appending is
-    not repeatable: load a file once.
+    The input is read and parsed once, into a staged copy with good and bad rows
+    apart; sampling for the cluster order then runs over typed rows. Appending is not
+    repeatable: load a file once.
     """
-    seen = Observation()
-    typed = type_raw_events(df).observe(
-        seen, F.count_if(F.size("reasons") > 0).alias("rejected")
+    spark = df.sparkSession
+    bad = F.size("reasons") > 0
+    checked = type_raw_events(df).select(
+        "typed",
+        F.when(bad, F.struct(*df.columns)).alias("source"),
+        F.array_join("reasons", ",").alias("reject_reason"),
+        bad.cast("int").alias("bad"),
     )
-    good = with_event_date(typed.where(F.size("reasons") == 0).select("typed.*"))
-    files = files_for(df.count(), df.sparkSession)
+    staged = new_dir(spark, "load")
+    checked.write.partitionBy("bad").parquet(staged)
+    rows = spark.read.schema(checked.schema).parquet(staged)
+    good = with_event_date(rows.where(F.col("bad") == 0).select("typed.*"))
     (
-        cluster(with_month(good.select(*RAW_COLUMNS)), files)
+        cluster(with_month(good.select(*RAW_COLUMNS)), files_for(good.count(), spark))
         .write.mode("append")
         .partitionBy("month")
         .parquet(table)
     )
-    any_rejects = seen.get["rejected"] > 0
+    any_rejects = "1" in partition_values(spark, staged, "bad")
     if any_rejects:
-        split_raw_events(df)[1].write.mode("append").parquet(rejects)
+        rejected = rows.where(F.col("bad") == 1).select("source.*", "reject_reason")
+        rejected.write.mode("append").parquet(rejects)
+    remove(spark, staged)
     return any_rejects

@@ -112,6 +112,17 @@ def test_typed_load_rejects_name_their_columns(spark):
     ]
 
 
+def test_load_of_bad_rows_only_and_of_nothing(spark):
+    out = new_dir(spark, "load")
+    rows = [("zzz", "1", "s", "1", "purchase", "web", "{}")]
+    columns = "event_time string, user_id string, session_id string, price string, "
+    df = spark.createDataFrame(rows, columns + "event_name string, platform string, props_json string")
+    assert not load_raw_events(df.limit(0), f"{out}/events", f"{out}/rejects")
+    assert load_raw_events(df, f"{out}/events", f"{out}/rejects")
+    (reject,) = spark.read.parquet(f"{out}/rejects").collect()
+    assert tuple(reject)[:7] == rows[0] and reject["reject_reason"] == "event_time,session_id"
+
+
 def test_time_layouts(spark):
     moment = dt.datetime(2024, 1, 2, 3, 4, 5)
     texts = {

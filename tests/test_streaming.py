@@ -139,6 +139,19 @@ def test_replayed_batch_replaces_itself(spark):
     assert read_versions(spark, path, ["key"]).collect()[0]["v"] == 11
 
 
+def test_folding_a_range_leaves_other_batches(spark):
+    path = new_dir(spark, "versions")
+    for batch_id in range(5):
+        rows = [("k", batch_id, batch_id), (f"k{batch_id}", batch_id, batch_id)]
+        write_version(spark.createDataFrame(rows, "key string, updated_at int, v int"), path, batch_id)
+    want = sorted(map(tuple, read_versions(spark, path, ["key"]).collect()))
+    fold_versions(spark, path, ["key"], into=1)
+    fold_versions(spark, path, ["key"], into=3, after=1)
+    assert partition_values(spark, path, "batch_id") == ["1", "3", "4"]
+    assert spark.read.parquet(path).count() == 3 + 3 + 2
+    assert sorted(map(tuple, read_versions(spark, path, ["key"]).collect())) == want
+
+
 def test_exact_buyers_are_refused_in_one_streaming_aggregate(spark):
     folder = new_dir(spark, "in")
     add_file(spark, folder, id_range(spark, 0, 9))
