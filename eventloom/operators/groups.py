@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1_000_000
-MAX_LONG_KEYS = 1_000_000
+MAX_LONG_KEYS = 100_000
 
 
 def reduce_by_key(df: DataFrame, key: str, *aggs: Column) -> DataFrame:

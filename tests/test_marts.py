@@ -113,6 +113,28 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "EqualTo(event_type,purchase)" in bought and "user_id" not in bought
 
 
+def test_mart_takes_two_spread_shuffles_and_no_row_copies(spark, sf_dir):
+    text = plan(marts.fct_daily_revenue(marts.stg_events(raw(spark, sf_dir))))
+    assert text.count("Exchange hashpartitioning") == 2
+    assert "Expand" not in text and "Sort" not in text
+    # The wide shuffle comes after a map-side combine and goes by buyer as well.
+    first = text.rindex("Exchange hashpartitioning")
+    assert "user_id" in text[first : text.index("\n", first)]
+    assert "partial_sum" in text[first:]
+
+
+def test_mart_on_the_stored_table_reads_its_columns_only(spark, sf_dir):
+    path = new_dir(spark, "raw")
+    write_raw_events(raw(spark, sf_dir), path)
+    stored = spark.read.parquet(path)
+    text = plan(marts.fct_daily_revenue(marts.stg_events(stored)))
+    read = text[text.index("ReadSchema") :]
+    assert all(c in read for c in ("event_time", "user_id", "event_name", "platform", "price"))
+    assert "props_json" not in read and "session_id" not in read
+    bought = plan(marts.daily_purchase_revenue(stored))
+    assert "EqualTo(event_name,purchase)" in bought
+
+
 def test_month_filter_prunes_folders(spark, sf_dir):
     path = new_dir(spark, "raw")
     write_raw_events(raw(spark, sf_dir), path)
