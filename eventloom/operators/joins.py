@@ -1,9 +1,9 @@
 """Joins: checked broadcast, hot-key salting, one-match joins, lookups.
 
 A side is broadcast only after its rows and bytes were counted. Beyond that the
-join shuffles, and keys holding very many left rows are spread over several tasks:
-their left rows get a salt, their right rows one copy per salt. Every pair still
-meets exactly once.
+join shuffles, and keys holding very many rows of a side are spread over several
+tasks: their rows get a salt, the matching rows of the other side one copy per salt.
+Every pair still meets exactly once.
 """
 
 from __future__ import annotations
@@ -75,38 +75,65 @@ def hot_keys(df: DataFrame, key_hash: Column, hot_rows: int = HOT_ROWS) -> DataF
     return df.sparkSession.createDataFrame(hot, "_hot_hash bigint, _salts int")
 
 
+def _salt(df: DataFrame, hot: DataFrame, key_hash: Column, name: str) -> DataFrame:
+    """Number the rows of hot keys by a hash of the row, all others 0."""
+    salts = F.col("_salts")
+    row = F.pmod(F.xxhash64(*df.columns), salts.cast("bigint")).cast("int")
+    joined = df.join(F.broadcast(hot), key_hash == F.col("_hot_hash"), "left")
+    return joined.select(*df.columns, F.when(salts.isNotNull(), row).otherwise(0).alias(name))
+
+
+def _copy(df: DataFrame, hot: DataFrame, key_hash: Column, name: str) -> DataFrame:
+    """One copy per salt of the rows of hot keys, all others once."""
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    joined = df.join(F.broadcast(hot), key_hash == F.col("_hot_hash"), "left")
+    return joined.select(*df.columns, F.explode(F.sequence(F.lit(0), salts - 1)).alias(name))
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    left_unique: bool = False,
+    right_unique: bool = False,
 ) -> DataFrame:
-    """Shuffle join with the hot left keys spread out.
+    """Shuffle join with the hot keys of both sides spread out.
 
-    The salt is a hash of the left row, so a task that is run again after a loss
-    sends each row to the same place as before.
+    Rows of a key that is hot on one side are numbered there and copied on the other;
+    a key hot on both sides makes a grid. The numbers come from row hashes, so a task
+    that runs again after a loss sends each row to the same place as before. A side
+    said to be unique by key is not searched for hot keys.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"right rows are copied per salt, which {how} joins do not allow")
+        raise ValueError(f"rows are copied per salt, which {how} joins do not allow")
     keys = list(keys)
     # Equal keys must hash alike on both sides, so hash them in their common type.
     common = left.select(keys).union(right.select(keys)).dtypes
     key_hash = F.xxhash64(*(F.col(name).cast(kind) for name, kind in common))
-    hot = hot_keys(left, key_hash, hot_rows)
-    if hot is None:
-        return left.join(right, keys, how)
-    hot = F.broadcast(hot)
-    salts = F.col("_salts")
-    row_salt = F.pmod(F.xxhash64(*left.columns), salts.cast("bigint")).cast("int")
-    salted_left = left.join(hot, key_hash == F.col("_hot_hash"), "left").select(
-        *left.columns, F.when(salts.isNotNull(), row_salt).otherwise(0).alias("_salt")
-    )
-    copies = F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1)
-    salted_right = right.join(hot, key_hash == F.col("_hot_hash"), "left").select(
-        *right.columns, F.explode(copies).alias("_salt")
-    )
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    if how in ("left_semi", "left_anti"):
+        right, right_unique = right.select(keys).distinct(), True
+    left_hot = None if left_unique else hot_keys(left, key_hash, hot_rows)
+    right_hot = None if right_unique else hot_keys(right, key_hash, hot_rows)
+
+    def join(how: str, right: DataFrame, right_hot: DataFrame | None) -> DataFrame:
+        l, r, salts = left, right, []
+        if left_hot is not None:
+            l, r = _salt(l, left_hot, key_hash, "_salt"), _copy(r, left_hot, key_hash, "_salt")
+            salts.append("_salt")
+        if right_hot is not None:
+            l, r = _copy(l, right_hot, key_hash, "_cell"), _salt(r, right_hot, key_hash, "_cell")
+            salts.append("_cell")
+        return l.join(r, keys + salts, how).drop(*salts)
+
+    if how == "left" and right_hot is not None:
+        # Copies of a left row may each miss the matches of the others, so the rows
+        # without any match are found apart.
+        matched = join("inner", right, right_hot)
+        unmatched = join("left_anti", right.select(keys).distinct(), None)
+        return matched.unionByName(unmatched, allowMissingColumns=True)
+    return join(how, right, right_hot)
 
 
 def enrich(
@@ -143,7 +170,7 @@ def any_join(
     first = first_per_key(right, keys, order_by)
     if small:
         return left.join(F.broadcast(first), keys, how)
-    return salted_join(left, first, keys, how)
+    return salted_join(left, first, keys, how, right_unique=True)
 
 
 def lookup(
@@ -157,7 +184,7 @@ def lookup(
     if fits_broadcast(dim.select(dim_key, attribute)):
         joined = df.join(F.broadcast(dictionary), key, "left")
     else:
-        joined = salted_join(df, dictionary, [key], "left")
+        joined = salted_join(df, dictionary, [key], "left", right_unique=True)
     return joined.withColumn(attribute, F.coalesce(F.col(attribute), F.lit(default)))
 
 
@@ -168,15 +195,15 @@ def preagg_join(
     dim, keys = _align(dim, on)
     totals = fact.groupBy(*keys).agg(*aggs)
     if fits_broadcast(dim):
-        dim = F.broadcast(dim)
-    return totals.join(dim, keys, how)
+        return totals.join(F.broadcast(dim), keys, how)
+    return salted_join(totals, dim, keys, how, left_unique=True)
 
 
 def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """Non-NULL child keys without a parent, with the number of child rows.
 
-    The child is reduced to its distinct keys before the join, so a key holding a
+    Both sides are reduced to their distinct keys before the join, so a key holding a
     large share of the rows costs one row.
     """
     keys = child.where(F.col(fk).isNotNull()).groupBy(fk).agg(F.count("*").alias("n_rows"))
-    return keys.join(parent.select(F.col(pk).alias(fk)), fk, "left_anti")
+    return keys.join(parent.select(F.col(pk).alias(fk)).distinct(), fk, "left_anti")

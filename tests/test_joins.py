@@ -49,6 +49,27 @@ def test_salted_join_keeps_null_keys(spark, users):
     assert got.count() == 50 + 4
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_hot_keys_of_the_right_side(spark, skewed, users, how):
+    got = joins.salted_join(users, skewed, ["user_id"], how, hot_rows=500)
+    want = users.join(skewed, "user_id", how)
+    assert got.columns == want.columns
+    assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_key_hot_on_both_sides(spark, skewed, how):
+    """7 has 3334 rows left and 60 right; thresholds of 20 make it a grid."""
+    right = spark.range(0, 90).select(
+        F.when(F.col("id") < 60, 7).otherwise(F.col("id")).alias("user_id"),
+        F.col("id").alias("attribute"),
+    )
+    got = joins.salted_join(skewed, right, ["user_id"], how, hot_rows=20)
+    want = skewed.join(right, "user_id", how)
+    assert rows(got.na.fill(-1)) == rows(want.na.fill(-1))
+    assert "_cell" in plan(got) and "_salt" in plan(got)
+
+
 def test_no_hot_keys(spark, skewed):
     assert joins.hot_keys(skewed, F.xxhash64("user_id"), 5000) is None
     assert joins.hot_keys(skewed.limit(0), F.xxhash64("user_id"), 1) is None
