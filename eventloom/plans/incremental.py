@@ -31,6 +31,14 @@ def materialize_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _by_folder(df: DataFrame, partition: str) -> DataFrame:
+    """Bring the rows of a folder together, so that not every task writes to all.
+
+    Adaptive execution merges small folders into one task and splits large ones.
+    """
+    return df.hint("rebalance", partition)
+
+
 def incremental_append(
     spark: SparkSession,
     src: DataFrame,
@@ -58,8 +66,10 @@ def incremental_append(
         mark = newest(stored, cursor)
         if mark is not None:
             new = new.where(F.col(cursor) > moment(mark))
-    writer = new.write.mode(mode)
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    if partition is None:
+        new.write.mode(mode).parquet(path)
+    else:
+        _by_folder(new, partition).write.mode(mode).partitionBy(partition).parquet(path)
     return spark.read.parquet(path)
 
 
@@ -79,7 +89,8 @@ def incremental_rebuild(
     """
     first_build = full_refresh or since is None or not exists(spark, path)
     if first_build:
-        model(src).write.mode("overwrite").partitionBy(partition).parquet(path)
+        built = _by_folder(model(src), partition)
+        built.write.mode("overwrite").partitionBy(partition).parquet(path)
     else:
         typed = type(since) if isinstance(since, int) else str
         folders = partition_values(spark, path, partition)
@@ -87,7 +98,7 @@ def incremental_rebuild(
         touched = src.where(F.col(partition) >= F.lit(since))
         # One value per partition folder.
         remaining = {str(r[0]) for r in touched.select(partition).distinct().collect()}
-        overwrite_partitions(model(touched), path, partition)
+        overwrite_partitions(_by_folder(model(touched), partition), path, partition)
         drop_partitions(spark, path, partition, stored - remaining)
     return spark.read.parquet(path)
 
