@@ -47,29 +47,25 @@ def hot_keys(df: DataFrame, key_hash: Column, hot_rows: int = HOT_ROWS) -> DataF
     """Key hashes with more than ``hot_rows`` rows, and the number of tasks for each.
 
     The threshold grows with the table, so that no more than MAX_HOT_KEYS keys exceed
-    it and the result has a fixed upper size. One pass over the key columns: each task
-    keeps a frequent-items sketch, groups of tasks merge theirs, then the groups; no
-    keys are shuffled. The counts are estimates with an error below half the threshold;
-    a key just missed is joined like any other. None if no key is hot.
+    it and the result has a fixed upper size. A table of fewer rows has no hot key, and
+    for files that takes a count from the footers. Else one pass over the key columns:
+    each task keeps a frequent-items sketch, groups of tasks merge theirs, then the
+    groups; no keys are shuffled. The counts are estimates with an error below half the
+    threshold; a key just missed is joined like any other. None if no key is hot.
     """
+    rows = df.count()
+    if rows <= hot_rows:
+        return None
     items = 8 * MAX_HOT_KEYS
     sketches = (
         df.select(key_hash.alias("key_hash"))
         .groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)))
-        .agg(
-            F.count("*").alias("n"),
-            F.expr(f"approx_top_k_accumulate(key_hash, {items})").alias("s"),
-        )
-        # By a constant, not globally: combining needs at least one sketch.
-        .groupBy(F.lit("all"))
-        .agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_combine(s, {items})").alias("s"))
+        .agg(F.expr(f"approx_top_k_accumulate(key_hash, {items})").alias("s"))
+        .agg(F.expr(f"approx_top_k_combine(s, {items})").alias("s"))
     )
-    top = F.expr(f"approx_top_k_estimate(s, {MAX_HOT_KEYS})")
-    rows, found = sketches.select("n", F.when(F.col("n") > hot_rows, top)).first() or (0, [])
+    found = sketches.select(F.expr(f"approx_top_k_estimate(s, {MAX_HOT_KEYS})")).first()[0]
     threshold = max(hot_rows, rows // MAX_HOT_KEYS)
-    hot = [
-        (t["item"], -(-t["count"] // threshold)) for t in found or [] if t["count"] > threshold
-    ]
+    hot = [(t["item"], -(-t["count"] // threshold)) for t in found if t["count"] > threshold]
     if not hot:
         return None
     return df.sparkSession.createDataFrame(hot, "_hot_hash bigint, _salts int")
