@@ -33,7 +33,7 @@ def sum_money(price: Column, condition: Column | None = None) -> Column:
     """Exact sum of a decimal(12,2) column, where the condition holds; 0 without rows.
 
     Whole cents are added as long values: a sum of decimal(12,2) needs more than 18
-    digits, which makes each addition a big-number one and takes twice the time.
+    digits, which makes each addition a slower big-number one.
     """
     cents = (price * 100).cast("bigint")
     total = F.coalesce(F.sum(cents if condition is None else F.when(condition, cents)), F.lit(0))
