@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 import eventloom.llm
 from eventloom.llm.common import documents
+from eventloom.llm.packing import WordEncoder, pack
 from eventloom.llm.simhash import near_duplicates
 from eventloom.session import configure
 
 # Functions travel with their code: executors need not have the package on their path.
 cloudpickle.register_pickle_by_value(eventloom.llm)
 
+#: The vocabulary and the id after each document, as the packed training data has them.
+VOCABULARY, END_ID = "word_bpe_49k.json", 2
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -37,3 +41,16 @@ def query(sql: str | None = None):
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return near_duplicates(documents(spark, sf_dir))
+
+
+def token_encoder() -> Callable[[], WordEncoder]:
+    import public_tokenizers
+
+    path = public_tokenizers.path(VOCABULARY)
+    return lambda: WordEncoder(path, END_ID)
+
+
+@query()
+def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 4096 token ids."""
+    return pack(documents(spark, sf_dir), token_encoder())
