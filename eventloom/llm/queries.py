@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import eventloom.llm
 from eventloom.llm.common import documents
 from eventloom.llm.packing import WordEncoder, pack
 from eventloom.llm.simhash import near_duplicates
 from eventloom.session import configure
+from eventloom.llm.topk import exact_top_k, quantized
 
 # Functions travel with their code: executors need not have the package on their path.
 cloudpickle.register_pickle_by_value(eventloom.llm)
@@ -54,3 +56,27 @@ def token_encoder() -> Callable[[], WordEncoder]:
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of 4096 token ids."""
     return pack(documents(spark, sf_dir), token_encoder())
+
+
+@query("""
+WITH v AS (
+  SELECT vec_id,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r
+  FROM scored
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+""")
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every fiftieth embedding among all others."""
+    vectors = quantized(documents(spark, sf_dir, "embeddings"))
+    return exact_top_k(vectors, F.col("vec_id") % 50 == 0)
