@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import eventloom.llm
 from eventloom.llm.common import documents
+from eventloom.llm.decontaminate import contamination
 from eventloom.llm.packing import WordEncoder, pack
 from eventloom.llm.simhash import near_duplicates
 from eventloom.session import configure
@@ -80,3 +81,44 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best partners of every fiftieth embedding among all others."""
     vectors = quantized(documents(spark, sf_dir, "embeddings"))
     return exact_top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query("""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+), spans AS (
+  SELECT item_id, w, least(13, len(w)) AS l,
+         unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i
+  FROM b WHERE len(w) > 0
+), passages AS (
+  SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS passage FROM spans
+), lengths AS (SELECT DISTINCT l FROM passages
+), places AS (
+  SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, lengths WHERE len(w) >= l
+), hits AS (
+  SELECT doc_id, i, p.l, item_id
+  FROM (SELECT doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') AS passage FROM places) g
+  JOIN passages p ON p.l = g.l AND p.passage = g.passage
+), words AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + l)) AS k FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(xs, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""")
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that benchmark passages cover."""
+    return contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
