@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import eventloom.llm
 from eventloom.llm.common import documents
 from eventloom.llm.decontaminate import contamination
+from eventloom.llm.licenses import license_scan
 from eventloom.llm.packing import WordEncoder, pack
 from eventloom.llm.simhash import near_duplicates
 from eventloom.session import configure
@@ -122,3 +123,9 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that benchmark passages cover."""
     return contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every document."""
+    return license_scan(documents(spark, sf_dir))
