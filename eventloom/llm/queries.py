@@ -13,6 +13,7 @@ from eventloom.llm.common import documents
 from eventloom.llm.decontaminate import contamination
 from eventloom.llm.licenses import license_scan
 from eventloom.llm.packing import WordEncoder, pack
+from eventloom.llm.secrets import secret_scan
 from eventloom.llm.simhash import near_duplicates
 from eventloom.session import configure
 from eventloom.llm.topk import exact_top_k, quantized
@@ -129,3 +130,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices of every document."""
     return license_scan(documents(spark, sf_dir))
+
+
+@query()
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    found = secret_scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
