@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import eventloom.llm
 from eventloom.llm.common import documents
 from eventloom.llm.decontaminate import contamination
+from eventloom.llm.html_extract import extract_text
 from eventloom.llm.licenses import license_scan
 from eventloom.llm.packing import WordEncoder, pack
 from eventloom.llm.secrets import secret_scan
@@ -137,3 +138,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     found = secret_scan(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@query()
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article text of every page."""
+    return extract_text(documents(spark, sf_dir, "pages"))
