@@ -14,6 +14,7 @@ from eventloom.llm.decontaminate import contamination
 from eventloom.llm.html_extract import extract_text
 from eventloom.llm.licenses import license_scan
 from eventloom.llm.packing import WordEncoder, pack
+from eventloom.llm.quality import quality_scores
 from eventloom.llm.secrets import secret_scan
 from eventloom.llm.simhash import near_duplicates
 from eventloom.session import configure
@@ -144,3 +145,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article text of every page."""
     return extract_text(documents(spark, sf_dir, "pages"))
+
+
+@query()
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of every document, and whether it is kept."""
+    found = quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+    return found.select("doc_id", "p_quality", "p_toxic", "score", "keep")
