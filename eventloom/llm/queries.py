@@ -16,6 +16,7 @@ from eventloom.llm.licenses import license_scan
 from eventloom.llm.packing import WordEncoder, pack
 from eventloom.llm.quality import quality_scores
 from eventloom.llm.secrets import secret_scan
+from eventloom.llm.sharding import shard_documents
 from eventloom.llm.simhash import near_duplicates
 from eventloom.session import configure
 from eventloom.llm.topk import exact_top_k, quantized
@@ -152,3 +153,9 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality and toxicity of every document, and whether it is kept."""
     found = quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
     return found.select("doc_id", "p_quality", "p_toxic", "score", "keep")
+
+
+@query()
+def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sixteen shards of near equal bytes."""
+    return shard_documents(documents(spark, sf_dir))
