@@ -19,6 +19,7 @@ from eventloom.llm.secrets import secret_scan
 from eventloom.llm.sharding import shard_documents
 from eventloom.llm.simhash import near_duplicates
 from eventloom.session import configure
+from eventloom.llm.suffix_dedup import remove_repeats
 from eventloom.llm.topk import exact_top_k, quantized
 
 # Functions travel with their code: executors need not have the package on their path.
@@ -159,3 +160,9 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sixteen shards of near equal bytes."""
     return shard_documents(documents(spark, sf_dir))
+
+
+@query()
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of smaller ones."""
+    return remove_repeats(documents(spark, sf_dir)).drop("kept")
