@@ -103,21 +103,20 @@ def candidates(docs: DataFrame, bits: np.ndarray, sizes: list[int], around: int)
     The latter have shingle, word (its first word), lead and near: up to ``around`` words
     before it, ``lead`` of them, and as many from its first word on.
     """
-    names = ["row", "doc_id", "n_words", "shingle", "word", "lead", "near"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-    kinds.append(pa.list_(pa.string()))
+    names = ["row", "doc_id", "text_key", "n_words", "shingle", "word", "lead", "near"]
+    kinds = [*[pa.int64()] * 6, pa.int32(), pa.list_(pa.string())]
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(0).to_pylist()
+            ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for first, end, data, offsets in blocks(batch.column(1)):
                 low, starts, ends, hashes, at = find_words(data, offsets)
                 count = np.diff(at)
                 rows = [
-                    (row + i, ids[first + i], n, None, None, None, None)
+                    (row + i, ids[first + i], keys[first + i], n, None, None, None, None)
                     for i, n in enumerate(count.tolist())
                 ]
                 text = low.tobytes()
@@ -127,20 +126,22 @@ def candidates(docs: DataFrame, bits: np.ndarray, sizes: list[int], around: int)
                         a, b = max(int(at[i]), p - around), min(int(at[i + 1]), p + around + SHINGLE)
                         near = [text[s:e].decode() for s, e in zip(starts[a:b], ends[a:b])]
                         mark = int(marks[p : p + 1].view(np.int64)[0])
-                        rows.append((row + i, None, None, mark, p - int(at[i]), p - a, near))
+                        rows.append((row + i, None, None, None, mark, p - int(at[i]), p - a, near))
                 row += end - first
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     schema = (
-        "row long, doc_id long, n_words long, shingle long, word long, lead int, near array<string>"
+        "row long, doc_id long, text_key long, n_words long, "
+        "shingle long, word long, lead int, near array<string>"
     )
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(run, schema)
 
 
 def contamination(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, one_in: int = ONE_IN
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of documents.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_key) of every document.
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased.
     A passage is ``window`` consecutive words of an item, or all words of a shorter item. A
@@ -154,7 +155,8 @@ def contamination(
 
     Null or wordless texts have n_words 0 and are clean. Items with null id or without words
     are left out; repeated items count once. Repeated documents come back as often as they
-    came in, those with null doc_id too. Other columns are ignored. No items: all clean; no
+    came in, those with null doc_id too. text_key is a hash of the text. Other columns are
+    ignored. No items: all clean; no
     documents: no rows.
     """
     spans = materialize(item_windows(items.select("item_id", "text"), window), "passages")
@@ -167,7 +169,7 @@ def contamination(
     index = materialize(index.select("shingle", "place", "passage", "length"), "index")
 
     seen = materialize(candidates(docs, shingle_filter(index), sizes, window), "candidates")
-    rows = seen.where("shingle IS NULL").select("row", "doc_id", "n_words")
+    rows = seen.where("shingle IS NULL").select("row", "doc_id", "text_key", "n_words")
     near = seen.where("shingle IS NOT NULL").select("row", "shingle", "word", "lead", "near")
     hits = (
         near.join(index, "shingle")
@@ -198,6 +200,16 @@ def contamination(
             F.size(listed).cast("long").alias("n_items"),
             F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"),
             ((hit > 0) & (one_in * hit >= F.col("n_words"))).alias("contaminated"),
+            "text_key",
         )
     )
 
+
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents that are not contaminated, with all columns. See ``contamination``."""
+    found = contamination(docs, items).where("contaminated")
+    found = found.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"))
+    own_id, own_key = F.col("doc_id").cast("long"), F.xxhash64("text")
+    same = own_id.eqNullSafe(F.col("hit_id")) & (own_key == F.col("hit_key"))
+    return docs.join(found.distinct(), same, "left_anti")
+

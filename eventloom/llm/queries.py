@@ -49,7 +49,7 @@ def query(sql: str | None = None):
 @query()
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).drop("root", "text_key")
 
 
 def token_encoder() -> Callable[[], WordEncoder]:
@@ -127,7 +127,8 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """)
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that benchmark passages cover."""
-    return contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    found = contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    return found.drop("text_key")
 
 
 @query()

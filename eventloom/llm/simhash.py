@@ -7,7 +7,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import as_bytes, by_text, materialize, shuffle_partitions
@@ -41,14 +41,16 @@ def text_fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of every row of documents; null text counts as empty."""
+    """(doc_id, text_key, fp) of every row of documents; null text counts as empty."""
 
     def run(batch):
         texts = as_bytes(batch.column(1)).to_pylist()
         marks = np.array([text_fingerprint(t, shingle, seed) for t in texts], dtype=np.uint64)
-        yield pa.record_batch([batch.column(0), pa.array(marks.view(np.int64))], ["doc_id", "fp"])
+        columns = [batch.column(0), batch.column(2), pa.array(marks.view(np.int64))]
+        yield pa.record_batch(columns, ["doc_id", "text_key", "fp"])
 
-    return by_text(run, docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
+    return by_text(run, rows, "doc_id long, text_key long, fp long")
 
 
 def _segments(first: int, count: int) -> int:
@@ -221,14 +223,15 @@ def _as_long(mask: int) -> int:
 def near_duplicates(
     docs: DataFrame, shingle: int = 3, seed: int = 42, max_bits: int = MAX_BITS
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of documents (doc_id, text).
+    """(doc_id, fingerprint, component_id, root, text_key) of every row of documents.
 
     Documents whose fingerprints differ in ``max_bits`` bits or fewer are linked;
     component_id is the least doc_id that links reach, the own one included. Equal
     fingerprints, so all copies, are one node, represented by their least doc_id, before
     anything is compared. Null, empty or blank texts have fingerprint zero and are linked
     like any other. Repeated rows come back as often as they came in; rows with a null
-    doc_id take part, and their component's id is its least doc_id that is not null.
+    doc_id take part, and their component's id is its least doc_id that is not null; root,
+    the least fingerprint, names a component in any case. text_key is a hash of the text.
     Other columns are ignored; no documents give no rows.
     """
     marks = materialize(fingerprints(docs, shingle, seed), "fingerprints")
@@ -239,6 +242,24 @@ def near_duplicates(
     )
     named = materialize(named, "named")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = named.join(ids, "root").select("fp", "component_id")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marks.join(ids, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    ids = named.join(ids, "root").select("fp", "root", "component_id")
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return marks.join(ids, "fp").select("doc_id", hexed, "component_id", "root", "text_key")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+    """The documents without their near duplicates: of each component the least doc_id stays.
+
+    All columns stay. Equal rows of that document count as one; of a component without any
+    doc_id the text of least hash stays. See ``near_duplicates``.
+    """
+    found = near_duplicates(docs, shingle, max_bits=max_bits)
+    first = Window.partitionBy("root").orderBy(F.asc_nulls_last("doc_id"), "text_key")
+    kept = found.withColumn("n", F.row_number().over(first)).where("n = 1")
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    keyed = docs.withColumns({"own_id": F.col("doc_id").cast("long"), "own_key": F.xxhash64("text")})
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_key") == F.col("kept_key"))
+    rows = keyed.join(kept, same, "left_semi")
+    one = Window.partitionBy("own_id", "own_key").orderBy("text")
+    rows = rows.withColumn("own_place", F.row_number().over(one)).where("own_place = 1")
+    return rows.select(*docs.columns)
