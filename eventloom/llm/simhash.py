@@ -15,8 +15,9 @@ from eventloom.llm.graph import connected_components
 
 SEGMENTS = 8
 MAX_BITS = 3
-#: A bucket of more fingerprints is split further, on more of their bits.
-BUCKET = 2048
+#: A bucket of more fingerprints is split further, on more of their bits. Comparing this many
+#: in one task takes seconds; splitting sends each row on four times, so it is for more only.
+BUCKET = 16_384
 _FULL = (1 << 64) - 1
 
 
@@ -191,8 +192,8 @@ def fingerprint_links(marks: DataFrame, max_bits: int = MAX_BITS, bucket: int =
 
     Every fingerprint goes to 24 buckets, each of which fixes 32 of its bits; two within
     ``max_bits`` meet in one whose pigeonring chain they pass. Buckets of over ``bucket``
-    fingerprints go round again on more bits, down to buckets of ten free bits, so no bucket
-    compares more than that many with each other and no link is lost.
+    fingerprints go round again on more bits, until few bits are free, so no bucket compares
+    more than that many with each other and no link is lost.
     """
     if not 0 <= max_bits <= MAX_BITS or bucket < 16:
         raise ValueError(f"max_bits must be 0 to {MAX_BITS}, bucket 16 or more")
