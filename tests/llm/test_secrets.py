@@ -1,0 +1,101 @@
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+
+from eventloom.llm import secrets
+from tests.llm import fixtures
+
+ASSIGN = r"((?:%s)|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+KEYS = "password|passwd|secret|token"
+PATTERNS = [
+    ("assign", re.compile(ASSIGN % KEYS, re.I | re.A), 2, 6),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
+    ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
+]
+
+
+def slow(text):
+    spans = []
+    for rank, (kind, pattern, group, least) in enumerate(PATTERNS):
+        for m in pattern.finditer(text or ""):
+            if len(m.group(group)) >= least:
+                spans.append((m.start(), rank, m.end(), kind))
+    spans.sort()
+    return spans
+
+
+def test_base_matches_brute_force(spark):
+    rows = fixtures.rows()
+    got = secrets.secret_scan(fixtures.frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    texts = {r[0]: r[1] for r in rows}
+    for r in got:
+        text = texts[r.doc_id] if r.doc_id is not None else r.text
+        spans = slow(text)
+        base = ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[1] == i for s in spans) for i in range(3)]
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        own = [x for x in r.spans.split(",") if x]
+        assert [x for x in own if not x.startswith("crf")] == ([] if not base else base.split(","))
+        assert (r.masked is None) == (text is None)
+        if text is not None:
+            assert ("[SECRET]" in r.masked) == bool(own)
+            assert own or r.masked == text
+
+
+def secret(rng):
+    return "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=rng.randint(16, 32)))
+
+
+def sentence(rng, value, how):
+    before, after = fixtures.words(rng, 12), fixtures.words(rng, 12)
+    return f"{before} {how % value} {after}\n"
+
+
+def test_held_out_accuracy():
+    """Values that the patterns know in training are found without their key words' signs."""
+    rng = random.Random(11)
+    hows = ['token = "%s"', "password: %s", "api_key=%s", 'secret = "%s"']
+    train = [(sentence(rng, secret(rng), rng.choice(hows))).encode() for _ in range(250)]
+    train += [(fixtures.words(rng, 60)).encode() for _ in range(150)]
+    field = secrets.train(train)
+    values = [secret(rng) for _ in range(200)]
+    new = [sentence(rng, v, 'token "%s"') for v in values]
+    clean = [fixtures.words(rng, 60) for _ in range(200)]
+    found = 0
+    for value, text in zip(values, new):
+        data = text.encode()
+        spans = secrets._learned(field, data, np.array([0, len(data)]))[0]
+        found += any(value.encode() in data[a:b] for a, b in spans)
+    data = "\n".join(clean).encode()
+    false = len(secrets._learned(field, data, np.array([0, len(data)]))[0])
+    assert found >= 180 and false <= 5
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        field = secrets.RandomField(rng.normal(0, 3, (secrets.Tokens.FEATURES, 3)), rng.normal(0, 2, (3, 3)))
+        n = int(rng.integers(1, 7))
+        features = rng.integers(0, secrets.Tokens.FEATURES, (n, 5))
+        cut = int(rng.integers(0, n + 1))
+        got = field.decode(features, np.array([0, cut, n]))
+        emit = field.weights[features].sum(axis=1)
+        for a, b in ((0, cut), (cut, n)):
+            def score(path):
+                return sum(emit[a + i, s] for i, s in enumerate(path)) + sum(
+                    field.moves[x, y] for x, y in zip(path, path[1:])
+                )
+
+            best = max(itertools.product(range(3), repeat=b - a), key=score)
+            assert tuple(got[a:b]) == best
+
+
+def test_no_secret_and_empty(spark):
+    docs = fixtures.plain(spark, [(1, "no such thing"), (2, None)])
+    got = secrets.secret_scan(docs).collect()
+    assert all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
+    assert secrets.secret_scan(fixtures.frame(spark, [])).collect() == []
