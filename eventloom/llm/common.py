@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.session import new_dir
@@ -28,6 +28,22 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(document, own_id, own_key): rows as one column, so that their names clash with none."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(
+        own.alias("document"),
+        F.col("doc_id").cast("long").alias("own_id"),
+        F.xxhash64("text").alias("own_key"),
+    )
+
+
+def same_text(marks: DataFrame) -> Column:
+    """Condition that joins ``whole_rows`` with marks by doc_id and text_key."""
+    same_id = F.col("own_id").eqNullSafe(marks["doc_id"])
+    return same_id & (F.col("own_key") == marks["text_key"])
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import blocks, by_text, find_words, materialize, mix, signed
+from eventloom.llm.common import (
+    blocks,
+    by_text,
+    find_words,
+    materialize,
+    mix,
+    same_text,
+    signed,
+    whole_rows,
+)
 
 WINDOW, SHINGLE = 13, 3
 #: A document is contaminated if one in so many of its words is hit, or more.
@@ -208,8 +217,6 @@ def contamination(
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all columns. See ``contamination``."""
     found = contamination(docs, items).where("contaminated")
-    found = found.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"))
-    own_id, own_key = F.col("doc_id").cast("long"), F.xxhash64("text")
-    same = own_id.eqNullSafe(F.col("hit_id")) & (own_key == F.col("hit_key"))
-    return docs.join(found.distinct(), same, "left_anti")
-
+    found = found.select("doc_id", "text_key").distinct()
+    rows = whole_rows(docs).join(found, same_text(found), "left_anti")
+    return rows.select("document.*")

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import eventloom.llm
 from eventloom.llm.common import documents
 from eventloom.llm.decontaminate import contamination
 from eventloom.llm.html_extract import extract_text
@@ -22,9 +20,6 @@ from eventloom.session import configure
 from eventloom.llm.suffix_dedup import remove_repeats
 from eventloom.llm.topk import exact_top_k, quantized
 
-# Functions travel with their code: executors need not have the package on their path.
-cloudpickle.register_pickle_by_value(eventloom.llm)
-
 #: The vocabulary and the id after each document, as the packed training data has them.
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 

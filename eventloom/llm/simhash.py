@@ -10,7 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import as_bytes, by_text, materialize, shuffle_partitions
+from eventloom.llm.common import (
+    as_bytes,
+    by_text,
+    materialize,
+    same_text,
+    shuffle_partitions,
+    whole_rows,
+)
 from eventloom.llm.graph import connected_components
 
 SEGMENTS = 8
@@ -257,10 +264,8 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> Dat
     found = near_duplicates(docs, shingle, max_bits=max_bits)
     first = Window.partitionBy("root").orderBy(F.asc_nulls_last("doc_id"), "text_key")
     kept = found.withColumn("n", F.row_number().over(first)).where("n = 1")
-    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
-    keyed = docs.withColumns({"own_id": F.col("doc_id").cast("long"), "own_key": F.xxhash64("text")})
-    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_key") == F.col("kept_key"))
-    rows = keyed.join(kept, same, "left_semi")
-    one = Window.partitionBy("own_id", "own_key").orderBy("text")
-    rows = rows.withColumn("own_place", F.row_number().over(one)).where("own_place = 1")
-    return rows.select(*docs.columns)
+    kept = kept.select("doc_id", "text_key")
+    rows = whole_rows(docs).join(kept, same_text(kept), "left_semi")
+    one = Window.partitionBy("own_id", "own_key").orderBy("own_id")
+    rows = rows.withColumn("place", F.row_number().over(one)).where("place = 1")
+    return rows.select("document.*")
