@@ -10,6 +10,8 @@ from eventloom.llm.common import materialize
 
 #: Groups of equal texts that are small go to one of so many bundles by hash.
 BUNDLES = 4096
+#: A group that must be cut becomes parts of one in so many of a shard's share.
+CUT = 16
 MEASURES = ["size", "tokens", "n"]
 
 
@@ -74,16 +76,19 @@ def shard_documents(docs: DataFrame, shards: int = 16, bundles: int = BUNDLES) -
     items = [[light[i][m] if i in light else 0 for m in MEASURES] for i in range(bundles)]
     named = []  # key, first item, parts
     for r in heavy:
-        parts = -(-r["size"] * shards // whole[0])
+        over = r["size"] * shards > whole[0]
+        parts = -(-r["size"] * shards * CUT // whole[0]) if over else 1
         named.append((r["key"], len(items), int(parts)))
         items += [[r[m] / parts for m in MEASURES]] * int(parts)
-    placed = place_items(np.array(items, dtype=float) / np.array(whole, dtype=float), shards)
-
     spark = docs.sparkSession
     # bounded by 3 * bundles rows of some 50 bytes
     known = F.broadcast(spark.createDataFrame(named, "key string, first int, parts int"))
-    item = F.coalesce(F.expr("first + pmod(xxhash64(doc_id), parts)").cast("int"), bundle)
-    units = facts.join(known, "key", "left").withColumn("item", item)
+    item = F.expr("first + pmod(xxhash64(doc_id), parts)").cast("int")
+    units = facts.join(known, "key", "left").withColumn("item", F.coalesce(item, bundle))
+    for r in units.where("parts > 1").groupBy("item").agg(*sums).collect():
+        items[r["item"]] = [r[m] for m in MEASURES]  # hashes cut only about evenly
+    placed = place_items(np.array(items, dtype=float) / np.array(whole, dtype=float), shards)
+
     # a hot item is numbered in parts too
     units = units.withColumn("part", F.expr(f"pmod(xxhash64(doc_id, 7), {max(1, bundles // 64)})"))
     units = units.withColumn("part", F.when(F.col("first").isNull(), 0).otherwise(F.col("part")))
