@@ -165,7 +165,7 @@ class Model:
                 found[label] = np.full(n, head)
                 continue
             text = np.bincount(owner, weights=head.text_words[buckets], minlength=n)
-            text += head.text_constant
+            text = text + head.text_constant
             for i, name in enumerate(TEXT_NUMBERS):
                 text += head.text_bins[i, bins[name]]
             page = np.array([head.page_names.get(x, 0.0) for x in names]) + head.page_constant
