@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import blocks, by_text, find_words, range_hashes
 
 #: Bounds of the fitting sample: labelled documents, unlabelled ones, bytes of a text.
-LABELLED, UNLABELLED, SAMPLE_BYTES = 8_000, 4_000, 100_000
+LABELLED, UNLABELLED, SAMPLE_BYTES = 6_000, 2_000, 30_000
 #: Hashed words and word beginnings, and how many of them a text view may use.
 BUCKETS, CHOSEN = 1 << 16, 1024
 #: Least chi-square of a chosen bucket: few of the buckets reach it by chance.
@@ -175,47 +175,59 @@ class Model:
         return found
 
 
-def chosen_buckets(rows, buckets, target: np.ndarray, labelled: np.ndarray) -> np.ndarray:
-    """Buckets in five labelled texts or more that tell most about the target."""
-    known = labelled[rows]
-    total = np.bincount(buckets[known], minlength=BUCKETS)
-    ones = np.bincount(buckets[known], weights=target[rows[known]], minlength=BUCKETS)
-    n, positive = labelled.sum(), target[labelled].sum()
-    expected = total * positive / max(n, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        told = np.where(total >= 5, (ones - expected) ** 2 / (expected * (1 - total / (n + 1)) + 1e-9), 0)
-    best = np.argsort(-told, kind="stable")[:CHOSEN]
-    return best[told[best] >= TELLING]
+class Telling:
+    """Counts of texts by bucket, and the buckets that tell most about a label."""
 
+    def __init__(self):
+        self.total, self.ones = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        self.texts = self.positive = 0.0
 
-def fit_head(frame, rows, buckets, bins, names, label: str) -> Head | float:
-    """Co-training of the two views for one label.
+    def add(self, rows: np.ndarray, buckets: np.ndarray, target: np.ndarray, used: np.ndarray) -> None:
+        """Distinct (row, bucket) pairs of texts, of which ``used`` marks those that count."""
+        known = used[rows]
+        rows, buckets = rows[known], buckets[known]
+        self.total += np.bincount(buckets, minlength=BUCKETS)
+        self.ones += np.bincount(buckets, weights=target[rows], minlength=BUCKETS)
+        self.texts += used.sum()
+        self.positive += target[used].sum()
+
+    def chosen(self) -> np.ndarray:
+        """Buckets in five texts or more, by their chi-square."""
+        expected = self.total * self.positive / max(self.texts, 1)
+        spread = expected * (1 - self.total / (self.texts + 1)) + 1e-9
+        told = np.where(self.total >= 5, (self.ones - expected) ** 2 / spread, 0)
+        best = np.argsort(-told, kind="stable")[:CHOSEN]
+        return best[told[best] >= TELLING]
+
+
+def split_labels(target: np.ndarray) -> tuple[np.ndarray, np.ndarray] | float:
+    """(documents to fit, documents to calibrate), or the prior if only one class is known."""
+    known = np.flatnonzero(~np.isnan(target))
+    if not len(known):
+        return 0.5
+    if target[known].min() == target[known].max():
+        return float(target[known[0]])
+    held = known[np.arange(len(known)) % HELD_OUT == 0]
+    fitted = np.setdiff1d(known, held)
+    for part in (held, fitted):
+        if not len(part) or target[part].min() == target[part].max():
+            return known, known
+    return fitted, held
+
+
+def fit_head(target, fitted, held, chosen, rows, buckets, bins, names) -> Head:
+    """Co-training of the two views for one label (``target``: 0, 1 or not known).
 
     In each round both views are fitted on the true labels and on what the other has
     guessed; of the unlabelled documents each is sure about, a bounded number goes to the
     other view with the guess as its label.
     """
-    target = frame[label].to_numpy(dtype=float)
     labelled = ~np.isnan(target)
     target = np.nan_to_num(target)
-    known = np.flatnonzero(labelled)
-    if not len(known):
-        return 0.5
-    if target[known].min() == target[known].max():
-        return float(target[known[0]])
-    held = known[np.arange(len(known)) % HELD_OUT == 0]
-    if target[held].min() == target[held].max():
-        held = known
-    fitted = known if held is known else np.setdiff1d(known, held)
-    if target[fitted].min() == target[fitted].max():
-        fitted = known
-    mark = np.zeros(len(frame), dtype=bool)
-    mark[fitted] = True
-    chosen = chosen_buckets(rows, buckets, target, mark)
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
     own = place[buckets] >= 0
-    n = len(frame)
+    n = len(target)
 
     def binned(kinds: list[str], base: int) -> list[tuple[np.ndarray, np.ndarray]]:
         return [(np.arange(n), base + i * BINS + bins[k]) for i, k in enumerate(kinds)]
@@ -268,21 +280,48 @@ def fit_head(frame, rows, buckets, bins, names, label: str) -> Head | float:
 
 def fit(sample: pd.DataFrame, labels: list[str]) -> Model:
     """Model from a sample (text, lang, source, n_chars, and each label as 0, 1 or null)."""
-    rows, buckets, numbers, first = [], [], [], 0
-    for a, b, data, offsets in blocks(pa.array(sample.text, pa.string())):
+    if not len(sample):
+        return Model({}, dict.fromkeys(labels, 0.5))
+    texts = pa.array(sample.text, pa.string())
+    targets = {x: sample[x].to_numpy(dtype=float) for x in labels}
+    heads: dict[str, Head | float] = {}
+    splits, telling = {}, {}
+    for x, target in targets.items():
+        split = split_labels(target)
+        if isinstance(split, float):
+            heads[x] = split
+        else:
+            splits[x], telling[x] = split, Telling()
+    numbers = []
+    for a, b, data, offsets in blocks(texts):
         owner, own, table = text_features(data, offsets)
         owner, own = _distinct(owner, own)
-        rows.append(owner + a)
-        buckets.append(own)
         numbers.append(pd.DataFrame(table))
-    if not rows:
-        return Model({}, dict.fromkeys(labels, 0.5))
+        for x, counts in telling.items():
+            used = np.zeros(b - a, dtype=bool)
+            mine = splits[x][0]
+            used[mine[(mine >= a) & (mine < b)] - a] = True
+            counts.add(owner, own, np.nan_to_num(targets[x][a:b]), used)
     table = pd.concat(numbers, ignore_index=True)
     table["n_chars"] = np.log1p(sample.n_chars.fillna(0).clip(lower=0).to_numpy(dtype=float))
     edges = {k: np.quantile(table[k], CUTS) for k in sorted({*TEXT_NUMBERS, *PAGE_NUMBERS})}
     bins = {k: np.searchsorted(e, table[k], "right") for k, e in edges.items()}
+
+    # read once more, for the few buckets that are used
+    chosen = {x: counts.chosen() for x, counts in telling.items()}
+    used = np.zeros(BUCKETS, dtype=bool)
+    for own in chosen.values():
+        used[own] = True
+    rows, buckets = [], []
+    for a, _, data, offsets in blocks(texts):
+        owner, own, _ = text_features(data, offsets)
+        owner, own = _distinct(owner[used[own]], own[used[own]])
+        rows.append(owner + a)
+        buckets.append(own)
     rows, buckets, names = np.concatenate(rows), np.concatenate(buckets), metadata(sample)
-    return Model(edges, {x: fit_head(sample, rows, buckets, bins, names, x) for x in labels})
+    for x, (fitted, held) in splits.items():
+        heads[x] = fit_head(targets[x], fitted, held, chosen[x], rows, buckets, bins, names)
+    return Model(edges, heads)
 
 
 def fitting_sample(docs: DataFrame, labels: DataFrame, wanted: list[str]) -> pd.DataFrame:
