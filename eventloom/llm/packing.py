@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
@@ -20,43 +22,97 @@ WINDOW = 4096
 OPEN_WINDOWS = 32
 #: Left-over windows of so many partitions (or groups) are merged by one task.
 MERGED = 256
-#: Words whose ids a worker keeps; beyond it starts anew.
-CACHED_WORDS = 300_000
+#: Newest runs of letters or signs whose ids a worker keeps, and as many older ones.
+CACHED_RUNS = 400_000
+#: Texts encoded at once: so many, or so many characters.
+TEXTS, CHARACTERS = 256, 1 << 20
 _WIDTH = 4  # bytes of a token id
 
 
+class Memory:
+    """What was learned lately: the newest ``most`` entries, and as many before them."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def learn(self, keys, teach: Callable[[list], list]) -> bool:
+        """Makes ``new`` hold the keys; true if it has only these now."""
+        full = len(self.new) > self.most
+        if full:
+            self.new, self.old = {}, self.new
+        unknown = []
+        for key in keys:
+            value = self.old.get(key)
+            if value is None:
+                unknown.append(key)
+            else:
+                self.new[key] = value
+        self.new.update(zip(unknown, teach(unknown)))
+        return full
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself, if it shows."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordEncoder:
-    """Token ids of texts as little-endian 32-bit bytes, encoding each distinct word once.
+    """Token ids of texts as little-endian 32-bit bytes, encoding each distinct run once.
 
-    For tokenizers that never join text across white space: the ids of a text are those of
-    its words, one after the other.
+    For byte-level tokenizers that drop white space and split the rest into runs of letters,
+    single digits, runs of other signs and contractions, after NFC and lower-casing: the
+    ids of a text are those of its runs one after the other. Words with other than Latin
+    letters, or a special token, go to the tokenizer whole.
     """
 
+    # The runs such tokenizers make, and characters that NFC leaves alone and
+    # whose classes are the same everywhere.
+    RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+    PLAIN = re.compile(r"[ \t\n\r!-~\u00a1-\u00ac\u00ae-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f]*")
+    BLANK = re.compile(r"[ \t\n\r]+")
+
     def __init__(self, path: str, end_id: int | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, found)}
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            return b"".join([self.known[w] for w in words]) + self.end
-        except KeyError:
-            pass
-        if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
-        new = [w for w in set(words) if w not in self.known]
-        own = self._learn(new)
-        ids = b"".join([own[w] if w in own else self.known[w] for w in words]) + self.end
-        self.known.update((w, b) for w, b in own.items() if len(w) <= 64)
-        return ids
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.end = b"" if end_id is None else array("I", [end_id]).tobytes()
+        self.known = Memory(CACHED_RUNS)
+
+    def _encode(self, runs: list[str]) -> list[bytes]:
+        found = []
+        for run in runs:
+            if self.PLAIN.fullmatch(run) and "<|" not in run:
+                # already what the model sees, but for the letters that stand for its bytes
+                letters = run.encode().decode("latin-1").translate(self.letters)
+                ids = [t.id for t in self.model.tokenize(letters)]
+            else:
+                ids = self.tokenizer.encode(run, add_special_tokens=False).ids
+            found.append(array("I", ids).tobytes())
+        return found
+
+    def _split(self, text: str) -> list[str]:
+        if "<|" not in text and self.PLAIN.fullmatch(text):
+            return self.RUNS.findall(text.lower())
+        parts = []
+        for word in self.BLANK.split(text):
+            plain = "<|" not in word and self.PLAIN.fullmatch(word)
+            parts += self.RUNS.findall(word.lower()) if plain else [word]
+        return parts
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [self._split(t) for t in texts]
+        known = self.known.new
+        new = set().union(*split).difference(known)
+        if new:
+            if self.known.learn(new, self._encode):  # it has begun anew
+                new = set().union(*split).difference(self.known.new)
+                self.known.learn(new, self._encode)
+            known = self.known.new
+        return [b"".join([known[p] for p in parts]) + self.end for parts in split]
 
 
 class Piece:
@@ -165,9 +221,23 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
 
+def _portions(batch: pa.RecordBatch):
+    keys, texts, size = [], [], 0
+    for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        text = text.as_py() or ""
+        keys.append(key)
+        texts.append(text)
+        size += len(text)
+        if len(keys) == TEXTS or size > CHARACTERS:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def pack(
     docs: DataFrame,
-    encoder: Callable[[], Callable[[str], bytes]],
+    encoder: Callable[[], Callable[[list[str]], list[bytes]]],
     window: int = WINDOW,
     open_windows: int = OPEN_WINDOWS,
 ) -> DataFrame:
@@ -188,9 +258,9 @@ def pack(
 
         def pieces():
             for batch in batches:
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = encode(text.as_py() or "")
-                    yield Piece(key, 0, ids, len(ids) // _WIDTH)
+                for keys, texts in _portions(batch):
+                    for key, ids in zip(keys, encode(texts)):
+                        yield Piece(key, 0, ids, len(ids) // _WIDTH)
 
         def windows():
             short = []
