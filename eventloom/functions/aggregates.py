@@ -30,12 +30,13 @@ def sum_if(value: Column, condition: Column) -> Column:
 
 
 def sum_money(price: Column, condition: Column | None = None) -> Column:
-    """Exact sum of a decimal(12,2) column, where the condition holds; 0 without rows.
+    """Exact sum of prices as money, where the condition holds; 0 without rows.
 
-    Whole cents are added as long values: a sum of decimal(12,2) needs more than 18
+    Prices of any number type are first rounded to ``decimal(12,2)``, as staging would.
+    Whole cents are then added as long values: a sum of decimal(12,2) needs more than 18
     digits, which makes each addition a slower big-number one.
     """
-    cents = (price * 100).cast("bigint")
+    cents = (price.cast("decimal(12,2)") * 100).cast("bigint")
     total = F.coalesce(F.sum(cents if condition is None else F.when(condition, cents)), F.lit(0))
     return (total.cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast("decimal(18,2)")
 

@@ -14,7 +14,7 @@ from eventloom.plans.incremental import materialize_table, materialize_view
 from eventloom.plans.marts import fct_daily_revenue, latest_mart_rows, stg_events
 from eventloom.session import configure
 from eventloom.sources.events import EVENT_NAMES, PLATFORMS
-from eventloom.sources.load import load_raw_events
+from eventloom.sources.load import load_raw_events, read_loaded
 
 
 def layer_checks(raw: DataFrame, staged: DataFrame, mart: DataFrame) -> list[DataFrame]:
@@ -40,11 +40,13 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--events", required=True, help="event files")
     parser.add_argument("--warehouse", required=True, help="folder of the tables")
+    parser.add_argument("--load", required=True, help="name of this load; a repeat replaces it")
     args = parser.parse_args(argv)
     spark = configure(SparkSession.builder.appName("build-marts").getOrCreate())
     raw_path = f"{args.warehouse}/events"
-    load_raw_events(spark.read.parquet(args.events), raw_path, f"{args.warehouse}/rejects")
-    raw = spark.read.parquet(raw_path)
+    rejects = f"{args.warehouse}/rejects"
+    load_raw_events(spark.read.parquet(args.events), raw_path, rejects, args.load)
+    raw = read_loaded(spark, raw_path)
     staged = materialize_view(stg_events(raw), "stg_events")
     mart = materialize_table(fct_daily_revenue(staged), f"{args.warehouse}/fct_daily_revenue")
     failed = []

@@ -5,47 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 1_000_000
-MAX_LONG_KEYS = 100_000
-
 
 def reduce_by_key(df: DataFrame, key: str, *aggs: Column) -> DataFrame:
     """One row per key; partial results are combined before the shuffle."""
     return df.groupBy(key).agg(*aggs)
 
 
-def group_by_key(
-    df: DataFrame, key: str, value: str, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
-    """All values per key as sorted arrays: (key, chunk, values).
+def group_by_key(df: DataFrame, key: str, value: str, bucket: Column) -> DataFrame:
+    """All values per key and bucket: (key, bucket, runs), runs being sorted (value, n).
 
-    A key with up to ``chunk_rows`` values is one row with chunk 0. A longer key
-    comes as several rows, its values split by hash over about rows / ``chunk_rows``
-    chunks, since no task or row could hold it whole. Equal values are counted before
-    the shuffle and written out again at the end.
+    No row can hold every value of a long key, so the caller declares how a key is cut:
+    ``bucket`` is an expression on the value, such as its million. The layout is the same
+    at every size. Equal values are counted before the shuffle and stay a pair.
     """
     counted = df.groupBy(key, value).agg(F.count("*").alias("n"))
-    # At most rows / chunk_rows keys are longer than that: raising the limit with
-    # the table bounds their number, and so the size of the broadcast.
-    limit = max(chunk_rows, df.count() // MAX_LONG_KEYS)
-    long_keys = (
-        counted.groupBy(F.col(key).alias("long_key"))
-        .agg(F.sum("n").alias("rows"))
-        .where(F.col("rows") > limit)
-        .select("long_key", F.ceil(F.col("rows") / limit).alias("chunks"))
-    )
-    zero, step = (F.lit(v).cast("bigint") for v in (0, limit))
-    pieces = (
-        counted.withColumn("piece", F.explode(F.sequence(zero, F.col("n") - 1, step)))
-        .withColumn("n", F.least(F.col("n") - F.col("piece"), F.lit(limit)).cast("int"))
-        .join(F.broadcast(long_keys), F.col(key).eqNullSafe(F.col("long_key")), "left")
-        .withColumn(
-            "chunk",
-            F.coalesce(F.pmod(F.xxhash64(value, "piece"), F.col("chunks")), F.lit(0)),
-        )
-    )
-    listed = pieces.groupBy(key, "chunk").agg(
-        F.array_sort(F.collect_list(F.struct(value, "n"))).alias("runs")
+    return (
+        counted.groupBy(key, bucket.alias("bucket"))
+        .agg(F.array_sort(F.collect_list(F.struct(value, "n"))).alias("runs"))
+        .select(key, "bucket", "runs")
     )
-    values = F.flatten(F.transform("runs", lambda run: F.array_repeat(run[value], run["n"])))
-    return listed.select(key, "chunk", values.alias("values"))

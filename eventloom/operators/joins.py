@@ -1,9 +1,9 @@
-"""Joins: checked broadcast, hot-key salting, one-match joins, lookups.
+"""Joins: enrichment, one-match joins, lookups, and salting for what the engine cannot split.
 
-A side is broadcast only after its rows and bytes were counted. Beyond that the
-join shuffles, and keys holding very many rows of a side are spread over several
-tasks: their rows get a salt, the matching rows of the other side one copy per salt.
-Every pair still meets exactly once.
+How a join runs is left to the engine: with runtime statistics it ships a side that turns
+out small and splits skewed partitions of inner joins and of the kept side of outer ones.
+``salted_join`` is for the rest, a hot key on the other side of a left join or on a side
+whose rows are needed together afterwards. No function here runs a job.
 """
 
 from __future__ import annotations
@@ -12,14 +12,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.operators.versions import first_per_key
 
-BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 5_000_000
-MAX_HOT_KEYS = 1000
-SKETCH_GROUPS = 256
 
 Keys = str | Sequence[str] | Mapping[str, str]
 
@@ -33,124 +30,123 @@ def _align(right: DataFrame, on: Keys) -> tuple[DataFrame, list[str]]:
     return right, list(on)
 
 
-def fits_broadcast(
-    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
-) -> bool:
-    """Whether ``df`` is small, by counting: first rows, then bytes of its rows as text."""
-    if df.count() > max_rows:
-        return False
-    text = F.to_json(F.struct(*df.columns))
-    return (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) <= max_bytes
-
-
-def hot_keys(df: DataFrame, key_hash: Column, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+def hot_keys(df: DataFrame, key_hash: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Key hashes with more than ``hot_rows`` rows, and the number of tasks for each.
 
-    The threshold grows with the table, so that no more than MAX_HOT_KEYS keys exceed
-    it and the result has a fixed upper size. A table of fewer rows has no hot key, and
-    for files that takes a count from the footers. Else one pass over the key columns:
-    each task keeps a frequent-items sketch, groups of tasks merge theirs, then the
-    groups; no keys are shuffled. The counts are estimates with an error below half the
-    threshold; a key just missed is joined like any other. None if no key is hot.
+    Rows are counted per key before the shuffle. At most rows / ``hot_rows`` keys are
+    found, of 12 bytes each.
     """
-    rows = df.count()
-    if rows <= hot_rows:
-        return None
-    items = 8 * MAX_HOT_KEYS
-    sketches = (
-        df.select(key_hash.alias("key_hash"))
-        .groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)))
-        .agg(F.expr(f"approx_top_k_accumulate(key_hash, {items})").alias("s"))
-        .agg(F.expr(f"approx_top_k_combine(s, {items})").alias("s"))
-    )
-    found = sketches.select(F.expr(f"approx_top_k_estimate(s, {MAX_HOT_KEYS})")).first()[0]
-    threshold = max(hot_rows, rows // MAX_HOT_KEYS)
-    hot = [(t["item"], -(-t["count"] // threshold)) for t in found if t["count"] > threshold]
-    if not hot:
-        return None
-    return df.sparkSession.createDataFrame(hot, "_hot_hash bigint, _salts int")
+    counts = df.groupBy(key_hash.alias("_hot_hash")).agg(F.count("*").alias("_rows"))
+    salts = F.ceil(F.col("_rows") / hot_rows).cast("int")
+    return counts.where(F.col("_rows") > hot_rows).select("_hot_hash", salts.alias("_salts"))
+
+
+def comparable_columns(df: DataFrame) -> list[Column]:
+    """The columns in a form that can be hashed and grouped: maps as sorted entries."""
+    return [
+        F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name)
+        for f in df.schema
+    ]
 
 
 def _salt(df: DataFrame, hot: DataFrame, key_hash: Column, name: str) -> DataFrame:
-    """Number the rows of hot keys by a hash of the row, all others 0."""
-    salts = F.col("_salts")
-    row = F.pmod(F.xxhash64(*df.columns), salts.cast("bigint")).cast("int")
-    joined = df.join(F.broadcast(hot), key_hash == F.col("_hot_hash"), "left")
-    return joined.select(*df.columns, F.when(salts.isNotNull(), row).otherwise(0).alias(name))
+    """Spread the rows of hot keys over their salts; all others get 0 and ``_copies`` 1.
+
+    Equal rows are counted first. A row with its count goes to as many salts as it has
+    copies, beginning with one by its hash, and each takes its part of the copies.
+    """
+    joined = df.join(hot, key_hash == F.col("_hot_hash"), "left")
+    cold = joined.where("_salts IS NULL").select(
+        *df.columns, F.lit(0).alias(name), F.lit(1).cast("bigint").alias("_copies")
+    )
+    groups = [c.alias(f"_group{i}") for i, c in enumerate(comparable_columns(df))]
+    counted = (
+        joined.where("_salts IS NOT NULL")
+        .groupBy(*groups, "_salts")
+        .agg(F.count("*").alias("_n"), F.first(F.struct(*df.columns)).alias("_row"))
+    )
+    row_hash = F.xxhash64(*(f"_group{i}" for i in range(len(groups))))
+    parts = F.least(F.col("_n"), F.col("_salts").cast("bigint"))
+    spread = counted.select(
+        "_row",
+        "_salts",
+        "_n",
+        row_hash.alias("_hash"),
+        parts.alias("_parts"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("_part"),
+    ).select(
+        "_row.*",
+        F.expr("CAST(pmod(_hash + _part, CAST(_salts AS BIGINT)) AS INT)").alias(name),
+        F.expr("_n DIV _parts + IF(_part < _n % _parts, 1, 0)").alias("_copies"),
+    )
+    return cold.unionByName(spread)
 
 
 def _copy(df: DataFrame, hot: DataFrame, key_hash: Column, name: str) -> DataFrame:
     """One copy per salt of the rows of hot keys, all others once."""
     salts = F.coalesce(F.col("_salts"), F.lit(1))
-    joined = df.join(F.broadcast(hot), key_hash == F.col("_hot_hash"), "left")
+    joined = df.join(hot, key_hash == F.col("_hot_hash"), "left")
     return joined.select(*df.columns, F.explode(F.sequence(F.lit(0), salts - 1)).alias(name))
 
 
+def _write_out(df: DataFrame) -> DataFrame:
+    """Each row as often as ``_copies`` says."""
+    copies = F.expr("sequence(1L, _copies)")
+    return df.withColumn("_copy", F.explode(copies)).drop("_copies", "_copy")
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
-    left_unique: bool = False,
-    right_unique: bool = False,
 ) -> DataFrame:
-    """Shuffle join with the hot keys of both sides spread out.
+    """Shuffle join with the rows of hot keys of both sides spread out, for every join type.
 
-    Rows of a key that is hot on one side are numbered there and copied on the other;
-    a key hot on both sides makes a grid. The numbers come from row hashes, so a task
-    that runs again after a loss sends each row to the same place as before. A side
-    said to be unique by key is not searched for hot keys.
+    Rows of a key with more than ``hot_rows`` rows on one side are numbered there and copied
+    on the other; a key hot on both sides makes a grid. The numbers come from row hashes, so
+    a task that runs again after a loss sends each row to the same place as before.
     """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"rows are copied per salt, which {how} joins do not allow")
     keys = list(keys)
+    others = [c for c in left.columns if c not in keys]
+    if how == "right":
+        swapped = salted_join(right, left, keys, "left", hot_rows)
+        return swapped.select(*keys, *others, *(c for c in right.columns if c not in keys))
+    if how == "full":
+        matched = salted_join(left, right, keys, "left", hot_rows)
+        rest = salted_join(right, left, keys, "left_anti", hot_rows)
+        return matched.unionByName(rest, allowMissingColumns=True)
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"unknown join type {how}")
     # Equal keys must hash alike on both sides, so hash them in their common type.
     common = left.select(keys).union(right.select(keys)).dtypes
     key_hash = F.xxhash64(*(F.col(name).cast(kind) for name, kind in common))
+    left_hot = hot_keys(left, key_hash, hot_rows)
+    salted = _salt(left, left_hot, key_hash, "_salt")
     if how in ("left_semi", "left_anti"):
-        right, right_unique = right.select(keys).distinct(), True
-    left_hot = None if left_unique else hot_keys(left, key_hash, hot_rows)
-    right_hot = None if right_unique else hot_keys(right, key_hash, hot_rows)
-
-    def join(how: str, right: DataFrame, right_hot: DataFrame | None) -> DataFrame:
-        l, r, salts = left, right, []
-        if left_hot is not None:
-            l, r = _salt(l, left_hot, key_hash, "_salt"), _copy(r, left_hot, key_hash, "_salt")
-            salts.append("_salt")
-        if right_hot is not None:
-            l, r = _copy(l, right_hot, key_hash, "_cell"), _salt(r, right_hot, key_hash, "_cell")
-            salts.append("_cell")
-        return l.join(r, keys + salts, how).drop(*salts)
-
-    if how == "left" and right_hot is not None:
+        right = _copy(right.select(keys).distinct(), left_hot, key_hash, "_salt")
+        return _write_out(salted.join(right, [*keys, "_salt"], how)).select(*keys, *others)
+    # A key hot on the right is a grid: left rows copied over its columns.
+    right_hot = hot_keys(right, key_hash, hot_rows)
+    cells = _copy(salted, right_hot, key_hash, "_cell")
+    spread = _salt(right, right_hot, key_hash, "_cell").withColumnRenamed("_copies", "_more")
+    spread = _copy(spread, left_hot, key_hash, "_salt")
+    matched = cells.join(spread, [*keys, "_salt", "_cell"])
+    matched = matched.withColumn("_copies", F.col("_copies") * F.col("_more"))
+    matched = _write_out(matched.drop("_salt", "_cell", "_more"))
+    if how == "left":
         # Copies of a left row may each miss the matches of the others, so the rows
         # without any match are found apart.
-        matched = join("inner", right, right_hot)
-        unmatched = join("left_anti", right.select(keys).distinct(), None)
+        unmatched = salted_join(left, right, keys, "left_anti", hot_rows)
         return matched.unionByName(unmatched, allowMissingColumns=True)
-    return join(how, right, right_hot)
-
+    return matched
 
-def enrich(
-    left: DataFrame,
-    dim: DataFrame,
-    on: Keys,
-    how: str = "left",
-    broadcast: bool | None = None,
-) -> DataFrame:
-    """Add dimension columns; every matching pair is kept.
 
-    ``broadcast``: None ships ``dim`` if it counts as small and shuffles otherwise,
-    False always shuffles, True asks for the small side and raises if it is not.
-    """
+def enrich(left: DataFrame, dim: DataFrame, on: Keys, how: str = "left") -> DataFrame:
+    """Add dimension columns; every matching pair is kept, by any join type."""
     dim, keys = _align(dim, on)
-    small = broadcast is not False and fits_broadcast(dim)
-    if broadcast and not small:
-        raise ValueError("the dimension is too large to broadcast")
-    if small:
-        return left.join(F.broadcast(dim), keys, how)
-    return salted_join(left, dim, keys, how)
+    return left.join(dim, keys, how)
 
 
 def any_join(
@@ -162,11 +158,7 @@ def any_join(
 ) -> DataFrame:
     """Each left row meets at most one right row: the first of its key by ``order_by``."""
     right, keys = _align(right, on)
-    small = fits_broadcast(right)
-    first = first_per_key(right, keys, order_by)
-    if small:
-        return left.join(F.broadcast(first), keys, how)
-    return salted_join(left, first, keys, how, right_unique=True)
+    return left.join(first_per_key(right, keys, order_by), keys, how)
 
 
 def lookup(
@@ -177,10 +169,7 @@ def lookup(
     A dictionary has one value per key; of several the smallest is taken.
     """
     dictionary = dim.groupBy(F.col(dim_key).alias(key)).agg(F.min(attribute).alias(attribute))
-    if fits_broadcast(dim.select(dim_key, attribute)):
-        joined = df.join(F.broadcast(dictionary), key, "left")
-    else:
-        joined = salted_join(df, dictionary, [key], "left", right_unique=True)
+    joined = df.join(dictionary, key, "left")
     return joined.withColumn(attribute, F.coalesce(F.col(attribute), F.lit(default)))
 
 
@@ -189,10 +178,7 @@ def preagg_join(
 ) -> DataFrame:
     """Aggregate the fact side to the join key first, then join one row per key."""
     dim, keys = _align(dim, on)
-    totals = fact.groupBy(*keys).agg(*aggs)
-    if fits_broadcast(dim):
-        return totals.join(F.broadcast(dim), keys, how)
-    return salted_join(totals, dim, keys, how, left_unique=True)
+    return fact.groupBy(*keys).agg(*aggs).join(dim, keys, how)
 
 
 def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:

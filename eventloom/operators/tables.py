@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.sinks.files import cluster, files_for
+from eventloom.sinks.files import cluster
 from eventloom.storage import drop_partitions, overwrite_partitions, partition_values
 
 
@@ -72,8 +72,7 @@ def mutate(
             )
         else:
             changed = affected.where(~hit)
-        files = files_for(sum(r["rows"] for r in found), spark)
-        overwrite_partitions(cluster(changed, files), table, "month")
+        overwrite_partitions(cluster(changed), table, "month")
     drop_partitions(spark, table, "month", emptied)
     return sorted(emptied + rewritten, key=lambda month: month or 0)
 
@@ -83,8 +82,11 @@ def drop_partition(spark: SparkSession, table: str, month: int) -> None:
     drop_partitions(spark, table, "month", [month])
 
 
-def compact(spark: SparkSession, table: str, month: int, target_files: int) -> None:
-    """Rewrite one month into at most ``target_files`` files in cluster order."""
+def compact(spark: SparkSession, table: str, month: int, target_files: int | None = None) -> None:
+    """Rewrite one month into few files in cluster order.
+
+    The files have about the advisory partition size, or there are ``target_files`` at most.
+    """
     rows = spark.read.parquet(table).where(F.col("month") == month)
     overwrite_partitions(cluster(rows, target_files), table, "month")
 

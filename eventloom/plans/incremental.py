@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from eventloom.functions.scalars import moment
 from eventloom.operators.rows import newest
 from eventloom.operators.versions import summing_merge
 from eventloom.plans.marts import daily_purchase_revenue
+from eventloom.session import scratch_dir
 from eventloom.storage import (
     drop_partitions,
     exists,
@@ -39,6 +41,20 @@ def _by_folder(df: DataFrame, partition: str) -> DataFrame:
     return df.hint("rebalance", partition)
 
 
+def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table as it was written: values of folders keep the declared types.
+
+    Also a table without any file, which names no schema itself, can be read.
+    """
+    return spark.read.schema(schema).parquet(path)
+
+
+def _in_type(spark: SparkSession, values: list[str], kind: DataType) -> list:
+    """Texts of folder names as values of a column's type."""
+    frame = spark.createDataFrame([(v,) for v in values], "v string")
+    return [r[0] for r in frame.select(F.col("v").cast(kind)).collect()]
+
+
 def incremental_append(
     spark: SparkSession,
     src: DataFrame,
@@ -53,16 +69,20 @@ def incremental_append(
     table is then laid out by it, and the mark is looked up in the newest folder
     only; the source is cut at that folder as well. The mark is a constant in the
     filter and prunes the source scan. Rows that arrive late, below the mark, are
-    missed: rebuild their days instead.
+    missed: rebuild their days instead. A table without rows has no mark.
     """
     mode, new = "overwrite", src
     if not full_refresh and exists(spark, path):
-        mode, stored = "append", spark.read.parquet(path)
+        mode, stored = "append", _stored(spark, path, src.schema)
         if partition is not None:
-            folders = partition_values(spark, path, partition)
-            newest_folder = F.lit(max(folders)).cast(stored.schema[partition].dataType)
-            stored = stored.where(F.col(partition) == newest_folder)
-            new = new.where(F.col(partition) >= newest_folder)
+            # one name per folder
+            folders = _in_type(
+                spark, partition_values(spark, path, partition), src.schema[partition].dataType
+            )
+            if folders:
+                last = F.lit(max(folders)).cast(src.schema[partition].dataType)
+                stored = stored.where(F.col(partition) == last)
+                new = new.where(F.col(partition) >= last)
         mark = newest(stored, cursor)
         if mark is not None:
             new = new.where(F.col(cursor) > moment(mark))
@@ -70,7 +90,7 @@ def incremental_append(
         new.write.mode(mode).parquet(path)
     else:
         _by_folder(new, partition).write.mode(mode).partitionBy(partition).parquet(path)
-    return spark.read.parquet(path)
+    return _stored(spark, path, src.schema)
 
 
 def incremental_rebuild(
@@ -89,18 +109,23 @@ def incremental_rebuild(
     """
     first_build = full_refresh or since is None or not exists(spark, path)
     if first_build:
+        schema = model(src).schema
         built = _by_folder(model(src), partition)
         built.write.mode("overwrite").partitionBy(partition).parquet(path)
-    else:
-        typed = type(since) if isinstance(since, int) else str
-        folders = partition_values(spark, path, partition)
-        stored = {v for v in folders if typed(v) >= typed(since)}
-        touched = src.where(F.col(partition) >= F.lit(since))
-        # One value per partition folder.
-        remaining = {str(r[0]) for r in touched.select(partition).distinct().collect()}
-        overwrite_partitions(_by_folder(model(touched), partition), path, partition)
-        drop_partitions(spark, path, partition, stored - remaining)
-    return spark.read.parquet(path)
+        return _stored(spark, path, schema)
+    rebuilt = model(src.where(F.col(partition) >= F.lit(since)))
+    kind = rebuilt.schema[partition].dataType
+    with scratch_dir(spark, "rebuild") as staged:
+        # The model runs once; what it wrote tells which partitions it has, folder by folder.
+        _by_folder(rebuilt, partition).write.partitionBy(partition).parquet(staged)
+        written = set(partition_values(spark, staged, partition))
+        stored = partition_values(spark, path, partition)
+        bound = _in_type(spark, [str(since)], kind)[0]
+        in_range = [v for v, typed in zip(stored, _in_type(spark, stored, kind)) if typed >= bound]
+        if written:
+            overwrite_partitions(_stored(spark, staged, rebuilt.schema), path, partition)
+        drop_partitions(spark, path, partition, set(in_range) - written)
+    return _stored(spark, path, rebuilt.schema)
 
 
 REVENUE_KEYS = ("event_date", "platform")
@@ -142,9 +167,10 @@ def mv_fold(spark: SparkSession, target: str, through: int) -> None:
 
     Readers switch to the base once it is complete and then skip the blocks it
     contains, so a crash at any point counts nothing twice. ``through`` must be a
-    block that will not be applied again.
+    block that will not be applied again; a base that holds it already stays as it is.
     """
-    if _folded_through(spark, target) == through:
+    folded = _folded_through(spark, target)
+    if folded is not None and through <= folded:
         return
     merged = mv_read(spark, target, last=through)
     merged.write.mode("overwrite").parquet(f"{target}/base/through={through}")

@@ -2,7 +2,8 @@
 
 An open version has a NULL valid_to. A key that disappeared from the current state
 has its open version closed. History and state meet in one full outer join on the
-key, unique on both sides, and closed versions bypass it.
+key, unique on both sides; NULL is a key like any other. A state with two rows of one key
+is refused. Closed versions bypass the join.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.functions.scalars import moment
-from eventloom.session import new_dir
+from eventloom.session import scratch_dir
 from eventloom.storage import drop_partitions, overwrite_partitions, partition_values
 
 
@@ -26,6 +28,15 @@ def start_history(cur: DataFrame, valid_from: Column) -> DataFrame:
     )
 
 
+def _one_per_key(cur: DataFrame, key: str) -> DataFrame:
+    """``cur``; reading it fails if a key has two rows, which would open two versions."""
+    rows = F.count("*").over(Window.partitionBy(key))
+    message = F.concat(F.lit("two rows of one key: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
+    checked = cur.withColumn("_rows", rows)
+    refused = F.when(F.col("_rows") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return checked.where(refused).drop("_rows")
+
+
 def _advance(
     hist: DataFrame,
     cur: DataFrame,
@@ -35,11 +46,12 @@ def _advance(
     closed_at: Column,
 ) -> DataFrame:
     """Close and open versions; ``changed`` and the times see rows ``old`` and ``new``."""
-    columns = cur.columns
+    columns = [c for c in cur.columns if c != "_closed"]
+    cur = _one_per_key(cur, key)
     old = hist.where(F.col("valid_to").isNull()).select(
         F.col(key).alias("_key"), F.struct(*hist.columns).alias("old")
     )
-    new = cur.select(F.col(key).alias("_key"), F.struct(*columns).alias("new"))
+    new = cur.select(F.col(key).alias("_key"), F.struct(*cur.columns).alias("new"))
     time_type = hist.schema["valid_to"].dataType
 
     def version(side: str, start: Column, end: Column) -> Column:
@@ -61,7 +73,7 @@ def _advance(
         )
     )
     advanced = (
-        old.join(new, "_key", "full_outer")
+        old.join(new, old["_key"].eqNullSafe(new["_key"]), "full_outer")
         .select(F.explode(versions).alias("v"))
         .select("v.*")
     )
@@ -75,15 +87,25 @@ def scd2_timestamp(
     key: str,
     updated_at: str,
     as_of: dt.datetime | Column,
+    closed: DataFrame | None = None,
 ) -> DataFrame:
-    """New version when ``updated_at`` is newer; removed keys close at ``as_of``."""
+    """New version when ``updated_at`` is newer; removed keys close at ``as_of``.
+
+    A key that returns after its removal opens when it closed last, unless its update time
+    is later, so versions never overlap. ``closed``: history with the closed versions, if
+    ``hist`` has the open ones only, as in a step of ``advance_history``.
+    """
     newer = F.col(f"new.{updated_at}") > F.col(f"old.{updated_at}")
+    past = hist if closed is None else closed
+    gone = past.where(F.col("valid_to").isNotNull()).groupBy(F.col(key).alias("_gone"))
+    gone = gone.agg(F.max("valid_to").alias("_closed"))
+    known = cur.join(gone, cur[key].eqNullSafe(gone["_gone"]), "left").drop("_gone")
     return _advance(
         hist,
-        cur,
+        known,
         key,
         changed=newer,
-        opened_at=F.col(f"new.{updated_at}"),
+        opened_at=F.greatest(F.col(f"new.{updated_at}"), F.col("new._closed")),
         closed_at=F.coalesce(F.col(f"new.{updated_at}"), moment(as_of)),
     )
 
@@ -126,13 +148,21 @@ def advance_history(
     the same ``run_id``, and repeating a finished one changes nothing.
     """
     is_open = F.col("closed_in") == "open"
-    history = spark.read.parquet(path).where(is_open).drop("closed_in")
-    staged = new_dir(spark, "history")
+    history = read_history(spark, path)
     label = F.when(F.col("valid_to").isNull(), "open").otherwise(F.lit(run_id))
-    step(history, cur).withColumn("closed_in", label).write.partitionBy("closed_in").parquet(staged)
-    advanced = spark.read.schema(spark.read.parquet(path).schema).parquet(staged)
-    overwrite_partitions(advanced.where(~is_open), path, "closed_in")
-    if "open" in partition_values(spark, staged, "closed_in"):
-        overwrite_partitions(advanced.where(is_open), path, "closed_in")
-    else:
-        drop_partitions(spark, path, "closed_in", ["open"])
+    with scratch_dir(spark, "history") as staged:
+        advanced = step(history.where(is_open).drop("closed_in"), cur)
+        advanced.withColumn("closed_in", label).write.partitionBy("closed_in").parquet(staged)
+        advanced = spark.read.schema(history.schema).parquet(staged)
+        overwrite_partitions(advanced.where(~is_open), path, "closed_in")
+        if "open" in partition_values(spark, staged, "closed_in"):
+            overwrite_partitions(advanced.where(is_open), path, "closed_in")
+        else:
+            drop_partitions(spark, path, "closed_in", ["open"])
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """A stored history; ``closed_in`` is text, whatever the run ids look like."""
+    found = spark.read.parquet(path).schema
+    kinds = [T.StructField("closed_in", T.StringType()) if f.name == "closed_in" else f for f in found]
+    return spark.read.schema(T.StructType(kinds)).parquet(path)

@@ -107,16 +107,19 @@ def reduce_by_user(spark, sf_dir):
 
 
 @query("""
-SELECT user_id, CAST(COUNT(*) AS BIGINT) AS n,
+SELECT user_id, event_id // 1000000 AS bucket, CAST(COUNT(*) AS BIGINT) AS n,
        string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS event_ids
-FROM events GROUP BY user_id""")
+FROM events GROUP BY ALL""")
 def grouped_event_ids(spark, sf_dir):
-    """The chunks of a key as text; keys of this size are one chunk."""
-    grouped = group_by_key(table(spark, sf_dir, "events"), "user_id", "event_id")
+    """Each user's events as text, a row for each million of event ids."""
+    events = table(spark, sf_dir, "events")
+    grouped = group_by_key(events, "user_id", "event_id", F.expr("event_id DIV 1000000"))
+    values = F.flatten(F.transform("runs", lambda r: F.array_repeat(r["event_id"], r["n"].cast("int"))))
     return grouped.select(
         "user_id",
-        F.size("values").cast("bigint").alias("n"),
-        F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("event_ids"),
+        "bucket",
+        F.size(values).cast("bigint").alias("n"),
+        F.array_join(F.transform(values, lambda v: v.cast("string")), ",").alias("event_ids"),
     )
 
 

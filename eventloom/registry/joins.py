@@ -30,7 +30,7 @@ def enrich_left(spark, sf_dir):
 @query(_ENRICHED.format(how="INNER"))
 def enrich_inner_shuffled(spark, sf_dir):
     events, customers = _events(spark, sf_dir), _solvent(spark, sf_dir)
-    return enrich(events, customers, {"user_id": "c_custkey"}, how="inner", broadcast=False)
+    return enrich(events, customers, {"user_id": "c_custkey"}, how="inner")
 
 
 @query("""
@@ -43,8 +43,8 @@ def broadcast_enrichment(spark, sf_dir):
     )
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    # The region's nations never grow with the data; suppliers do and are measured.
-    dim = enrich(suppliers, nations, {"s_nationkey": "n_nationkey"}, "inner", broadcast=True)
+    # The nations never grow with the data; whether to ship the suppliers is left to the engine.
+    dim = enrich(suppliers, F.broadcast(nations), {"s_nationkey": "n_nationkey"}, "inner")
     joined = enrich(lines, dim, {"l_suppkey": "s_suppkey"}, "inner")
     return joined.select("l_orderkey", "l_linenumber", "l_partkey", "s_name", "n_name")
 
@@ -118,3 +118,32 @@ def salted_order_lines(spark, sf_dir):
     )
     joined = salted_join(lines, orders, ["orderkey"])
     return joined.groupBy("l_returnflag", "o_orderpriority").agg(F.count("*").alias("n_lines"))
+
+
+_BOTH = """
+SELECT COALESCE(e.user_id, c.c_custkey) AS user_id, e.event_id, c.c_mktsegment, c.c_nationkey
+FROM (SELECT * FROM events WHERE event_type = 'error') e
+{how} JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON e.user_id = c.c_custkey
+"""
+
+
+def _errors(spark, sf_dir):
+    events = table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    return events.select("user_id", "event_id")
+
+
+@query(_BOTH.format(how="FULL"))
+def enrich_full(spark, sf_dir):
+    return enrich(_errors(spark, sf_dir), _solvent(spark, sf_dir), {"user_id": "c_custkey"}, "full")
+
+
+@query(_BOTH.format(how="RIGHT"))
+def enrich_right(spark, sf_dir):
+    return enrich(_errors(spark, sf_dir), _solvent(spark, sf_dir), {"user_id": "c_custkey"}, "right")
+
+
+@query(_BOTH.format(how="FULL"))
+def salted_full_join(spark, sf_dir):
+    """The same with the rows of busy users spread: whoever has over 20 errors."""
+    customers = _solvent(spark, sf_dir).withColumnRenamed("c_custkey", "user_id")
+    return salted_join(_errors(spark, sf_dir), customers, ["user_id"], "full", hot_rows=20)

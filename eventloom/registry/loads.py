@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.functions.scalars import uuid_from_digest
+from eventloom.functions.scalars import UUID_LAYOUT, uuid_from_digest
 from eventloom.operators.rows import newest
 from eventloom.registry.base import query, raw, table, with_ev
 from eventloom.session import new_dir
@@ -22,7 +22,7 @@ from eventloom.sources.events import (
     read_events_day,
     sources,
 )
-from eventloom.sources.load import load_raw_events
+from eventloom.sources.load import load_raw_events, read_loaded
 from eventloom.sources.seeds import load_seed
 from eventloom.sources.streams import decode_events, events_from_sequence
 
@@ -101,18 +101,99 @@ SELECT event_date, date_trunc('millisecond', event_time) AS event_time, user_id,
 FROM ev WHERE event_name NOT IN ('error', 'signup')"""))
 def load_raw_table(spark, sf_dir):
     path = new_dir(spark, "load")
-    load_raw_events(_messy_event_file(spark, sf_dir), f"{path}/events", f"{path}/rejects")
-    return spark.read.parquet(f"{path}/events")
+    load_raw_events(_messy_event_file(spark, sf_dir), f"{path}/events", f"{path}/rejects", "one")
+    return read_loaded(spark, f"{path}/events").drop("load_id")
 
 
-@query(with_ev("""
-SELECT event_id, event_name,
+_REJECTS = f"""
+SELECT event_id, strftime(event_time, '%Y-%m-%d %H:%M:%S.%g') AS event_time,
+       CAST(CASE event_name WHEN 'error' THEN -user_id - 1 ELSE user_id END AS VARCHAR) AS user_id,
+       CASE event_name WHEN 'error' THEN session_id ELSE {_UUID} END AS session_id,
+       event_name, platform,
+       CASE event_name WHEN 'signup' THEN 'abc' ELSE CAST(price AS VARCHAR) END AS price,
+       props_json,
        CASE event_name WHEN 'error' THEN 'user_id,session_id' ELSE 'price' END AS reject_reason
-FROM ev WHERE event_name IN ('error', 'signup')"""))
+FROM ev WHERE event_name IN ('error', 'signup')"""
+
+
+@query(with_ev(_REJECTS))
 def load_rejects(spark, sf_dir):
     path = new_dir(spark, "load")
-    load_raw_events(_messy_event_file(spark, sf_dir), f"{path}/events", f"{path}/rejects")
-    return spark.read.parquet(f"{path}/rejects").select("event_id", "event_name", "reject_reason")
+    load_raw_events(_messy_event_file(spark, sf_dir), f"{path}/events", f"{path}/rejects", "one")
+    return read_loaded(spark, f"{path}/rejects").drop("load_id")
+
+
+@query(with_ev("""
+SELECT load_id, event_name, CAST(COUNT(*) AS BIGINT) AS n
+FROM (SELECT unnest(['all', 'purchases']) AS load_id, event_name FROM ev) l
+WHERE event_name NOT IN ('error', 'signup')
+  AND (load_id = 'all' OR event_name = 'purchase') GROUP BY ALL"""))
+def repeated_load(spark, sf_dir):
+    """Two loads, the first one tried three times: what a repeat finds is replaced."""
+    path = new_dir(spark, "load")
+    events = _messy_event_file(spark, sf_dir)
+    bought = events.where(F.col("event_name") == "purchase")
+    for load_id, rows in (("all", bought), ("purchases", bought), ("all", events), ("all", events)):
+        load_raw_events(rows, f"{path}/events", f"{path}/rejects", load_id)
+    loaded = read_loaded(spark, f"{path}/events")
+    return loaded.groupBy("load_id", "event_name").agg(F.count("*").alias("n"))
+
+
+@query(with_ev("""
+SELECT reject_reason, CAST(COUNT(*) AS BIGINT) AS n
+FROM (SELECT CASE event_name WHEN 'error' THEN 'event_name' WHEN 'signup' THEN 'platform'
+             ELSE 'props_json' END AS reject_reason
+      FROM ev WHERE event_name IN ('error', 'signup', 'purchase')) GROUP BY ALL"""))
+def load_rejects_nulls(spark, sf_dir):
+    """Names, platforms and properties may not be NULL either."""
+    path = new_dir(spark, "load")
+    events = as_event_file(raw(spark, sf_dir))
+    kind = F.col("event_name")
+    events = events.withColumns(
+        {
+            "session_id": uuid_from_digest(F.col("session_id")),
+            "event_name": F.when(kind != "error", kind),
+            "platform": F.when(kind != "signup", F.col("platform")),
+            "props_json": F.when(kind != "purchase", F.col("props_json")),
+        }
+    )
+    load_raw_events(events, f"{path}/events", f"{path}/rejects", "one")
+    rejects = read_loaded(spark, f"{path}/rejects")
+    return rejects.groupBy("reject_reason").agg(F.count("*").alias("n"))
+
+
+@query(with_ev("""
+SELECT COUNT(*) AS rows, COUNT(*) AS sessions, TRUE AS all_uuids, TRUE AS one_time FROM ev"""))
+def inserted_rows(spark, sf_dir):
+    """Rows written with generated ids and the current time, as an INSERT would."""
+    path = new_dir(spark, "insert")
+    table(spark, sf_dir, "events").createOrReplaceTempView("insert_source")
+    spark.sql("SELECT event_id, uuid() AS session_id, now() AS at FROM insert_source").write.parquet(path)
+    stored = spark.read.parquet(path)
+    return stored.agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("session_id").alias("sessions"),
+        F.bool_and(F.col("session_id").rlike(UUID_LAYOUT)).alias("all_uuids"),
+        (F.count_distinct("at") == 1).alias("one_time"),
+    )
+
+
+@query("""
+SELECT COUNT(*) AS counted, COUNT(*) AS collected, MIN(event_id) AS first_id,
+       CAST(SUM(event_id) AS BIGINT) AS reduced FROM events""")
+def frame_actions(spark, sf_dir):
+    """What the actions of a frame give: count, toLocalIterator, first, reduce by agg."""
+    ids = table(spark, sf_dir, "events").select("event_id")
+    # one row for each partition reaches the driver
+    partials = ids.groupBy(F.spark_partition_id()).agg(F.count("*"), F.sum("event_id"))
+    parts = list(partials.toLocalIterator())
+    row = (
+        ids.count(),
+        sum(r[1] for r in parts),
+        ids.orderBy("event_id").first()[0],
+        sum(r[2] for r in parts),
+    )
+    return spark.createDataFrame([row], "counted long, collected long, first_id long, reduced long")
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -146,7 +227,9 @@ SELECT CASE WHEN event_name IN ('error', 'signup') THEN NULL
        CASE WHEN event_name = 'error' THEN NULL ELSE user_id END AS user_id,
        CASE WHEN event_name = 'error' THEN NULL ELSE session_id END AS session_id,
        CASE WHEN event_name = 'error' THEN NULL ELSE event_name END AS event_name,
+       CASE WHEN event_name = 'error' THEN NULL ELSE platform END AS platform,
        CASE WHEN event_name = 'error' THEN NULL ELSE CAST(price AS DOUBLE) END AS price,
+       CASE WHEN event_name = 'error' THEN NULL ELSE props_json END AS props_json,
        CASE WHEN event_name = 'error' THEN '{bad' ELSE NULL END AS bad_message
 FROM ev"""))
 def decode_messages(spark, sf_dir):
@@ -157,31 +240,23 @@ def decode_messages(spark, sf_dir):
     fields = fields.withColumn("event_time", time)
     message = F.to_json(F.struct(*fields.columns))
     value = F.when(F.col("event_name") == "error", "{bad").otherwise(message).cast("binary")
-    return decode_events(fields.select(value.alias("value"))).select(
-        "event_time", "user_id", "session_id", "event_name", "price", "bad_message"
-    )
+    return decode_events(fields.select(value.alias("value")))
 
 
-@query(with_ev("""
-SELECT event_id, event_name, platform, CAST(price AS DOUBLE) AS price
-FROM ev WHERE event_name = 'purchase'"""))
+@query(with_ev("SELECT * FROM ev WHERE event_name = 'purchase'"))
 def parquet_overwrite(spark, sf_dir):
     path = new_dir(spark, "overwrite")
-    columns = ["event_id", "event_name", "platform", "price"]
-    write_parquet(raw(spark, sf_dir).select(*columns), path)
-    write_parquet(raw(spark, sf_dir, only=["purchase"]).select(*columns), path)
+    write_parquet(raw(spark, sf_dir), path)
+    write_parquet(raw(spark, sf_dir, only=["purchase"]), path)
     return spark.read.parquet(path)
 
 
 @query(with_ev("""
-SELECT event_id, event_time, event_date, user_id, event_name, platform,
-       CAST(price AS DOUBLE) AS price,
-       CAST(year(event_date) * 100 + month(event_date) AS INTEGER) AS month
-FROM ev"""))
+SELECT *, CAST(year(event_date) * 100 + month(event_date) AS INTEGER) AS month FROM ev"""))
 def clustered_raw_table(spark, sf_dir):
     path = new_dir(spark, "raw")
     write_raw_events(raw(spark, sf_dir), path)
-    return spark.read.parquet(path).drop("session_id", "props_json")
+    return spark.read.parquet(path)
 
 
 @query("SELECT props AS line, CAST(COUNT(*) AS BIGINT) AS n FROM events GROUP BY props")
@@ -192,9 +267,10 @@ def text_lines(spark, sf_dir):
     return lines.groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, user_id, value FROM events")
+@query("SELECT * FROM events")
 def batched_files(spark, sf_dir):
+    """Written as one piece for each user before, gathered into few files."""
     path = new_dir(spark, "batched")
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    write_batched(events.repartition(40), path, target_rows=4000)
+    pieces = table(spark, sf_dir, "events").repartition("user_id")
+    write_batched(pieces, path, target_rows=1_000_000)
     return spark.read.parquet(path)

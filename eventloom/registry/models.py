@@ -15,7 +15,7 @@ from eventloom.plans.incremental import (
     incremental_rebuild,
     materialize_table,
 )
-from eventloom.plans.marts import fct_daily_revenue, stg_events
+from eventloom.plans.marts import daily_purchase_revenue, fct_daily_revenue, stg_events
 from eventloom.registry.base import query, raw, table, with_ev
 from eventloom.session import new_dir
 from eventloom.sources.events import EVENT_NAMES, PLATFORMS
@@ -34,16 +34,59 @@ def materialized_mart(spark, sf_dir):
     return materialize_table(mart, new_dir(spark, "mart"))
 
 
-@query(with_ev("SELECT event_id, event_time, event_name FROM ev"))
+@query(with_ev("SELECT * FROM ev"))
 def incremental_append_only(spark, sf_dir):
     """First the earlier events, then all: only the newer ones are added."""
     path = new_dir(spark, "append")
-    events = raw(spark, sf_dir).select("event_id", "event_time", "event_name", "event_date")
+    events = raw(spark, sf_dir)
     middle = newest(events, "event_time") - dt.timedelta(days=15)
     earlier = events.where(F.col("event_time") <= middle)
     for source in (earlier, events):
         stored = incremental_append(spark, source, path, "event_time", partition="event_date")
-    return stored.drop("event_date")
+    return stored
+
+
+@query(with_ev("SELECT *, day(event_date) AS part FROM ev"))
+def append_after_nothing(spark, sf_dir):
+    """An empty first build, then by the day's number, of one digit or two."""
+    path = new_dir(spark, "append")
+    events = raw(spark, sf_dir).withColumn("part", F.dayofmonth("event_date").cast("bigint"))
+    early = events.where(F.col("part") <= 10)
+    for source in (events.limit(0), early, early, events):
+        stored = incremental_append(spark, source, path, "event_time", partition="part")
+    return stored
+
+
+@query(with_ev("""
+SELECT strftime(event_time, '%d/%m %H:00') AS part, CAST(COUNT(*) AS BIGINT) AS events
+FROM ev WHERE event_name <> 'error' GROUP BY ALL"""))
+def rebuild_by_text(spark, sf_dir):
+    """Partitions named by texts with / and :, all rebuilt without the errors."""
+    path = new_dir(spark, "rebuild")
+    events = raw(spark, sf_dir).withColumn("part", F.date_format("event_time", "dd/MM HH:00"))
+
+    def model(df):
+        return df.groupBy("part").agg(F.count("*").alias("events"))
+
+    incremental_rebuild(spark, events, path, model, "part")
+    kept = events.where(F.col("event_name") != "error")
+    return incremental_rebuild(spark, kept, path, model, "part", since="0")
+
+
+@query(with_ev("""
+SELECT event_date, platform, CAST(SUM(price) AS DOUBLE) AS revenue FROM ev
+WHERE event_name = 'purchase' AND event_date < (SELECT MAX(event_date) FROM ev) GROUP BY ALL"""))
+def rebuild_without_purchases(spark, sf_dir):
+    """The last day has lost its purchases: a mart of purchases loses the day."""
+    path = new_dir(spark, "rebuild")
+    events = raw(spark, sf_dir)
+    last = newest(events, "event_date")
+    incremental_rebuild(spark, events, path, daily_purchase_revenue, "event_date")
+    gone = (F.col("event_date") == last) & (F.col("event_name") == "purchase")
+    since = last - dt.timedelta(days=2)
+    return incremental_rebuild(
+        spark, events.where(~gone), path, daily_purchase_revenue, "event_date", since=since
+    )
 
 
 @query(with_ev(_MART))
@@ -106,7 +149,6 @@ def unexpected_event_names(spark, sf_dir):
 
 def _checks(spark, sf_dir, events):
     building = table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING")
-    costly = events.where(F.col("price") > 100).select("event_id")
     return [
         quality.not_null_check("event_time"),
         quality.not_null_check("user_id"),
@@ -116,7 +158,7 @@ def _checks(spark, sf_dir, events):
         quality.RowCheck("price_not_negative", F.col("price") < 0),
         quality.unique_check(events, "event_id"),
         quality.relationships_check(events, "user_id", building, "c_custkey", severity="warn"),
-        quality.QueryCheck("no_costly_event", costly, severity="warn"),
+        quality.RowCheck("no_costly_event", F.col("price") > 100, severity="warn"),
     ]
 
 
@@ -149,15 +191,32 @@ def check_summary(spark, sf_dir):
 
 
 @query(with_ev("""
-SELECT test, CAST(COUNT(*) AS BIGINT) AS n FROM (
-  SELECT 'not_null_user_id' AS test FROM ev WHERE event_name = 'error'
-  UNION ALL SELECT 'accepted_values_event_name' FROM ev
-  WHERE event_name NOT IN ('page_view', 'add_to_cart', 'purchase')) GROUP BY test"""))
+WITH gaps AS (SELECT * REPLACE (CASE WHEN event_name <> 'error' THEN user_id END AS user_id)
+              FROM ev)
+SELECT test, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(weight) AS BIGINT) AS failures FROM (
+  SELECT 'not_null_user_id' AS test, 1 AS weight FROM gaps WHERE user_id IS NULL
+  UNION ALL SELECT 'accepted_values_event_name', 1 FROM gaps
+  WHERE event_name NOT IN ('page_view', 'add_to_cart', 'purchase')
+  UNION ALL SELECT 'no_costly_event', 1 FROM gaps WHERE price > 100
+  UNION ALL SELECT 'unique_event_id', COUNT(*) FROM gaps GROUP BY event_id HAVING COUNT(*) > 1
+  UNION ALL SELECT 'relationships_user_id', COUNT(*) FROM gaps
+  WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+  GROUP BY user_id) GROUP BY test"""))
 def stored_failures(spark, sf_dir):
+    """Stored rows of every check; those of query checks carry their number of failures."""
     path = new_dir(spark, "failures")
     events = _with_gaps(spark, sf_dir)
-    quality.run_checks(events, _checks(spark, sf_dir, events), failures_path=path)
-    return spark.read.parquet(f"{path}/rows").groupBy("test").agg(F.count("*").alias("n"))
+    checks = _checks(spark, sf_dir, events)
+    quality.run_checks(events, checks, failures_path=path)
+    found = spark.read.parquet(f"{path}/rows").select("test", F.lit(1).alias("weight"))
+    for check in checks:
+        if isinstance(check, quality.QueryCheck):
+            weight = F.col(check.weight) if check.weight else F.lit(1)
+            rows = spark.read.schema(check.failing.schema).parquet(f"{path}/{check.name}")
+            found = found.unionByName(rows.select(F.lit(check.name).alias("test"), weight.alias("weight")))
+    return found.groupBy("test").agg(
+        F.count("*").alias("n"), F.sum("weight").cast("bigint").alias("failures")
+    )
 
 
 @query("""
@@ -242,7 +301,7 @@ def history_table(spark, sf_dir):
     snapshots.create_history(first, path, moment(_FIRST))
     for _ in range(2):
         snapshots.advance_history(spark, path, second, "2024-03-01", step)
-    return spark.read.parquet(path).drop("closed_in")
+    return snapshots.read_history(spark, path).drop("closed_in")
 
 
 @query(_history_sql(
@@ -287,8 +346,7 @@ def contract_differences(spark, sf_dir):
     return quality.check_contract(table(spark, sf_dir, "events"), declared)
 
 
-def _stats_sql(name: str, kind: str, text: str | None = None) -> str:
-    text = text or "CAST({0} AS VARCHAR)"
+def _stats_sql(name: str, kind: str, text: str = "CAST({0} AS VARCHAR)") -> str:
     low, high = (text.format(f"{f}({name})") for f in ("MIN", "MAX"))
     return (
         f"SELECT '{name}' AS \"column\", '{kind}' AS type, CAST(COUNT(*) AS BIGINT) AS rows, "
@@ -300,15 +358,56 @@ def _stats_sql(name: str, kind: str, text: str | None = None) -> str:
 
 @query(" UNION ALL ".join([
     _stats_sql("event_id", "bigint"),
-    _stats_sql("day", "date").replace(
-        "FROM events", "FROM (SELECT CAST(ts AS DATE) AS day FROM events)"
-    ),
+    # fractions of a second without trailing zeros
+    _stats_sql("ts", "timestamp_ntz", "rtrim(rtrim(strftime({0}, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.')"),
     _stats_sql("user_id", "bigint"),
     _stats_sql("event_type", "string"),
     _stats_sql("value", "double"),
+    _stats_sql("props", "string"),
 ]))
 def column_statistics(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select(
-        "event_id", F.to_date("ts").alias("day"), "user_id", "event_type", "value"
-    )
-    return quality.profile(events)
+    return quality.profile(table(spark, sf_dir, "events"))
+
+
+_GONE, _BACK = dt.datetime(2024, 2, 10), dt.datetime(2024, 2, 20)
+
+
+@query("""
+SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment, TIMESTAMP '2024-02-01' AS valid_from,
+       CASE WHEN c_mktsegment = 'MACHINERY' THEN TIMESTAMP '2024-02-10' END AS valid_to
+FROM customer
+UNION ALL
+SELECT c_custkey, c_acctbal, c_mktsegment, TIMESTAMP '2024-02-10', NULL
+FROM customer WHERE c_mktsegment = 'MACHINERY'""")
+def history_of_returning_keys(spark, sf_dir):
+    """A segment leaves and comes back with its old update time: no versions overlap."""
+    first, _ = _customers(spark, sf_dir)
+    start = moment(_FIRST)
+    first = first.withColumn("updated_at", start)
+    history = snapshots.start_history(first, start)
+    for state, seen in ((first.where("c_mktsegment <> 'MACHINERY'"), _GONE), (first, _BACK)):
+        history = materialize_table(
+            snapshots.scd2_timestamp(history, state, "id", "updated_at", moment(seen)),
+            new_dir(spark, "history"),
+        )
+    return history.drop("updated_at")
+
+
+@query("""
+SELECT id, c_acctbal AS balance, c_mktsegment, valid_from, valid_to FROM (
+  SELECT CASE WHEN c_custkey > 0 THEN c_custkey END AS id, c_acctbal, c_mktsegment FROM customer),
+  (VALUES (TIMESTAMP '2024-02-01', TIMESTAMP '2024-02-10'), (TIMESTAMP '2024-02-20', NULL))
+    t(valid_from, valid_to)""")
+def history_emptied_and_refilled(spark, sf_dir):
+    """All keys leave and come back, one of them NULL; each run is repeated."""
+    first, _ = _customers(spark, sf_dir)
+    first = first.withColumn("id", F.when(F.col("id") > 0, F.col("id")))
+    path = new_dir(spark, "history-table")
+    snapshots.create_history(first, path, moment(_FIRST))
+    for state, seen in ((first.limit(0), _GONE), (first, _BACK)):
+        def step(hist, cur, seen=seen):
+            return snapshots.scd2_check(hist, cur, "id", ["balance", "c_mktsegment"], moment(seen))
+
+        for _ in range(2):
+            snapshots.advance_history(spark, path, state, f"{seen:%Y-%m-%d}", step)
+    return snapshots.read_history(spark, path).drop("closed_in")

@@ -146,24 +146,30 @@ SELECT event_type, CAST(COUNT(*) AS BIGINT) AS events,
        CAST(SUM(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents
 FROM events GROUP BY event_type""")
 def partition_totals(spark, sf_dir):
-    """Per-batch partial counts in Arrow, merged by Spark."""
+    """Partial counts of each partition, merged: what a grouped aggregate does."""
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count("*").alias("events"), F.sum(cents).alias("cents")
+    )
+
+
+@query("""
+SELECT doc_id, strip_accents(text) AS plain FROM documents""")
+def partition_plain_texts(spark, sf_dir):
+    """Unicode normal forms, which SQL functions do not offer, batch by batch."""
+
+    def plain(batches):
+        import unicodedata
 
-    def partial(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         for batch in batches:
-            cents = pc.cast(pc.round(pc.multiply(batch.column("value"), 100.0)), pa.int64())
-            rows = pa.table({"event_type": batch.column("event_type"), "cents": cents})
-            sums = rows.group_by("event_type").aggregate([("cents", "count"), ("cents", "sum")])
-            sums = sums.select(["event_type", "cents_count", "cents_sum"])
-            yield from sums.rename_columns(["event_type", "events", "cents"]).to_batches()
-
-    events = table(spark, sf_dir, "events").select("event_type", "value")
-    partials = map_partitions(events, partial, "event_type string, events bigint, cents bigint")
-    return partials.groupBy("event_type").agg(
-        F.sum("events").alias("events"), F.sum("cents").alias("cents")
-    )
+            split = (unicodedata.normalize("NFD", t or "") for t in batch.column(1).to_pylist())
+            kept = ["".join(c for c in t if unicodedata.category(c) != "Mn") for t in split]
+            yield pa.record_batch([batch.column(0), pa.array(kept)], ["doc_id", "plain"])
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return map_partitions(documents, plain, "doc_id bigint, plain string")
 
 
 @query("""
@@ -256,12 +262,14 @@ def text_functions(spark, sf_dir):
 
 
 @query(with_ev("""
-SELECT event_date, platform, CAST(COUNT(*) FILTER (event_name = 'purchase') AS BIGINT)
-         AS purchases
+SELECT event_date, platform,
+       CAST(COUNT(*) FILTER (event_name = 'purchase') AS BIGINT) AS purchases,
+       CAST(COUNT(DISTINCT user_id) FILTER (event_name = 'purchase') AS BIGINT) AS buyers,
+       CAST(COALESCE(SUM(price) FILTER (event_name = 'purchase'), 0) AS DOUBLE) AS revenue
 FROM ev GROUP BY ALL ORDER BY event_date DESC, platform LIMIT 20"""))
 def newest_mart_rows(spark, sf_dir):
     fct = fct_daily_revenue(stg_events(raw(spark, sf_dir)))
-    return latest_mart_rows(fct).select("event_date", "platform", "purchases")
+    return latest_mart_rows(fct)
 
 
 @query("SELECT user_id, value, event_id FROM events ORDER BY user_id, value DESC, event_id")

@@ -14,6 +14,7 @@ from eventloom.plans.marts import daily_purchase_revenue
 from eventloom.registry.base import query, raw, table, with_ev
 from eventloom.session import new_dir
 from eventloom.sinks.files import write_raw_events
+from eventloom.storage import partition_values
 
 
 @query(with_ev("""
@@ -87,39 +88,38 @@ def incremental_revenue_view(spark, sf_dir):
     return mv_read(spark, target)
 
 
-def _raw_table(spark, sf_dir, files=None):
+def _raw_table(spark, sf_dir):
     """Raw table of all events in two months: the later half a month further on."""
     path = new_dir(spark, "raw")
-    events = raw(spark, sf_dir).drop("session_id", "props_json")
+    events = raw(spark, sf_dir)
     moved = F.when(F.dayofmonth("event_date") > 15, F.add_months("event_date", 1))
     events = events.withColumn("event_date", moved.otherwise(F.col("event_date")))
-    write_raw_events(events, path, files)
+    write_raw_events(events, path)
     return path
 
 
 _TWO_MONTHS = """
-SELECT * EXCLUDE (event_date, session_id, props_json, price), CAST(price AS DOUBLE) AS price,
-       CASE WHEN day(event_date) > 15 THEN CAST(event_date + INTERVAL 1 MONTH AS DATE)
-            ELSE event_date END AS event_date
-FROM ev"""
+SELECT *, CAST(year(event_date) * 100 + month(event_date) AS INTEGER) AS month
+FROM (SELECT * REPLACE (CASE WHEN day(event_date) > 15
+                             THEN CAST(event_date + INTERVAL 1 MONTH AS DATE)
+                             ELSE event_date END AS event_date) FROM ev)"""
 
 
 @query(with_ev(f"""
 WITH t AS ({_TWO_MONTHS})
-SELECT event_id, event_date, event_name FROM t
+SELECT * FROM t
 WHERE event_date >= (SELECT MAX(event_date) FROM t) - 8"""))
 def ttl_kept_rows(spark, sf_dir):
     """The first month goes as a folder, the second one is cut at the bound."""
     path = _raw_table(spark, sf_dir)
     last = newest(spark.read.parquet(path), "event_date")
     upkeep.apply_ttl(spark, path, days=20, as_of=last + dt.timedelta(days=12))
-    return spark.read.parquet(path).select("event_id", "event_date", "event_name")
+    return spark.read.parquet(path)
 
 
 @query(with_ev(f"""
 WITH t AS ({_TWO_MONTHS})
-SELECT event_id, event_name, event_date,
-       CASE WHEN event_name = 'error' THEN 0.0 ELSE price END AS price
+SELECT * REPLACE (CASE WHEN event_name = 'error' THEN 0 ELSE price END AS price)
 FROM t WHERE NOT (event_name = 'signup' AND day(event_date) <= 15)"""))
 def mutated_rows(spark, sf_dir):
     """Errors get price 0 in all months; the signups of early days are deleted."""
@@ -127,38 +127,56 @@ def mutated_rows(spark, sf_dir):
     name = F.col("event_name")
     upkeep.mutate(spark, path, name == "error", {"price": F.lit(0)})
     upkeep.mutate(spark, path, (name == "signup") & (F.dayofmonth("event_date") <= 15))
-    return spark.read.parquet(path).select("event_id", "event_name", "event_date", "price")
+    return spark.read.parquet(path)
 
 
 @query(with_ev(f"""
 WITH t AS ({_TWO_MONTHS})
-SELECT event_id, event_date FROM t
+SELECT * FROM t
 WHERE month(event_date) > (SELECT MIN(month(event_date)) FROM t)"""))
 def dropped_month(spark, sf_dir):
     path = _raw_table(spark, sf_dir)
     first = spark.read.parquet(path).agg(F.min("month")).first()[0]
     upkeep.drop_partition(spark, path, first)
-    return spark.read.parquet(path).select("event_id", "event_date")
+    return spark.read.parquet(path)
 
 
 @query(with_ev(f"""
 WITH t AS ({_TWO_MONTHS})
-SELECT event_id, event_date, event_name, user_id, price FROM t"""))
+SELECT * FROM t"""))
 def compacted_rows(spark, sf_dir):
-    path = _raw_table(spark, sf_dir, files=50)
-    for (month,) in spark.read.parquet(path).select("month").distinct().collect():
-        upkeep.compact(spark, path, month, target_files=2)
-    columns = ["event_id", "event_date", "event_name", "user_id", "price"]
-    return spark.read.parquet(path).select(*columns)
+    """Every shuffle partition writes to both months at first."""
+    path = new_dir(spark, "raw")
+    scattered = spark.read.parquet(_raw_table(spark, sf_dir)).repartition("event_id")
+    scattered.write.partitionBy("month").parquet(path)
+    for month in partition_values(spark, path, "month"):
+        upkeep.compact(spark, path, int(month))
+    return spark.read.parquet(path)
 
 
 @query(with_ev("""
 SELECT CAST(year(event_date) * 100 + month(event_date) AS INTEGER) AS month,
-       CAST(COUNT(*) AS BIGINT) AS rows, TRUE AS at_most_six_files
+       CAST(COUNT(*) AS BIGINT) AS rows, TRUE AS files_named, TRUE AS has_bytes
 FROM ev GROUP BY 1"""))
 def file_health(spark, sf_dir):
-    """Files themselves depend on the run: only their bound is compared."""
+    """How many files there are depends on the run: they are compared with the listing."""
     path = new_dir(spark, "raw")
-    write_raw_events(raw(spark, sf_dir), path, files=6)
-    report = upkeep.file_health(spark.read.parquet(path))
-    return report.select("month", "rows", (F.col("files") <= 6).alias("at_most_six_files"))
+    write_raw_events(raw(spark, sf_dir), path)
+    stored = spark.read.parquet(path)
+    report = upkeep.file_health(stored)
+    files = report.agg(F.sum("files")).first()[0]
+    named = F.lit(files == len(stored.inputFiles())).alias("files_named")
+    return report.select("month", "rows", named, (F.col("bytes") > 0).alias("has_bytes"))
+
+
+@query(with_ev("""
+SELECT event_date, platform, CAST(SUM(price) AS DOUBLE) AS revenue FROM ev
+WHERE event_name = 'purchase' GROUP BY ALL HAVING SUM(price) <> 0"""))
+def folded_back_and_forth(spark, sf_dir):
+    """Folds in falling order: the newer base stays and nothing counts twice."""
+    target = new_dir(spark, "mv")
+    for batch_id, block in enumerate(_blocks(raw(spark, sf_dir, only=["purchase"]))):
+        mv_apply(block, target, batch_id)
+    for through in (2, 1, 0, 2):
+        mv_fold(spark, target, through)
+    return mv_read(spark, target)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+from eventloom.storage import remove
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Window state lives on disk with changelog checkpoints, not on the executor heap.
@@ -16,8 +19,6 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
-_local_root: str | None = None
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every model here relies on."""
@@ -27,22 +28,23 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, as named by spark.checkpoint.dir.
-
-    Only a local-mode session may fall back to a temporary folder: on a cluster
-    that folder would exist on one machine and be lost with it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    global _local_root
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="eventloom-")
-    return _local_root
+    """Folder all executors can reach: what spark.checkpoint.dir names, else the session's
+    own table folder. Neither is made up here, so nothing lands on one machine's disk
+    unless the session says so."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return root.rstrip("/")
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/eventloom/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_dir(spark: SparkSession, label: str) -> Iterator[str]:
+    """A path as above whose content goes when the block ends, also by an error."""
+    path = new_dir(spark, label)
+    try:
+        yield path
+    finally:
+        remove(spark, path)

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.scalars import month_number
+from eventloom.operators.joins import comparable_columns
 
 # Sort key of the raw table inside a month.
 CLUSTER_KEYS = ("event_date", "event_name", "user_id")
 
-ROWS_PER_FILE = 10_000_000
-
 
 def write_parquet(df: DataFrame, path: str) -> None:
     """Replace ``path`` with snappy Parquet."""
@@ -22,13 +21,6 @@ def with_month(df: DataFrame) -> DataFrame:
     return df.withColumn("month", month_number(F.col("event_date")))
 
 
-def files_for(rows: int, spark: SparkSession) -> int | None:
-    """Number of files for a large table. None for a table that the session's shuffle
-    partitions can hold; adaptive execution then makes them fewer as it sees fit."""
-    files = -(-rows // ROWS_PER_FILE)
-    return files if files > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
-
-
 def cluster(df: DataFrame, files: int | None = None) -> DataFrame:
     """Range-partition by month and sort key, then sort each partition.
 
@@ -37,19 +29,18 @@ def cluster(df: DataFrame, files: int | None = None) -> DataFrame:
     time and a row hash: a month, day or user holding a large share of the rows is
     spread over several tasks instead of landing in one. Finding the ranges samples
     the input, which reads it once more; the later scans earn that back.
+
+    There are as many ranges as shuffle partitions, which adaptive execution merges up to
+    the advisory partition size, or as many as ``files`` says.
     """
     keys = [F.col("month"), *(F.col(k) for k in CLUSTER_KEYS)]
-    spread = [*keys, F.col("event_time"), F.xxhash64(*df.columns)]
+    spread = [*keys, F.col("event_time"), F.xxhash64(*comparable_columns(df))]
     ranged = df.repartitionByRange(files, *spread) if files else df.repartitionByRange(*spread)
     return ranged.sortWithinPartitions(*keys)
 
 
 def write_raw_events(df: DataFrame, path: str, files: int | None = None) -> None:
-    """Raw table: ``month`` partitions, rows clustered by date, event and user.
-
-    The number of files grows with the rows unless it is given.
-    """
-    files = files or files_for(df.count(), df.sparkSession)
+    """Raw table: ``month`` partitions, rows clustered by date, event and user."""
     cluster(with_month(df), files).write.mode("overwrite").partitionBy("month").parquet(path)
 
 
@@ -57,7 +48,7 @@ def write_daily_lake(df: DataFrame, base: str) -> None:
     """Lake layout ``date=YYYY-MM-DD``, a busy day spread over several tasks."""
     daily = df.withColumn("date", F.col("event_date"))
     (
-        daily.repartitionByRange("date", "event_time", F.xxhash64(*df.columns))
+        daily.repartitionByRange("date", "event_time", F.xxhash64(*comparable_columns(df)))
         .write.mode("overwrite")
         .partitionBy("date")
         .parquet(base)
@@ -70,6 +61,9 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
 
 
 def write_batched(df: DataFrame, path: str, target_rows: int) -> None:
-    """Few files of about ``target_rows`` rows instead of one per small input piece."""
-    files = max(1, -(-df.count() // target_rows))
-    df.repartition(files).write.mode("append").parquet(path)
+    """Few files of at most ``target_rows`` rows instead of one per small input piece.
+
+    Rows are brought together to the advisory partition size; a task that then holds more
+    rows than a file may starts the next one.
+    """
+    df.hint("rebalance").write.mode("append").option("maxRecordsPerFile", target_rows).parquet(path)

@@ -12,21 +12,24 @@ def write_jdbc(
     url: str,
     table: str,
     properties: Mapping[str, str] | None = None,
-    connections: int = 16,
+    connections: int | None = None,
     rows_per_insert: int = 10_000,
 ) -> None:
-    """Append rows in batches over at most ``connections`` parallel connections.
+    """Append rows in batches, a connection for each task.
 
+    ``connections`` bounds them where the database needs it; the stage that makes the rows
+    then has no more tasks either.
     Struct columns have no JDBC type: flatten windows first. A retried task sends
     its rows again, so the target should keep the last version per key.
     """
-    (
+    writer = (
         df.write.format("jdbc")
         .options(**(properties or {}))
         .option("url", url)
         .option("dbtable", table)
-        .option("numPartitions", connections)
         .option("batchsize", rows_per_insert)
         .mode("append")
-        .save()
     )
+    if connections is not None:
+        writer = writer.option("numPartitions", connections)
+    writer.save()

@@ -26,16 +26,23 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def partition_values(spark: SparkSession, table: str, column: str) -> list[str]:
-    """Non-NULL values of a top-level partition column, read from folder names."""
+    """Non-NULL values of a top-level partition column, read from folder names.
+
+    Folder names are escaped; these are the values themselves, as text.
+    """
     fs, jpath = _open(spark, table)
     names = [status.getPath().getName() for status in fs.listStatus(jpath)]
     values = [n.split("=", 1)[1] for n in names if n.startswith(f"{column}=")]
-    return sorted(v for v in values if v != NULL_FOLDER)
+    utility = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return sorted(utility.unescapePathName(v) for v in values if v != NULL_FOLDER)
 
 
 def drop_partitions(spark: SparkSession, table: str, column: str, values: Iterable) -> None:
+    """Remove the folders of the values, given as text as ``partition_values`` gives them."""
+    utility = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
     for value in values:
-        remove(spark, f"{table}/{column}={NULL_FOLDER if value is None else value}")
+        folder = NULL_FOLDER if value is None else utility.escapePathName(str(value))
+        remove(spark, f"{table}/{column}={folder}")
 
 
 def overwrite_partitions(df: DataFrame, table: str, column: str) -> None:

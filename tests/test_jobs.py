@@ -3,21 +3,26 @@
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.jobs import build_marts, generate_events, nrt_revenue
+from eventloom.functions.scalars import uuid_from_digest
+from eventloom.jobs import build_marts, nrt_revenue
 from eventloom.registry.base import raw
 from eventloom.session import new_dir
 from eventloom.sinks.files import write_parquet
 from eventloom.sources.events import as_event_file
+from eventloom.sources.load import read_loaded
 from eventloom.streaming.nrt import nrt_read
 
 
-def test_generate_load_and_build(spark, capsys):
+def test_load_and_build(spark, sf_dir, capsys):
     out = new_dir(spark, "job")
-    generate_events.main(["--out", f"{out}/file", "--n", "3000", "--partitions", "3"])
-    build_marts.main(["--events", f"{out}/file", "--warehouse", f"{out}/wh"])
-    assert spark.read.parquet(f"{out}/wh/events").count() == 3000
+    named = raw(spark, sf_dir, only=["page_view", "add_to_cart", "purchase"])
+    file = as_event_file(named).withColumn("session_id", uuid_from_digest(F.col("session_id")))
+    write_parquet(file, f"{out}/file")
+    for _ in range(2):
+        build_marts.main(["--events", f"{out}/file", "--warehouse", f"{out}/wh", "--load", "one"])
+    assert read_loaded(spark, f"{out}/wh/events").count() == file.count()
     mart = spark.read.parquet(f"{out}/wh/fct_daily_revenue")
-    bought = spark.read.parquet(f"{out}/file").where("event_name = 'purchase'").count()
+    bought = file.where("event_name = 'purchase'").count()
     assert mart.agg(F.sum("purchases")).first()[0] == bought > 0
     shown = capsys.readouterr().out
     assert "accepted_values_platform" in shown and "|fail " not in shown
@@ -28,7 +33,7 @@ def test_failing_check_ends_the_job(spark, sf_dir):
     file = as_event_file(raw(spark, sf_dir)).withColumn("session_id", F.expr("uuid()"))
     write_parquet(file, f"{out}/file")
     with pytest.raises(SystemExit, match="accepted_values_event_name"):
-        build_marts.main(["--events", f"{out}/file", "--warehouse", f"{out}/wh"])
+        build_marts.main(["--events", f"{out}/file", "--warehouse", f"{out}/wh", "--load", "1"])
 
 
 def test_nrt_job_from_rate_to_table(spark):

@@ -1,4 +1,4 @@
-"""Join strategies: checked broadcast, salting of hot keys, one match, lookups."""
+"""Joins of every type at both plans, salting of hot keys, one match, lookups, grouping."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,9 +70,11 @@ def test_key_hot_on_both_sides(spark, skewed, how):
     assert "_cell" in plan(got) and "_salt" in plan(got)
 
 
-def test_no_hot_keys(spark, skewed):
-    assert joins.hot_keys(skewed, F.xxhash64("user_id"), 5000) is None
-    assert joins.hot_keys(skewed.limit(0), F.xxhash64("user_id"), 1) is None
+def test_no_hot_keys(spark, skewed, users):
+    assert joins.hot_keys(skewed, F.xxhash64("user_id"), 5000).isEmpty()
+    assert joins.hot_keys(skewed.limit(0), F.xxhash64("user_id"), 1).isEmpty()
+    got = joins.salted_join(skewed, users, ["user_id"], "full", hot_rows=5000)
+    assert rows(got.na.fill(-1)) == rows(skewed.join(users, "user_id", "full").na.fill(-1))
 
 
 def test_salted_join_with_other_key_types(spark, skewed, users):
@@ -98,31 +100,65 @@ def test_salts_spread_the_hot_key(spark, skewed, users):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_right_and_full_joins_are_refused(skewed, users):
-    with pytest.raises(ValueError):
-        joins.salted_join(skewed, users, ["user_id"], "full")
+@pytest.mark.parametrize("how", ["right", "full"])
+@pytest.mark.parametrize("hot_rows", [20, 500])
+def test_right_and_full_joins(spark, skewed, users, how, hot_rows):
+    some = skewed.where("user_id <> 3")
+    got = joins.salted_join(some, users, ["user_id"], how, hot_rows=hot_rows)
+    want = some.join(users, "user_id", how)
+    assert got.columns == want.columns
+    assert rows(got.na.fill(-1)) == rows(want.na.fill(-1))
 
 
-def test_small_side_is_broadcast_and_large_side_is_not(spark, skewed, users, monkeypatch):
-    assert "BroadcastHashJoin" in plan(joins.enrich(skewed, users, "user_id"))
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
-    monkeypatch.setattr(joins.fits_broadcast, "__defaults__", (10, joins.BROADCAST_BYTES))
+def test_equal_rows_of_a_hot_key_are_spread(spark, users):
+    """Also with a column that cannot be hashed as it is."""
+    same = spark.range(0, 1000).select(
+        F.lit(7).cast("bigint").alias("user_id"), F.create_map(F.lit("k"), F.lit(1)).alias("m")
+    )
+    key_hash = F.xxhash64("user_id")
+    salted = joins._salt(same, joins.hot_keys(same, key_hash, 125), key_hash, "_salt")
+    parts = {r["_salt"]: r["_copies"] for r in salted.collect()}
+    assert parts == dict.fromkeys(range(8), 125)
+    got = joins.salted_join(same, users, ["user_id"], "inner", hot_rows=125)
+    assert got.groupBy("attribute").count().select("count").distinct().collect() == [(1000,)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "left_semi", "left_anti"])
+@pytest.mark.parametrize("join", ["enrich", "any_join", "preagg_join"])
+def test_small_and_large_plan_agree(spark, skewed, users, join, how):
+    def joined():
+        if join == "enrich":
+            return joins.enrich(skewed, users, "user_id", how)
+        if join == "any_join":
+            return joins.any_join(skewed, users, "user_id", [F.col("attribute")], how)
+        return joins.preagg_join(skewed, "user_id", [F.count("*").alias("n")], users, how)
+
+    small = joined()
+    assert "BroadcastExchange" in plan(small) or how == "full"
+    want = rows(small.na.fill(-1))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", -1)
     try:
-        shuffled = joins.enrich(skewed, users, "user_id", "inner")
-        assert "BroadcastHashJoin" not in plan(shuffled)
-        with pytest.raises(ValueError):
-            joins.enrich(skewed, users, "user_id", broadcast=True)
+        large = joined()
+        assert "BroadcastExchange" not in plan(large)
+        assert rows(large.na.fill(-1)) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert rows(shuffled) == rows(skewed.join(users, "user_id"))
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
-def test_fits_broadcast_counts_rows_and_bytes(spark, users):
-    assert joins.fits_broadcast(users)
-    assert not joins.fits_broadcast(users, max_rows=399)
-    assert not joins.fits_broadcast(users, max_bytes=100)
-    assert joins.fits_broadcast(users.limit(0))
+def test_building_a_join_runs_no_job(spark, skewed, users):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans", "plans")
+    try:
+        joins.enrich(skewed, users, "user_id")
+        joins.any_join(skewed, users, "user_id", [F.col("attribute")])
+        joins.lookup(skewed, users, "user_id", "user_id", "attribute", -1)
+        joins.preagg_join(skewed, "user_id", [F.count("*").alias("n")], users)
+        joins.salted_join(skewed, users, ["user_id"], "full")
+        assert not tracker.getJobIdsForGroup("plans")
+    finally:
+        spark.sparkContext.setJobGroup("", "")
 
 
 def test_any_join_matches_at_most_once(spark, skewed, users):
@@ -144,24 +180,24 @@ def test_orphans_reduce_the_child_before_the_join(spark, skewed):
     assert found.agg(F.sum("n_rows")).first()[0] == skewed.where("user_id >= 100").count()
 
 
-def test_group_by_key_splits_long_keys_and_keeps_every_value(spark, skewed):
-    grouped = group_by_key(skewed, "user_id", "event_id", chunk_rows=400)
+def test_group_by_key_cuts_keys_by_the_declared_bucket(spark, skewed):
+    grouped = group_by_key(skewed, "user_id", "event_id", F.expr("event_id DIV 400"))
     hot = grouped.where("user_id = 7").collect()
-    assert len(hot) > 5 and max(len(r["values"]) for r in hot) < 800
-    assert all(list(r["values"]) == sorted(r["values"]) for r in hot)
-    back = grouped.select("user_id", F.explode("values").alias("event_id"))
+    assert len(hot) > 5 and max(len(r["runs"]) for r in hot) <= 400
+    assert all(list(r["runs"]) == sorted(r["runs"]) for r in hot)
+    assert all(v["event_id"] // 400 == r["bucket"] for r in hot for v in r["runs"])
+    back = grouped.select("user_id", F.explode("runs.event_id").alias("event_id"))
     assert rows(back) == rows(skewed.select("user_id", "event_id"))
-    assert grouped.where("user_id <> 7").where("chunk <> 0").count() == 0
 
 
 def test_group_by_key_with_one_value_repeated(spark):
     same = spark.range(0, 1000).select(F.lit("k").alias("key"), F.lit(5).alias("v"))
-    grouped = group_by_key(same, "key", "v", chunk_rows=100)
-    assert grouped.select(F.sum(F.size("values"))).first()[0] == 1000
-    assert grouped.count() > 3
+    got = group_by_key(same, "key", "v", F.lit(0)).collect()
+    assert [(r["key"], r["bucket"], [tuple(x) for x in r["runs"]]) for r in got] == [("k", 0, [(5, 1000)])]
 
 
 def test_group_by_key_null_key(spark):
     df = spark.createDataFrame([(None, 2), (None, 1), ("a", None)], "key string, v int")
-    got = {r["key"]: list(r["values"]) for r in group_by_key(df, "key", "v").collect()}
-    assert got == {None: [1, 2], "a": [None]}
+    found = group_by_key(df, "key", "v", F.expr("v DIV 10")).collect()
+    got = {r["key"]: (r["bucket"], [x["v"] for x in r["runs"]]) for r in found}
+    assert got == {None: (0, [1, 2]), "a": (None, [None])}

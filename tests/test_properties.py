@@ -13,6 +13,7 @@ from eventloom.operators.versions import collapse, latest_version, summing_merge
 from eventloom.plans import marts, snapshots
 from eventloom.streaming.nrt import nrt_revenue_1m
 
+JOINS = ["inner", "left", "right", "full", "left_semi", "left_anti"]
 few = settings(
     max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
@@ -25,7 +26,7 @@ def counted(df):
 
 
 @few
-@given(left=pairs, right=pairs, how=st.sampled_from(["inner", "left", "left_semi", "left_anti"]))
+@given(left=pairs, right=pairs, how=st.sampled_from(JOINS))
 def test_salted_join(spark, left, right, how):
     a = spark.createDataFrame(left, "k int, a int")
     b = spark.createDataFrame(right, "k int, b int")
@@ -46,13 +47,14 @@ def test_any_join(spark, left, right):
 
 
 @few
-@given(rows=pairs, chunk=st.integers(1, 20))
-def test_group_by_key(spark, rows, chunk):
-    grouped = group_by_key(spark.createDataFrame(rows, "k int, v int"), "k", "v", chunk)
+@given(rows=pairs, width=st.integers(1, 20))
+def test_group_by_key(spark, rows, width):
+    frame = spark.createDataFrame(rows, "k int, v int")
     got = defaultdict(list)
-    for r in grouped.collect():
-        assert list(r["values"]) == sorted(r["values"])
-        got[r["k"]] += r["values"]
+    for r in group_by_key(frame, "k", "v", F.floor(F.col("v") / width)).collect():
+        assert list(r["runs"]) == sorted(r["runs"])
+        assert all(x["v"] // width == r["bucket"] for x in r["runs"])
+        got[r["k"]] += [x["v"] for x in r["runs"] for _ in range(x["n"])]
     want = defaultdict(list)
     for k, v in rows:
         want[k].append(v)

@@ -122,7 +122,7 @@ def state(spark, rows):
 def history(df):
     return sorted(
         (tuple(r) for r in df.select("id", "v", "valid_from", "valid_to").collect()),
-        key=lambda r: (r[0], r[2]),
+        key=lambda r: (r[0] or 0, r[2]),
     )
 
 
@@ -187,3 +187,37 @@ def test_stored_history_is_repeatable(spark):
     assert {r[0] for r in spark.read.parquet(path).select("closed_in").distinct().collect()} == {
         "open", "r1", "r2", "r3"
     }
+
+
+def test_null_key_stays_open(spark):
+    hist = snapshots.start_history(state(spark, [(None, "a", T0), (2, "b", T0)]), F.lit(T0))
+    again = snapshots.scd2_check(hist, state(spark, [(None, "a", T0), (2, "b", T0)]), "id", ["v"], T1)
+    assert history(again) == history(hist)
+
+
+def test_two_rows_of_a_key_are_refused(spark):
+    hist = snapshots.start_history(state(spark, [(1, "a", T0)]), F.lit(T0))
+    twice = snapshots.scd2_check(hist, state(spark, [(1, "a", T0), (1, "b", T0)]), "id", ["v"], T1)
+    with pytest.raises(Exception, match="two rows of one key: 1"):
+        twice.collect()
+
+
+def test_returning_key_does_not_overlap(spark):
+    hist = snapshots.start_history(state(spark, [(1, "a", T0), (2, "b", T0)]), F.lit(T0))
+    hist = snapshots.scd2_timestamp(hist, state(spark, [(2, "b", T0)]), "id", "updated_at", T1)
+    both = state(spark, [(1, "a", T0), (2, "b", T0)])
+    hist = snapshots.scd2_timestamp(hist, both, "id", "updated_at", T2)
+    assert history(hist) == [(1, "a", T0, T1), (1, "a", T1, None), (2, "b", T0, None)]
+
+
+def test_emptied_history_fills_again(spark):
+    path = new_dir(spark, "history")
+    snapshots.create_history(state(spark, [(1, "a", T0)]), path, F.lit(T0))
+    for run, rows, at in (("2024-01-02", [], T1), ("2024-01-03", [(1, "a", T0)], T2)):
+        def step(hist, cur, at=at):
+            return snapshots.scd2_check(hist, cur, "id", ["v"], at)
+
+        snapshots.advance_history(spark, path, state(spark, rows), run, step)
+    got = snapshots.read_history(spark, path)
+    assert history(got) == [(1, "a", T0, T1), (1, "a", T2, None)]
+    assert {r["closed_in"] for r in got.collect()} == {"2024-01-02", "open"}

@@ -1,4 +1,4 @@
-"""Generator, typed load, seeds, lake folders, file sinks."""
+"""Typed load, seeds, lake folders, file sinks."""
 
 import datetime as dt
 from unittest import mock
@@ -6,9 +6,9 @@ from unittest import mock
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.functions.scalars import UUID_LAYOUT, parse_time
+from eventloom.functions.scalars import parse_time, uuid_from_digest
 from eventloom.registry.base import raw, table
-from eventloom.session import new_dir, shared_dir
+from eventloom.session import new_dir, scratch_dir, shared_dir
 from eventloom.sinks.files import (
     write_batched,
     write_daily_lake,
@@ -19,74 +19,52 @@ from eventloom.sinks.files import (
 from eventloom.sinks.jdbc import write_jdbc
 from eventloom.sources.events import (
     EVENT_NAMES,
-    EVENT_SCHEMA,
     PLATFORMS,
+    as_event_file,
     read_events,
     read_events_day,
 )
-from eventloom.sources.generator import generate_events
-from eventloom.sources.load import load_raw_events, split_raw_events
+from eventloom.sources.load import load_raw_events, read_loaded, split_raw_events
 from eventloom.sources.seeds import load_seed
 from eventloom.sources.streams import kafka_events
-
-AS_OF = dt.datetime(2024, 3, 8)
+from eventloom.storage import exists
 
 
 def files_of(spark, path):
     return spark.read.parquet(path).select(F.col("_metadata.file_path")).distinct().count()
 
 
-def test_generated_events(spark):
-    events = generate_events(spark, n=40_000, partitions=6, seed=3, as_of=AS_OF)
-    assert [(f.name, f.dataType) for f in events.schema] == [
-        (f.name, f.dataType) for f in EVENT_SCHEMA
-    ]
-    assert events.rdd.getNumPartitions() == 6
-    shares = {
-        column: {r[0]: r[1] / 40_000 for r in events.groupBy(column).count().collect()}
-        for column in ("event_name", "platform")
-    }
-    for column, expected in (
-        ("event_name", {"page_view": 0.70, "add_to_cart": 0.27, "purchase": 0.03}),
-        ("platform", {"web": 0.55, "ios": 0.36, "android": 0.09}),
-    ):
-        assert shares[column].keys() == expected.keys()
-        assert all(abs(shares[column][k] - v) < 0.015 for k, v in expected.items())
-    facts = events.agg(
-        F.min("event_time"), F.max("event_time"), F.min("user_id"), F.max("user_id"),
-        F.count_distinct("session_id"),
-        F.count_if(~F.col("session_id").rlike(UUID_LAYOUT)),
-        F.count_if((F.col("price") != 0) & (F.col("event_name") != "purchase")),
-        F.max("price"),
-        F.count_if(~F.col("props_json").rlike('^\\{"path":"/p/[0-9]{1,3}","ab":"A"\\}$')),
-    ).first()
-    assert "2024-03-01 00:00:00" <= facts[0] and facts[1] <= "2024-03-08 00:00:00"
-    assert 0 <= facts[2] and facts[3] < 100_000
-    assert facts[4] == 40_000 and facts[5] == facts[6] == facts[8] == 0
-    assert 450 < facts[7] < 500
-
-
-def test_generator_is_reproducible(spark):
-    first, second, other = (
-        generate_events(spark, 500, 4, seed, AS_OF).collect() for seed in (1, 1, 2)
-    )
-    assert first == second != other
+def loadable(spark, folder="/root/testdata/sf0.001"):
+    """The folder's events as an event file of which every row loads."""
+    file = as_event_file(raw(spark, folder))
+    return file.withColumn("session_id", uuid_from_digest(F.col("session_id")))
 
 
-def test_generated_events_load_without_rejects(spark):
+def test_event_files_load_without_rejects(spark):
     out = new_dir(spark, "load")
-    path = f"{out}/file"
-    write_parquet(generate_events(spark, 2000, 4, 5, AS_OF), path)
-    events = spark.read.parquet(path)
-    assert load_raw_events(events, f"{out}/events", f"{out}/rejects") is False
-    loaded = spark.read.parquet(f"{out}/events")
-    assert loaded.count() == 2000
+    write_parquet(loadable(spark), f"{out}/file")
+    events = spark.read.parquet(f"{out}/file")
+    assert load_raw_events(events, f"{out}/events", f"{out}/rejects", "one") is False
+    loaded = read_loaded(spark, f"{out}/events")
+    assert loaded.count() == 1000
     assert dict(loaded.dtypes)["price"] == "decimal(12,2)"
-    typed = read_events(spark, path)
+    typed = read_events(spark, f"{out}/file")
     assert dict(typed.dtypes)["event_time"] == "timestamp"
     assert typed.where(F.col("event_date").isNull()).count() == 0
 
 
+def test_a_load_is_repeatable(spark):
+    out = new_dir(spark, "load")
+    events = loadable(spark)
+    bad = events.limit(3).withColumn("event_name", F.lit(None).cast("string"))
+    for load_id, rows in (("1", events), ("02", events.limit(10)), ("1", events.unionByName(bad))):
+        load_raw_events(rows, f"{out}/events", f"{out}/rejects", load_id)
+    counts = read_loaded(spark, f"{out}/events").groupBy("load_id").count().collect()
+    assert {tuple(r) for r in counts} == {("1", 1000), ("02", 10)}
+    rejects = read_loaded(spark, f"{out}/rejects")
+    assert [r["reject_reason"] for r in rejects.collect()] == ["event_name"] * 3
+
+
 def test_typed_load_rejects_name_their_columns(spark):
     good = ("2024-01-01 10:00:00.1239", "5", "0" * 8 + "-0000-0000-0000-" + "A" * 12, "1.5")
     cases = [
@@ -98,7 +76,7 @@ def test_typed_load_rejects_name_their_columns(spark):
         ("zzz", *good[1:]),
         ("zzz", "-5", "no", None),
     ]
-    rows = [(*c, "purchase", "web", "{}") for c in cases]
+    rows = [(*c, "purchase", "web", "{}") for c in cases] + [(*good, None, None, None)]
     columns = "event_time string, user_id string, session_id string, price string, "
     columns += "event_name string, platform string, props_json string"
     accepted, rejected = split_raw_events(spark.createDataFrame(rows, columns))
@@ -108,7 +86,7 @@ def test_typed_load_rejects_name_their_columns(spark):
     assert row["session_id"].endswith("a" * 12) and str(row["price"]) == "1.50"
     assert [r["reject_reason"] for r in rejected.collect()] == [
         "user_id", "user_id", "session_id", "price", "event_time",
-        "event_time,user_id,session_id,price",
+        "event_time,user_id,session_id,price", "event_name,platform,props_json",
     ]
 
 
@@ -117,9 +95,9 @@ def test_load_of_bad_rows_only_and_of_nothing(spark):
     rows = [("zzz", "1", "s", "1", "purchase", "web", "{}")]
     columns = "event_time string, user_id string, session_id string, price string, "
     df = spark.createDataFrame(rows, columns + "event_name string, platform string, props_json string")
-    assert not load_raw_events(df.limit(0), f"{out}/events", f"{out}/rejects")
-    assert load_raw_events(df, f"{out}/events", f"{out}/rejects")
-    (reject,) = spark.read.parquet(f"{out}/rejects").collect()
+    assert not load_raw_events(df.limit(0), f"{out}/events", f"{out}/rejects", "a")
+    assert load_raw_events(df, f"{out}/events", f"{out}/rejects", "b")
+    (reject,) = read_loaded(spark, f"{out}/rejects").drop("load_id").collect()
     assert tuple(reject)[:7] == rows[0] and reject["reject_reason"] == "event_time,session_id"
 
 
@@ -193,7 +171,8 @@ def test_batched_and_line_files(spark, sf_dir):
     path = new_dir(spark, "files")
     events = table(spark, sf_dir, "events").repartition(20)
     write_batched(events, f"{path}/b", target_rows=400)
-    assert files_of(spark, f"{path}/b") == 3
+    sizes = spark.read.parquet(f"{path}/b").groupBy(F.col("_metadata.file_path")).count().collect()
+    assert max(r["count"] for r in sizes) == 400 and len(sizes) == 3
     write_lines(events, "event_id", f"{path}/t")
     assert spark.read.text(f"{path}/t").count() == events.count()
 
@@ -244,25 +223,33 @@ def test_literal_rows_append(spark):
     # A uuid() column keeps its values when a DataFrame runs again: one insert, one query.
     insert = """
         SELECT current_timestamp() AS event_time, uuid() AS session_id, * FROM VALUES
-          (1, 'page_view', 'web', 0, '{"path":"/"}'),
-          (1, 'purchase', 'web', 199.90, '{"sku":"A1"}')
+          (41, 'add_to_cart', 'ios', 12.5, '{"step":2}'),
+          (42, 'purchase', 'android', 7.25, '{"step":3}'),
+          (43, 'page_view', 'web', 0, '{"step":1}')
           AS t(user_id, event_name, platform, price, props_json)
     """
-    for _ in range(2):
+    for load_id in ("first", "second"):
         rows = spark.sql(insert)
-        assert not load_raw_events(rows, f"{out}/events", f"{out}/rejects")
-    stored = spark.read.parquet(f"{out}/events")
-    assert stored.count() == 4 and stored.select("session_id").distinct().count() == 4
-    assert str(stored.agg(F.sum("price")).first()[0]) == "399.80"
+        assert not load_raw_events(rows, f"{out}/events", f"{out}/rejects", load_id)
+    stored = read_loaded(spark, f"{out}/events")
+    assert stored.count() == 6 and stored.select("session_id").distinct().count() == 6
+    assert str(stored.agg(F.sum("price")).first()[0]) == "39.50"
 
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
-    cluster = mock.MagicMock()
-    cluster.conf.get.return_value = None
-    cluster.sparkContext.master = "yarn"
-    with pytest.raises(RuntimeError):
-        shared_dir(cluster)
+    unset = mock.MagicMock()
+    unset.conf.get.side_effect = lambda key, *default: (
+        "hdfs:/wh/" if key == "spark.sql.warehouse.dir" else default[0]
+    )
+    assert shared_dir(unset) == "hdfs:/wh"
+
+
+def test_scratch_goes_also_on_failure(spark):
+    with pytest.raises(ZeroDivisionError), scratch_dir(spark, "gone") as path:
+        spark.range(3).write.parquet(path)
+        1 / 0
+    assert not exists(spark, path)
 
 
 def test_domains():

@@ -11,7 +11,6 @@ from eventloom.plans import incremental
 from eventloom.plans.marts import daily_purchase_revenue, fct_daily_revenue, stg_events
 from eventloom.registry.base import raw
 from eventloom.session import new_dir
-from eventloom.sinks import files
 from eventloom.sinks.files import write_raw_events
 from eventloom.storage import exists, overwrite_partitions, partition_values
 
@@ -234,10 +233,76 @@ def test_rebuild_leaves_undated_rows_and_compares_numbers(spark):
     assert {r["part"] for r in got.collect()} == {None, 9, 10}
 
 
-def test_file_count_grows_with_the_rows(spark, monkeypatch):
-    assert files.files_for(10**7, spark) is None
-    assert files.files_for(10**12, spark) == 100_000
-    monkeypatch.setattr(files, "ROWS_PER_FILE", 500)
-    path = new_dir(spark, "raw")
-    write_raw_events(raw(spark, SF), path)
-    assert len(spark.read.parquet(path).inputFiles()) == 20
+def test_files_follow_the_advisory_size(spark):
+    """The same rule at every size: ranges are merged up to the advisory partition size."""
+    counts = []
+    for size in ("64m", "64k"):
+        names = ("advisoryPartitionSizeInBytes", "coalescePartitions.minPartitionSize")
+        settings = {f"spark.sql.adaptive.{name}": size for name in names}
+        settings["spark.sql.adaptive.coalescePartitions.parallelismFirst"] = "false"
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        try:
+            path = new_dir(spark, "raw")
+            write_raw_events(raw(spark, SF), path)
+            counts.append(len(spark.read.parquet(path).inputFiles()))
+        finally:
+            for key in settings:
+                spark.conf.unset(key)
+    assert counts[0] == 1 < counts[1]
+
+
+def test_fold_never_counts_twice(spark):
+    """Folding up to an older block than the base already holds changes nothing."""
+    target = new_dir(spark, "mv")
+    rows = spark.createDataFrame(
+        [(dt.datetime(2024, 1, 1), "web", "purchase", "1.00")],
+        "event_time timestamp_ntz, platform string, event_name string, price string",
+    ).withColumn("price", F.col("price").cast("decimal(12,2)"))
+    for batch_id in range(6):
+        incremental.mv_apply(rows, target, batch_id)
+    for through in (5, 3, 5, 0):
+        incremental.mv_fold(spark, target, through)
+        assert str(incremental.mv_read(spark, target).first()["revenue"]) == "6.00"
+
+
+def test_rebuild_with_odd_folder_names(spark):
+    path = new_dir(spark, "rebuild")
+    source = spark.createDataFrame(
+        [("a:b", 1), ("b/c", 2), ("007", 3), ("%2F", 4)], "part string, v int"
+    )
+
+    def model(df):
+        return df.groupBy("part").agg(F.sum("v").alias("v"))
+
+    incremental.incremental_rebuild(spark, source, path, model, "part")
+    got = incremental.incremental_rebuild(spark, source, path, model, "part", since="a")
+    kept = {(r["part"], r["v"]) for r in got.collect()}
+    assert kept == {("a:b", 1), ("b/c", 2), ("007", 3), ("%2F", 4)}
+    fewer = source.where("part <> 'a:b'")
+    got = incremental.incremental_rebuild(spark, fewer, path, model, "part", since="a")
+    assert {r["part"] for r in got.collect()} == {"b/c", "007", "%2F"}
+
+
+def test_rebuild_by_time(spark):
+    path = new_dir(spark, "rebuild")
+    times = [dt.datetime(2024, 1, d, 10, 30) for d in (1, 2, 3)]
+    source = spark.createDataFrame([(t, 1) for t in times], "part timestamp_ntz, v int")
+
+    def model(df):
+        return df.groupBy("part").agg(F.sum("v").alias("v"))
+
+    incremental.incremental_rebuild(spark, source, path, model, "part")
+    less = source.where(F.col("part") != F.lit(times[2]).cast("timestamp_ntz"))
+    got = incremental.incremental_rebuild(spark, less, path, model, "part", since=times[1])
+    assert sorted(r["part"] for r in got.collect()) == times[:2]
+
+
+def test_append_by_number_and_after_nothing(spark):
+    path = new_dir(spark, "append")
+    source = spark.createDataFrame([(9, 1), (10, 2), (10, 3)], "part int, at int")
+    empty = incremental.incremental_append(spark, source.limit(0), path, "at", partition="part")
+    assert empty.count() == 0
+    for rows in (source.where("at < 3"), source, source):
+        got = incremental.incremental_append(spark, rows, path, "at", partition="part")
+    assert sorted(tuple(r) for r in got.select("part", "at").collect()) == [(9, 1), (10, 2), (10, 3)]
