@@ -15,7 +15,7 @@ from eventloom.functions.aggregates import (
     uniq_exact,
     uniq_exact_if,
 )
-from eventloom.operators.rows import trailing, trailing_days
+from eventloom.operators.rows import month_filter, trailing, trailing_days
 
 # Staging columns in order.
 STAGING_COLUMNS = (
@@ -57,12 +57,20 @@ def daily_purchase_revenue(events: DataFrame) -> DataFrame:
     )
 
 
+def _recent_months(events: DataFrame, days: int, as_of: dt.date | Column | None) -> DataFrame:
+    return month_filter(events, days, as_of) if "month" in events.columns else events
+
+
 def dau(
     events: DataFrame, as_of: dt.datetime | Column | None = None, hours: int = 24
 ) -> DataFrame:
-    """Distinct users per day and platform over the trailing hours, newest day first."""
+    """Distinct users per day and platform over the trailing hours, newest day first.
+
+    A table by months is cut at the first month concerned, so older folders are not listed.
+    """
+    recent = _recent_months(events, -(-hours // 24), as_of)
     return (
-        trailing(events, "event_time", hours, as_of)
+        trailing(recent, "event_time", hours, as_of)
         .groupBy(F.to_date("event_time").alias("d"), "platform")
         .agg(uniq_exact(F.col("user_id")).alias("dau"))
         .orderBy(F.desc("d"), "platform")
@@ -72,9 +80,12 @@ def dau(
 def event_breakdown(
     events: DataFrame, as_of: dt.date | Column | None = None, days: int = 7
 ) -> DataFrame:
-    """Users, events and revenue per day and event name over the trailing days."""
+    """Users, events and revenue per day and event name over the trailing days.
+
+    A table by months is cut as in ``dau``.
+    """
     return (
-        trailing_days(events, "event_date", days, as_of)
+        trailing_days(_recent_months(events, days, as_of), "event_date", days, as_of)
         .groupBy("event_date", "event_name")
         .agg(
             uniq_exact(F.col("user_id")).alias("users"),

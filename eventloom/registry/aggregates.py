@@ -17,11 +17,14 @@ from eventloom.operators.groups import group_by_key, reduce_by_key
 from eventloom.operators.rows import newest
 from eventloom.plans import marts
 from eventloom.registry.base import query, raw, table, with_ev
+from eventloom.session import new_dir
+from eventloom.sinks.files import write_parquet, write_raw_events
+from eventloom.sources.events import as_event_file
 
 _PURCHASE_COLUMNS = """
   CAST(COUNT(*) FILTER (event_name = 'purchase') AS BIGINT) AS purchases,
   CAST(COUNT(DISTINCT user_id) FILTER (event_name = 'purchase') AS BIGINT) AS buyers,
-  CAST(COALESCE(SUM(price) FILTER (event_name = 'purchase'), 0) AS DOUBLE) AS revenue"""
+  CAST(COALESCE(SUM(price) FILTER (event_name = 'purchase'), 0) AS DECIMAL(18,2)) AS revenue"""
 
 
 @query(with_ev(f"SELECT event_date, platform, {_PURCHASE_COLUMNS} FROM ev GROUP BY ALL"))
@@ -35,7 +38,7 @@ def daily_purchase_metrics(spark, sf_dir):
 
 
 @query(with_ev(f"""
-SELECT CAST(COUNT(*) AS BIGINT) AS events, CAST(SUM(price) AS DOUBLE) AS total,
+SELECT CAST(COUNT(*) AS BIGINT) AS events, CAST(SUM(price) AS DECIMAL(22,2)) AS total,
        CAST(COUNT(DISTINCT user_id) AS BIGINT) AS users, {_PURCHASE_COLUMNS}
 FROM ev"""))
 def event_totals(spark, sf_dir):
@@ -45,7 +48,7 @@ def event_totals(spark, sf_dir):
         uniq_exact(F.col("user_id")).alias("users"),
         count_if(is_purchase()).alias("purchases"),
         uniq_exact_if(F.col("user_id"), is_purchase()).alias("buyers"),
-        sum_if(F.col("price"), is_purchase()).alias("revenue"),
+        sum_if(F.col("price"), is_purchase()).cast("decimal(18,2)").alias("revenue"),
     )
 
 
@@ -73,7 +76,7 @@ def dau_24h(spark, sf_dir):
 
 @query(with_ev("""
 SELECT event_date, event_name, CAST(COUNT(DISTINCT user_id) AS BIGINT) AS users,
-       CAST(COUNT(*) AS BIGINT) AS events, CAST(SUM(price) AS DOUBLE) AS revenue
+       CAST(COUNT(*) AS BIGINT) AS events, CAST(SUM(price) AS DECIMAL(18,2)) AS revenue
 FROM ev WHERE event_date >= (SELECT MAX(event_date) FROM ev) - 7 GROUP BY ALL"""))
 def event_breakdown_7d(spark, sf_dir):
     events = raw(spark, sf_dir)
@@ -93,7 +96,7 @@ def event_counts(spark, sf_dir):
 
 
 @query("""
-SELECT user_id, CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total,
+SELECT user_id, CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS total,
        MIN(ts) AS first_seen, MAX(ts) AS last_seen
 FROM events GROUP BY user_id""")
 def reduce_by_user(spark, sf_dir):
@@ -124,7 +127,42 @@ def grouped_event_ids(spark, sf_dir):
 
 
 @query(with_ev("""
-SELECT event_date, platform, CAST(SUM(price) AS DOUBLE) AS revenue FROM ev
+SELECT event_date, platform, CAST(SUM(price) AS DECIMAL(18,2)) AS revenue FROM ev
 WHERE event_name = 'purchase' GROUP BY ALL"""))
 def daily_purchase_revenue(spark, sf_dir):
     return marts.daily_purchase_revenue(raw(spark, sf_dir, only=["purchase"]))
+
+
+def _by_months(spark, sf_dir):
+    path = new_dir(spark, "raw")
+    write_raw_events(raw(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+@query(with_ev("""
+SELECT event_date AS d, platform, CAST(COUNT(DISTINCT user_id) AS BIGINT) AS dau
+FROM ev WHERE event_time >= (SELECT MAX(event_time) FROM ev) - INTERVAL 24 HOUR
+GROUP BY ALL"""))
+def dau_of_month_table(spark, sf_dir):
+    events = _by_months(spark, sf_dir)
+    return marts.dau(events, as_of=newest(raw(spark, sf_dir), "event_time"))
+
+
+@query(with_ev("""
+SELECT event_date, event_name, CAST(COUNT(DISTINCT user_id) AS BIGINT) AS users,
+       CAST(COUNT(*) AS BIGINT) AS events, CAST(SUM(price) AS DECIMAL(18,2)) AS revenue
+FROM ev WHERE event_date >= (SELECT MAX(event_date) FROM ev) - 7 GROUP BY ALL"""))
+def breakdown_of_month_table(spark, sf_dir):
+    events = _by_months(spark, sf_dir)
+    return marts.event_breakdown(events, as_of=newest(raw(spark, sf_dir), "event_time"))
+
+
+@query(with_ev("""
+SELECT event_date, platform, CAST(SUM(price) AS DECIMAL(18,2)) AS revenue FROM ev
+WHERE event_name = 'purchase' GROUP BY ALL"""))
+def revenue_of_double_prices(spark, sf_dir):
+    """Event files carry prices as doubles; their sums are exact all the same."""
+    path = new_dir(spark, "event-file")
+    write_parquet(as_event_file(raw(spark, sf_dir)), path)
+    events = spark.read.parquet(path)
+    return marts.daily_purchase_revenue(events.withColumn("event_time", F.to_timestamp_ntz("event_time")))

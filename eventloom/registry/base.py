@@ -52,16 +52,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def comparable(df: DataFrame) -> DataFrame:
-    """Money as double and instants as local time: types that compare across engines.
-
-    The models themselves keep decimals.
-    """
+    """Instants as local time, a type that compares across engines; all others as they are."""
     columns = []
     for field in df.schema:
         column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.DecimalType):
-            column = column.cast("double")
-        elif isinstance(field.dataType, T.TimestampType):
+        if isinstance(field.dataType, T.TimestampType):
             column = column.cast("timestamp_ntz")
         columns.append(column.alias(field.name))
     return df.select(*columns)

@@ -82,7 +82,7 @@ def segment_lookup(spark, sf_dir):
 @query("""
 SELECT e.user_id, e.n_events, e.total, c.c_mktsegment
 FROM (SELECT user_id, CAST(COUNT(*) AS BIGINT) AS n_events,
-             CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total
+             CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS total
       FROM events GROUP BY user_id) e
 LEFT JOIN customer c ON e.user_id = c.c_custkey""")
 def preaggregated_join(spark, sf_dir):

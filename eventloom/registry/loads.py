@@ -44,7 +44,7 @@ def named_sources(spark, sf_dir):
 
 @query(with_ev("""
 SELECT date_trunc('second', event_time) AS event_time, event_date, user_id, session_id,
-       event_name, platform, CAST(price AS DOUBLE) AS price, props_json
+       event_name, platform, CAST(price AS DECIMAL(12,2)) AS price, props_json
 FROM ev"""))
 def read_event_files(spark, sf_dir):
     path = new_dir(spark, "event-file")
@@ -96,7 +96,7 @@ _UUID = " || '-' || ".join(
 
 @query(with_ev(f"""
 SELECT event_date, date_trunc('millisecond', event_time) AS event_time, user_id,
-       {_UUID} AS session_id, event_name, platform, CAST(price AS DOUBLE) AS price, props_json,
+       {_UUID} AS session_id, event_name, platform, CAST(price AS DECIMAL(12,2)) AS price, props_json,
        CAST(year(event_date) * 100 + month(event_date) AS INTEGER) AS month
 FROM ev WHERE event_name NOT IN ('error', 'signup')"""))
 def load_raw_table(spark, sf_dir):

@@ -24,7 +24,7 @@ _MART = """
 SELECT event_date, platform,
        CAST(COUNT(*) FILTER (event_name = 'purchase') AS BIGINT) AS purchases,
        CAST(COUNT(DISTINCT user_id) FILTER (event_name = 'purchase') AS BIGINT) AS buyers,
-       CAST(COALESCE(SUM(price) FILTER (event_name = 'purchase'), 0) AS DOUBLE) AS revenue
+       CAST(COALESCE(SUM(price) FILTER (event_name = 'purchase'), 0) AS DECIMAL(18,2)) AS revenue
 FROM ev GROUP BY ALL"""
 
 
@@ -74,7 +74,7 @@ def rebuild_by_text(spark, sf_dir):
 
 
 @query(with_ev("""
-SELECT event_date, platform, CAST(SUM(price) AS DOUBLE) AS revenue FROM ev
+SELECT event_date, platform, CAST(SUM(price) AS DECIMAL(18,2)) AS revenue FROM ev
 WHERE event_name = 'purchase' AND event_date < (SELECT MAX(event_date) FROM ev) GROUP BY ALL"""))
 def rebuild_without_purchases(spark, sf_dir):
     """The last day has lost its purchases: a mart of purchases loses the day."""

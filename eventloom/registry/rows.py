@@ -27,7 +27,7 @@ from eventloom.registry.base import query, raw, table, with_ev
 
 @query(with_ev("""
 SELECT event_time, event_date, user_id, session_id, event_name, platform,
-       CAST(price AS DOUBLE) AS price, props_json
+       CAST(price AS DECIMAL(12,2)) AS price, props_json
 FROM ev"""))
 def staging_events(spark, sf_dir):
     return materialize_view(stg_events(raw(spark, sf_dir)), "stg_events")
@@ -78,7 +78,9 @@ def default_event_date(spark, sf_dir):
     return with_event_date(given).select("event_id", "event_date")
 
 
-@query("SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase'")
+@query("""
+SELECT event_id, user_id, CAST(value AS DECIMAL(12,2)) AS value
+FROM events WHERE event_type = 'purchase'""")
 def purchases(spark, sf_dir):
     events = raw(spark, sf_dir, only=["purchase"])
     return events.where(F.col("event_name") == "purchase").select(
@@ -218,7 +220,7 @@ def best_effort_times(spark, sf_dir):
 
 @query("""
 SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE user_id END AS user_id,
-       CASE WHEN event_type = 'click' THEN NULL ELSE CAST(value AS DOUBLE) END AS price,
+       CASE WHEN event_type = 'click' THEN NULL ELSE CAST(value AS DECIMAL(12,2)) END AS price,
        CAST(floor(value) AS BIGINT) AS whole, CAST(event_id AS VARCHAR) AS id_text
 FROM events""")
 def checked_casts(spark, sf_dir):
@@ -265,7 +267,7 @@ def text_functions(spark, sf_dir):
 SELECT event_date, platform,
        CAST(COUNT(*) FILTER (event_name = 'purchase') AS BIGINT) AS purchases,
        CAST(COUNT(DISTINCT user_id) FILTER (event_name = 'purchase') AS BIGINT) AS buyers,
-       CAST(COALESCE(SUM(price) FILTER (event_name = 'purchase'), 0) AS DOUBLE) AS revenue
+       CAST(COALESCE(SUM(price) FILTER (event_name = 'purchase'), 0) AS DECIMAL(18,2)) AS revenue
 FROM ev GROUP BY ALL ORDER BY event_date DESC, platform LIMIT 20"""))
 def newest_mart_rows(spark, sf_dir):
     fct = fct_daily_revenue(stg_events(raw(spark, sf_dir)))

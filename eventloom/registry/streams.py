@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.registry.base import query, raw, with_ev
+from eventloom.operators.rows import newest
+from eventloom.registry.base import query, raw, table, with_ev
 from eventloom.session import new_dir
 from eventloom.sinks.streams import ingest_events, read_versions, versioned_sink
 from eventloom.sources.events import SOURCE_SCHEMAS, as_event_file, raw_events
@@ -18,7 +19,7 @@ from eventloom.streaming import nrt
 _MINUTES = with_ev("""
 SELECT time_bucket(INTERVAL 1 MINUTE, event_time) AS window_start,
        time_bucket(INTERVAL 1 MINUTE, event_time) + INTERVAL 1 MINUTE AS window_end, platform,
-       CAST(COALESCE(SUM(price) FILTER (event_name = 'purchase'), 0) AS DOUBLE) AS revenue_1m,
+       CAST(COALESCE(SUM(price) FILTER (event_name = 'purchase'), 0) AS DECIMAL(18,2)) AS revenue_1m,
        CAST(COUNT(*) FILTER (event_name = 'purchase') AS BIGINT) AS purchases_1m,
        CAST(COUNT(DISTINCT user_id) FILTER (event_name = 'purchase') AS BIGINT) AS buyers_1m
 FROM ev GROUP BY ALL""")
@@ -48,13 +49,67 @@ def nrt_revenue_stream(spark, sf_dir):
     return nrt.nrt_read(spark, f"{path}/table").drop("updated_at")
 
 
-@query()
+@query(with_ev("""
+SELECT window_start, window_start + INTERVAL 1 MINUTE AS window_end, platform,
+       CAST(COALESCE(SUM(price) FILTER (event_name = 'purchase'), 0) AS DECIMAL(18,2))
+         AS revenue_1m,
+       CAST(COUNT(*) FILTER (event_name = 'purchase') AS BIGINT) AS purchases_1m,
+       TRUE AS buyers_are_close
+FROM (SELECT *, time_bucket(INTERVAL 1 MINUTE, event_time) AS window_start FROM ev) e
+GROUP BY ALL"""))
 def nrt_revenue_approx_stream(spark, sf_dir):
-    """Buyers by sketch: an estimate, so without oracle."""
+    """Buyers by sketch: each group's estimate lies within a tenth, or one, of the truth."""
     path = new_dir(spark, "nrt-approx")
     updates = nrt.nrt_revenue_1m(event_stream(spark, sf_dir), exact=False, rsd=0.02)
     versioned_sink(updates, f"{path}/table", f"{path}/checkpoint", UNTIL_DONE).awaitTermination()
-    return read_versions(spark, f"{path}/table", nrt.TOTAL_KEYS).drop("updated_at")
+    found = read_versions(spark, f"{path}/table", nrt.TOTAL_KEYS).drop("updated_at")
+    events = raw(spark, sf_dir).withColumn("event_time", F.col("event_time").cast("timestamp"))
+    exact = nrt.nrt_revenue_1m(events).select(*nrt.TOTAL_KEYS, F.col("buyers_1m").alias("buyers"))
+    both = found.join(exact, list(nrt.TOTAL_KEYS), "left")
+    close = F.abs(F.col("buyers_1m") - F.col("buyers")) <= F.greatest(F.lit(1), F.col("buyers") / 10)
+    return both.withColumn("buyers_are_close", close).drop("buyers_1m", "buyers")
+
+
+def _parts(spark, sf_dir):
+    """Four quarters of the events, by their ids and so by their times."""
+    events = table(spark, sf_dir, "events")
+    quarter = F.floor(F.col("event_id") * 4 / (newest(events, "event_id") + 1))
+    return [events.where(quarter == n) for n in range(4)]
+
+
+@query(_MINUTES)
+def nrt_restarted_stream(spark, sf_dir):
+    """Events arrive in four portions; the stream ends after each and goes on from there."""
+    path = new_dir(spark, "nrt-restart")
+    for part in _parts(spark, sf_dir):
+        _arrive_and_run(spark, path, part)
+    return nrt.nrt_read(spark, f"{path}/table").drop("updated_at")
+
+
+@query(with_ev("""
+SELECT time_bucket(INTERVAL 1 MINUTE, event_time) AS window_start,
+       time_bucket(INTERVAL 1 MINUTE, event_time) + INTERVAL 1 MINUTE AS window_end, platform,
+       CAST(COALESCE(SUM(price) FILTER (event_name = 'purchase'), 0) AS DECIMAL(18,2))
+         AS revenue_1m,
+       CAST(COUNT(*) FILTER (event_name = 'purchase') AS BIGINT) AS purchases_1m,
+       CAST(COUNT(DISTINCT user_id) FILTER (event_name = 'purchase') AS BIGINT) AS buyers_1m
+FROM ev WHERE floor(event_id * 4 / ((SELECT MAX(event_id) FROM ev) + 1)) >= 2 GROUP BY ALL"""))
+def nrt_late_rows(spark, sf_dir):
+    """The third and fourth quarter, then the first: it comes after the watermark and is
+    left out."""
+    path = new_dir(spark, "nrt-late")
+    parts = _parts(spark, sf_dir)
+    for n in (2, 3, 0):
+        _arrive_and_run(spark, path, parts[n])
+    return nrt.nrt_read(spark, f"{path}/table").drop("updated_at")
+
+
+def _arrive_and_run(spark, path, part):
+    """One more portion of files, and a run of the stream until they are used up."""
+    part.write.mode("append").parquet(f"{path}/in")
+    files = spark.readStream.schema(SOURCE_SCHEMAS["events"]).parquet(f"{path}/in")
+    stream = raw_events(files).withColumn("event_time", F.col("event_time").cast("timestamp"))
+    nrt.nrt_stream(stream, f"{path}/table", f"{path}/checkpoint", UNTIL_DONE).awaitTermination()
 
 
 @query(with_ev("""

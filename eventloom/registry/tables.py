@@ -51,7 +51,7 @@ def _blocks(events):
 
 
 @query(with_ev("""
-SELECT event_date, platform, CAST(SUM(price) AS DOUBLE) AS revenue FROM ev
+SELECT event_date, platform, CAST(SUM(price) AS DECIMAL(18,2)) AS revenue FROM ev
 WHERE event_name = 'purchase' GROUP BY ALL HAVING SUM(price) <> 0"""))
 def summing_table(spark, sf_dir):
     """Partial daily sums of four blocks appended to one table, merged on read."""
@@ -63,7 +63,7 @@ def summing_table(spark, sf_dir):
 
 @query(with_ev("""
 SELECT event_date, platform, CAST(COUNT(*) AS BIGINT) AS rows,
-       CAST(SUM(price) AS DOUBLE) AS price
+       CAST(SUM(price) AS DECIMAL(33,2)) AS price
 FROM ev WHERE event_name <> 'error' GROUP BY ALL"""))
 def sign_collapsed(spark, sf_dir):
     """Every event once with +1; errors are cancelled by a second row with -1."""
@@ -75,7 +75,7 @@ def sign_collapsed(spark, sf_dir):
 
 
 @query(with_ev("""
-SELECT event_date, platform, CAST(SUM(price) AS DOUBLE) AS revenue FROM ev
+SELECT event_date, platform, CAST(SUM(price) AS DECIMAL(18,2)) AS revenue FROM ev
 WHERE event_name = 'purchase' GROUP BY ALL HAVING SUM(price) <> 0"""))
 def incremental_revenue_view(spark, sf_dir):
     """Blocks applied one by one, one of them twice, folded half-way."""
@@ -170,7 +170,7 @@ def file_health(spark, sf_dir):
 
 
 @query(with_ev("""
-SELECT event_date, platform, CAST(SUM(price) AS DOUBLE) AS revenue FROM ev
+SELECT event_date, platform, CAST(SUM(price) AS DECIMAL(18,2)) AS revenue FROM ev
 WHERE event_name = 'purchase' GROUP BY ALL HAVING SUM(price) <> 0"""))
 def folded_back_and_forth(spark, sf_dir):
     """Folds in falling order: the newer base stays and nothing counts twice."""

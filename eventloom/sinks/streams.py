@@ -104,6 +104,8 @@ def fold_versions(
     """
     batches = [int(v) for v in partition_values(spark, path, "batch_id")]
     folded = [b for b in batches if after < b <= into]
+    if not folded:
+        return
     rows = spark.read.parquet(path).where(F.col("batch_id").isin(folded))
     latest = latest_version(rows, keys, "updated_at", tie="batch_id")
     overwrite_partitions(latest.withColumn("batch_id", F.lit(into)), path, "batch_id")
@@ -118,9 +120,11 @@ def ingest_events(
     def write(batch: DataFrame, batch_id: int) -> None:
         # Both writes share one read of the source; lost blocks are read again.
         batch = batch.persist(StorageLevel.DISK_ONLY)
-        readable = F.col("bad_message").isNull()
-        write_version(batch.where(readable).drop("bad_message"), f"{path}/events", batch_id)
-        write_version(batch.where(~readable).select("bad_message"), f"{path}/rejects", batch_id)
-        batch.unpersist()
+        try:
+            readable = F.col("bad_message").isNull()
+            write_version(batch.where(readable).drop("bad_message"), f"{path}/events", batch_id)
+            write_version(batch.where(~readable).select("bad_message"), f"{path}/rejects", batch_id)
+        finally:
+            batch.unpersist()
 
     return foreach_batch_sink(stream, write, checkpoint, trigger, mode="append")

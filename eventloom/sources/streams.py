@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from eventloom.sources.events import EVENT_SCHEMA, platform_of
 
+# Properties, user ids and prices below a bound of a numbered event.
 RATE_PROPS = '{"nrt":"rate"}'
+USERS, PRICES = 100_000, 500
 
 
 def events_from_sequence(df: DataFrame, seed: int = 7) -> DataFrame:
@@ -20,11 +22,11 @@ def events_from_sequence(df: DataFrame, seed: int = 7) -> DataFrame:
     )
     return df.select(
         F.col("timestamp").alias("event_time"),
-        (value % 100_000).cast("long").alias("user_id"),
+        (value % USERS).cast("long").alias("user_id"),
         F.sha2(value.cast("string"), 256).alias("session_id"),
         name.alias("event_name"),
         platform_of(value).alias("platform"),
-        F.when(name == "purchase", F.rand(seed) * 500).otherwise(0.0).alias("price"),
+        F.when(name == "purchase", F.rand(seed) * PRICES).otherwise(0.0).alias("price"),
         F.lit(RATE_PROPS).alias("props_json"),
     )
 

@@ -18,7 +18,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.functions.aggregates import count_if, is_purchase, purchase_metrics, sum_if
 from eventloom.operators.rows import flatten_window, scalar
-from eventloom.sinks.streams import foreach_batch_sink, read_versions, write_version
+from eventloom.sinks.streams import (
+    fold_versions,
+    foreach_batch_sink,
+    read_versions,
+    write_version,
+)
 
 WATERMARK = "10 minutes"
 WINDOW = "1 minute"
@@ -85,9 +90,13 @@ def nrt_stream(
     trigger: dict | None = None,
     emit: Callable[[DataFrame, int], None] | None = None,
     files: int | None = None,
+    fold_every: int | None = 32,
 ) -> StreamingQuery:
     """Run the exact stream into a versioned table at ``path``.
 
+    Every ``fold_every`` micro-batches the versions written since the last fold become one
+    folder, so that there is one for so many batches instead of one for each.
+
     With ``emit`` each micro-batch also hands on the new totals of the groups it
     changed, for a database or console. They are read back from the open minutes of
     the table, pre-aggregated, then reduced to the changed groups.
@@ -97,6 +106,11 @@ def nrt_stream(
         write_version(batch, path, batch_id, files)
         if emit is not None:
             emit(changed_totals(batch.sparkSession, path, batch_id), batch_id)
+        if fold_every and batch_id and batch_id % fold_every == 0:
+            # up to the batch before: this one may still be repeated
+            fold_versions(
+                batch.sparkSession, path, BUYER_KEYS, batch_id - 1, batch_id - 1 - fold_every
+            )
 
     return foreach_batch_sink(buyer_revenue(events), write, checkpoint, trigger)
 

@@ -180,3 +180,13 @@ def test_actions(spark, sf_dir, capsys):
     kept = events.repartition(4, "user_id").persist()
     assert kept.coalesce(2).rdd.getNumPartitions() == 2 and kept.count() == 1000
     kept.unpersist()
+
+
+def test_reports_list_only_the_months_concerned(spark):
+    path = new_dir(spark, "raw")
+    write_raw_events(raw(spark, "/root/testdata/sf0.001"), path)
+    stored = spark.read.parquet(path)
+    as_of = dt.datetime(2024, 1, 30)
+    for report in (marts.dau(stored, as_of), marts.event_breakdown(stored, as_of)):
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(month" in plan

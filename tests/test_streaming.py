@@ -247,3 +247,15 @@ def test_revenue_of_unrounded_prices_is_rounded_once(spark):
     got = nrt.nrt_read(spark, f"{out}/t").first()
     assert (str(got["revenue_1m"]), got["buyers_1m"]) == ("0.40", 100)
     assert str(nrt.nrt_revenue_1m(sequence).first()["revenue_1m"]) == "0.40"
+
+
+def test_folders_stay_few_over_many_batches(spark):
+    folder, out = new_dir(spark, "in"), new_dir(spark, "out")
+    for first in range(0, 3000, 100):
+        add_file(spark, folder, id_range(spark, first, first + 99))
+    got = as_set(run(spark, folder, out, files=1, fold_every=5))
+    assert len(partition_values(spark, f"{out}/table", "batch_id")) <= 30 // 5 + 6
+    events = raw_events(id_range(spark, 0, 2999))
+    events = events.withColumn("event_time", F.col("event_time").cast("timestamp"))
+    columns = nrt.nrt_read(spark, f"{out}/table").columns
+    assert got == as_set(nrt.nrt_revenue_1m(events).select(*columns))
