@@ -30,8 +30,8 @@ PATTERNS = [
 LEARNED = "crf"
 KINDS = [kind for kind, *_ in PATTERNS] + [LEARNED]
 
-#: Bounds of the training sample: texts with a pattern's match, texts without, bytes of each.
-SAMPLE_WITH, SAMPLE_WITHOUT, SAMPLE_BYTES = 600, 300, 20_000
+#: Bounds of the training sample: texts likely to have a match, other texts, bytes of each.
+SAMPLE_WITH, SAMPLE_WITHOUT, SAMPLE_BYTES = 400, 200, 20_000
 AROUND = 12  # tokens on each side of a match that training takes
 EPOCHS = 60
 
@@ -267,17 +267,23 @@ def train(texts: list[bytes]) -> RandomField | None:
 
 
 def training_texts(docs: DataFrame) -> list[bytes]:
-    """The bounded training sample, the same for the same documents in any order."""
+    """The bounded training sample, the same for the same documents in any order.
+
+    Hashes of texts are picked first, so that tasks send hashes, not texts, to choose from.
+    """
     likely = F.col("text").rlike(
         r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|(?-i)AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
     )
-    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("text", likely.alias("likely"))
-    order = F.xxhash64("text")
-    texts = []
-    for some, most in (("likely", SAMPLE_WITH), ("NOT likely", SAMPLE_WITHOUT)):
-        rows = short.where(some).select("text").distinct().orderBy(order, "text").limit(most).collect()
-        texts += [r.text.encode() for r in rows]
-    return texts
+    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("text")
+    keyed = short.withColumn("key", F.xxhash64("text"))
+
+    def least(rows: DataFrame, most: int) -> DataFrame:
+        return rows.select("key").distinct().orderBy("key").limit(most)
+
+    # both are bounded by their limits
+    picked = least(keyed.where(likely), SAMPLE_WITH).union(least(keyed, SAMPLE_WITHOUT)).distinct()
+    rows = keyed.join(F.broadcast(picked), "key").dropDuplicates(["key"]).select("text").collect()
+    return sorted(r.text.encode() for r in rows)
 
 
 def secret_scan(docs: DataFrame, field: RandomField | None = None) -> DataFrame:
@@ -292,7 +298,7 @@ def secret_scan(docs: DataFrame, field: RandomField | None = None) -> DataFrame:
     Null text counts as empty and stays null in masked; no match gives zeros, an empty spans
     and the digest of the empty string. Columns of these names are replaced. Repeated rows
     and null doc_ids come back as they are; no documents give no rows. Without any base
-    match in the sample no field is trained. Memory: a block of 2 MiB of text, or one longer
+    match in the sample no field is trained. Memory: a block of 1 MiB of text, or one longer
     text, and its tokens.
     """
     if field is None:
