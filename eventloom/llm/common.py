@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from eventloom.session import new_dir
 
 #: Text bytes that one numpy pass works on; a single longer text is its own pass.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:

@@ -155,7 +155,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     Null, empty and wordless texts have no words, no labels, null places and score 0.
     Repeated rows and null doc_ids come back as they are. Other columns are ignored; no
-    documents give no rows. Memory: a block of 2 MiB of text or one longer text.
+    documents give no rows. Memory: a block of 1 MiB of text or one longer text.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = {r.word: r.n for r in licence_word_counts(docs).collect()}  # at most the index's words

@@ -9,7 +9,6 @@ from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext

@@ -30,7 +30,15 @@ ACCEPT = 0.5
 SHAPES = ["upper", "digit", "blank", "stop", "cry", "sign", "high"]
 _SHAPE = np.zeros(256, dtype=np.uint8)
 for _n, _chars in enumerate(
-    (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\x0b\x0c", b".,;:'\"-()", b"?!", b"#$%&*+/<=>@[\\]^_`{|}~"), 1
+    (
+        b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+        b"0123456789",
+        b" \t\n\r\x0b\x0c",
+        b".,;:'\"-()",
+        b"?!",
+        b"#$%&*+/<=>@[\\]^_`{|}~",
+    ),
+    1,
 ):
     _SHAPE[list(_chars)] = _n
 _SHAPE[128:] = 7
@@ -71,7 +79,8 @@ def _distinct(owner: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def metadata(frame: pd.DataFrame) -> list[str]:
     """One name for each document's language and source."""
-    return [f"{a}\0{b}" for a, b in zip(frame.lang.fillna("").astype(str), frame.source.fillna("").astype(str))]
+    pairs = zip(frame.lang.fillna("").astype(str), frame.source.fillna("").astype(str))
+    return [f"{a}\0{b}" for a, b in pairs]
 
 
 class Sparse:
@@ -354,7 +363,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, model: Model | None = Non
     only one class is known has that probability. Documents with several labels count as the
     greatest. Repeated rows and null doc_ids come back as they are, other columns as well;
     columns of the added names are replaced. No documents give no rows. Memory: the sample
-    on the driver; a block of 2 MiB of text, or one longer text, in a task.
+    on the driver; a block of 1 MiB of text, or one longer text, in a task.
     """
     added = ["p_quality", "p_toxic", "score", "keep"]
     docs = docs.drop(*added)

@@ -104,8 +104,9 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     task of bounded size; the work grows with queries times vectors, as the search demands.
 
     Only vectors of equal length are compared. Rows without vec_id or vector take no part;
-    equal rows count once, and one vec_id must not name different vectors; a query with fewer candidates gets them all, with none no row; no
-    vectors give no rows. Scores must fit a long. Other columns are ignored.
+    equal rows count once, and one vec_id must not name different vectors; a query with fewer
+    candidates gets them all, with none no row; no vectors give no rows. Scores must fit a
+    long. Other columns are ignored.
     """
     rows = vectors.where("vec_id IS NOT NULL AND v IS NOT NULL").select(
         F.col("vec_id").cast("long").alias("vec_id"), "v", is_query.alias("asks")
@@ -129,9 +130,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     left = nodes.withColumns({"dim": F.size("v"), "l": block(lists), "g": every(groups)})
     right = wanted.withColumns({"dim": F.size("v"), "l": every(lists), "g": block(groups)})
     keys = ["dim", "l", "g"]
-    found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(
-        _search(k + 1), "query long, score long, vec_id long"
-    )
+    found = left.groupBy(keys).cogroup(right.groupBy(keys))
+    found = found.applyInPandas(_search(k + 1), "query long, score long, vec_id long")
     found = found.withColumn("rank", _rank("query")).where(f"rank <= {k + 1}").drop("rank")
     answers = asks.join(found, asks.node == found.query).where("vec_id <> query_id")
     return answers.withColumn("rank", _rank("query_id")).where(f"rank <= {k}").select(
