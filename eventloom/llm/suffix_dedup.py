@@ -6,13 +6,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import (
     as_bytes,
     blocks,
     by_text,
+    materialize,
     mix,
     range_hashes,
     shuffle_partitions,
@@ -26,8 +27,9 @@ GRAM = 16
 #: Bytes of a shard's text.
 SHARD_BYTES = 4 << 20
 #: More runs of a name in a block of text, or over all, make it hot.
-DENSE, HOT_RUNS = 32, 200_000
-LANES = 64
+DENSE, HOT_RUNS = 128, 200_000
+#: Kinds of packed rows: plain runs, the two that stand for a dense name, its others.
+PLAIN, DENSE_ENDS, DENSE_REST = range(3)
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC4CEB9FE1A85EC53)]
 
@@ -54,7 +56,9 @@ def name_runs(data: bytes, offsets: np.ndarray, length: int):
     if n < length:
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
     words = big_words(raw)
-    least = mix(words[: n - GRAM + 1] * _ODD[0] ^ mix(words[8 : n - GRAM + 9] * _ODD[1]))
+    # the words at the gram's front, middle and end hold all its bytes
+    ends = [words[at : at + n - GRAM + 1] for at in (0, 8, GRAM - 8)]
+    least = mix(ends[0] * _ODD[0] ^ mix(ends[1] * _ODD[1] ^ mix(ends[2])))
     have = 1
     while 2 * have <= grams:
         least = np.minimum(least[:-have], least[have:])
@@ -206,33 +210,127 @@ def _spans(*columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.asarray(c, dtype=np.int64)) for c in columns], names)
 
 
-def _names(length: int):
-    """Runs of texts, by name. Of a name that a block has very often two rows count for all."""
+def _names(length: int, buckets: int):
+    """Runs of texts as packed rows, one for each bucket of names and kind.
+
+    Of a name that a block has very often two runs stand for all (``DENSE_ENDS``); the
+    others (``DENSE_REST``) need no counting and are dealt anywhere.
+    """
 
     def run(batch):
         docs, variants = _numbers(batch, 0, 1)
+        found = [[] for _ in range(4)]  # names, rows, starts, kinds
         for first, _, data, offsets in blocks(batch.column(2)):
             names, text, place, _ = name_runs(data, offsets, length)
-            order = np.lexsort((docs[first + text], names))
-            names, text, place = names[order], text[order], place[order]
-            n = len(names)
-            if not n:
+            if not len(names):
                 continue
-            new = np.ones(n, dtype=bool)
-            new[1:] = names[1:] != names[:-1]
+            order = np.argsort(names, kind="stable")
+            new = np.ones(len(names), dtype=bool)
+            new[1:] = names[order[1:]] != names[order[:-1]]
             low = np.flatnonzero(new)
-            high = np.append(low[1:], n) - 1
-            dense = (high - low >= DENSE)[np.cumsum(new) - 1]
-            lane = np.where(dense, 1 + np.arange(n) % LANES, 0)
-            lane[low] = lane[high] = 0
-            columns = [signed(names), docs[first + text], variants[first + text]]
-            columns += [place - offsets[text], lane.astype(np.int32), dense]
-            keys = ["name", "doc", "variant", "start", "lane", "dense"]
-            yield pa.record_batch([pa.array(c) for c in columns], keys)
+            size = np.diff(np.append(low, len(names)))
+            kind = np.zeros(len(names), dtype=np.uint8)
+            for at, n in zip(low[size > DENSE].tolist(), size[size > DENSE].tolist()):
+                own = order[at : at + n]
+                kind[own] = DENSE_REST
+                own_docs = docs[first + text[own]]
+                kind[own[[own_docs.argmin(), own_docs.argmax()]]] = DENSE_ENDS
+            for part, value in zip(found, (names, first + text, place - offsets[text], kind)):
+                part.append(value)
+        if not found[0]:
+            return
+        names, rows, starts, kinds = (np.concatenate(part) for part in found)
+        bucket = (names >> np.uint64(32)) % np.uint64(buckets)
+        rest = kinds == DENSE_REST
+        bucket[rest] = mix(starts[rest].astype(np.uint64)) % np.uint64(buckets)
+        groups = bucket.astype(np.int64) * 3 + kinds
+        order = np.argsort(groups, kind="stable")  # in text order within a group
+        cuts = np.flatnonzero(np.diff(groups[order])) + 1
+        packed = [
+            (int(groups[own[0]]) // 3, int(groups[own[0]]) % 3)
+            + _pack(names[own], docs[rows[own]], variants[rows[own]], starts[own])
+            for own in np.split(order, cuts)
+        ]
+        types = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+        columns = [pa.array(c, t) for c, t in zip(zip(*packed), types)]
+        yield pa.record_batch(columns, ["bucket", "kind", *PACKED])
 
     return run
 
 
+PACKED = ["names", "docs", "variants", "counts", "lows", "highs"]
+
+
+def _pack(names, docs, variants, starts) -> tuple[bytes, ...]:
+    """Columns of runs in text order, in few bytes: documents once, as steps, with counts."""
+    n = len(names)
+    new = np.ones(n, dtype=bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (variants[1:] != variants[:-1])
+    new |= _within(np.diff(np.append(np.flatnonzero(new), n))) % 255 == 0
+    at = np.flatnonzero(new)
+    counts = np.diff(np.append(at, n)).astype(np.uint8)
+    steps = np.diff(docs[at], prepend=np.int64(0)).astype("<i8")
+    lows, highs = (starts & 0xFFFF).astype("<u2"), (starts >> 16).astype("<u4")
+    if np.array_equal(steps.astype("<i4"), steps):
+        steps = steps.astype("<i4")
+    parts = (names.astype("<u8"), steps, variants[at].astype("<i8"), counts, lows, highs)
+    return tuple(x.tobytes() for x in parts)
+
+
+def _unpack(row: dict) -> list[np.ndarray]:
+    """(names, docs, variants, starts)."""
+    counts = np.frombuffer(row["counts"], dtype=np.uint8)
+    kind = "<i4" if len(row["docs"]) == 4 * len(counts) else "<i8"
+    steps = np.frombuffer(row["docs"], dtype=kind).astype(np.int64)
+    docs = np.repeat(np.cumsum(steps), counts)
+    variants = np.repeat(np.frombuffer(row["variants"], dtype="<i8"), counts)
+    lows = np.frombuffer(row["lows"], dtype="<u2").astype(np.int64)
+    highs = np.frombuffer(row["highs"], dtype="<u4").astype(np.int64)
+    return [np.frombuffer(row["names"], dtype="<u8"), docs, variants, highs << 16 | lows]
+
+
+def _wanted(batches):
+    """Runs of names that two documents have, from packed rows sorted by bucket.
+
+    Gives (doc, variant, start): where wanted runs of a document start, as -1 - start if
+    the name is hot. Holds the runs of one bucket.
+    """
+    now, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != now and held:
+                yield from _repeated_names(held)
+                held = []
+            now = row["bucket"]
+            held.append((row["kind"], *_unpack(row)))
+    if held:
+        yield from _repeated_names(held)
+
+
+def _repeated_names(held: list[tuple]):
+    kinds = np.concatenate([np.full(len(h[1]), h[0], dtype=np.uint8) for h in held])
+    names, docs, variants, starts = (np.concatenate([h[i] for h in held]) for i in range(1, 5))
+    rest = kinds == DENSE_REST
+    order = np.argsort(names, kind="stable")
+    order = order[~rest[order]]
+    wanted, hot = rest.copy(), rest.copy()
+    if len(order):
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = names[order[1:]] != names[order[:-1]]
+        at, name = np.flatnonzero(new), np.cumsum(new) - 1
+        shared = np.minimum.reduceat(docs[order], at) < np.maximum.reduceat(docs[order], at)
+        is_hot = np.maximum.reduceat(kinds[order], at) == DENSE_ENDS
+        is_hot |= np.diff(np.append(at, len(order))) > HOT_RUNS
+        hot[order] = is_hot[name]
+        wanted[order] = (shared | is_hot)[name]
+    docs, variants = docs[wanted], variants[wanted]
+    starts = np.where(hot[wanted], -1 - starts[wanted], starts[wanted])
+    if not len(docs):
+        return
+    columns = [pa.array(docs), pa.array(variants), pa.array(starts.astype(np.int32))]
+    yield pa.record_batch(columns, ["doc", "variant", "start"])
+
+
 def _contexts(length: int):
     """The wanted runs with their bytes, and spans already decided (no bytes).
 
@@ -273,7 +371,7 @@ def _contexts(length: int):
             if plain.any():
                 yield _runs(
                     names[plain],
-                    [x[plain] for x in (doc, variant, place - base, stop - base)],
+                    [x[plain] for x in (doc, variant, place - base)],
                     [contexts[i] for i in np.flatnonzero(plain).tolist()],
                 )
             split = np.flatnonzero(~copy & hot)
@@ -283,7 +381,7 @@ def _contexts(length: int):
                 raw = np.frombuffer(data, dtype=np.uint8)
                 yield _runs(
                     range_hashes(raw, at, at + length),
-                    [doc[which], variant[which], at - base[which], at + length - base[which]],
+                    [doc[which], variant[which], at - base[which]],
                     [data[a : a + length] for a in at.tolist()],
                 )
 
@@ -296,7 +394,10 @@ def _within(counts: np.ndarray) -> np.ndarray:
 
 
 def _runs(names: np.ndarray, numbers: list[np.ndarray], contexts: list) -> pa.RecordBatch:
+    """Rows of runs; those with a context end where it does and need no stop."""
     columns = [pa.array(signed(names)), *[pa.array(x) for x in numbers]]
+    if len(numbers) == 3:
+        columns.append(pa.nulls(len(names), pa.int64()))
     columns.append(pa.array(contexts, pa.binary()))
     return pa.record_batch(columns, ["name", "doc", "variant", "start", "stop", "context"])
 
@@ -308,9 +409,15 @@ def _compare(length: int):
         held, size = [], 0
         before = (None, None, 0)  # name, context and least document of the last run
         for batch in batches:
-            names, docs, variants, starts, stops = _numbers(batch, 0, 1, 2, 3, 4)
+            names, docs, variants, starts = _numbers(batch, 0, 1, 2, 3)
             contexts = batch.column(5).to_pylist()
             n = len(names)
+            stops = np.array(
+                [s if c is None else 0 for s, c in zip(batch.column(4).to_pylist(), contexts)],
+                dtype=np.int64,
+            )
+            ends = np.fromiter((0 if c is None else len(c) for c in contexts), np.int64, count=n)
+            stops = np.where(ends > 0, starts + ends, stops)
             copy = np.zeros(n, dtype=bool)
             for i, (name, context, doc) in enumerate(zip(names.tolist(), contexts, docs.tolist())):
                 if context is None:
@@ -369,30 +476,30 @@ def _decide(names, docs, variants, starts, contexts, length: int):
     yield _spans(docs[owner], variants[owner], starts[owner] + offset, starts[owner] + stop)
 
 
-def repeated_spans(texts: DataFrame, dealt: DataFrame, length: int = LENGTH) -> DataFrame:
+def copies(texts: DataFrame, length: int) -> DataFrame:
+    """(doc, variant, n_bytes) of texts of ``length`` or more that a smaller doc has whole."""
+    keyed = texts.where(F.octet_length("text") >= length).select(
+        "doc", "variant", F.sha2("text", 256).alias("key"), F.octet_length("text").alias("n_bytes")
+    )
+    least = keyed.groupBy("key").agg(F.min("doc").alias("least"))
+    return keyed.join(least, "key").where("doc > least").select("doc", "variant", "n_bytes")
+
+
+def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, variant, start, stop): bytes of texts (doc, variant, text) that smaller docs have.
 
-    ``dealt``: the same rows, partitioned by doc and variant. Spans may overlap. See
-    ``remove_repeats``.
+    Spans may overlap. See ``remove_repeats``.
     """
-    names = by_text(
-        _names(length),
-        texts.select("doc", "variant", "text"),
-        "name long, doc long, variant long, start long, lane int, dense boolean",
-    )
-    same = Window.partitionBy("name", "lane")
-    hot = F.max("dense").over(same) | (F.count("*").over(same) > HOT_RUNS)
-    spread = F.min("doc").over(same) < F.max("doc").over(same)
-    wanted = (
-        names.select("doc", "variant", "start", "lane", hot.alias("hot"), spread.alias("spread"))
-        .where("hot OR spread")
-        .groupBy("doc", "variant")
-        .agg(F.collect_list(F.expr("IF(hot, -1 - start, start)")).alias("starts"))
-    )
-    rows = dealt.join(wanted, ["doc", "variant"]).select("doc", "variant", "text", "starts")
+    partitions = shuffle_partitions(texts)
+    binaries = ", ".join(f"{name} binary" for name in PACKED)
+    names = by_text(_names(length, partitions), texts, f"bucket int, kind int, {binaries}")
+    names = names.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    wanted = names.mapInArrow(_wanted, "doc long, variant long, start int")
+    wanted = wanted.groupBy("doc", "variant").agg(F.collect_list("start").alias("starts"))
+    rows = texts.join(wanted, ["doc", "variant"]).select("doc", "variant", "text", "starts")
     schema = "name long, doc long, variant long, start long, stop long, context binary"
     runs = by_text(_contexts(length), rows, schema)
-    runs = runs.repartition(shuffle_partitions(texts), "name")
+    runs = runs.repartition(partitions, "name")
     runs = runs.sortWithinPartitions("name", "context", "doc")
     return runs.mapInArrow(_compare(length), "doc long, variant long, start long, stop long")
 
@@ -432,15 +539,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     a smaller doc_id; n_spans counts the maximal removed runs, kept has the other bytes (if
     asked for; they may cut a character).
 
-    Every string has a name, the least hash of the 16-byte grams in it, and neighbouring
-    strings with one name are a run, some 18 strings in 67 bytes. Names that only one
-    document has need no more. The runs of the others meet by name in shards. A shard drops
-    copies, sorts the suffixes of the different runs and walks their common prefixes: those
-    of ``length`` or more are equal strings. Runs of one name that fill several shards are
-    merged by binary search in the sorted strings. A name that a block of text has over 32
-    times, or that has over 200 000 runs, is hot: its runs are cut into single strings that
-    are dealt by their own hash. Copies within a block of 2 MiB are decided there. So no
-    task holds more than a block, or the different runs of one name that is not hot.
+    Of equal texts only the one of least doc_id goes on: all strings of the others start in
+    it, and it stands for them. Every string has a name, the least hash of the 16-byte grams
+    in it, and neighbouring strings with one name are a run, some 18 strings in 67 bytes.
+    Names that only one document has need no more. The runs of the others meet by name in
+    shards. A shard drops copies, sorts the suffixes of the different runs and walks their
+    common prefixes: those of ``length`` or more are equal strings. Runs of one name that
+    fill several shards are merged by binary search in the sorted strings. A name that a
+    block of text has over 128 times, or that has over 200 000 runs, is hot: its runs are
+    cut into single strings that are dealt by their own hash. Copies within a block of 1 MiB
+    are decided there. So no task holds more than a block, or the different runs of one name
+    that is not hot.
 
     Null text counts as empty. Rows with null doc_id count as larger than all others and
     equal among themselves. Rows with equal doc_id never count as smaller than each other
@@ -451,19 +560,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
         raise ValueError(f"length must be {GRAM} or more")
     last = F.lit((1 << 63) - 1)
     texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), last).alias("doc"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     repeated = texts.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1")
-    variant = F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("text")
-    texts = texts.withColumn("variant", variant)
-    # both joins read this one exchange
-    dealt = texts.repartition(shuffle_partitions(docs), "doc", "variant")
-    spans = repeated_spans(texts, dealt, length).groupBy("doc", "variant")
+    # zero, but no constant, which would make the columns of the exchanged texts differ
+    variant = F.expr("doc & 0L") if repeated.isEmpty() else F.xxhash64("text")
+    texts = texts.select("doc", variant.alias("variant"), "text")
+    keys = ["doc", "variant"]
+    whole = materialize(copies(texts, length), "copies")
+    # the joins with what is wanted and what goes read one exchange of these texts
+    others = texts.join(whole.select(*keys).distinct(), keys, "left_anti")
+    spans = repeated_spans(others, length).groupBy(*keys)
     spans = spans.agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    rows = dealt.join(spans, ["doc", "variant"], "left").select("doc_id", "text", "spans")
+    doc_id = F.nullif("doc", last).alias("doc_id")
+    rows = others.join(spans, keys, "left").select(doc_id, "text", "spans")
     schema = (
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
-    return by_text(_cut(keep_text), rows, schema)
+    size, nothing = F.col("n_bytes").cast("long"), F.lit(b"")
+    gone = whole.select(
+        doc_id,
+        size.alias("n_bytes"),
+        size.alias("n_removed"),
+        F.lit(1).cast("long").alias("n_spans"),
+        F.sha2(nothing, 256).alias("kept_sha256"),
+        (nothing if keep_text else F.lit(None).cast("binary")).alias("kept"),
+    )
+    return by_text(_cut(keep_text), rows, schema).unionByName(gone)
