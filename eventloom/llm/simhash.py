@@ -264,7 +264,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> Dat
     found = near_duplicates(docs, shingle, max_bits=max_bits)
     first = Window.partitionBy("root").orderBy(F.asc_nulls_last("doc_id"), "text_key")
     kept = found.withColumn("n", F.row_number().over(first)).where("n = 1")
-    kept = kept.select("doc_id", "text_key")
+    return one_row_each(docs, kept.select("doc_id", "text_key"))
+
+
+def one_row_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of the documents for each (doc_id, text_key) of ``kept``."""
     rows = whole_rows(docs).join(kept, same_text(kept), "left_semi")
     one = Window.partitionBy("own_id", "own_key").orderBy("own_id")
     rows = rows.withColumn("place", F.row_number().over(one)).where("place = 1")
