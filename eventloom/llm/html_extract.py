@@ -48,8 +48,8 @@ TAG = re.compile(
     r"|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)(?:>|\Z))",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!|;|$)")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？¿¡]")
 
 #: Weights of a block's neighbours in page order, and the least share of the best path's score.
@@ -59,10 +59,11 @@ HELD = 0.8
 
 
 class Element:
-    __slots__ = ("name", "mark", "parent", "dropped", "depth")
+    __slots__ = ("name", "mark", "parent", "dropped", "named", "depth")
 
-    def __init__(self, name: str, mark: str, parent: Element | None, dropped: bool):
-        self.name, self.mark, self.parent, self.dropped = name, mark, parent, dropped
+    def __init__(self, name: str, mark: str, parent: Element | None, dropped: bool, named=frozenset()):
+        self.name, self.mark, self.parent = name, mark, parent
+        self.dropped, self.named = dropped, named
         self.depth = 0 if parent is None else parent.depth + 1
 
     def within(self):
@@ -75,39 +76,48 @@ class Element:
         return "/".join(e.mark for e in reversed(list(self.within())))
 
 
-def _unwanted(name: str, rest: str, parent: Element) -> tuple[bool, str]:
-    """(whether an element is no article text by its name, its part of a tag path)."""
-    if name in DROPPED:
-        return True, name
+def _hidden(key: str, value: str) -> bool:
+    if key == "hidden":
+        return value in ("", "hidden")
+    return key == "aria-hidden" and value == "true" or key == "style" and bool(HIDDEN.search(value))
+
+
+def _unwanted(name: str, rest: str, parent: Element) -> tuple[bool, set[str], str]:
+    """(whether an element is no article text, words that name it so, its part of a tag path).
+
+    The empty word stands for a name that says so alone: a first word, a role, a form.
+    """
+    if name in DROPPED and name != "form":
+        return True, set(), name
     in_content = any(e.name in CONTENT for e in parent.within())
     if name == "header" and not in_content:
-        return True, name
-    if not rest:
-        return False, name
-    mark, unwanted = name, bool(HIDDEN.search(rest))
-    for key, value in ATTRIBUTE.findall(rest):
-        value = value.strip("\"'").lower()
-        if key.lower() == "class":
+        return True, set(), name
+    mark, hidden, named = name, False, {""} if name == "form" else set()
+    for key, value in ATTRIBUTE.findall(rest) if rest else ():
+        key, value = key.lower(), value.strip("\"'").strip().lower()
+        if key == "class":
             mark = f"{name}.{value}"
         if name in CONTENT or name in ("html", "body"):
             continue
-        if key.lower() == "role":
-            unwanted |= value in ROLES
+        hidden |= _hidden(key, value)
+        if key == "role" and value in ROLES:
+            named.add("")
+        if key not in ("class", "id"):
             continue
         for own in value.split():
             words = re.split(r"[^a-z]+", own)
-            if words[0] not in ("has", "with", "no", "without", "is") and not NAMED.isdisjoint(words):
-                unwanted = True
+            if words[0] not in ("has", "with", "no", "without", "is"):
+                named |= NAMED.intersection(words[1:]) | ({""} if words[0] in NAMED else set())
             # an article's own header holds its title
             if words in (["header"], ["site", "header"], ["page", "header"]) and not in_content:
-                unwanted = True
-    return unwanted, mark
+                named.add("")
+    return hidden, named, mark
 
 
 def page_blocks(html: str) -> list[tuple[Element, str]]:
     """(element, text) of the text blocks of a page, in page order, without dropped parts.
 
-    Tolerates missing and stray end tags; formatting elements do not end a block.
+    Parts that are only named like no article text are in it; see ``without_named``. Tolerates missing and stray end tags; formatting elements do not end a block.
     """
     root = top = Element("", "", None, False)
     found, text, at, end = [], [], 0, len(html)
@@ -160,8 +170,8 @@ def page_blocks(html: str) -> list[tuple[Element, str]]:
                     top = e.parent
         if name in VOID:
             continue
-        unwanted, mark = _unwanted(name, tag["rest"], top)
-        top = Element(name, mark, top, top.dropped or unwanted)
+        unwanted, named, mark = _unwanted(name, tag["rest"], top)
+        top = Element(name, mark, top, top.dropped or unwanted, named)
         if tag["rest"].endswith("/") and name not in ("p", "div"):
             top = top.parent
     flush()
@@ -196,6 +206,41 @@ def content_paths(blocks: list[tuple[Element, str]]) -> set[str]:
     return {p for p, s in scores.items() if s >= THRESHOLD * best}
 
 
+def without_named(blocks: list[tuple[Element, str]]) -> list[tuple[Element, str]]:
+    """The blocks outside parts whose name says that they are no article text.
+
+    A name does not count if its part holds most of the text on content paths of the page, or
+    if it is a later word of a class and all parts with that word together do; in either case
+    only if no article or main element apart from it holds any.
+    """
+    if not any(p.named for e, _ in blocks for p in e.within()):
+        return blocks
+    chosen = content_paths(blocks)
+    held: dict[Element, int] = {}
+    shares: dict[str, int] = {"": 0}
+    total = 0
+    for e, text in blocks:
+        if e.path() in chosen:
+            total += len(text)
+            for p in e.within():
+                held[p] = held.get(p, 0) + len(text)
+            for word in {w for p in e.within() for w in p.named if w}:
+                shares[word] = shares.get(word, 0) + len(text)
+    marked = [p for p in held if p.name in CONTENT and not any(q.named for q in p.within())]
+
+    def apart(part: Element) -> bool:
+        return any(m not in part.within() for m in marked)
+
+    def stays(part: Element) -> bool:
+        most = HELD * total
+        by_words = all(shares.get(w, 0) >= most for w in part.named)
+        return (held.get(part, 0) >= most or by_words) and not apart(part)
+
+    named = {p for e, _ in blocks for p in e.within() if p.named}
+    left_out = {p for p in named if not stays(p)}
+    return [(e, text) for e, text in blocks if left_out.isdisjoint(e.within())]
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the article, one a line; empty without any.
 
@@ -203,7 +248,7 @@ def main_text(html: str | None) -> str:
     article or main element around it; all its blocks are taken, short ones too. If that is
     the whole page, only blocks on content paths are.
     """
-    blocks = page_blocks(html or "")
+    blocks = without_named(page_blocks(html or ""))
     if not blocks:
         return ""
     chosen = content_paths(blocks)

@@ -94,3 +94,38 @@ def test_rows(spark):
     got = extract_text(spark.createDataFrame(rows, schema)).collect()
     assert sorted(map(tuple, got), key=str) == [(1, "u", "é x", 3), (1, "u", "é x", 3), (None, None, "", 0)]
     assert extract_text(spark.createDataFrame([], schema)).collect() == []
+
+
+@pytest.mark.parametrize("tag", ["div class='overflow-hidden'", "div style='overflow:hidden'", "div data-hidden='x' title='a hidden b'"])
+def test_only_hidden_parts_are_hidden(tag):
+    name = tag.split()[0]
+    assert main_text(f"{HEAD}<{tag}><article><p>{LONG}</p></article></{name}>") == LONG.strip()
+
+
+@pytest.mark.parametrize("tag", ["body class='overflow-hidden'", "article hidden", "main style='display:none'"])
+def test_the_page_and_the_article_are_never_hidden(tag):
+    assert main_text(f"<html><{tag}><p>{LONG}</p>") == LONG.strip()
+
+
+@pytest.mark.parametrize("mark", ["hidden", "hidden=''", "aria-hidden=true", "style='color:red; display : none'", "style='VISIBILITY:hidden!important'"])
+def test_hidden_parts_are_left_out(mark):
+    assert main_text(page(f"<p>{LONG}</p><div {mark}><p>Unseen, {LONG}</p></div>")) == LONG.strip()
+
+
+@pytest.mark.parametrize("tag", ["div class='layout-sidebar'", "form action=x", "div id='page-modal'"])
+def test_paths_overrule_the_name_of_a_wrapper(tag):
+    name = tag.split()[0]
+    want = f"Title\n{LONG.strip()}\n{LONG.strip()}"
+    text = f"<h1>Title</h1><p>{LONG}</p><div class='sidebar'><p>Other texts, here.</p></div><p>{LONG}</p>"
+    assert main_text(f"{HEAD}<{tag}>{text}</{name}><div class='footer'>x</div>") == want
+    assert main_text(f"{HEAD}<{tag}><article>{text}</article></{name}>") == want
+
+
+def test_paths_overrule_the_name_of_many_parts():
+    part = f"<div class='elementor-widget-container'><p>{LONG}</p></div>"
+    assert main_text(f"{HEAD}<div class='post'>{part * 3}</div>") == "\n".join([LONG.strip()] * 3)
+
+
+def test_names_count_beside_an_article():
+    after = f"<section id='comments'>{f'<p>{LONG}</p>' * 9}</section>"
+    assert main_text(page(f"<p>{LONG}</p>", after=after)) == LONG.strip()
