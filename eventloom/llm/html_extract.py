@@ -24,6 +24,7 @@ DROPPED = set(
     "canvas audio video object applet map".split()
 )
 CONTENT = {"article", "main"}
+PAGE = {"", "html", "body"}
 NAMED = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion "
     "banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead "
@@ -241,12 +242,23 @@ def without_named(blocks: list[tuple[Element, str]]) -> list[tuple[Element, str]
     return [(e, text) for e, text in blocks if left_out.isdisjoint(e.within())]
 
 
+def _common(a: Element, b: Element) -> Element:
+    """The lowest element around two."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the article, one a line; empty without any.
 
-    The container is the deepest element that holds most of the content paths' text, or the
-    article or main element around it; all its blocks are taken, short ones too. If that is
-    the whole page, only blocks on content paths are.
+    Every block on a content path is taken, and so are the blocks between two such blocks if
+    an element below the page's body holds all of them. Where one element holds most of the
+    content paths' text, its other blocks are taken too, those at its ends included: the
+    deepest such element, or the article or main element around it.
     """
     blocks = without_named(page_blocks(html or ""))
     if not blocks:
@@ -265,12 +277,15 @@ def main_text(html: str | None) -> str:
         deepest = around[-1]
     elif any(e is deepest for e, _ in blocks) and deepest.parent:
         deepest = deepest.parent  # a block is no container
-    whole = deepest.name in ("", "html", "body")
-    return "\n".join(
-        text
-        for e, text in blocks
-        if (e.path() in chosen if whole else any(p is deepest for p in e.within()))
-    )
+    whole = deepest.name in PAGE
+    taken = [
+        e.path() in chosen or not whole and any(p is deepest for p in e.within()) for e, _ in blocks
+    ]
+    places = [i for i, own in enumerate(taken) if own]
+    for i, j in zip(places, places[1:]):
+        if j > i + 1 and _common(blocks[i][0], blocks[j][0]).name not in PAGE:
+            taken[i:j] = [True] * (j - i)
+    return "\n".join(text for (_, text), own in zip(blocks, taken) if own)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -129,3 +129,23 @@ def test_paths_overrule_the_name_of_many_parts():
 def test_names_count_beside_an_article():
     after = f"<section id='comments'>{f'<p>{LONG}</p>' * 9}</section>"
     assert main_text(page(f"<p>{LONG}</p>", after=after)) == LONG.strip()
+
+
+@pytest.mark.parametrize("middle", ["section", "blockquote", "article"])
+def test_content_around_the_largest_part_stays(middle):
+    parts = [f"<p>{LONG}</p>", f"<{middle}>{f'<p>{LONG}</p>' * 9}</{middle}>", f"<p>{LONG}</p>"]
+    assert main_text(f"{HEAD}<div class=content>{''.join(parts)}</div>") == "\n".join([LONG.strip()] * 11)
+
+
+def test_all_of_several_articles():
+    short, long = f"<article><p>{LONG}</p></article>", f"<article>{f'<p>{LONG}</p>' * 9}</article>"
+    body = f"<div class='list'>{short}{long}{short}</div>"
+    assert main_text(HEAD + body) == "\n".join([LONG.strip()] * 11)
+
+
+def test_short_blocks_between_content():
+    items, want = "<ul>" + "<li>x</li>" * 7 + "</ul>", [LONG.strip(), *["x"] * 7]
+    body = f"<div class=content><p>{LONG}</p>{items}<section>{f'<p>{LONG}</p>' * 9}</section></div>"
+    assert main_text(HEAD + body) == "\n".join(want + [LONG.strip()] * 9)
+    parts = f"<div><p>{LONG}</p></div>{items}<div><p>{LONG}</p></div>"
+    assert main_text(HEAD + parts) == "\n".join([LONG.strip()] * 2)
