@@ -38,8 +38,6 @@ TEMPLATES = [
 
 #: A template is found if so large a part of its words is in place.
 COVERAGE = 0.6
-#: Rarest licence words of a file that are looked up.
-LOOKED_UP = 12
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -88,15 +86,13 @@ class LicenceIndex:
     def scan(self, hashes: np.ndarray, places: np.ndarray):
         """(phrase places, labels of phrases, labels of templates, best coverage) of a file."""
         marks = signed(hashes[places]).tolist()
-        rarest = sorted(set(marks), key=lambda m: (-self.idf[m], m))
-        looked_up = set(rarest[:LOOKED_UP])
         base, labels, found, best = [], set(), set(), 0.0
         tried = set()
         for place, mark in zip(places.tolist(), marks):
             for n, own in self.postings[mark]:
                 label, phrase, words, first, end = self.entries[n]
                 start = place - own
-                if (n, start) in tried or not (phrase or mark in looked_up):
+                if (n, start) in tried:
                     continue
                 tried.add((n, start))
                 if start + first < 0 or start + end > len(hashes):
@@ -144,8 +140,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased.
     The inverse document frequency of every licence word comes from all documents. A file's
-    licence words, the rarest first, are looked up in an index of their positions in the
-    templates; each posting says where the template would start, and there its mandatory key
+    places of these words are all looked up in an index of their positions in the templates; each posting says where the template would start, and there its mandatory key
     phrase must stand word for word. A template is found if 60 % of its words are in place.
     The index has the rarest word of every key phrase, so every full place of one is found;
     hits are compared by 64-bit word hashes. The phrases of ``PHRASES`` are templates that

@@ -1,6 +1,8 @@
+import random
 import re
 
-from eventloom.llm.licenses import PHRASES, TEMPLATES, license_scan
+from eventloom.llm.common import signed
+from eventloom.llm.licenses import PHRASES, TEMPLATES, LicenceIndex, license_scan, word_hashes
 from tests.llm import fixtures
 
 
@@ -51,3 +53,16 @@ def test_templates(spark):
 
 def test_empty(spark):
     assert license_scan(fixtures.frame(spark, [])).collect() == []
+
+
+def test_all_templates_in_one_text(spark):
+    """Also where word counts give the key phrases fourteen different marks."""
+    rng, text = random.Random(981), " ".join(t for _, _, t in TEMPLATES)
+    words = sorted({w for _, key, _ in TEMPLATES for w in key.split()})
+    index = LicenceIndex({signed(word_hashes([w])).tolist()[0]: rng.randint(1, 99) for w in words}, 100)
+    assert len(index.marks) == 14
+    hashes = word_hashes(text.split())
+    _, _, found, best = index.scan(hashes, index.rare_places(hashes))
+    assert found == {label for label, _, _ in TEMPLATES} and best == 1.0
+    (row,) = license_scan(fixtures.plain(spark, [(1, text)])).collect()
+    assert found <= set(row.labels.split(","))
