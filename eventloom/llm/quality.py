@@ -334,7 +334,10 @@ def fit(sample: pd.DataFrame, labels: list[str]) -> Model:
 
 
 def fitting_sample(docs: DataFrame, labels: DataFrame, wanted: list[str]) -> pd.DataFrame:
-    """At most ``LABELLED`` documents with labels and ``UNLABELLED`` others, by hashes of ids."""
+    """At most ``LABELLED`` documents with labels and ``UNLABELLED`` others, by hashes of ids.
+
+    Of a repeated doc_id the text of least hash counts, texts over ``SAMPLE_BYTES`` never do.
+    """
     labels = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     labels = labels.agg(*[F.max(F.col(x).cast("double")).alias(x) for x in wanted])
     order = F.xxhash64("doc_id")
@@ -346,6 +349,10 @@ def fitting_sample(docs: DataFrame, labels: DataFrame, wanted: list[str]) -> pd.
     # both are bounded by the limits above
     picked = F.broadcast(known.unionByName(others))
     rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).join(picked, "doc_id")
+    columns = rows.columns
+    own = F.struct(F.xxhash64("text").alias("text_key"), *[x for x in columns if x != "doc_id"])
+    rows = rows.groupBy("doc_id").agg(F.min(own).alias("one"))
+    rows = rows.select("doc_id", *[f"one.{x}" for x in columns if x != "doc_id"])
     return rows.toPandas().sort_values(["doc_id", "text"]).reset_index(drop=True)
 
 

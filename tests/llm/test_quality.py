@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from eventloom.llm.quality import quality_scores
+from eventloom.llm.quality import SAMPLE_BYTES, fitting_sample, quality_scores
 from tests.llm import fixtures
 
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -52,3 +52,16 @@ def test_empty(spark):
     labels = spark.createDataFrame([(10, 1, 0, "x"), (20, 0, 1, "x")], LABELS)
     assert quality_scores(fixtures.frame(spark, []), labels).collect() == []
     assert len(quality_scores(fixtures.frame(spark), labels).collect()) == len(fixtures.rows())
+
+
+def test_sample_holds_one_row_of_an_id(spark):
+    texts = ["a a", "b b", "c c", None, "d" * (SAMPLE_BYTES + 1)]
+    rows = [(i, t) for i in (1, 2) for t in texts * 3] + [(3, "other"), (None, "none")]
+    docs = fixtures.plain(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    labels = spark.createDataFrame([(1, 1, 0, ""), (3, 0, 1, "")], LABELS)
+    got = fitting_sample(docs, labels, ["quality", "toxic"])
+    hashes = {r[0]: r[1] for r in docs.selectExpr("text", "xxhash64(text)").collect() if r[0] in texts[:3]}
+    least = min(hashes, key=hashes.get)
+    assert list(zip(got.doc_id, got.text)) == [(1, least), (2, least), (3, "other")]
+    assert got.quality.tolist()[::2] == [1, 0] and got.quality.isna().tolist() == [False, True, False]
+    assert {*docs.columns, "quality", "toxic"} == set(got.columns)
