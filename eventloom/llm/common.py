@@ -150,3 +150,9 @@ def signed(values: np.ndarray) -> np.ndarray:
 def total(df: DataFrame, *columns: str) -> list[int]:
     row = df.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in columns]).first()
     return [int(x) for x in row]
+
+
+def finite(column: str) -> Column:
+    """True where an array of numbers has neither null nor non-finite entries."""
+    infinite = F.lit(float("inf"))
+    return F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < infinite))

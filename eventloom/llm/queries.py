@@ -11,6 +11,7 @@ from eventloom.llm.common import documents
 from eventloom.llm.decontaminate import contamination
 from eventloom.llm.html_extract import extract_text
 from eventloom.llm.licenses import license_scan
+from eventloom.llm.neighbours import nearest, usable_vectors
 from eventloom.llm.packing import WordEncoder, pack
 from eventloom.llm.quality import quality_scores
 from eventloom.llm.secrets import secret_scan
@@ -162,3 +163,10 @@ def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 50-byte strings of smaller ones."""
     return remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+@query()
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found of every hundredth embedding among all others."""
+    vectors = usable_vectors(documents(spark, sf_dir, "embeddings"))
+    return nearest(vectors, F.col("vec_id") % 100 == 0)
