@@ -11,6 +11,7 @@ from eventloom.llm.common import documents
 from eventloom.llm.decontaminate import contamination
 from eventloom.llm.html_extract import extract_text
 from eventloom.llm.licenses import license_scan
+from eventloom.llm.merkle import folded, manifest, proof_hash
 from eventloom.llm.neighbours import nearest, usable_vectors
 from eventloom.llm.packing import WordEncoder, pack
 from eventloom.llm.quality import quality_scores
@@ -170,3 +171,89 @@ def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest found of every hundredth embedding among all others."""
     vectors = usable_vectors(documents(spark, sf_dir, "embeddings"))
     return nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("""
+WITH RECURSIVE d AS (
+  SELECT *, sha256(f || t) AS leaf,
+         sha256(f || CASE WHEN text IS NULL THEN '-'
+                          ELSE strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '') END) AS stripped
+  FROM (
+    SELECT doc_id, coalesce('=' || source, '') AS grp, text,
+           coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+           || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-')
+           || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS f,
+           coalesce(strlen(text) || ':' || text, '-') AS t,
+           list_reduce(list_concat([4294967295], list_transform(
+             string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+             lambda crc, c: list_reduce(list_concat([xor(crc, c)], [0, 0, 0, 0, 0, 0, 0, 0]),
+               lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)
+           ) % 2 AS crc_odd
+    FROM documents)
+), leaves AS (
+  -- without the last step of a CRC, which flips all bits, odd stands for even
+  SELECT grp, doc_id, leaf, CASE WHEN crc_odd = 1 THEN stripped ELSE leaf END AS now,
+         row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY grp) AS n
+  FROM d
+), nodes AS (
+  SELECT grp, 0 AS lvl, pos, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT grp, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3
+  FROM nodes WHERE n > 1 GROUP BY grp, lvl, pos // 3, n
+), subroots AS (
+  SELECT grp, lvl AS height, h, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n
+  FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS lvl, pos, h, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3
+  FROM tops WHERE n > 1 GROUP BY lvl, pos // 3, n
+), tall AS (SELECT lvl AS height, h AS root FROM tops WHERE n = 1
+), steps AS (
+  SELECT x.grp, x.leaf_pos, x.lvl, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos < x.pos), '') AS b,
+         coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos > x.pos), '') AS a
+  FROM (SELECT l.grp, l.pos AS leaf_pos, k.lvl, l.pos // CAST(power(3, k.lvl) AS BIGINT) AS pos
+        FROM leaves l JOIN subroots r USING (grp), (SELECT unnest(range(60)) AS lvl) k
+        WHERE k.lvl < r.height) x
+  LEFT JOIN nodes s ON s.grp = x.grp AND s.lvl = x.lvl AND s.pos // 3 = x.pos // 3 AND s.pos <> x.pos
+  GROUP BY ALL
+), upper AS (
+  SELECT x.grp, x.lvl, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos < x.pos), '') AS b,
+         coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos > x.pos), '') AS a
+  FROM (SELECT r.grp, k.lvl, r.pos // CAST(power(3, k.lvl) AS BIGINT) AS pos
+        FROM subroots r, (SELECT unnest(range(60)) AS lvl) k, tall WHERE k.lvl < tall.height) x
+  LEFT JOIN tops s ON s.lvl = x.lvl AND s.pos // 3 = x.pos // 3 AND s.pos <> x.pos
+  GROUP BY ALL
+), paths AS (
+  SELECT grp, leaf_pos, lvl, b, a FROM steps
+  UNION ALL
+  SELECT l.grp, l.pos, r.height + u.lvl, u.b, u.a
+  FROM leaves l JOIN subroots r USING (grp) JOIN upper u USING (grp)
+), proofs AS (
+  SELECT grp, leaf_pos, list(b ORDER BY lvl) AS bs, list(a ORDER BY lvl) AS as_,
+         sha256(string_agg(b || a, '' ORDER BY lvl)) AS proof_sha256
+  FROM paths GROUP BY ALL
+), folds AS (
+  SELECT l.grp, l.pos, 1 AS i, now AS h, p.bs, p.as_
+  FROM leaves l LEFT JOIN proofs p ON p.grp = l.grp AND p.leaf_pos = l.pos
+  UNION ALL
+  SELECT grp, pos, i + 1, sha256(bs[i] || h || as_[i]), bs, as_ FROM folds WHERE i <= len(bs)
+)
+SELECT l.doc_id, l.leaf, r.h AS subroot, t.root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+       f.h AS folded_root, f.h = t.root AS verified
+FROM leaves l JOIN subroots r USING (grp) CROSS JOIN tall t
+LEFT JOIN proofs p ON p.grp = l.grp AND p.leaf_pos = l.pos
+JOIN folds f ON f.grp = l.grp AND f.pos = l.pos AND f.i = coalesce(len(f.bs), 0) + 1
+""")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and roots of every document; half of them are checked without line breaks."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = manifest(documents(spark, sf_dir), {"text": text})
+    found = found.withColumn("folded_root", folded("proof", F.col("now")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", proof_hash("proof").alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
