@@ -20,6 +20,7 @@ from eventloom.llm.sharding import shard_documents
 from eventloom.llm.simhash import near_duplicates
 from eventloom.llm.suffix_dedup import remove_repeats
 from eventloom.llm.topk import exact_top_k, quantized
+from eventloom.llm.whitening import integers, whiten
 from eventloom.session import configure
 
 #: The vocabulary and the id after each document, as the packed training data has them.
@@ -257,3 +258,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", proof_hash("proof").alias("proof_sha256"),
         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@query()
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding in the terms of sixteen whitened components."""
+    rows = documents(spark, sf_dir, "embeddings")
+    return whiten(rows.select("vec_id", integers("embedding", 64, 1_000_000).alias("x")))

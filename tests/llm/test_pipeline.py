@@ -81,7 +81,7 @@ def test_stages_take_edge_cases(spark):
 
 def test_registration():
     assert set(QUERIES) | {"pipeline"} <= set(queries())
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(ORACLE) <= set(oracle_sql())
 
 
