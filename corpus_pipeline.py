@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import documents, materialize
 from eventloom.llm.decontaminate import drop_contaminated
-from eventloom.llm.jaccard import keep_one
 from eventloom.llm.packing import pack
 from eventloom.llm.quality import quality_scores
 from eventloom.llm.queries import token_encoder
 from eventloom.llm.secrets import secret_scan
+from eventloom.llm.simhash import keep_one
 from eventloom.session import configure
 
 
@@ -22,8 +22,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of five-word similarity 0.8 or more."""
-    return keep_one(docs)
+    """The document of least doc_id of each group of fingerprints that differ in few bits."""
+    return keep_one(docs, shingle=3, max_bits=3)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
