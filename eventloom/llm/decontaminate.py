@@ -73,10 +73,10 @@ def shingle_filter(shingles: DataFrame) -> np.ndarray:
     """Bits of the slots in use; a slot is the highest bits of a shingle."""
     slot = f"shiftrightunsigned(shingle, {64 - FILTER_BITS})"
     bit = F.expr(f"bit_or(shiftleft(1L, CAST({slot} & 31 AS INT)))")
-    words = shingles.groupBy(F.expr(f"shiftright({slot}, 5)").alias("word")).agg(bit).collect()
+    words = shingles.groupBy(F.expr(f"shiftright({slot}, 5)").alias("word")).agg(bit.alias("bits"))
+    found = words.toArrow()  # plain arrays: a Row each would cost a hundred times as much
     bits = np.zeros(1 << (FILTER_BITS - 5), dtype=np.uint32)
-    for word, value in words:
-        bits[word] = value
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
     return bits
 
 

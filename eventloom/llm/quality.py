@@ -353,7 +353,7 @@ def fitting_sample(docs: DataFrame, labels: DataFrame, wanted: list[str]) -> pd.
     own = F.struct(F.xxhash64("text").alias("text_key"), *[x for x in columns if x != "doc_id"])
     rows = rows.groupBy("doc_id").agg(F.min(own).alias("one"))
     rows = rows.select("doc_id", *[f"one.{x}" for x in columns if x != "doc_id"])
-    return rows.toPandas().sort_values(["doc_id", "text"]).reset_index(drop=True)
+    return rows.toArrow().to_pandas().sort_values(["doc_id", "text"]).reset_index(drop=True)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
