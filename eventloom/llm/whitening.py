@@ -1,8 +1,9 @@
 """Whitening by Golub-Kahan-Lanczos bidiagonalisation of the centred vectors.
 
-The rows never leave their tasks. What a step needs of a left vector u are its products with
-rows and with other left vectors; as u = X w for a short vector w that the driver keeps, each
-task makes its part of u anew from its rows, so no step stores anything that grows with them.
+The rows never leave their tasks. A left vector u is X w for a short vector w that the driver
+keeps, so each task makes its part of u anew from its rows, and what u has of another left
+vector X w' is w'.(X'u): a step takes Xv and X'u by tasks, stores nothing that grows with the
+rows, and makes u orthogonal to all left vectors before it from X'u alone.
 """
 
 from __future__ import annotations
@@ -56,12 +57,16 @@ def _pack(batches):
         yield block(rows)
 
 
-def _unpacked(batches, dim: int):
-    """The blocks as matrices of integers."""
+def _stored(batches, dim: int):
+    """(base, matrix of what is above it) of each block."""
     for batch in batches:
         for base, width, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            above = np.frombuffer(data, dtype=f"<u{width}").astype(np.uint64)
-            yield (above + np.uint64(base % (1 << 64))).view(np.int64).reshape(-1, dim)
+            yield base, np.frombuffer(data, dtype=f"<u{width}").reshape(-1, dim)
+
+
+def _whole(base: int, above: np.ndarray) -> np.ndarray:
+    """The integers of a block."""
+    return (above.astype(np.uint64) + np.uint64(base % (1 << 64))).view(np.int64)
 
 
 class Centre:
@@ -74,6 +79,15 @@ class Centre:
     def __call__(self, rows: np.ndarray) -> np.ndarray:
         return (rows - self.whole) - self.rest
 
+    def block(self, base: int, above: np.ndarray) -> np.ndarray:
+        if above.itemsize == 8:
+            return self(_whole(base, above))
+        # whole numbers of 32 bits and their shift are exact as doubles
+        rows = above.astype(np.float64)
+        rows += (base - self.whole).astype(np.float64)
+        rows -= self.rest
+        return rows
+
 
 class FitList:
     """Distinct integer vectors, in blocks, with what is known of them."""
@@ -90,7 +104,8 @@ class FitList:
 
         def run(batches):
             sums = [0] * (dim + 1)
-            for rows in _unpacked(batches, dim):
+            for base, above in _stored(batches, dim):
+                rows = _whole(base, above)
                 safe = int(np.abs(rows.astype(float)).max()) < 2**62 // len(rows)
                 own = (rows if safe else rows.astype(object)).sum(axis=0)
                 sums = [a + int(b) for a, b in zip(sums, [*own, len(rows)])]
@@ -111,8 +126,8 @@ class FitList:
 
         def run(batches):
             out = np.zeros(size)
-            for rows in _unpacked(batches, dim):
-                out += fn(centred(rows))
+            for base, above in _stored(batches, dim):
+                out += fn(centred.block(base, above))
             yield pa.RecordBatch.from_pydict({"i": np.arange(size), "s": out})
 
         parts = self.blocks.mapInArrow(run, "i long, s double")
@@ -153,26 +168,20 @@ def bidiagonalise(fit: FitList, k: int, seed: int = SEED):
     while True:
         v = right[-1]
         s = v - beta * w[-1] if w else v
+        left = np.array(w).reshape(-1, dim)
         if w:
-            left = np.array(w).T
-
-            def overlaps(x, left=left, s=s):
-                return (x @ left).T @ (x @ s)
-
-            s = s - left @ fit.total(overlaps, len(w))
-
-        left, m = np.array(w).T.reshape(dim, -1), len(w)
+            s = s - left.T @ (left @ fit.total(lambda x, s=s: x.T @ (x @ s), dim))
 
-        def products_of(x, left=left, s=s):
+        def products_of(x, s=s):
             u = x @ s
-            return np.concatenate([x.T @ u, (x @ left).T @ u, [u @ u]])
+            return np.append(x.T @ u, u @ u)
 
-        out = fit.total(products_of, dim + m + 1)
-        back, again = out[:dim], out[dim : dim + m]
-        alpha = math.sqrt(max(0.0, out[-1] - again @ again))
+        *back, square = fit.total(products_of, dim + 1)
+        again = left @ back  # what u still has of earlier left vectors
+        alpha = math.sqrt(max(0.0, square - again @ again))
         scale = max(scale, alpha)
         if alpha > scale * dim * 1e-15:
-            w.append((s - left @ again) / alpha)
+            w.append((s - left.T @ again) / alpha)
             products.append((back - np.array(products).reshape(-1, dim).T @ again) / alpha)
         else:
             alpha = 0.0
