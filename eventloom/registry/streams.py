@@ -15,6 +15,7 @@ from eventloom.sinks.streams import ingest_events, read_versions, versioned_sink
 from eventloom.sources.events import SOURCE_SCHEMAS, as_event_file, raw_events
 from eventloom.sources.streams import decode_events
 from eventloom.streaming import nrt
+from eventloom.streaming import totals as minutes
 
 _MINUTES = with_ev("""
 SELECT time_bucket(INTERVAL 1 MINUTE, event_time) AS window_start,
@@ -112,6 +113,61 @@ def _arrive_and_run(spark, path, part):
     nrt.nrt_stream(stream, f"{path}/table", f"{path}/checkpoint", UNTIL_DONE).awaitTermination()
 
 
+def _feed_totals(spark, path, part, **settings):
+    """As above, with the operator that hands on totals."""
+    part.write.mode("append").parquet(f"{path}/in")
+    files = spark.readStream.schema(SOURCE_SCHEMAS["events"]).parquet(f"{path}/in")
+    stream = raw_events(files).withColumn("event_time", F.col("event_time").cast("timestamp"))
+    minutes.totals_stream(stream, path, f"{path}/checkpoint", UNTIL_DONE, **settings).awaitTermination()
+
+
+@query(_MINUTES)
+def nrt_totals_stream(spark, sf_dir):
+    """Totals as the stateful operator hands them on, in two portions with a restart between."""
+    path = new_dir(spark, "totals")
+    parts = _parts(spark, sf_dir)
+    _feed_totals(spark, path, parts[0].unionByName(parts[1]))
+    _feed_totals(spark, path, parts[2].unionByName(parts[3]))
+    return minutes.read_totals(spark, path).drop("updated_at")
+
+
+_KEPT_AND_LATE = """
+WITH e AS (
+  SELECT ev.*, event_time < (SELECT MAX(event_time) FROM ev) - INTERVAL 12 MINUTE
+               AND floor(event_id * 4 / ((SELECT MAX(event_id) FROM ev) + 1)) < 2 AS late
+  FROM ev)
+SELECT 'minute' AS kind, time_bucket(INTERVAL 1 MINUTE, event_time) AS at, platform,
+       CAST(NULL AS BIGINT) AS event_id,
+       CAST(COALESCE(SUM(price) FILTER (event_name = 'purchase'), 0) AS DECIMAL(18,2)) AS money,
+       CAST(COUNT(DISTINCT user_id) FILTER (event_name = 'purchase') AS BIGINT) AS buyers
+FROM e WHERE NOT late GROUP BY 2, 3
+UNION ALL
+SELECT 'late', event_time, platform, event_id, CAST(price AS DECIMAL(18,2)), NULL FROM e WHERE late"""
+
+
+@query(with_ev(_KEPT_AND_LATE))
+def nrt_kept_and_late(spark, sf_dir):
+    """The later half, then the earlier one: it comes late and goes to a table of its own.
+
+    Buyers of a minute are dealt to three operators.
+    """
+    path = new_dir(spark, "late")
+    parts = _parts(spark, sf_dir)
+    _feed_totals(spark, path, parts[2].unionByName(parts[3]), parts=3)
+    _feed_totals(spark, path, parts[0], parts=3)
+    _feed_totals(spark, path, parts[1], parts=3)
+    kept = minutes.read_totals(spark, path).select(
+        F.lit("minute").alias("kind"), F.col("window_start").alias("at"), "platform",
+        F.lit(None).cast("long").alias("event_id"), F.col("revenue_1m").alias("money"),
+        F.col("buyers_1m").alias("buyers"),
+    )
+    late = minutes.read_late(spark, path).select(
+        F.lit("late").alias("kind"), F.col("event_time").alias("at"), "platform", "event_id",
+        F.col("price").cast("decimal(18,2)").alias("money"), F.lit(None).cast("long").alias("buyers"),
+    )
+    return kept.unionByName(late)
+
+
 @query(with_ev("""
 SELECT date_trunc('second', event_time) AS event_time, user_id, session_id, event_name,
        platform, CAST(price AS DOUBLE) AS price, props_json
