@@ -9,6 +9,8 @@ whose rows are needed together afterwards. No function here runs a job.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from pyspark.sql import types as T
 from eventloom.operators.versions import first_per_key
 
 HOT_ROWS = 5_000_000
+#: Tasks that rows with a null key are dealt to in a salted join.
+NULL_PLACES = 1024
 
 Keys = str | Sequence[str] | Mapping[str, str]
 
@@ -30,15 +34,28 @@ def _align(right: DataFrame, on: Keys) -> tuple[DataFrame, list[str]]:
     return right, list(on)
 
 
-def hot_keys(df: DataFrame, key_hash: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Key hashes with more than ``hot_rows`` rows, and the number of tasks for each.
+def hot_keys(sides: Sequence[DataFrame], keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows on a side, and the number of tasks for each side.
 
-    Rows are counted per key before the shuffle. At most rows / ``hot_rows`` keys are
-    found, of 12 bytes each.
+    The columns are the keys and ``_tasks0``, ``_tasks1``, ..., null where the key is not hot
+    on that side. Rows are counted per key before the one shuffle. Null keys are left out. The
+    table is for map-side joins: there are at most rows / ``hot_rows`` keys, 200,000 of a
+    trillion rows at the default, and 20 bytes and the key for each.
     """
-    counts = df.groupBy(key_hash.alias("_hot_hash")).agg(F.count("*").alias("_rows"))
-    salts = F.ceil(F.col("_rows") / hot_rows).cast("int")
-    return counts.where(F.col("_rows") > hot_rows).select("_hot_hash", salts.alias("_salts"))
+    keys = list(keys)
+    named = reduce(and_, (F.col(f"`{k}`").isNotNull() for k in keys))
+    ones = [
+        df.where(named).select(*keys, *[F.lit(int(i == j)).cast("bigint").alias(f"_n{j}") for j in range(len(sides))])
+        for i, df in enumerate(sides)
+    ]
+    counts = reduce(DataFrame.union, ones).groupBy(*keys)
+    counts = counts.agg(*[F.sum(f"_n{j}").alias(f"_n{j}") for j in range(len(sides))])
+    tasks = [
+        F.when(F.col(f"_n{j}") > hot_rows, F.ceil(F.col(f"_n{j}") / hot_rows).cast("int")).alias(f"_tasks{j}")
+        for j in range(len(sides))
+    ]
+    hot = counts.select(*keys, *tasks).where(F.coalesce(*[f"_tasks{j}" for j in range(len(sides))]).isNotNull())
+    return F.broadcast(hot)
 
 
 def comparable_columns(df: DataFrame) -> list[Column]:
@@ -49,50 +66,18 @@ def comparable_columns(df: DataFrame) -> list[Column]:
     ]
 
 
-def _salt(df: DataFrame, hot: DataFrame, key_hash: Column, name: str) -> DataFrame:
-    """Spread the rows of hot keys over their salts; all others get 0 and ``_copies`` 1.
+def _places(df: DataFrame, own: str, tasks: str, others: str, copied: str, keys: list[str]) -> DataFrame:
+    """Gives each row its place among the ``tasks`` of its key, and a copy for each of ``others``.
 
-    Equal rows are counted first. A row with its count goes to as many salts as it has
-    copies, beginning with one by its hash, and each takes its part of the copies.
+    A place comes from the row's hash and the number of the task that reads it, so a task that
+    runs again sends each row to the same place as before, and equal rows spread as well. Rows
+    with a null key meet nothing and get any place.
     """
-    joined = df.join(hot, key_hash == F.col("_hot_hash"), "left")
-    cold = joined.where("_salts IS NULL").select(
-        *df.columns, F.lit(0).alias(name), F.lit(1).cast("bigint").alias("_copies")
-    )
-    groups = [c.alias(f"_group{i}") for i, c in enumerate(comparable_columns(df))]
-    counted = (
-        joined.where("_salts IS NOT NULL")
-        .groupBy(*groups, "_salts")
-        .agg(F.count("*").alias("_n"), F.first(F.struct(*df.columns)).alias("_row"))
-    )
-    row_hash = F.xxhash64(*(f"_group{i}" for i in range(len(groups))))
-    parts = F.least(F.col("_n"), F.col("_salts").cast("bigint"))
-    spread = counted.select(
-        "_row",
-        "_salts",
-        "_n",
-        row_hash.alias("_hash"),
-        parts.alias("_parts"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("_part"),
-    ).select(
-        "_row.*",
-        F.expr("CAST(pmod(_hash + _part, CAST(_salts AS BIGINT)) AS INT)").alias(name),
-        F.expr("_n DIV _parts + IF(_part < _n % _parts, 1, 0)").alias("_copies"),
-    )
-    return cold.unionByName(spread)
-
-
-def _copy(df: DataFrame, hot: DataFrame, key_hash: Column, name: str) -> DataFrame:
-    """One copy per salt of the rows of hot keys, all others once."""
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    joined = df.join(hot, key_hash == F.col("_hot_hash"), "left")
-    return joined.select(*df.columns, F.explode(F.sequence(F.lit(0), salts - 1)).alias(name))
-
-
-def _write_out(df: DataFrame) -> DataFrame:
-    """Each row as often as ``_copies`` says."""
-    copies = F.expr("sequence(1L, _copies)")
-    return df.withColumn("_copy", F.explode(copies)).drop("_copies", "_copy")
+    row = F.xxhash64(*comparable_columns(df.drop(tasks, others))) + F.spark_partition_id()
+    nameless = reduce(or_, (F.col(f"`{k}`").isNull() for k in keys))
+    width = F.when(nameless, F.lit(NULL_PLACES)).otherwise(F.coalesce(tasks, F.lit(1)))
+    copies = F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1)
+    return df.withColumn(own, F.pmod(row, width).cast("int")).withColumn(copied, F.explode(copies))
 
 
 def salted_join(
@@ -104,43 +89,35 @@ def salted_join(
 ) -> DataFrame:
     """Shuffle join with the rows of hot keys of both sides spread out, for every join type.
 
-    Rows of a key with more than ``hot_rows`` rows on one side are numbered there and copied
-    on the other; a key hot on both sides makes a grid. The numbers come from row hashes, so
-    a task that runs again after a loss sends each row to the same place as before.
+    Rows of a key with more than ``hot_rows`` rows on one side are dealt to places there and
+    copied to each place on the other; a key hot on both sides makes a grid. Hot keys are
+    counted in one pass over the keys; then each side is read and shuffled once. In an outer
+    join a copy without a match in its place is no unmatched row if its key is hot on the other
+    side: it has its matches in other places.
     """
     keys = list(keys)
-    others = [c for c in left.columns if c not in keys]
-    if how == "right":
-        swapped = salted_join(right, left, keys, "left", hot_rows)
-        return swapped.select(*keys, *others, *(c for c in right.columns if c not in keys))
-    if how == "full":
-        matched = salted_join(left, right, keys, "left", hot_rows)
-        rest = salted_join(right, left, keys, "left_anti", hot_rows)
-        return matched.unionByName(rest, allowMissingColumns=True)
-    if how not in ("inner", "left", "left_semi", "left_anti"):
+    rest = [c for c in left.columns if c not in keys]
+    more = [c for c in right.columns if c not in keys]
+    if how not in ("inner", "left", "right", "full", "left_semi", "left_anti"):
         raise ValueError(f"unknown join type {how}")
-    # Equal keys must hash alike on both sides, so hash them in their common type.
-    common = left.select(keys).union(right.select(keys)).dtypes
-    key_hash = F.xxhash64(*(F.col(name).cast(kind) for name, kind in common))
-    left_hot = hot_keys(left, key_hash, hot_rows)
-    salted = _salt(left, left_hot, key_hash, "_salt")
-    if how in ("left_semi", "left_anti"):
-        right = _copy(right.select(keys).distinct(), left_hot, key_hash, "_salt")
-        return _write_out(salted.join(right, [*keys, "_salt"], how)).select(*keys, *others)
-    # A key hot on the right is a grid: left rows copied over its columns.
-    right_hot = hot_keys(right, key_hash, hot_rows)
-    cells = _copy(salted, right_hot, key_hash, "_cell")
-    spread = _salt(right, right_hot, key_hash, "_cell").withColumnRenamed("_copies", "_more")
-    spread = _copy(spread, left_hot, key_hash, "_salt")
-    matched = cells.join(spread, [*keys, "_salt", "_cell"])
-    matched = matched.withColumn("_copies", F.col("_copies") * F.col("_more"))
-    matched = _write_out(matched.drop("_salt", "_cell", "_more"))
-    if how == "left":
-        # Copies of a left row may each miss the matches of the others, so the rows
-        # without any match are found apart.
-        unmatched = salted_join(left, right, keys, "left_anti", hot_rows)
-        return matched.unionByName(unmatched, allowMissingColumns=True)
-    return matched
+    only_keys = how in ("left_semi", "left_anti")
+    if only_keys:
+        right = right.select(keys).distinct()
+    hot = hot_keys([left] if only_keys else [left, right], keys, hot_rows)
+    if only_keys:
+        hot = hot.withColumn("_tasks1", F.lit(None).cast("int"))
+    met = [*keys, "_salt", "_cell"]
+    placed = _places(left.join(hot, keys, "left"), "_salt", "_tasks0", "_tasks1", "_cell", keys)
+    dealt = _places(right.join(hot, keys, "left"), "_cell", "_tasks1", "_tasks0", "_salt", keys)
+    if only_keys:
+        return placed.join(dealt.select(met), met, how).select(*keys, *rest)
+    placed = placed.drop("_tasks0").withColumnRenamed("_tasks1", "_elsewhere").withColumn("_left", F.lit(True))
+    dealt = dealt.drop("_tasks1").withColumnRenamed("_tasks0", "_otherwise").withColumn("_right", F.lit(True))
+    joined = placed.join(dealt, met, how)
+    both = F.col("_left").isNotNull() & F.col("_right").isNotNull()
+    lone_left = F.col("_right").isNull() & F.col("_elsewhere").isNull()
+    lone_right = F.col("_left").isNull() & F.col("_otherwise").isNull()
+    return joined.where(both | lone_left | lone_right).select(*keys, *rest, *more)
 
 
 def enrich(left: DataFrame, dim: DataFrame, on: Keys, how: str = "left") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventloom.operators.asof import as_of_join
 from eventloom.operators.joins import any_join, enrich, lookup, orphans, preagg_join, salted_join
 from eventloom.registry.base import query, table
 
@@ -147,3 +148,43 @@ def salted_full_join(spark, sf_dir):
     """The same with the rows of busy users spread: whoever has over 20 errors."""
     customers = _solvent(spark, sf_dir).withColumnRenamed("c_custkey", "user_id")
     return salted_join(_errors(spark, sf_dir), customers, ["user_id"], "full", hot_rows=20)
+
+
+@query("""
+WITH v AS (
+  SELECT c_custkey AS user_id, c_mktsegment || '/' || k AS segment,
+         TIMESTAMP '2024-01-01' + to_days(CAST(7 * k + c_custkey % 5 AS INTEGER))
+           + to_hours(CAST(c_nationkey AS INTEGER)) AS since,
+         k
+  FROM customer, (SELECT unnest(range(4)) AS k)
+), u AS (
+  SELECT *, CASE WHEN user_id % 3 = 0 THEN since + INTERVAL 5 DAY END AS until FROM v
+), j AS (
+  SELECT e.event_id, e.user_id, e.ts, u.segment, u.since, u.until,
+         row_number() OVER (PARTITION BY e.event_id ORDER BY u.since DESC) AS rn
+  FROM events e LEFT JOIN u ON u.user_id = e.user_id AND u.since <= e.ts
+)
+SELECT event_id, user_id, ts, CASE WHEN until IS NULL OR until > ts THEN segment END AS segment,
+       CASE WHEN until IS NULL OR until > ts THEN since END AS since
+FROM j WHERE rn = 1""")
+def events_as_of_history(spark, sf_dir):
+    """Events with the segment their customer had then; a third of the versions end early.
+
+    Customers with over 50 rows are cut by days.
+    """
+    customers = table(spark, sf_dir, "customer")
+    weeks = F.explode(F.array(*[F.lit(k) for k in range(4)]))
+    start = F.expr(
+        "TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(7 * k + CAST(c_custkey % 5 AS INT), c_nationkey)"
+    )
+    versions = customers.withColumn("k", weeks).select(
+        F.col("c_custkey").alias("user_id"),
+        F.concat_ws("/", "c_mktsegment", "k").alias("segment"),
+        start.alias("since"),
+    )
+    ends = F.when(F.col("user_id") % 3 == 0, F.col("since") + F.expr("INTERVAL 5 DAYS"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    joined = as_of_join(
+        events, versions.withColumn("until", ends), ["user_id"], "ts", "since", "until", hot_rows=50
+    )
+    return joined.drop("until")

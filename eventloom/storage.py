@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 # Fixed value: the folder name of a NULL partition value.
@@ -59,3 +61,70 @@ def overwrite_partitions(df: DataFrame, table: str, column: str) -> None:
         .partitionBy(column)
         .parquet(table)
     )
+
+
+def child_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    fs, jpath = _open(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(jpath)) if fs.exists(jpath) else []
+
+
+def data_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(path inside the folder, bytes) of all data files under it."""
+    fs, jpath = _open(spark, folder)
+    if not fs.exists(jpath):
+        return []
+    root = fs.makeQualified(jpath).toUri()
+    found, files = [], fs.listFiles(jpath, True)
+    while files.hasNext():
+        status = files.next()
+        if not status.getPath().getName().startswith(("_", ".")):
+            name = root.relativize(status.getPath().toUri()).getPath()
+            found.append((name, status.getLen()))
+    return sorted(found)
+
+
+def modified_at(spark: SparkSession, path: str) -> float:
+    """Time of the last change in seconds since 1970."""
+    fs, jpath = _open(spark, path)
+    return fs.getFileStatus(jpath).getModificationTime() / 1000
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Give a file another name; fails if there is one of that name."""
+    jvm = spark._jvm
+    no_options = spark.sparkContext._gateway.new_array(
+        getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0
+    )
+    fs, jsource = _open(spark, source)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        fs.makeQualified(jsource).toUri(), spark._jsc.hadoopConfiguration()
+    )
+    context.rename(fs.makeQualified(jsource), fs.makeQualified(_open(spark, target)[1]), no_options)
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that nobody sees half done; false if it is there already."""
+    folder, name = path.rsplit("/", 1)
+    draft = f"{folder}/_{uuid.uuid4().hex}-{name}"
+    fs, jdraft = _open(spark, draft)
+    stream = fs.create(jdraft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    try:
+        move(spark, draft, path)
+    except Py4JJavaError as error:
+        fs.delete(jdraft, False)
+        if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, jpath = _open(spark, path)
+    stream = fs.open(jpath)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

@@ -11,9 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 
-import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -47,39 +46,42 @@ class MinuteTotals(StatefulProcessor):
 
     def __init__(self, columns: int, size: int = MINUTE_MICROS):
         self.columns, self.size = columns, size
+        self.names = ["late", *_TOTALS, *(f"c{i}" for i in range(columns))]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.out = Row(*self.names)
         self.handle = handle
         self.totals = handle.getValueState("totals", "cents long, purchases long, buyers long")
         self.buyers = handle.getMapState("buyers", "buyer string", "seen boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         end = (key[0] + self.size) // 1000
         if end <= timerValues.getCurrentWatermarkInMs():
-            for frame in rows:
-                late = frame.iloc[:, 3 : 3 + self.columns]
-                yield self._out([[True] * len(late)] + [[None] * len(late)] * len(_TOTALS), late)
+            none = (None,) * len(_TOTALS)
+            for row in rows:
+                yield self.out(True, *none, *row[3 : 3 + self.columns])
             return
         known = self.totals.get()
         if known is None:
             self.handle.registerTimer(end)
         cents, purchases, buyers = before = tuple(known or (0, 0, 0))
-        for frame in rows:
-            frame = frame.iloc[:, 3 + self.columns :].set_axis(["bought", "cents", "buyer"], axis=1)
-            bought = frame[frame.bought.astype(bool)]
-            cents += int(bought.cents.sum())
-            purchases += len(bought)
-            for user in bought.buyer.dropna().unique():
-                if not self.buyers.containsKey((user,)):
-                    self.buyers.updateValue((user,), (True,))
-                    buyers += 1
+        users = set()
+        for row in rows:
+            bought, price, user = row[3 + self.columns :]
+            if bought:
+                cents += price
+                purchases += 1
+                if user is not None and user not in users:
+                    users.add(user)
+                    if not self.buyers.containsKey((user,)):
+                        self.buyers.updateValue((user,), (True,))
+                        buyers += 1
         after = cents, purchases, buyers
         if known is None or after != before:
             self.totals.update(after)
-            none = pd.DataFrame([[None] * self.columns])
-            yield self._out([[False], *([v] for v in (*key, *after))], none)
+            yield self.out(False, *key, *after, *(None,) * self.columns)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.totals.clear()
         self.buyers.clear()
         yield from ()
@@ -87,11 +89,6 @@ class MinuteTotals(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _out(self, front: list[list], event: pd.DataFrame) -> pd.DataFrame:
-        columns = dict(zip(["late", *_TOTALS], front))
-        columns |= {f"c{i}": event.iloc[:, i].tolist() for i in range(self.columns)}
-        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
-
 
 def _as_text(field: T.StructField) -> Column:
     column = F.col(f"`{field.name}`")
@@ -137,7 +134,7 @@ def minute_totals(
         ["late boolean", *(f"{n} {t}" for n, t in _TOTALS.items()), *(f"{c} string" for c in kinds)]
     )
     keys = ["start_micros", "window_platform", "part"]
-    found = rows.groupBy(*keys).transformWithStateInPandas(
+    found = rows.groupBy(*keys).transformWithState(
         MinuteTotals(len(fields), size), outputStructType=schema, outputMode="Update", timeMode="EventTime"
     )
     return found.select(

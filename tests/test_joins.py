@@ -34,9 +34,8 @@ def users(spark):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(spark, skewed, users, how):
-    hot = joins.hot_keys(skewed, F.xxhash64("user_id"), 500).collect()
-    assert [r["_hot_hash"] for r in hot] == [spark.range(7, 8).select(F.xxhash64("id")).first()[0]]
-    assert hot[0]["_salts"] == 7
+    hot = joins.hot_keys([skewed, users], ["user_id"], 500).collect()
+    assert [tuple(r) for r in hot] == [(7, 7, None)]
     got = joins.salted_join(skewed, users, ["user_id"], how, hot_rows=500)
     want = skewed.join(users, "user_id", how)
     assert got.columns == want.columns
@@ -71,8 +70,8 @@ def test_key_hot_on_both_sides(spark, skewed, how):
 
 
 def test_no_hot_keys(spark, skewed, users):
-    assert joins.hot_keys(skewed, F.xxhash64("user_id"), 5000).isEmpty()
-    assert joins.hot_keys(skewed.limit(0), F.xxhash64("user_id"), 1).isEmpty()
+    assert joins.hot_keys([skewed, users], ["user_id"], 5000).isEmpty()
+    assert joins.hot_keys([skewed.limit(0)], ["user_id"], 1).isEmpty()
     got = joins.salted_join(skewed, users, ["user_id"], "full", hot_rows=5000)
     assert rows(got.na.fill(-1)) == rows(skewed.join(users, "user_id", "full").na.fill(-1))
 
@@ -100,6 +99,36 @@ def test_salts_spread_the_hot_key(spark, skewed, users):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "left_semi", "left_anti"])
+def test_salted_join_reads_and_shuffles_each_side_once(spark, tmp_path, skewed, users, how):
+    """Twice with the count of keys, which reads no other column; hot keys are counted once."""
+    sides = []
+    for name, df in (("left", skewed), ("right", users)):
+        df.write.parquet(str(tmp_path / name))
+        sides.append(spark.read.parquet(str(tmp_path / name)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = joins.salted_join(*sides, ["user_id"], how, hot_rows=500)
+        text = plan(joined)
+        counted = 1 if how in ("left_semi", "left_anti") else 2  # sides whose keys are counted
+        distinct = 2 - counted  # the right side's keys, brought together first
+        assert text.count("Scan parquet") <= 2 * (2 + counted)  # the hot keys stand in the plan twice
+        assert text.count("Exchange hashpartitioning") - distinct <= 2 + 2
+        joined.collect()
+        text = plan(joined)
+        assert "ReusedExchange" in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("how", ["left", "right", "full", "left_anti"])
+def test_null_keys_of_a_salted_join_are_spread(spark, how):
+    left = spark.range(3000).selectExpr("IF(id % 3 = 0, id % 5, NULL) AS k", "id AS a")
+    right = spark.range(40).selectExpr("IF(id % 4 = 0, id % 7, NULL) AS k", "id AS b")
+    got = joins.salted_join(left, right, ["k"], how, hot_rows=20)
+    assert rows(got.na.fill(-1)) == rows(left.join(right, "k", how).na.fill(-1))
+
+
 @pytest.mark.parametrize("how", ["right", "full"])
 @pytest.mark.parametrize("hot_rows", [20, 500])
 def test_right_and_full_joins(spark, skewed, users, how, hot_rows):
@@ -115,10 +144,10 @@ def test_equal_rows_of_a_hot_key_are_spread(spark, users):
     same = spark.range(0, 1000).select(
         F.lit(7).cast("bigint").alias("user_id"), F.create_map(F.lit("k"), F.lit(1)).alias("m")
     )
-    key_hash = F.xxhash64("user_id")
-    salted = joins._salt(same, joins.hot_keys(same, key_hash, 125), key_hash, "_salt")
-    parts = {r["_salt"]: r["_copies"] for r in salted.collect()}
-    assert parts == dict.fromkeys(range(8), 125)
+    hot = joins.hot_keys([same, users], ["user_id"], 125)
+    placed = joins._places(same.join(hot, "user_id"), "_salt", "_tasks0", "_tasks1", "_cell", ["user_id"])
+    places = {r["_salt"]: r["count"] for r in placed.groupBy("_salt").count().collect()}
+    assert places == dict.fromkeys(range(8), 125)  # eight tasks read them
     got = joins.salted_join(same, users, ["user_id"], "inner", hot_rows=125)
     assert got.groupBy("attribute").count().select("count").distinct().collect() == [(1000,)]
 
