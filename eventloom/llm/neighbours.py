@@ -6,11 +6,11 @@ import heapq
 import math
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import finite, materialize, shuffle_partitions
+from eventloom.llm.common import finite
+from eventloom.llm.shards import search
 
 #: Distinct vectors of one forest, on average; a task holds one forest at a time.
 SHARD = 32_768
@@ -114,62 +114,6 @@ class Forest:
         return rows, squares, len(fresh)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
-
-
-def _runs(key: np.ndarray):
-    """(start, end) of runs of equal values."""
-    cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-    edges = np.concatenate([[0], cuts, [len(key)]]).tolist()
-    return zip(edges[:-1], edges[1:])
-
-
-def _search(k: int, trees: int, leaf: int, share: float, least: int):
-    """Streams rows sorted by place: each shard's vectors, then the queries it answers."""
-
-    def answer(forest, ids, batch):
-        out = {"asked": [], "vec_id": [], "score": []}
-        budget = max(least, math.ceil(share * len(ids)))
-        for asked, query in zip(batch.column(3).to_pylist(), _matrix(batch.column(2))):
-            rows, scores = forest.nearest(query, k, budget)
-            best = sorted((s, i) for r, s in zip(rows.tolist(), scores.tolist()) for i in ids[r])
-            out["asked"] += [asked] * len(best[:k])
-            out["score"] += [s for s, _ in best[:k]]
-            out["vec_id"] += [i for _, i in best[:k]]
-        return pa.RecordBatch.from_pydict(
-            {
-                "asked": pa.array(out["asked"], pa.int64()),
-                "vec_id": pa.array(out["vec_id"], pa.int64()),
-                "score": pa.array(out["score"], pa.float64()),
-            }
-        )
-
-    def run(batches):
-        here, parts, ids, forest = None, [], [], None
-        for batch in batches:
-            place = batch.column(0).to_numpy(zero_copy_only=False)
-            asks = batch.column(1).to_numpy(zero_copy_only=False)
-            for start, end in _runs(place * 2 + asks) if len(place) else ():
-                part = batch.slice(start, end - start)
-                if place[start] != here:
-                    here, parts, ids, forest = place[start], [], [], None
-                if not asks[start]:
-                    parts.append(_matrix(part.column(2)))
-                    ids += part.column(4).to_pylist()
-                elif parts or forest:
-                    if forest is None:
-                        forest, parts = Forest(np.concatenate(parts), trees, leaf), []
-                    yield answer(forest, ids, part)
-
-    return run
-
-
-def _rank(partition: str) -> Column:
-    return F.row_number().over(Window.partitionBy(partition).orderBy("score", "vec_id"))
-
-
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -183,55 +127,26 @@ def nearest(
 
     ``vectors`` has vec_id and v, an array of doubles; queries are the rows that ``is_query``
     marks, candidates all rows with another vec_id. Distances are taken on the vectors as
-    given; ties go to the smaller vec_id. Equal vectors are one entry, with their k + 1
-    smallest ids, and equal queries are answered once, so a vector that a third of the rows
-    share costs what any other does.
+    given; ties go to the smaller vec_id.
 
-    Distinct vectors are dealt to shards of some ``SHARD`` by a hash. A shard has a forest of
-    ``trees`` trees with leaves of ``leaf`` vectors, over all its vectors. Each query goes to
-    each shard; there it takes leaves of all trees from one queue, the nearest first, until
-    nothing outside can be nearer or a ``share`` of the shard (``least`` at the least) was
-    looked at. That bound makes the search approximate. A task holds one shard and a batch of
-    queries. Work grows with queries times shards, as the stated query set demands.
+    Each shard of ``SHARD`` distinct vectors has a forest of ``trees`` trees with leaves of
+    ``leaf`` vectors, over all its vectors. There a query takes leaves of all trees from one
+    queue, the nearest first, until nothing outside can be nearer or a ``share`` of the shard
+    (``least`` at the least) was looked at. That bound makes the search approximate. See
+    ``shards.search`` for copies, hot vectors and memory.
 
     Only vectors of equal length are compared. Rows without vec_id, and vectors that are null,
     empty or zero, take no part; equal rows count once, and one vec_id must not name different
     vectors. A query with fewer candidates gets them all, with none no row; no vectors give no
     rows. Other columns are ignored.
     """
-    usable = F.expr("vec_id IS NOT NULL AND v IS NOT NULL AND exists(v, x -> x <> 0)")
-    rows = vectors.where(usable).select(
-        F.col("vec_id").cast("long").alias("vec_id"), "v", is_query.alias("asks")
-    )
-    smallest = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    nodes = rows.select("v", "vec_id").distinct().withColumn("n", smallest).where(f"n <= {k + 1}")
-    nodes = nodes.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    nodes = materialize(nodes.withColumn("node", F.col("ids")[0]), "vectors")
-    asks = rows.where("asks").select(F.col("vec_id").alias("query_id"), "v").distinct()
-    asks = materialize(asks.join(nodes.select("v", "node"), "v"), "asks")
-
-    shards = max(1, math.ceil(nodes.count() / SHARD))
-    dim = F.size("v").cast("long") * shards
-    stored = nodes.select(
-        (dim + F.expr(f"pmod(xxhash64(node), {shards})")).alias("place"),
-        F.lit(0).alias("asks"), "v", "node", "ids",
-    )
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
-    wanted = asks.select("node", "v").distinct().select(dim.alias("first"), "v", "node", every.alias("s"))
-    wanted = wanted.select(
-        (F.col("first") + F.col("s")).alias("place"),
-        F.lit(1).alias("asks"), "v", "node", F.expr("CAST(NULL AS ARRAY<BIGINT>)").alias("ids"),
-    )
-    parts = max(1, min(shuffle_partitions(vectors), shards))
-    met = stored.unionByName(wanted).repartition(parts, "place").sortWithinPartitions("place", "asks")
-    found = met.mapInArrow(
-        _search(k + 1, trees, leaf, share, least), "asked long, vec_id long, score double"
-    )
-    found = found.withColumn("rank", _rank("asked")).where(f"rank <= {k + 1}").drop("rank")
-    answers = asks.join(found, asks.node == found.asked).where("vec_id <> query_id")
-    return answers.withColumn("rank", _rank("query_id")).where(f"rank <= {k}").select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
-    )
+
+    def index(matrix: np.ndarray):
+        forest, budget = Forest(matrix, trees, leaf), max(least, math.ceil(share * len(matrix)))
+        return lambda queries: [forest.nearest(q, k + 1, budget) for q in queries]
+
+    usable = vectors.where(F.exists("v", lambda x: x != 0))
+    return search(usable, is_query, k, SHARD, index, "double", highest=False)
 
 
 def usable_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:

@@ -2,147 +2,162 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import materialize
+from eventloom.llm.common import finite
+from eventloom.llm.shards import search
 
-#: Distinct vectors whose lists one task reads, and distinct queries it answers, on average.
+#: Distinct vectors whose lists one task reads, and queries that read them together.
 LIST_BLOCK, QUERY_BLOCK = 16_384, 256
-#: Share of the lists read first; each later reading point is twice as deep.
-FIRST_DEPTH = 1 / 8
+#: Rows left, as a multiple of k, whose scores are resolved.
+FEW = 4
+#: Shares of the lists after which bounds are compared.
+LOOKS = (0.25, 0.5, 0.625, 0.7, 0.75, 0.8, 0.84, 0.88, 0.92, 0.96)
 
 
 class SortedLists:
-    """Vectors (rows, integers) and, for each dimension, their ranks by value."""
+    """For each dimension a list of (row, value) by value; nothing is looked up by row.
+
+    A query reads a list from its high end if its weight for the dimension is positive, else
+    from its low end. All queries of a block read on together, so that an entry is read once
+    for all that come from its end.
+    """
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
-        order = np.argsort(vectors, axis=0, kind="stable")
-        self.values = np.take_along_axis(vectors, order, axis=0).astype(np.float64)
-        self.rank = np.empty(vectors.shape, dtype=np.int32)
-        places = np.arange(len(vectors), dtype=np.int32)[:, None]
-        np.put_along_axis(self.rank, order, np.broadcast_to(places, order.shape), axis=0)
-
-    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper scores (query, vector) once ``depth`` entries of each list are read.
-
-        A query reads a dimension from its high end if its weight is positive, else from its
-        low end. What a vector has not shown lies between the reading point and the far end.
-        """
-        n = len(self.vectors)
-        plus, minus = np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
-        high_end, low_end = self.rank >= n - depth, self.rank < depth
-        lower = plus @ np.where(high_end, self.vectors, self.values[0]).T
-        lower += minus @ np.where(low_end, self.vectors, self.values[-1]).T
-        upper = plus @ np.where(high_end, self.vectors, self.values[n - depth]).T
-        upper += minus @ np.where(low_end, self.vectors, self.values[depth - 1]).T
-        return lower, upper
-
-    def top(self, queries: np.ndarray, k: int):
-        """For each query the rows, in any order, that can be among the k best, with scores.
-
-        A vector is out when its upper bound is under the k-th lower bound. A query stops
-        reading when few vectors are left, or the lists are at their end; then the scores of
-        those left are resolved, in integers. Ties with the k-th score are all kept.
-        """
-        n, few = len(self.vectors), max(4 * k, len(self.vectors) // 64)
-        # rounding of sums of doubles, far above what they can be off
-        slack = 1e-10 * np.abs(queries).astype(float) @ np.abs(self.values[[0, -1]]).max(axis=0)
-        alive = np.ones((len(queries), n), dtype=bool)
-        reading = np.arange(len(queries))
-        depth = max(k, math.ceil(n * FIRST_DEPTH))
-        while len(reading) and depth < n:
-            lower, upper = self.bounds(queries[reading], depth)
-            floor = np.partition(lower, n - k, axis=1)[:, n - k] - slack[reading]
-            alive[reading] &= upper >= floor[:, None]
-            reading = reading[alive[reading].sum(axis=1) > few]
-            depth *= 2
-        for query, left in zip(queries, alive):
-            rows = np.flatnonzero(left)
-            scores = self.vectors[rows] @ query
-            if len(rows) > k:
-                keep = scores >= np.partition(scores, len(rows) - k)[len(rows) - k]
-                rows, scores = rows[keep], scores[keep]
-            yield rows, scores
-
-
-def _search(k: int):
-    def run(key, vectors: pd.DataFrame, queries: pd.DataFrame):
-        found = {"query": [], "score": [], "vec_id": []}
-        if len(vectors) and len(queries):
-            matrix = np.array(vectors.v.tolist(), dtype=np.int64).reshape(len(vectors), -1)
-            wanted = np.array(queries.v.tolist(), dtype=np.int64).reshape(len(queries), -1)
-            ids = vectors.ids.tolist()
-            lists = SortedLists(matrix)
-            for query, (rows, scores) in zip(queries.node, lists.top(wanted, min(k, len(ids)))):
-                best = sorted((-s, i) for r, s in zip(rows, scores.tolist()) for i in ids[r])[:k]
-                found["query"] += [query] * len(best)
-                found["score"] += [-s for s, _ in best]
-                found["vec_id"] += [i for _, i in best]
-        return pd.DataFrame(found)
-
-    return run
-
-
-def _rank(partition: str) -> Column:
-    return F.row_number().over(Window.partitionBy(partition).orderBy(F.desc("score"), "vec_id"))
+        self.n, self.dim = vectors.shape
+        self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
+        self.values = np.take_along_axis(vectors, self.order, axis=0)
+        #: entries read by the last queries answered, of as many as the lists have for them
+        self.read = 0
+
+    def top(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the rows, in any order, that can be among the k best, with scores."""
+        out = []
+        for at in range(0, len(queries), QUERY_BLOCK):
+            out += Reading(self, queries[at : at + QUERY_BLOCK], k).finish()
+        return out
+
+
+class Reading:
+    """Queries that read the lists of a shard, and what they know so far.
+
+    ``sums`` are the products read, (row, query). What a row has not shown in a list lies
+    between the reading point, which bounds its score from above, and the far end, which
+    bounds it from below. A row whose upper bound is under the k-th lower bound is out for
+    good. When few rows are left, all others cannot qualify: then a list is read on only until
+    it has shown those few, and their sums are their scores. Ties with the k-th are all kept.
+    """
+
+    def __init__(self, lists: SortedLists, queries: np.ndarray, k: int):
+        self.lists, self.queries, self.k = lists, queries, min(k, lists.n)
+        shape = (lists.n, len(queries))
+        self.sums = np.zeros(shape, dtype=np.int64)
+        self.alive = np.ones(shape, dtype=bool)
+        #: whether a row was met in a list, read from the high and from the low end
+        self.met = [np.zeros((lists.n, lists.dim), dtype=bool) for _ in range(2)]
+        self.plus, self.minus = np.maximum(queries, 0), np.minimum(queries, 0)
+        self.depth = 0
+        # rounding of bounds once sums pass what doubles hold exactly
+        most = (np.abs(queries).astype(float) @ np.abs(lists.values[[0, -1]].astype(float)).max(axis=0))
+        self.slack = np.where(most < 2**52, 0, most * 1e-10)
+        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.open = np.arange(len(queries))
+        lists.read = 0
+
+    def finish(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        lists = self.lists
+        for depth in sorted({max(self.k, int(share * lists.n)) for share in LOOKS}):
+            if len(self.open) and depth < lists.n:
+                self._read_to(depth)
+                self._drop_outsiders()
+        if len(self.open):
+            self._read_to(lists.n)
+            for column, query in enumerate(self.open):
+                rows = np.flatnonzero(self.alive[:, column])
+                self.found[query] = self._best(rows, self.sums[rows, column])
+        return [self.found[i] for i in range(len(self.queries))]
+
+    def _best(self, rows: np.ndarray, scores: np.ndarray):
+        if len(rows) > self.k:
+            keep = scores >= np.partition(scores, len(rows) - self.k)[len(rows) - self.k]
+            rows, scores = rows[keep], scores[keep]
+        return rows, scores
+
+    def _read_to(self, depth: int) -> None:
+        """Read all lists on, from both ends, and add what they say to the sums."""
+        lists, n = self.lists, self.lists.n
+        plus, minus = self.plus[self.open], self.minus[self.open]
+        for d in range(lists.dim):
+            ends = ((n - depth, n - self.depth, plus, 0), (self.depth, depth, minus, 1))
+            for start, end, weights, side in ends:
+                if weights[:, d].any():
+                    rows = lists.order[start:end, d]
+                    self.sums[rows] += lists.values[start:end, d, None] * weights[None, :, d]
+                    self.met[side][rows, d] = True
+        lists.read += lists.dim * (depth - self.depth) * len(self.open)
+        self.depth = depth
+
+    def _drop_outsiders(self) -> None:
+        lists, n, depth = self.lists, self.lists.n, self.depth
+        plus, minus = self.plus[self.open].astype(float), self.minus[self.open].astype(float)
+        values = lists.values.astype(float)
+        high, low = (~met for met in self.met)
+        high, low = high.astype(float), low.astype(float)
+        lower = self.sums + high @ (plus * values[0]).T + low @ (minus * values[-1]).T
+        upper = self.sums + high @ (plus * values[n - depth]).T + low @ (minus * values[depth - 1]).T
+        floor = np.partition(lower, n - self.k, axis=0)[n - self.k] - self.slack[self.open]
+        self.alive &= upper >= floor
+        done = self.alive.sum(axis=0) <= FEW * self.k
+        for column in np.flatnonzero(done):
+            query = self.open[column]
+            rows = np.flatnonzero(self.alive[:, column])
+            self.found[query] = self._best(rows, self._resolve(query, rows, self.sums[rows, column]))
+        going = ~done
+        self.open, self.sums, self.alive = self.open[going], self.sums[:, going], self.alive[:, going]
+
+    def _resolve(self, query: int, rows: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Final scores of the rows left: each list is read on until all of them were met in it."""
+        lists, n, depth = self.lists, self.lists.n, self.depth
+        place = np.full(n, -1)
+        place[rows] = np.arange(len(rows))
+        weights = self.queries[query]
+        high = np.arange(n - depth - 1, -1, -1), np.flatnonzero(weights > 0)
+        low = np.arange(depth, n), np.flatnonzero(weights < 0)
+        for ahead, dims in (high, low):
+            met = place[lists.order[np.ix_(ahead, dims)]]
+            at, column = np.nonzero(met >= 0)
+            products = lists.values[ahead[at], dims[column]] * weights[dims[column]]
+            np.add.at(sums, met[at, column], products)
+            last = np.zeros(len(dims), dtype=np.int64)
+            np.maximum.at(last, column, at + 1)
+            lists.read += int(last.sum())
+        return sums
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k highest integer inner products.
 
     ``vectors`` has vec_id and v, an array of longs; queries are the rows that ``is_query``
-    marks, candidates all rows with another vec_id. Ties go to the smaller vec_id. Equal
-    vectors are one entry of the lists, with their k + 1 smallest ids, and equal queries are
-    answered once, so a vector that a third of the rows share costs what any other does.
-    Blocks of distinct vectors meet blocks of distinct queries, each pair of blocks in one
-    task of bounded size; the work grows with queries times vectors, as the search demands.
+    marks, candidates all rows with another vec_id. Ties go to the smaller vec_id. In each
+    shard queries read sorted lists, one for each dimension, see ``Reading``; see
+    ``shards.search`` for copies, hot vectors and memory.
 
     Only vectors of equal length are compared. Rows without vec_id or vector take no part;
     equal rows count once, and one vec_id must not name different vectors; a query with fewer
     candidates gets them all, with none no row; no vectors give no rows. Scores must fit a
     long. Other columns are ignored.
     """
-    rows = vectors.where("vec_id IS NOT NULL AND v IS NOT NULL").select(
-        F.col("vec_id").cast("long").alias("vec_id"), "v", is_query.alias("asks")
-    )
-    smallest = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    nodes = rows.select("v", "vec_id").distinct().withColumn("n", smallest).where(f"n <= {k + 1}")
-    nodes = nodes.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    nodes = materialize(nodes.withColumn("node", F.col("ids")[0]), "vectors")
-    asks = rows.where("asks").select(F.col("vec_id").alias("query_id"), "v").distinct()
-    asks = materialize(asks.join(nodes.select("v", "node"), "v"), "asks")
-    wanted = asks.select("node", "v").distinct()
-    lists = max(1, math.ceil(nodes.count() / LIST_BLOCK))
-    groups = max(1, math.ceil(wanted.count() / QUERY_BLOCK))
-
-    def block(count: int) -> Column:
-        return F.expr(f"CAST(pmod(xxhash64(node), {count}) AS INT)")
-
-    def every(count: int) -> Column:
-        return F.expr(f"explode(sequence(0, {count - 1}))")
-
-    left = nodes.withColumns({"dim": F.size("v"), "l": block(lists), "g": every(groups)})
-    right = wanted.withColumns({"dim": F.size("v"), "l": every(lists), "g": block(groups)})
-    keys = ["dim", "l", "g"]
-    found = left.groupBy(keys).cogroup(right.groupBy(keys))
-    found = found.applyInPandas(_search(k + 1), "query long, score long, vec_id long")
-    found = found.withColumn("rank", _rank("query")).where(f"rank <= {k + 1}").drop("rank")
-    answers = asks.join(found, asks.node == found.query).where("vec_id <> query_id")
-    return answers.withColumn("rank", _rank("query_id")).where(f"rank <= {k}").select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
-    )
+
+    def index(matrix: np.ndarray):
+        lists = SortedLists(matrix)
+        return lambda queries: lists.top(queries, k + 1)
+
+    return search(vectors, is_query, k, LIST_BLOCK, index, "long", highest=True)
 
 
 def quantized(vectors: DataFrame, column: str = "embedding", scale: int = 256) -> DataFrame:
     """(vec_id, v): components as floor(scale * x); v is null if any is null or not finite."""
-    finite = F.forall(
-        column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    )
     whole = F.transform(column, lambda x: F.floor(scale * x.cast("double")).cast("long"))
-    return vectors.select("vec_id", F.when(finite, whole).alias("v"))
+    return vectors.select("vec_id", F.when(finite(column), whole).alias("v"))
