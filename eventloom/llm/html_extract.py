@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -34,15 +35,14 @@ NAMED = set(
     "search skip topbar".split()
 )
 ROLES = set("navigation banner contentinfo complementary search menu menubar alert dialog form".split())
-#: A start tag of the first closes an open one of the second, up to the nearest of the third.
-CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-}
+#: Elements that a start tag closes, up to the nearest of the second; tags and their group.
+GROUPS = [
+    ({"li"}, {"ul", "ol", "menu"}),
+    ({"dt", "dd"}, {"dl"}),
+    ({"tr", "td", "th"}, {"table"}),
+    ({"td", "th"}, {"tr", "table"}),
+]
+CLOSES = {"li": 0, "dt": 1, "dd": 1, "tr": 2, "td": 3, "th": 3}
 
 TAG = re.compile(
     r"<(?:!--(?P<note>.*?)(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)"
@@ -60,21 +60,76 @@ HELD = 0.8
 
 
 class Element:
-    __slots__ = ("name", "mark", "parent", "dropped", "named", "depth")
+    """What is said of an element by its tag and by those around it, known when it opens.
 
-    def __init__(self, name: str, mark: str, parent: Element | None, dropped: bool, named=frozenset()):
-        self.name, self.mark, self.parent = name, mark, parent
-        self.dropped, self.named = dropped, named
-        self.depth = 0 if parent is None else parent.depth + 1
+    ``parent`` and ``number`` place it; elements are numbered as they open, so a parent has
+    the smaller number. ``path`` is the number of its tag path on the page. ``closes`` has for
+    each group of ``CLOSES`` the outermost open element that a tag of the group closes.
+    """
 
-    def within(self):
-        at = self
-        while at is not None:
-            yield at
-            at = at.parent
+    __slots__ = ("name", "parent", "number", "path", "dropped", "named", "words", "in_content", "part", "closes")
 
-    def path(self) -> str:
-        return "/".join(e.mark for e in reversed(list(self.within())))
+    def __init__(self, name, parent, number, path, dropped, named):
+        self.name, self.parent, self.number, self.path = name, parent, number, path
+        self.dropped, self.named = dropped, named
+        around = parent is not None
+        #: words of names around it, the page part below the body that it is in
+        self.words = (parent.words | named if named else parent.words) if around else frozenset()
+        self.in_content = name in CONTENT or around and parent.in_content
+        self.part = None if name in PAGE else parent.part or self
+        self.closes = tuple(
+            None if name in limit else parent.closes[i] or self if name in closed else parent.closes[i]
+            for i, (closed, limit) in enumerate(GROUPS)
+        ) if around else (None,) * len(GROUPS)
+
+
+class Page:
+    """The open elements of a page, and all elements so far."""
+
+    def __init__(self):
+        self.elements: list[Element] = []
+        self.paths: dict[tuple[int, str], int] = {}
+        self.top = self.root = self._add("", "", None, False, frozenset())
+        #: how many elements of a name are open, in all and inside each open article
+        self.open = [Counter()]
+
+    def _add(self, name, mark, parent, dropped, named) -> Element:
+        key = (-1 if parent is None else parent.path, mark)
+        path = self.paths.setdefault(key, len(self.paths))
+        element = Element(name, parent, len(self.elements), path, dropped, named)
+        self.elements.append(element)
+        return element
+
+    def start(self, name: str, mark: str, dropped: bool, named: frozenset) -> None:
+        self.top = self._add(name, mark, self.top, self.top.dropped or dropped, named)
+        self.open[-1][name] += 1
+        if name in CONTENT:
+            self.open.append(Counter())
+
+    def close(self, element: Element) -> None:
+        """Close an open element and all inside it."""
+        while True:
+            top = self.top
+            if top.name in CONTENT:
+                self.open.pop()
+            self.open[-1][top.name] -= 1
+            self.top = top.parent
+            if top is element:
+                return
+
+    def end(self, name: str) -> None:
+        """An end tag; a stray one is passed over, and closes no article from inside it."""
+        if name in CONTENT:
+            if len(self.open) == 1:
+                return
+        elif not (sum(o[name] for o in self.open) if name in PAGE else self.open[-1][name]):
+            return
+        at = self.top
+        while at.name != name:
+            if at.name in CONTENT and name not in PAGE:
+                return
+            at = at.parent
+        self.close(at)
 
 
 def _hidden(key: str, value: str) -> bool:
@@ -90,7 +145,7 @@ def _unwanted(name: str, rest: str, parent: Element) -> tuple[bool, set[str], st
     """
     if name in DROPPED and name != "form":
         return True, set(), name
-    in_content = any(e.name in CONTENT for e in parent.within())
+    in_content = parent.in_content
     if name == "header" and not in_content:
         return True, set(), name
     mark, hidden, named = name, False, {""} if name == "form" else set()
@@ -115,24 +170,25 @@ def _unwanted(name: str, rest: str, parent: Element) -> tuple[bool, set[str], st
     return hidden, named, mark
 
 
-def page_blocks(html: str) -> list[tuple[Element, str]]:
-    """(element, text) of the text blocks of a page, in page order, without dropped parts.
+def page_blocks(html: str) -> tuple[list[Element], list[tuple[Element, str]]]:
+    """(elements, blocks) of a page in page order, blocks as (element, text), without dropped parts.
 
-    Parts that are only named like no article text are in it; see ``without_named``. Tolerates missing and stray end tags; formatting elements do not end a block.
+    Parts that are only named like no article text are in it; see ``without_named``. Tolerates
+    missing and stray end tags; formatting elements do not end a block.
     """
-    root = top = Element("", "", None, False)
+    page = Page()
     found, text, at, end = [], [], 0, len(html)
 
     def flush():
         block = " ".join("".join(text).split())
-        if block and not top.dropped:
-            found.append((top, block))
+        if block and not page.top.dropped:
+            found.append((page.top, block))
         text.clear()
 
     while at < end:
         tag = TAG.search(html, at)
         stop = tag.start() if tag else end
-        if stop > at and not top.dropped:
+        if stop > at and not page.top.dropped:
             part = html[at:stop]
             text.append(unescape(part) if "&" in part else part)
         if tag is None:
@@ -153,103 +209,95 @@ def page_blocks(html: str) -> list[tuple[Element, str]]:
             continue
         flush()
         if tag["end"]:
-            for e in top.within():
-                if e.name == name and e is not root:
-                    top = e.parent
-                    break
-                if e.name in CONTENT and name not in ("body", "html"):
-                    break  # a stray end tag does not close the article
+            page.end(name)
             continue
-        if top.name == "p" or name in CLOSES:
-            closed, limit = CLOSES.get(name, ({"p"}, set()))
-            if top.name == "p":
-                top = top.parent
-            for e in top.within():
-                if e.name in limit:
-                    break
-                if e.name in closed:
-                    top = e.parent
+        if page.top.name == "p":
+            page.close(page.top)
+        if name in CLOSES:
+            closed = page.top.closes[CLOSES[name]]
+            if closed is not None:
+                page.close(closed)
         if name in VOID:
             continue
-        unwanted, named, mark = _unwanted(name, tag["rest"], top)
-        top = Element(name, mark, top, top.dropped or unwanted, named)
+        unwanted, named, mark = _unwanted(name, tag["rest"], page.top)
+        page.start(name, mark, unwanted, frozenset(named))
         if tag["rest"].endswith("/") and name not in ("p", "div"):
-            top = top.parent
+            page.close(page.top)
     flush()
-    return found
+    return page.elements, found
 
 
-def content_paths(blocks: list[tuple[Element, str]]) -> set[str]:
-    """The tag paths whose blocks read like an article.
+def path_scores(blocks: list[tuple[int, str]]) -> dict[int, float]:
+    """How much the blocks (tag path, text) of each tag path read like an article.
 
     For each path: characters a block and punctuation marks a block, fused to one number.
-    Blocks take on some of their neighbours' numbers; a path scores their mean, and is
-    content if it reaches a part of the best path's.
+    Blocks take on some of their neighbours' numbers; a path scores their mean.
     """
-    paths = [e.path() for e, _ in blocks]
-    sums: dict[str, list[int]] = {}
-    for path, (_, text) in zip(paths, blocks):
+    sums: dict[int, list[int]] = {}
+    for path, text in blocks:
         own = sums.setdefault(path, [0, 0, 0])
         own[0] += 1
         own[1] += len(text)
         own[2] += len(PUNCTUATION.findall(text))
     ratio = {p: math.log1p(size / n) * (1 + math.log1p(marks / n)) for p, (n, size, marks) in sums.items()}
-    raw = [ratio[p] for p in paths]
-    scores: dict[str, float] = dict.fromkeys(sums, 0.0)
-    for i, path in enumerate(paths):
+    raw = [ratio[p] for p, _ in blocks]
+    scores = dict.fromkeys(sums, 0.0)
+    for i, (path, _) in enumerate(blocks):
         total = weight = 0.0
         for far, w in enumerate(SMOOTHING):
             for j in {i - far, i + far}:
                 if 0 <= j < len(raw):
                     total, weight = total + w * raw[j], weight + w
         scores[path] += total / weight / sums[path][0]
+    return scores
+
+
+def content_paths(blocks: list[tuple[Element, str]]) -> set[int]:
+    """The tag paths that reach a part of the best path's score."""
+    scores = path_scores([(e.path, text) for e, text in blocks])
     best = max(scores.values(), default=0.0)
     return {p for p, s in scores.items() if s >= THRESHOLD * best}
 
 
-def without_named(blocks: list[tuple[Element, str]]) -> list[tuple[Element, str]]:
+def _held(elements: list[Element], blocks: list[tuple[Element, str]], chosen: set[int]) -> list[int]:
+    """For each element the characters on content paths inside it."""
+    held = [0] * len(elements)
+    for e, text in blocks:
+        if e.path in chosen:
+            held[e.number] += len(text)
+    for e in reversed(elements[1:]):
+        held[e.parent.number] += held[e.number]
+    return held
+
+
+def without_named(elements: list[Element], blocks: list[tuple[Element, str]]) -> list[tuple[Element, str]]:
     """The blocks outside parts whose name says that they are no article text.
 
     A name does not count if its part holds most of the text on content paths of the page, or
     if it is a later word of a class and all parts with that word together do; in either case
     only if no article or main element apart from it holds any.
     """
-    if not any(p.named for e, _ in blocks for p in e.within()):
+    if not any(e.words for e, _ in blocks):
         return blocks
     chosen = content_paths(blocks)
-    held: dict[Element, int] = {}
-    shares: dict[str, int] = {"": 0}
-    total = 0
+    held = _held(elements, blocks, chosen)
+    shares = dict.fromkeys({w for e, _ in blocks for w in e.words} | {""}, 0)
     for e, text in blocks:
-        if e.path() in chosen:
-            total += len(text)
-            for p in e.within():
-                held[p] = held.get(p, 0) + len(text)
-            for word in {w for p in e.within() for w in p.named if w}:
-                shares[word] = shares.get(word, 0) + len(text)
-    marked = [p for p in held if p.name in CONTENT and not any(q.named for q in p.within())]
-
-    def apart(part: Element) -> bool:
-        return any(m not in part.within() for m in marked)
-
-    def stays(part: Element) -> bool:
-        most = HELD * total
-        by_words = all(shares.get(w, 0) >= most for w in part.named)
-        return (held.get(part, 0) >= most or by_words) and not apart(part)
-
-    named = {p for e, _ in blocks for p in e.within() if p.named}
-    left_out = {p for p in named if not stays(p)}
-    return [(e, text) for e, text in blocks if left_out.isdisjoint(e.within())]
-
-
-def _common(a: Element, b: Element) -> Element:
-    """The lowest element around two."""
-    while a is not b:
-        if a.depth >= b.depth:
-            a = a.parent
-        else:
-            b = b.parent
-    return a
+        if e.path in chosen:
+            for word in e.words - {""}:
+                shares[word] += len(text)
+    most = HELD * held[0]
+    marked = [e.name in CONTENT and not e.words and held[e.number] > 0 for e in elements]
+    total, around, left_out = sum(marked), [0] * len(elements), [False] * len(elements)
+    for e in elements[1:]:
+        above = e.parent.number
+        around[e.number] = around[above] + marked[e.number]
+        left_out[e.number] = left_out[above]
+        if e.named:
+            holds = held[e.number] >= most or all(shares.get(w, 0) >= most for w in e.named)
+            apart = around[e.number] < total  # an article that this part is not inside of
+            left_out[e.number] |= apart or not holds
+    return [(e, text) for e, text in blocks if not left_out[e.number]]
 
 
 def main_text(html: str | None) -> str:
@@ -258,32 +306,35 @@ def main_text(html: str | None) -> str:
     Every block on a content path is taken, and so are the blocks between two such blocks if
     an element below the page's body holds all of them. Where one element holds most of the
     content paths' text, its other blocks are taken too, those at its ends included: the
-    deepest such element, or the article or main element around it.
+    deepest such element, or the article or main element around it. Time and memory grow with
+    the page, however deep its elements are.
     """
-    blocks = without_named(page_blocks(html or ""))
+    elements, blocks = page_blocks(html or "")
+    blocks = without_named(elements, blocks)
     if not blocks:
         return ""
     chosen = content_paths(blocks)
-    held: dict[Element, int] = {}
-    total = 0
-    for e, text in blocks:
-        if e.path() in chosen:
-            total += len(text)
-            for parent in e.within():
-                held[parent] = held.get(parent, 0) + len(text)
-    deepest = max((e for e, n in held.items() if n >= HELD * total), key=lambda e: e.depth)
-    around = [e for e in deepest.within() if e.name in CONTENT]
-    if around:
-        deepest = around[-1]
-    elif any(e is deepest for e, _ in blocks) and deepest.parent:
-        deepest = deepest.parent  # a block is no container
-    whole = deepest.name in PAGE
-    taken = [
-        e.path() in chosen or not whole and any(p is deepest for p in e.within()) for e, _ in blocks
-    ]
+    held = _held(elements, blocks, chosen)
+    depth = [0] * len(elements)
+    for e in elements[1:]:
+        depth[e.number] = depth[e.parent.number] + 1
+    # among equals the last one opened: they hold each other
+    container = max((e for e in elements if held[e.number] >= HELD * held[0]), key=lambda e: depth[e.number])
+    if container.in_content:
+        while container.name not in CONTENT or container.parent.in_content:
+            container = container.parent
+    elif any(e is container for e, _ in blocks) and container.parent:
+        container = container.parent  # a block is no container
+    inside = [False] * len(elements)
+    if container.name not in PAGE:
+        inside[container.number] = True
+        for e in elements[container.number + 1 :]:
+            inside[e.number] = inside[e.parent.number]
+    taken = [e.path in chosen or inside[e.number] for e, _ in blocks]
     places = [i for i, own in enumerate(taken) if own]
     for i, j in zip(places, places[1:]):
-        if j > i + 1 and _common(blocks[i][0], blocks[j][0]).name not in PAGE:
+        first, last = blocks[i][0].part, blocks[j][0].part
+        if j > i + 1 and first is not None and first is last:
             taken[i:j] = [True] * (j - i)
     return "\n".join(text for (_, text), own in zip(blocks, taken) if own)
 
@@ -295,7 +346,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     are left out; character references are decoded, white space inside a block is one space,
     blocks are joined by a line feed. n_chars counts code points. Null or empty html, or a
     page without text, gives an empty text and 0. Repeated rows and null ids come back as
-    they are. Other columns are ignored; no pages give no rows. Memory: one page.
+    they are. Other columns are ignored; no pages give no rows. Memory: some times one page.
     """
 
     def run(batch):

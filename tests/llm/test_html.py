@@ -1,9 +1,12 @@
 import html as escapes
+import math
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from eventloom.llm import html_extract
 from eventloom.llm.html_extract import extract_text, main_text
 
 HEAD = '<!DOCTYPE html><html><head><title>Site, title.</title><style>p{a:b}</style><script>var t="</p>";</script></head><body>'
@@ -149,3 +152,57 @@ def test_short_blocks_between_content():
     assert main_text(HEAD + body) == "\n".join(want + [LONG.strip()] * 9)
     parts = f"<div><p>{LONG}</p></div>{items}<div><p>{LONG}</p></div>"
     assert main_text(HEAD + parts) == "\n".join([LONG.strip()] * 2)
+
+
+DEEP = 100_000
+
+
+@pytest.mark.parametrize(
+    "html,first",
+    [
+        ("<div>a b. " * DEEP, "a b."),
+        ("<div>" * DEEP + "</span2>x" * DEEP, "x"),
+        ("<div>" * DEEP + "<li>y" * DEEP, "y"),
+        ("<article>" + "<div>" * DEEP + "</section>z" * DEEP, "z"),
+        ("<td>" * DEEP + "t", "t"),
+        (f"<p>{LONG}" + "<div class=sidebar>" * DEEP + "t", LONG.strip()),
+        (f"<div><p>{LONG}</p><ul><li>x</li></ul>" * (DEEP // 10), LONG.strip()),
+    ],
+)
+def test_time_grows_with_the_page(html, first):
+    began = time.process_time()
+    assert main_text(html).split("\n")[0] == first
+    assert time.process_time() - began < 20
+
+
+def test_many_words_in_many_rows():
+    cells = "".join(f"<tr><td>{i}, one.<td>two" for i in range(30_000))
+    assert main_text(f"{HEAD}<article><table>{cells}</table></article>").count("\n") == 59_999
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.text(alphabet="ab .,;!?", min_size=1, max_size=60)), max_size=20))
+def test_path_scores_by_brute_force(blocks):
+    def ratio(path):
+        own = [t for p, t in blocks if p == path]
+        marks = sum(c in ".,;:!?" for t in own for c in t)
+        return math.log1p(sum(map(len, own)) / len(own)) * (1 + math.log1p(marks / len(own)))
+
+    smooth = []
+    for i in range(len(blocks)):
+        near = [(w, blocks[j][0]) for j in range(len(blocks)) for far, w in enumerate((1, 0.5, 0.25)) if abs(i - j) == far]
+        smooth.append(sum(w * ratio(p) for w, p in near) / sum(w for w, _ in near))
+    want = {q: [s for s, (p, _) in zip(smooth, blocks) if p == q] for q, _ in blocks}
+    got = html_extract.path_scores(blocks)
+    assert got == pytest.approx({p: sum(s) / len(s) for p, s in want.items()})
+
+
+def test_ratios_choose_where_names_say_nothing(monkeypatch):
+    """Menus of a page without telling names; without ratios they come along."""
+    links = "<div class=a>" + "<span>One</span>" * 3 + "</div><div class=b><ul>" + "<li>Two</li>" * 8 + "</ul></div>"
+    body = f"<div class=c><div class=d>{f'<p>{LONG}</p>' * 5}</div></div>"
+    html = f"{HEAD}{links}{body}</body>"
+    want = "\n".join([LONG.strip()] * 5)
+    assert main_text(html) == want
+    monkeypatch.setattr(html_extract, "path_scores", lambda blocks: {p: 1.0 for p, _ in blocks})
+    assert len(main_text(html)) > len(want) + 20
