@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,7 @@ PATTERNS = [
     ("access", re.compile(rb"AKIA[A-Z0-9]+"), 0, 20),
     ("hex", re.compile(rb"[0-9a-f]+"), 0, 24),
 ]
+KEY_WORD = re.compile(rb"password|passwd|secret|token|api|key", re.IGNORECASE)
 #: The kind of spans that only the random field finds; kinds sort in this order.
 LEARNED = "crf"
 KINDS = [kind for kind, *_ in PATTERNS] + [LEARNED]
@@ -33,7 +37,18 @@ KINDS = [kind for kind, *_ in PATTERNS] + [LEARNED]
 #: Bounds of the training sample: texts likely to have a match, other texts, bytes of each.
 SAMPLE_WITH, SAMPLE_WITHOUT, SAMPLE_BYTES = 400, 200, 20_000
 AROUND = 12  # tokens on each side of a match that training takes
-EPOCHS = 60
+#: Altered copies of a text with matches, and places with odd tokens that training takes of a text.
+ALTERED, ODD_PLACES = 6, 4
+EPOCHS = 50
+# Signs before a value, and alphabets of values with their least and greatest length.
+SIGNS = [b" = ", b": ", b"=", b" ", b" ", b" ", b" is ", b' = "', b': "', b" '", b"\n"]
+ALPHABETS = [
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 16, 48),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 24, 64),
+    ("abcdefghijklmnopqrstuvwxyz0123456789", 18, 40),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 18, 40),
+    ("0123456789abcdef", 20, 64),
+]
 
 OUTSIDE, BEGIN, INSIDE = range(3)
 
@@ -88,6 +103,7 @@ class Tokens:
         self.end = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
         self.first = np.searchsorted(self.start, offsets)  # first token of each text
         k = len(self.start)
+        self.mixed = np.zeros(k, dtype=bool)  # tokens of letters and digits
         if not k:
             self.features = np.zeros((0, 5), dtype=np.int64)
             return
@@ -104,6 +120,7 @@ class Tokens:
         for bit in (1, 2, 4, 8, 16):
             sums = counted(kind == bit)
             shape |= np.where(sums[end] > sums[start], bit, 0)
+        self.mixed = (shape & 4 > 0) & (shape & 3 > 0)
         hexed = counted(_HEX[raw])
         hexed = hexed[end] - hexed[start] == length
         change = np.zeros(n, dtype=bool)
@@ -169,8 +186,9 @@ class RandomField:
             odds = np.exp(ahead + back - total[:, None, None]) * mask[:, :, None]
             slope = (odds - gold) / rows
             grad = np.zeros_like(weights)
-            for column in range(features.shape[2]):
-                np.add.at(grad, features[:, :, column], slope)
+            for label in range(3):
+                each = np.repeat(slope[:, :, label].ravel(), features.shape[2])
+                grad[:, label] = np.bincount(features.ravel(), each, Tokens.FEATURES)
             grad += 1e-5 * weights
             joint = (
                 ahead[:, :-1, :, None]
@@ -237,24 +255,77 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
+def altered(text: bytes, rng: random.Random) -> tuple[bytes, list[tuple[int, int]]]:
+    """The text with other words, signs and values in place of its matches, and where values stand.
+
+    What the patterns look for is gone from it, so that a field cannot learn their key words
+    alone: it must tell a secret by its shape and by how it stands in the text.
+    """
+    words = [w for w in re.findall(rb"[A-Za-z]{3,}", text) if not KEY_WORD.search(w)] or [b"value"]
+    out, places, at, size = [], [], 0, 0
+    for start, _, end, a, b in base_matches(text):
+        if start < at:
+            continue
+        value = text[a:b]
+        if len(value) < 16 or rng.random() < 0.7:
+            value = _value(rng)
+        lead = text[at:start] + rng.choice(words) + rng.choice(SIGNS)
+        out += [lead, value]
+        size += len(lead)
+        places.append((size, size + len(value)))
+        size += len(value)
+        at = end
+    out.append(text[at:])
+    return b"".join(out), places
+
+
+def _value(rng: random.Random) -> bytes:
+    """A made-up secret: some characters of an alphabet, sometimes after short words."""
+    alphabet, least, most = rng.choice(ALPHABETS)
+    value = "".join(rng.choices(alphabet, k=rng.randint(least, most)))
+    for _ in range(rng.choice((0, 0, 0, 1, 2))):
+        value = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 4))) + "_" + value
+    return value.encode()
+
+
+def _examples(text: bytes, places: list[tuple[int, int]], rng: random.Random):
+    """(features, labels) of the tokens around the places, and of some odd tokens elsewhere."""
+    tokens = Tokens(text, np.array([0, len(text)]))
+    n = len(tokens.start)
+    labels = np.zeros(n, dtype=np.int64)
+    wanted = np.zeros(n, dtype=bool)
+    for a, b in places:
+        i, j = np.searchsorted(tokens.end, a, "right"), np.searchsorted(tokens.start, b)
+        labels[i:j] = INSIDE
+        labels[i : min(i + 1, j)] = BEGIN
+        wanted[max(0, i - AROUND) : j + AROUND] = True
+    # tokens that are long or mixed, and no secrets: what a field would mistake for one
+    odd = np.flatnonzero(~wanted & ((tokens.end - tokens.start >= 12) | tokens.mixed))
+    odd = odd.tolist() if n else []
+    for i in rng.sample(odd, min(len(odd), ODD_PLACES)):
+        wanted[max(0, i - 4) : i + 5] = True
+    if n and not wanted.any():
+        i = rng.randrange(n)
+        wanted[max(0, i - 2 * AROUND) : i + 2 * AROUND] = True
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], wanted.astype(int), [0]))))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        for c in range(a, b, 64):
+            yield tokens.features[c : min(b, c + 64)], labels[c : min(b, c + 64)]
+
+
 def train(texts: list[bytes]) -> RandomField | None:
-    """A field whose examples are the values of base matches; None without a match."""
+    """A field whose examples are the values of base matches; None without a match.
+
+    Each text with matches counts as it is and ``ALTERED`` times with other words, signs and
+    values in place of the matches.
+    """
     parts = []
     for text in texts:
-        tokens = Tokens(text, np.array([0, len(text)]))
-        labels = np.zeros(len(tokens.start), dtype=np.int64)
-        wanted = np.zeros(len(labels), dtype=bool)
-        for _, _, _, a, b in base_matches(text):
-            i, j = np.searchsorted(tokens.end, a, "right"), np.searchsorted(tokens.start, b)
-            labels[i:j] = INSIDE
-            labels[i : min(i + 1, j)] = BEGIN
-            wanted[max(0, i - AROUND) : j + AROUND] = True
-        if not wanted.any():
-            wanted[: 4 * AROUND] = True
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], wanted.astype(int), [0]))))
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            for c in range(a, b, 64):
-                parts.append((tokens.features[c : min(b, c + 64)], labels[c : min(b, c + 64)]))
+        rng = random.Random(zlib.crc32(text))
+        places = [(a, b) for _, _, _, a, b in base_matches(text)]
+        parts += _examples(text, places, rng)
+        for _ in range(ALTERED if places else 0):
+            parts += _examples(*altered(text, rng), rng)
     if not any(own.any() for _, own in parts):
         return None
     steps = max(len(own) for _, own in parts)
@@ -351,9 +422,15 @@ def _learned(field: RandomField | None, data: bytes, offsets: np.ndarray):
 def _row(text: bytes, learned: list[tuple[int, int]]):
     base = base_matches(text)
     spans = [(a, rank, b) for a, rank, b, _, _ in base]
-    spans += [
-        (a, len(PATTERNS), b) for a, b in learned if not any(a < e and s < b for s, _, e, _, _ in base)
-    ]
+    ends, reach = [], 0  # the greatest end of the base spans up to each
+    for _, _, e in spans:
+        reach = max(reach, e)
+        ends.append(reach)
+    starts = [a for a, _, _ in spans]
+    for a, b in learned:
+        before = bisect_left(starts, b)  # base spans that begin before this one ends
+        if not before or ends[before - 1] <= a:
+            spans.append((a, len(PATTERNS), b))
     spans.sort()
     counts = [sum(rank == r for _, rank, *_ in base) for r in range(len(PATTERNS))]
     if not spans:
