@@ -14,7 +14,7 @@ LIST_BLOCK, QUERY_BLOCK = 16_384, 256
 #: Rows left, as a multiple of k, whose scores are resolved.
 FEW = 4
 #: Shares of the lists after which bounds are compared.
-LOOKS = (0.25, 0.5, 0.625, 0.7, 0.75, 0.8, 0.84, 0.88, 0.92, 0.96)
+LOOKS = (0.25, 0.5, 0.75, 0.88, 0.94, 0.97)
 
 
 class SortedLists:
@@ -43,25 +43,29 @@ class SortedLists:
 class Reading:
     """Queries that read the lists of a shard, and what they know so far.
 
-    ``sums`` are the products read, (row, query). What a row has not shown in a list lies
-    between the reading point, which bounds its score from above, and the far end, which
-    bounds it from below. A row whose upper bound is under the k-th lower bound is out for
-    good. When few rows are left, all others cannot qualify: then a list is read on only until
-    it has shown those few, and their sums are their scores. Ties with the k-th are all kept.
+    ``known`` holds the values read, (row, dimension), from the high and from the low ends of
+    the lists, and where nothing was read the value at the far end, so that products with the
+    weights are lower bounds of scores. With the value at the reading point in its place they
+    are upper bounds. A row whose upper bound is under the k-th lower bound is out for good.
+    When few rows are left, all others cannot qualify: then a list is read on only until it has
+    shown those few, and the sums of what was read are their scores. Ties with the k-th are all
+    kept.
     """
 
     def __init__(self, lists: SortedLists, queries: np.ndarray, k: int):
         self.lists, self.queries, self.k = lists, queries, min(k, lists.n)
-        shape = (lists.n, len(queries))
-        self.sums = np.zeros(shape, dtype=np.int64)
-        self.alive = np.ones(shape, dtype=bool)
-        #: whether a row was met in a list, read from the high and from the low end
-        self.met = [np.zeros((lists.n, lists.dim), dtype=bool) for _ in range(2)]
-        self.plus, self.minus = np.maximum(queries, 0), np.minimum(queries, 0)
+        shape = (lists.n, lists.dim)
+        ends = lists.values[[0, -1]]
+        self.known = [np.broadcast_to(end, shape).copy() for end in ends]
+        self.met = [np.zeros(shape, dtype=bool) for _ in ends]
+        self.alive = np.ones((len(queries), lists.n), dtype=bool)
         self.depth = 0
-        # rounding of bounds once sums pass what doubles hold exactly
-        most = (np.abs(queries).astype(float) @ np.abs(lists.values[[0, -1]].astype(float)).max(axis=0))
-        self.slack = np.where(most < 2**52, 0, most * 1e-10)
+        # whole numbers are exact in the smaller type up to 2^24, in the larger up to 2^53
+        size = np.abs(ends.astype(float)).max(axis=0)
+        most = np.abs(queries).astype(float) @ size
+        largest = max(most.max(initial=0), size.max(initial=0), np.abs(queries).max(initial=0))
+        self.kind = np.float32 if largest < 2**22 else np.float64
+        self.slack = np.where(largest < 2**51, 0, most * 1e-10)
         self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.open = np.arange(len(queries))
         lists.read = 0
@@ -74,9 +78,9 @@ class Reading:
                 self._drop_outsiders()
         if len(self.open):
             self._read_to(lists.n)
-            for column, query in enumerate(self.open):
-                rows = np.flatnonzero(self.alive[:, column])
-                self.found[query] = self._best(rows, self.sums[rows, column])
+            for query, left in zip(self.open, self.alive):
+                rows = np.flatnonzero(left)
+                self.found[query] = self._best(rows, self._sums(query, rows))
         return [self.found[i] for i in range(len(self.queries))]
 
     def _best(self, rows: np.ndarray, scores: np.ndarray):
@@ -86,43 +90,45 @@ class Reading:
         return rows, scores
 
     def _read_to(self, depth: int) -> None:
-        """Read all lists on, from both ends, and add what they say to the sums."""
+        """Read all lists on, from both ends."""
         lists, n = self.lists, self.lists.n
-        plus, minus = self.plus[self.open], self.minus[self.open]
-        for d in range(lists.dim):
-            ends = ((n - depth, n - self.depth, plus, 0), (self.depth, depth, minus, 1))
-            for start, end, weights, side in ends:
-                if weights[:, d].any():
-                    rows = lists.order[start:end, d]
-                    self.sums[rows] += lists.values[start:end, d, None] * weights[None, :, d]
-                    self.met[side][rows, d] = True
+        for side, part in ((0, slice(n - depth, n - self.depth)), (1, slice(self.depth, depth))):
+            np.put_along_axis(self.known[side], lists.order[part], lists.values[part], axis=0)
+            np.put_along_axis(self.met[side], lists.order[part], True, axis=0)
         lists.read += lists.dim * (depth - self.depth) * len(self.open)
         self.depth = depth
 
     def _drop_outsiders(self) -> None:
-        lists, n, depth = self.lists, self.lists.n, self.depth
-        plus, minus = self.plus[self.open].astype(float), self.minus[self.open].astype(float)
-        values = lists.values.astype(float)
-        high, low = (~met for met in self.met)
-        high, low = high.astype(float), low.astype(float)
-        lower = self.sums + high @ (plus * values[0]).T + low @ (minus * values[-1]).T
-        upper = self.sums + high @ (plus * values[n - depth]).T + low @ (minus * values[depth - 1]).T
-        floor = np.partition(lower, n - self.k, axis=0)[n - self.k] - self.slack[self.open]
-        self.alive &= upper >= floor
-        done = self.alive.sum(axis=0) <= FEW * self.k
-        for column in np.flatnonzero(done):
-            query = self.open[column]
-            rows = np.flatnonzero(self.alive[:, column])
-            self.found[query] = self._best(rows, self._resolve(query, rows, self.sums[rows, column]))
-        going = ~done
-        self.open, self.sums, self.alive = self.open[going], self.sums[:, going], self.alive[:, going]
-
-    def _resolve(self, query: int, rows: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        lists, n, depth, kind = self.lists, self.lists.n, self.depth, self.kind
+        queries = self.queries[self.open]
+        weights = [np.maximum(queries, 0), np.minimum(queries, 0)]
+        gaps = [lists.values[n - depth] - lists.values[0], lists.values[depth - 1] - lists.values[-1]]
+        lower = sum(w.astype(kind) @ known.astype(kind).T for w, known in zip(weights, self.known))
+        upper = lower.copy()
+        for w, gap, met in zip(weights, gaps, self.met):
+            upper += (w.astype(kind) * gap.astype(kind)) @ (~met).astype(kind).T
+        floor = np.partition(lower, n - self.k, axis=1)[:, n - self.k] - self.slack[self.open]
+        self.alive &= upper >= floor[:, None]
+        done = self.alive.sum(axis=1) <= FEW * self.k
+        for query, left in zip(self.open[done], self.alive[done]):
+            rows = np.flatnonzero(left)
+            self.found[query] = self._best(rows, self._resolve(query, rows))
+        self.open, self.alive = self.open[~done], self.alive[~done]
+
+    def _sums(self, query: int, rows: np.ndarray) -> np.ndarray:
+        """What the entries read say of the scores of rows."""
+        weights = self.queries[query]
+        signed = (np.maximum(weights, 0), np.minimum(weights, 0))
+        return sum(
+            np.where(met[rows], known[rows], 0) @ w for w, known, met in zip(signed, self.known, self.met)
+        )
+
+    def _resolve(self, query: int, rows: np.ndarray) -> np.ndarray:
         """Final scores of the rows left: each list is read on until all of them were met in it."""
         lists, n, depth = self.lists, self.lists.n, self.depth
         place = np.full(n, -1)
         place[rows] = np.arange(len(rows))
-        weights = self.queries[query]
+        weights, sums = self.queries[query], self._sums(query, rows)
         high = np.arange(n - depth - 1, -1, -1), np.flatnonzero(weights > 0)
         low = np.arange(depth, n), np.flatnonzero(weights < 0)
         for ahead, dims in (high, low):

@@ -71,7 +71,7 @@ def test_dropped_rows_are_outsiders():
         before = reading.open
         reading._drop_outsiders()
         for column, query in enumerate(reading.open):
-            out = scores[~reading.alive[:, column], query]
+            out = scores[~reading.alive[column], query]
             assert (out < np.sort(scores[:, query])[-4]).all()
         for query in set(before) - set(reading.open):
             rows, found = reading.found[query]
