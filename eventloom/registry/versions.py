@@ -13,6 +13,7 @@ from eventloom.registry.base import query, raw, with_ev
 from eventloom.registry.tables import _TWO_MONTHS
 from eventloom.session import new_dir
 from eventloom.sinks.files import cluster, with_month
+from eventloom.sinks.layout import write_for_lookups
 
 
 def _two_months(spark, sf_dir):
@@ -102,3 +103,37 @@ def rebuilt_days_at_once(spark, sf_dir):
     rebuild_since(table, events.where(F.col("event_date") <= last - dt.timedelta(days=9)), fct_daily_revenue, None)
     rebuild_since(table, events, fct_daily_revenue, last - dt.timedelta(days=13))
     return table.read()
+
+
+@query(with_ev("""
+WITH busy AS (SELECT user_id FROM ev GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT 'user' AS lookup, event_id, user_id, event_date, TRUE AS few_files FROM ev
+WHERE user_id = (SELECT user_id FROM busy)
+UNION ALL
+SELECT 'day', event_id, user_id, event_date, TRUE FROM ev WHERE event_date = (SELECT MIN(event_date) + 9 FROM ev)"""))
+def lookups_by_user_and_day(spark, sf_dir):
+    """Rows of one user and of one day: either is in less than half of the files' ranges."""
+    path = new_dir(spark, "lookups")
+    events = raw(spark, sf_dir)
+    write_for_lookups(events, path, ["event_date", "user_id"], files=16, bloom=["user_id"])
+    stored = spark.read.parquet(path)
+    busy = events.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").first()["user_id"]
+    day = newest(events.select((-F.unix_date("event_date")).alias("d")), "d")
+    wanted = {"user": F.col("user_id") == busy, "day": F.unix_date("event_date") == 9 - day}
+    ranges = stored.groupBy(F.col("_metadata.file_path")).agg(
+        F.min("user_id").alias("user_from"), F.max("user_id").alias("user_to"),
+        F.min(F.unix_date("event_date")).alias("day_from"), F.max(F.unix_date("event_date")).alias("day_to"),
+    )
+    row = ranges.agg(
+        F.count("*").alias("files"),
+        F.count_if(F.lit(busy).between(F.col("user_from"), F.col("user_to"))).alias("user"),
+        F.count_if(F.lit(9 - day).between(F.col("day_from"), F.col("day_to"))).alias("day"),
+    ).first()
+    found = [
+        stored.where(condition).select(
+            F.lit(kind).alias("lookup"), "event_id", "user_id", "event_date",
+            F.lit(2 * row[kind] <= row["files"]).alias("few_files"),
+        )
+        for kind, condition in wanted.items()
+    ]
+    return found[0].unionByName(found[1])
