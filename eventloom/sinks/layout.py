@@ -50,7 +50,8 @@ def with_interleaved(
         cut = Bucketizer(splits=splits, inputCol=value, outputCol=rank, handleInvalid="keep")
         # few different values have few quantiles: stretched, so that all columns use all bits
         stretched = F.floor(F.col(rank) * (2**bits / len(splits)))
-        df = cut.transform(df).drop(value).withColumn(rank, stretched)
+        last = F.lit(2**bits - 1).cast("bigint")
+        df = cut.transform(df).drop(value).withColumn(rank, F.coalesce(stretched, last))
         for bit in range(bits):
             one = F.shiftright(rank, bit).bitwiseAND(F.lit(1).cast("bigint"))
             place = place + one * F.lit(1 << (bit * len(columns) + i)).cast("bigint")
