@@ -164,41 +164,21 @@ class RandomField:
         self.weights, self.moves = weights, moves  # (feature, label), (label, next label)
 
     @classmethod
-    def fit(cls, features: np.ndarray, labels: np.ndarray, mask: np.ndarray) -> RandomField:
-        """By adaptive gradient steps on the likelihood of padded sequences (sequence, place)."""
+    def fit(cls, examples: list[tuple[np.ndarray, np.ndarray]]) -> RandomField:
+        """By adaptive gradient steps on the likelihood of sequences (features, labels)."""
         weights, moves = np.zeros((Tokens.FEATURES, 3)), np.zeros((3, 3))
         squares, move_squares = np.full_like(weights, 1e-6), np.full_like(moves, 1e-6)
-        rows, steps = labels.shape
-        gold = np.eye(3)[labels] * mask[:, :, None]
-        pair = mask[:, 1:] * 1.0
+        parts = [_padded(part) for part in _by_length(examples)]
         for _ in range(EPOCHS):
-            emit = weights[features].sum(axis=2)
-            ahead = np.zeros((rows, steps, 3))
-            back = np.zeros((rows, steps, 3))
-            ahead[:, 0] = emit[:, 0]
-            for t in range(1, steps):
-                step = _log_sum(ahead[:, t - 1][:, :, None] + moves, 1) + emit[:, t]
-                ahead[:, t] = np.where(mask[:, t, None], step, ahead[:, t - 1])
-            total = _log_sum(ahead[:, -1], 1)
-            for t in range(steps - 2, -1, -1):
-                step = _log_sum(moves + (emit[:, t + 1] + back[:, t + 1])[:, None, :], 2)
-                back[:, t] = np.where(mask[:, t + 1, None], step, back[:, t + 1])
-            odds = np.exp(ahead + back - total[:, None, None]) * mask[:, :, None]
-            slope = (odds - gold) / rows
-            grad = np.zeros_like(weights)
-            for label in range(3):
-                each = np.repeat(slope[:, :, label].ravel(), features.shape[2])
-                grad[:, label] = np.bincount(features.ravel(), each, Tokens.FEATURES)
-            grad += 1e-5 * weights
-            joint = (
-                ahead[:, :-1, :, None]
-                + moves
-                + (emit + back)[:, 1:, None, :]
-                - total[:, None, None, None]
-            )
-            joint = np.exp(np.minimum(joint, 0)) * pair[:, :, None, None]
-            seen = gold[:, :-1, :, None] * gold[:, 1:, None, :] * pair[:, :, None, None]
-            move_grad = (joint - seen).sum(axis=(0, 1)) / rows + 1e-5 * moves
+            grad, move_grad = np.zeros_like(weights), np.zeros_like(moves)
+            for features, gold, mask in parts:
+                slope, change = _slopes(weights[features].sum(axis=2), moves, gold, mask)
+                for label in range(3):
+                    each = np.repeat(slope[:, :, label].ravel(), features.shape[2])
+                    grad[:, label] += np.bincount(features.ravel(), each, Tokens.FEATURES)
+                move_grad += change
+            grad = grad / len(examples) + 1e-5 * weights
+            move_grad = move_grad / len(examples) + 1e-5 * moves
             squares += grad**2
             move_squares += move_grad**2
             weights -= 0.5 * grad / np.sqrt(squares)
@@ -250,6 +230,49 @@ class RandomField:
         return labels
 
 
+def _by_length(examples, most: int = 1 << 13):
+    """Sequences of about equal length together, so many that padded they have ``most`` tokens."""
+    part = []
+    for example in sorted(examples, key=lambda e: len(e[1])):
+        if part and (len(part) + 1) * len(example[1]) > most:
+            yield part
+            part = []
+        part.append(example)
+    if part:
+        yield part
+
+
+def _padded(part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, labels one-hot, mask) of sequences filled up to the longest."""
+    steps = len(part[-1][1])
+    features = np.zeros((len(part), steps, 5), dtype=np.int32)
+    gold, mask = np.zeros((len(part), steps, 3)), np.zeros((len(part), steps), dtype=bool)
+    for i, (own, labels) in enumerate(part):
+        features[i, : len(own)], mask[i, : len(own)] = own, True
+        gold[i, np.arange(len(own)), labels] = 1
+    return features, gold, mask
+
+
+def _slopes(emit: np.ndarray, moves: np.ndarray, gold: np.ndarray, mask: np.ndarray):
+    """Gradients of the negative log likelihood by emission (sequence, place, label) and by move."""
+    rows, steps, _ = emit.shape
+    ahead, back = np.zeros(emit.shape), np.zeros(emit.shape)
+    ahead[:, 0] = emit[:, 0]
+    for t in range(1, steps):
+        step = _log_sum(ahead[:, t - 1][:, :, None] + moves, 1) + emit[:, t]
+        ahead[:, t] = np.where(mask[:, t, None], step, ahead[:, t - 1])
+    total = _log_sum(ahead[:, -1], 1)
+    for t in range(steps - 2, -1, -1):
+        step = _log_sum(moves + (emit[:, t + 1] + back[:, t + 1])[:, None, :], 2)
+        back[:, t] = np.where(mask[:, t + 1, None], step, back[:, t + 1])
+    odds = np.exp(ahead + back - total[:, None, None]) * mask[:, :, None]
+    joint = ahead[:, :-1, :, None] + moves + (emit + back)[:, 1:, None, :] - total[:, None, None, None]
+    joint = np.exp(np.minimum(joint, 0))
+    seen = gold[:, :-1, :, None] * gold[:, 1:, None, :]
+    change = (joint - seen) * mask[:, 1:, None, None]
+    return odds - gold, change.sum(axis=(0, 1))
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
@@ -328,13 +351,7 @@ def train(texts: list[bytes]) -> RandomField | None:
             parts += _examples(*altered(text, rng), rng)
     if not any(own.any() for _, own in parts):
         return None
-    steps = max(len(own) for _, own in parts)
-    features = np.zeros((len(parts), steps, 5), dtype=np.int64)
-    labels = np.zeros((len(parts), steps), dtype=np.int64)
-    mask = np.zeros((len(parts), steps), dtype=bool)
-    for i, (own, wanted) in enumerate(parts):
-        features[i, : len(own)], labels[i, : len(own)], mask[i, : len(own)] = own, wanted, True
-    return RandomField.fit(features, labels, mask)
+    return RandomField.fit(parts)
 
 
 def training_texts(docs: DataFrame) -> list[bytes]:
