@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,3 +158,12 @@ def finite(column: str) -> Column:
     """True where an array of numbers has neither null nor non-finite entries."""
     infinite = F.lit(float("inf"))
     return F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < infinite))
+
+
+def free_memory() -> None:
+    """Give what fitting on the driver has used back to the system, for the stages to come."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import blocks, by_text, find_words, range_hashes
+from eventloom.llm.common import blocks, by_text, find_words, free_memory, range_hashes
 
 #: Bounds of the fitting sample: labelled documents, unlabelled ones, bytes of a text.
 LABELLED, UNLABELLED, SAMPLE_BYTES = 6_000, 2_000, 30_000
@@ -377,6 +377,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, model: Model | None = Non
     if model is None:
         view = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source", "n_chars")
         model = fit(fitting_sample(view, labels, ["quality", "toxic"]), ["quality", "toxic"])
+        free_memory()
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index("text")
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import blocks, by_text, range_hashes
+from eventloom.llm.common import blocks, by_text, free_memory, range_hashes
 
 # The patterns, the group that is the value, and its least length.
 PATTERNS = [
@@ -333,7 +333,7 @@ def _examples(text: bytes, places: list[tuple[int, int]], rng: random.Random):
     edges = np.flatnonzero(np.diff(np.concatenate(([0], wanted.astype(int), [0]))))
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
         for c in range(a, b, 64):
-            yield tokens.features[c : min(b, c + 64)], labels[c : min(b, c + 64)]
+            yield tokens.features[c : min(b, c + 64)].astype(np.int32), labels[c : min(b, c + 64)]
 
 
 def train(texts: list[bytes]) -> RandomField | None:
@@ -370,8 +370,8 @@ def training_texts(docs: DataFrame) -> list[bytes]:
 
     # both are bounded by their limits
     picked = least(keyed.where(likely), SAMPLE_WITH).union(least(keyed, SAMPLE_WITHOUT)).distinct()
-    rows = keyed.join(F.broadcast(picked), "key").dropDuplicates(["key"]).select("text").collect()
-    return sorted(r.text.encode() for r in rows)
+    rows = keyed.join(F.broadcast(picked), "key").dropDuplicates(["key"]).select("text").toArrow()
+    return sorted(t.encode() for t in rows["text"].to_pylist())
 
 
 def secret_scan(docs: DataFrame, field: RandomField | None = None) -> DataFrame:
@@ -391,6 +391,7 @@ def secret_scan(docs: DataFrame, field: RandomField | None = None) -> DataFrame:
     """
     if field is None:
         field = train(training_texts(docs))
+        free_memory()
     found = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "masked"]
     docs = docs.drop(*found)
     at = docs.columns.index("text")
