@@ -39,7 +39,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, bundles: int = BUNDLES) -
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of documents.
 
     Law ``bytes``: the shards' sizes (UTF-8 bytes of the text and one more per row) are near
-    equal; tokens, counted as white-space runs and one, and rows are balanced along with
+    equal; tokens, counted as blank characters and one, and rows are balanced along with
     them. Groups are rows with equal text. A group of more than one part in ``bundles`` of
     all bytes, tokens or rows is an item of its own; there are at most three times
     ``bundles``. It stays in one shard unless it has more than a shard's share of bytes;
