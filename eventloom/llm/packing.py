@@ -115,21 +115,24 @@ class WordEncoder:
 
 
 class Piece:
-    """A run of a document's ids."""
+    """A run of a document's ids: ``ids[first:]``, so that no cut copies what follows."""
 
-    __slots__ = ("doc_id", "start", "ids", "doc_tokens")
+    __slots__ = ("doc_id", "start", "ids", "first", "doc_tokens")
 
-    def __init__(self, doc_id, start: int, ids: bytes, doc_tokens: int):
+    def __init__(self, doc_id, start: int, ids: bytes, doc_tokens: int, first: int = 0):
         self.doc_id, self.start, self.ids, self.doc_tokens = doc_id, start, ids, doc_tokens
+        self.first = first
 
     def __len__(self) -> int:
-        return len(self.ids) // _WIDTH
+        return len(self.ids) // _WIDTH - self.first
 
     def cut(self, length: int) -> tuple[Piece, Piece]:
-        at = length * _WIDTH
+        """A head with ids of its own, so that it does not hold the document, and the rest."""
+        stop = self.first + length
+        head = self.ids[self.first * _WIDTH : stop * _WIDTH]
         return (
-            Piece(self.doc_id, self.start, self.ids[:at], self.doc_tokens),
-            Piece(self.doc_id, self.start + length, self.ids[at:], self.doc_tokens),
+            Piece(self.doc_id, self.start, head, self.doc_tokens),
+            Piece(self.doc_id, self.start + length, self.ids, self.doc_tokens, stop),
         )
 
 
@@ -152,11 +155,11 @@ def best_fit(pieces: Iterator[Piece], window: int, open_windows: int) -> Iterato
             at = bisect_left(rooms, (len(piece), -1))
             if at < len(rooms):
                 room, own = rooms.pop(at)
-                head, piece = piece, piece.cut(len(piece))[1]
+                head, piece = piece.cut(len(piece))
             elif len(rooms) < open_windows:
                 name += 1
                 room, own, content[name] = window, name, []
-                head, piece = piece, piece.cut(len(piece))[1]
+                head, piece = piece.cut(len(piece))
             else:
                 room, own = rooms.pop(0)
                 head, piece = piece.cut(room)

@@ -1,3 +1,4 @@
+import time
 import zlib
 from collections import defaultdict
 
@@ -80,3 +81,16 @@ def test_best_fit_takes_the_least_room():
 
     windows = list(packing.best_fit(iter([piece(6), piece(5), piece(4)]), 10, 4))
     assert [[len(p) for p in w] for w in windows] == [[6, 4], [5]]
+
+
+def test_time_is_linear_in_a_text():
+    """A text of 16 million ids, whose copied rests would be 125 GB."""
+    ids = np.arange(16 << 20, dtype="<u4").tobytes()
+    began, at = time.process_time(), 0
+    for window in packing.best_fit(iter([packing.Piece(1, 0, b"\0" * 400, 100), packing.Piece(2, 0, ids, 16 << 20)]), 4096, 1):
+        for p in window:
+            assert p.first == 0 and len(p.ids) <= 4 * 4096
+            if p.doc_id == 2:
+                assert p.start == at and p.ids == ids[4 * at : 4 * (at + len(p))]
+                at += len(p)
+    assert at == 16 << 20 and time.process_time() - began < 5
