@@ -28,6 +28,8 @@ GRAM = 16
 SHARD_BYTES = 4 << 20
 #: More runs of a name in a block of text, or over all, make it hot.
 DENSE, HOT_RUNS = 128, 200_000
+#: Places that the rows of one text are dealt to.
+PLACES = 1024
 #: Kinds of packed rows: plain runs, the two that stand for a dense name, its others.
 PLAIN, DENSE_ENDS, DENSE_REST = range(3)
 
@@ -477,12 +479,27 @@ def _decide(names, docs, variants, starts, contexts, length: int):
 
 
 def copies(texts: DataFrame, length: int) -> DataFrame:
-    """(doc, variant, n_bytes) of texts of ``length`` or more that a smaller doc has whole."""
+    """(doc, variant, n_bytes) of texts of ``length`` or more that a smaller doc has whole.
+
+    Rows of one text are dealt to at most ``PLACES`` places by doc and the task that reads
+    them. The least doc of each place goes to the text, the least of all back to the places
+    that exist, so no task meets all rows of a text.
+    """
+    place = F.pmod(F.xxhash64("doc") + F.spark_partition_id(), F.lit(PLACES)).cast("int")
     keyed = texts.where(F.octet_length("text") >= length).select(
-        "doc", "variant", F.sha2("text", 256).alias("key"), F.octet_length("text").alias("n_bytes")
+        "doc",
+        "variant",
+        F.unhex(F.sha2("text", 256)).alias("key"),
+        place.alias("place"),
+        F.octet_length("text").alias("n_bytes"),
+    )
+    keyed = materialize(keyed, "keys")  # a row's place must be the same whenever it is read
+    parts = keyed.groupBy("key", "place").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    whole = parts.groupBy("key").agg(
+        F.min("least").alias("least"), F.max("most").alias("most"), F.collect_list("place").alias("places")
     )
-    least = keyed.groupBy("key").agg(F.min("doc").alias("least"))
-    return keyed.join(least, "key").where("doc > least").select("doc", "variant", "n_bytes")
+    least = whole.where("least < most").select("key", "least", F.explode("places").alias("place"))
+    return keyed.join(least, ["key", "place"]).where("doc > least").select("doc", "variant", "n_bytes")
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -548,8 +565,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     fill several shards are merged by binary search in the sorted strings. A name that a
     block of text has over 128 times, or that has over 200 000 runs, is hot: its runs are
     cut into single strings that are dealt by their own hash. Copies within a block of 1 MiB
-    are decided there. So no task holds more than a block, or the different runs of one name
-    that is not hot.
+    are decided there. A task holds a block of text, or the packed names of one bucket (the
+    runs by the number of shuffle partitions, so set that by the input's size), or the
+    different runs of one name that is not hot.
 
     Null text counts as empty. Rows with null doc_id count as larger than all others and
     equal among themselves. Rows with equal doc_id never count as smaller than each other

@@ -82,3 +82,23 @@ def test_suffix_array_and_prefixes(data):
         n = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
         assert common[b] == min(n, 50)
     assert common[order[0]] == 0
+
+
+@pytest.mark.parametrize("places", [1, 3, 1024])
+def test_copies_of_one_text_are_dealt(spark, monkeypatch, places):
+    monkeypatch.setattr(suffix_dedup, "PLACES", places)
+    rng = random.Random(places)
+    kinds = ["same " * 20, "other " * 20, "short", "é" * 25]
+    rows = [(rng.randint(1, 300), 0, rng.choice(kinds)) for _ in range(600)]
+    texts = spark.createDataFrame(rows, "doc long, variant long, text string").repartition(7)
+    found = suffix_dedup.copies(texts, 50)
+    least = {t: min(d for d, _, u in rows if u == t) for t in kinds}
+    wanted = [(d, v, len(t.encode())) for d, v, t in rows if len(t.encode()) >= 50 and d > least[t]]
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    joined = [line for line in found._jdf.queryExecution().toString().splitlines() if "Join [" in line]
+    assert joined and all("place#" in line for line in joined)
+
+
+def test_rows_of_one_id_and_text(spark):
+    rows = [(r, "the same words again and again " * 4) for r in [3, 3, None, None, 2, 2, 5]]
+    assert got(fixtures.plain(spark, rows).repartition(3)) == slow(rows)
