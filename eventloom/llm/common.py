@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -160,10 +162,36 @@ def finite(column: str) -> Column:
     return F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < infinite))
 
 
-def free_memory() -> None:
-    """Give what fitting on the driver has used back to the system, for the stages to come."""
+def in_one_task(fn: Callable[[pa.Table], Any], rows: DataFrame) -> Any:
+    """``fn`` of all rows of a bounded table, run in a task: the driver gets its result alone.
+
+    The result is plain data and arrays: classes of this package would bring along, by value,
+    all that their methods use.
+    """
+
+    def run(batches):
+        found = [b for b in batches if b.num_rows]
+        if found:
+            made = pickle.dumps(fn(pa.Table.from_batches(found)))
+            del found
+            free_memory()
+            yield pa.record_batch([pa.array([made], pa.binary())], ["made"])
+
+    one = rows.repartition(1).mapInArrow(run, "made binary").first()
+    # without rows there may be no task
+    return fn(rows.limit(0).toArrow()) if one is None else pickle.loads(one.made)
+
+
+def free_memory(spark: SparkSession | None = None) -> None:
+    """Give what is no longer used back to the system; with a session, its driver's heap too.
+
+    Spark drops the shuffle files and broadcasts of finished jobs when the driver's heap is
+    collected, which it leaves to chance: loops over jobs call this after each round.
+    """
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
     if trim is not None:
         trim(0)
+    if spark is not None:
+        spark._jvm.System.gc()

@@ -12,6 +12,7 @@ from eventloom.llm.common import (
     blocks,
     by_text,
     find_words,
+    free_memory,
     materialize,
     mix,
     same_text,
@@ -72,11 +73,14 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
 def shingle_filter(shingles: DataFrame) -> np.ndarray:
     """Bits of the slots in use; a slot is the highest bits of a shingle."""
     slot = f"shiftrightunsigned(shingle, {64 - FILTER_BITS})"
-    bit = F.expr(f"bit_or(shiftleft(1L, CAST({slot} & 31 AS INT)))")
-    words = shingles.groupBy(F.expr(f"shiftright({slot}, 5)").alias("word")).agg(bit.alias("bits"))
+    bit = F.expr(f"bit_or(shiftleft(1, CAST({slot} & 31 AS INT)))")
+    word = F.expr(f"CAST(shiftright({slot}, 5) AS INT)").alias("word")
+    words = shingles.groupBy(word).agg(bit.alias("bits"))
     found = words.toArrow()  # plain arrays: a Row each would cost a hundred times as much
     bits = np.zeros(1 << (FILTER_BITS - 5), dtype=np.uint32)
-    bits[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint32)
+    del found
+    free_memory(shingles.sparkSession)
     return bits
 
 

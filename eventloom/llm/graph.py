@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import materialize
+from eventloom.llm.common import free_memory, materialize
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -50,6 +50,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         edges = materialize(small.distinct(), "stars")
         after = _state(edges)
+        free_memory(edges.sparkSession)
         if after == before:
             break
         before = after

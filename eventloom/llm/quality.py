@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import blocks, by_text, find_words, free_memory, range_hashes
+from eventloom.llm.common import blocks, by_text, find_words, free_memory, in_one_task, range_hashes
 
 #: Bounds of the fitting sample: labelled documents, unlabelled ones, bytes of a text.
 LABELLED, UNLABELLED, SAMPLE_BYTES = 6_000, 2_000, 30_000
@@ -157,6 +157,14 @@ class Model:
     edges: dict[str, np.ndarray]
     heads: dict[str, Head | float]
 
+    def plain(self) -> tuple[dict, dict]:
+        heads = {k: vars(h) if isinstance(h, Head) else h for k, h in self.heads.items()}
+        return self.edges, heads
+
+    @classmethod
+    def of(cls, edges: dict, heads: dict) -> Model:
+        return cls(edges, {k: Head(**h) if isinstance(h, dict) else h for k, h in heads.items()})
+
     def score(self, data: bytes, offsets: np.ndarray, frame: pd.DataFrame) -> dict[str, np.ndarray]:
         n = len(frame)
         owner, buckets, numbers = text_features(data, offsets)
@@ -333,7 +341,7 @@ def fit(sample: pd.DataFrame, labels: list[str]) -> Model:
     return Model(edges, heads)
 
 
-def fitting_sample(docs: DataFrame, labels: DataFrame, wanted: list[str]) -> pd.DataFrame:
+def fitting_rows(docs: DataFrame, labels: DataFrame, wanted: list[str]) -> DataFrame:
     """At most ``LABELLED`` documents with labels and ``UNLABELLED`` others, by hashes of ids.
 
     Of a repeated doc_id the text of least hash counts, texts over ``SAMPLE_BYTES`` never do.
@@ -352,8 +360,16 @@ def fitting_sample(docs: DataFrame, labels: DataFrame, wanted: list[str]) -> pd.
     columns = rows.columns
     own = F.struct(F.xxhash64("text").alias("text_key"), *[x for x in columns if x != "doc_id"])
     rows = rows.groupBy("doc_id").agg(F.min(own).alias("one"))
-    rows = rows.select("doc_id", *[f"one.{x}" for x in columns if x != "doc_id"])
-    return rows.toArrow().to_pandas().sort_values(["doc_id", "text"]).reset_index(drop=True)
+    return rows.select("doc_id", *[f"one.{x}" for x in columns if x != "doc_id"])
+
+
+def _ordered(rows: pa.Table) -> pd.DataFrame:
+    return rows.to_pandas().sort_values(["doc_id", "text"]).reset_index(drop=True)
+
+
+def fitting_sample(docs: DataFrame, labels: DataFrame, wanted: list[str]) -> pd.DataFrame:
+    """The rows of ``fitting_rows`` in the order that a model is fitted on."""
+    return _ordered(fitting_rows(docs, labels, wanted).toArrow())
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
@@ -370,14 +386,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, model: Model | None = Non
     only one class is known has that probability. Documents with several labels count as the
     greatest. Repeated rows and null doc_ids come back as they are, other columns as well;
     columns of the added names are replaced. No documents give no rows. Memory: the sample
-    on the driver; a block of 1 MiB of text, or one longer text, in a task.
+    in one task, of which the driver gets the model; a block of 1 MiB of text, or one longer
+    text, in the others.
     """
     added = ["p_quality", "p_toxic", "score", "keep"]
     docs = docs.drop(*added)
     if model is None:
         view = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source", "n_chars")
-        model = fit(fitting_sample(view, labels, ["quality", "toxic"]), ["quality", "toxic"])
-        free_memory()
+        wanted = ["quality", "toxic"]
+        sample = fitting_rows(view, labels, wanted)
+        model = Model.of(*in_one_task(lambda rows: fit(_ordered(rows), wanted).plain(), sample))
+        free_memory(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index("text")
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import blocks, by_text, free_memory, range_hashes
+from eventloom.llm.common import blocks, by_text, free_memory, in_one_task, range_hashes
 
 # The patterns, the group that is the value, and its least length.
 PATTERNS = [
@@ -354,8 +354,8 @@ def train(texts: list[bytes]) -> RandomField | None:
     return RandomField.fit(parts)
 
 
-def training_texts(docs: DataFrame) -> list[bytes]:
-    """The bounded training sample, the same for the same documents in any order.
+def training_texts(docs: DataFrame) -> DataFrame:
+    """(text): the bounded training sample, the same for the same documents in any order.
 
     Hashes of texts are picked first, so that tasks send hashes, not texts, to choose from.
     """
@@ -370,8 +370,12 @@ def training_texts(docs: DataFrame) -> list[bytes]:
 
     # both are bounded by their limits
     picked = least(keyed.where(likely), SAMPLE_WITH).union(least(keyed, SAMPLE_WITHOUT)).distinct()
-    rows = keyed.join(F.broadcast(picked), "key").dropDuplicates(["key"]).select("text").toArrow()
-    return sorted(t.encode() for t in rows["text"].to_pylist())
+    return keyed.join(F.broadcast(picked), "key").dropDuplicates(["key"]).select("text")
+
+
+def _trained(rows: pa.Table) -> tuple[np.ndarray, np.ndarray] | None:
+    field = train(sorted(t.encode() for t in rows["text"].to_pylist()))
+    return None if field is None else (field.weights, field.moves)
 
 
 def secret_scan(docs: DataFrame, field: RandomField | None = None) -> DataFrame:
@@ -386,12 +390,14 @@ def secret_scan(docs: DataFrame, field: RandomField | None = None) -> DataFrame:
     Null text counts as empty and stays null in masked; no match gives zeros, an empty spans
     and the digest of the empty string. Columns of these names are replaced. Repeated rows
     and null doc_ids come back as they are; no documents give no rows. Without any base
-    match in the sample no field is trained. Memory: a block of 1 MiB of text, or one longer
-    text, and its tokens.
+    match in the sample no field is trained. Memory: the sample in one task, of which the
+    driver gets the field; in the others a block of 1 MiB of text, or one longer text, and
+    its tokens.
     """
     if field is None:
-        field = train(training_texts(docs))
-        free_memory()
+        fitted = in_one_task(_trained, training_texts(docs))
+        field = None if fitted is None else RandomField(*fitted)
+        free_memory(docs.sparkSession)
     found = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "masked"]
     docs = docs.drop(*found)
     at = docs.columns.index("text")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import (
     as_bytes,
     by_text,
+    free_memory,
     materialize,
     same_text,
     shuffle_partitions,
@@ -220,6 +221,7 @@ def fingerprint_links(marks: DataFrame, max_bits: int = MAX_BITS, bucket: int =
         links = done.where("b IS NOT NULL").select("a", "b")
         found = links if found is None else found.unionByName(links)
         rows = done.where("b IS NULL").select(F.col("a").alias("fp"), "start", "mask")
+        free_memory(marks.sparkSession)
         if rows.isEmpty():
             return found.distinct()
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from eventloom.llm import quality
 from eventloom.llm.quality import SAMPLE_BYTES, fitting_sample, quality_scores
 from tests.llm import fixtures
 
@@ -65,3 +66,17 @@ def test_sample_holds_one_row_of_an_id(spark):
     assert list(zip(got.doc_id, got.text)) == [(1, least), (2, least), (3, "other")]
     assert got.quality.tolist()[::2] == [1, 0] and got.quality.isna().tolist() == [False, True, False]
     assert {*docs.columns, "quality", "toxic"} == set(got.columns)
+
+
+def test_fits_in_a_task(spark, monkeypatch):
+    data = corpus(300, 3)
+    labels = spark.createDataFrame([(i, q, t, "x") for i, _, q, t in data[:200]], LABELS)
+    docs = fixtures.plain(spark, [(i, t) for i, t, _, _ in data])
+    view = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    wanted = ["quality", "toxic"]
+    model = quality.fit(fitting_sample(view, labels, wanted), wanted)
+    expected = sorted(map(tuple, quality_scores(docs, labels, model).collect()))
+    on_driver, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a: on_driver.append(a) or fit(*a))
+    got = sorted(map(tuple, quality_scores(docs, labels).collect()))
+    assert got == expected and not on_driver

@@ -183,3 +183,19 @@ def test_learned_spans_touch_no_base_span():
         want = {(a, b) for a, b in own if not any(a < e and s < b for s, _, e, _, _ in base)}
         got = [x.split(":") for x in secrets._row(text, own)[2].split(",") if x.startswith("crf")]
         assert {(int(a), int(b)) for _, a, b in got} == want
+
+
+def test_trains_in_a_task(spark, monkeypatch):
+    docs = fixtures.frame(spark)
+    texts = sorted(r.text.encode() for r in secrets.training_texts(docs).collect())
+    field = secrets.train(texts)
+    assert field is not None
+    expected = sorted(map(str, secrets.secret_scan(docs, field).collect()))
+    on_driver, train = [], secrets.train
+    monkeypatch.setattr(secrets, "train", lambda t: on_driver.append(t) or train(t))
+    got = sorted(map(str, secrets.secret_scan(docs).collect()))
+    assert got == expected and not on_driver
+
+
+def test_no_documents_train_nothing(spark):
+    assert secrets.secret_scan(fixtures.frame(spark, [])).collect() == []
