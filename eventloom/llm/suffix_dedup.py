@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,9 @@ from eventloom.llm.common import (
 LENGTH = 50
 #: Bytes of the grams whose least hash names a string.
 GRAM = 16
-#: Bytes of a shard's text.
+#: Places that one pass names.
+PASS = 1 << 14
+#: Bytes of a shard's text. Names are decided when a quarter of that has come together.
 SHARD_BYTES = 4 << 20
 #: More runs of a name in a block of text, or over all, make it hot.
 DENSE, HOT_RUNS = 128, 200_000
@@ -54,116 +57,146 @@ def name_runs(data: bytes, offsets: np.ndarray, length: int):
     equal names wherever they are, and neighbours mostly share theirs. Places are in ``data``.
     """
     raw = np.frombuffer(data, dtype=np.uint8)
-    n, grams = len(raw), length - GRAM + 1
-    if n < length:
+    if len(raw) < length:
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
-    words = big_words(raw)
-    # the words at the gram's front, middle and end hold all its bytes
-    ends = [words[at : at + n - GRAM + 1] for at in (0, 8, GRAM - 8)]
-    least = mix(ends[0] * _ODD[0] ^ mix(ends[1] * _ODD[1] ^ mix(ends[2])))
-    have = 1
-    while 2 * have <= grams:
-        least = np.minimum(least[:-have], least[have:])
-        have *= 2
-    if have < grams:
-        least = np.minimum(least[: have - grams], least[grams - have :])
+    least = string_names(raw, length)
+    n = len(least)
+    # in each text the places where a string fits, then those where none does
     size = np.diff(offsets)
-    text = np.repeat(np.arange(len(size)), size)[: len(least)]
-    inside = np.arange(len(least)) + length <= offsets[text + 1]
-    new = np.ones(len(least), dtype=bool)
-    new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
+    fits = np.maximum(size - length + 1, 0)
+    lengths = np.column_stack([fits, size - fits]).ravel()
+    inside = np.repeat(np.tile([True, False], len(size)), lengths)[:n]
+    new = np.ones(n, dtype=bool)
+    new[1:] = least[1:] != least[:-1]
+    new[offsets[offsets < n]] = True
     first = np.flatnonzero(new & inside)
     # a run ends where the next begins, or where no string fits into the text any more
     ends = np.flatnonzero(np.append(new[1:] | ~inside[1:], True) & inside) + 1
-    return least[first], text[first], first, ends - first
-
-
-def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by Larsson and Sadakane.
-
-    Ranks start from 8 bytes. Each round sorts the suffixes that still share a rank by the
-    rank of the suffix as many bytes on as ranks tell apart, which doubles that number.
+    return least[first], np.searchsorted(offsets, first, "right") - 1, first, ends - first
+
+
+def string_names(raw: np.ndarray, length: int) -> np.ndarray:
+    """The least gram hash of the string at each place, in passes that stay in a core's cache."""
+    least = np.empty(len(raw) - length + 1, dtype=np.uint64)
+    for at in range(0, len(least), PASS):
+        words = big_words(raw[at : at + PASS + length - 1])
+        n = len(words) - GRAM + 1
+        # the words at the gram's front and end hold all its bytes
+        hashes = words[GRAM - 8 : GRAM - 8 + n] * _ODD[0]
+        hashes ^= hashes >> np.uint64(32)
+        hashes += words[:n]
+        hashes *= _ODD[1]
+        hashes ^= hashes >> np.uint64(29)
+        hashes *= _ODD[0]
+        grams, have = length - GRAM + 1, 1
+        while 2 * have <= grams:
+            hashes = np.minimum(hashes[:-have], hashes[have:])
+            have *= 2
+        if have < grams:
+            hashes = np.minimum(hashes[: have - grams], hashes[grams - have :])
+        least[at : at + PASS] = hashes
+    return least
+
+
+def suffix_array(
+    data: np.ndarray, places: np.ndarray | None = None, most: int | None = None
+) -> np.ndarray:
+    """Suffixes (those at ``places``) in order (of their first ``most`` bytes).
+
+    Starts from 8 bytes. Each round sorts the suffixes not yet told apart by some bytes more,
+    within their groups; a group whose members have the same ``most`` bytes is left as it is.
     """
     n = len(data)
-    words = big_words(data)
-    order = np.argsort(words, kind="stable")
-    new = np.ones(n, dtype=bool)
-    new[1:] = words[order[1:]] != words[order[:-1]]
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
-    told = 8
-    while not new.all():
-        shared = np.flatnonzero(~(new & np.append(new[1:], True)))
-        own = order[shared]
-        ahead = own + told
-        # past the end the shorter suffix comes first
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + told, n + told - 1 - ahead)
-        key = rank[own] * (n + told) + second
-        sort = np.argsort(key, kind="stable")
-        own, key = own[sort], key[sort]
-        order[shared] = own
+    places = np.arange(n) if places is None else places
+    most = max(n if most is None else most, 8)
+    if not len(places):
+        return places
+    words = np.append(big_words(data), np.zeros(most, dtype=np.uint64))
+    key = words[places]
+    sort = np.argsort(key)
+    order, key = places[sort], key[sort]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    shared, fresh, told = np.arange(len(order)), new, 8
+    while True:
+        several = ~(fresh & np.append(fresh[1:], True))
+        shared, fresh = shared[several], fresh[several]
+        if not len(shared):
+            break
+        own, at, next_ = order[shared], np.flatnonzero(fresh), np.flatnonzero(~fresh)
+        differ = np.zeros(len(own), dtype=bool)
+        differ[next_] = ~_same(words, own[next_ - 1], own[next_], told, most)
+        open_ = np.repeat(np.logical_or.reduceat(differ, at), np.diff(np.append(at, len(own))))
+        shared, own, fresh = shared[open_], own[open_], fresh[open_]
+        if not len(shared):
+            break
+        group = np.cumsum(fresh, dtype=np.uint64)
+        step = (64 - int(group[-1]).bit_length()) // 8
+        key = group << np.uint64(8 * step) | words[own + told] >> np.uint64(64 - 8 * step)
+        sort = np.argsort(key)
+        order[shared], key = own[sort], key[sort]
         fresh = np.ones(len(own), dtype=bool)
         fresh[1:] = key[1:] != key[:-1]
         new[shared] = fresh
-        rank[own] = shared[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        told *= 2
+        told += step
+    if places.max() + most > n:
+        # what differs by zeros past the end alone: the shorter suffix comes first
+        order = order[np.lexsort((-order, np.cumsum(new)))]
     return order
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in ``order``, up to ``most``.
+def _same(words: np.ndarray, a: np.ndarray, b: np.ndarray, told: int, most: int) -> np.ndarray:
+    """Whether the bytes from ``told`` to ``most`` after places a and b are the same."""
+    left = np.arange(len(a))
+    for at in (*range(told, most - 8, 8), most - 8) if told < most else ():
+        left = left[words[a[left] + at] == words[b[left] + at]]
+    same = np.zeros(len(a), dtype=bool)
+    same[left] = True
+    return same
+
 
-    Kasai's walk: from one place of the text to the next a common prefix shrinks by one at
-    most. The parts of the text that begin at ``starts`` are walked side by side.
+def common_prefixes(
+    data: np.ndarray, order: np.ndarray, starts: np.ndarray, most: int
+) -> np.ndarray:
+    """Common prefix of each suffix with the one before it in ``order``, up to ``most``, by place.
+
+    Neighbours are compared 8 bytes at a time. Parts of the text may begin at ``starts``,
+    which makes no difference: common prefixes go on over them.
     """
     n = len(data)
-    padded = np.append(data, np.zeros(most + 1, np.uint8))
-    before = np.full(n, -1)
-    before[order[1:]] = order[:-1]
+    words = np.append(big_words(data), np.zeros(most, dtype=np.uint64))
+    before, own = order[:-1], order[1:]
+    have = np.full(len(own), most)
+    left = np.arange(len(own))
+    for at in range(0, most, 8):
+        odd = words[before[left] + at] ^ words[own[left] + at]
+        differ = odd != 0
+        # leading zero bytes
+        equal = [odd[differ] < np.uint64(1 << 8 * (8 - i)) for i in range(1, 8)]
+        have[left[differ]] = at + np.sum(equal, axis=0)
+        left = left[~differ]
     common = np.zeros(n, dtype=np.int64)
-    ends = np.append(starts[1:], n)
-    place, have = starts.copy(), np.zeros(len(starts), dtype=np.int64)
-    going = place < ends
-    while going.any():
-        place, have, ends = place[going], have[going], ends[going]
-        other = before[place]
-        have = np.where(other < 0, 0, have)
-        open_ = np.flatnonzero((other >= 0) & (have < most))
-        while len(open_):
-            a, b = place[open_] + have[open_], other[open_] + have[open_]
-            same = (a < n) & (b < n) & (padded[a] == padded[b])
-            open_ = open_[same]
-            have[open_] += 1
-            open_ = open_[have[open_] < most]
-        common[place] = have
-        have = np.maximum(have - 1, 0)
-        place = place + 1
-        going = place < ends
+    common[own] = np.minimum(np.minimum(have, most), n - np.maximum(before, own))
     return common
 
 
 class Shard:
     """The distinct strings of ``length`` bytes in contexts, sorted, with their least document."""
 
-    def __init__(self, contexts: list[bytes], docs: np.ndarray, length: int):
+    def __init__(self, contexts: pa.LargeBinaryArray, docs: np.ndarray, length: int):
         self.length = length
-        size = np.fromiter(map(len, contexts), dtype=np.int64, count=len(contexts))
-        starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-        data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-        order = suffix_array(data)
-        common = common_prefixes(data, order, starts, length)
-        group = np.cumsum(common[order] < length) - 1
-        owner = np.repeat(np.arange(len(size)), size)
-        whole = np.arange(len(data)) + length <= (starts + size)[owner]
-        own = whole[order]
-        self.place, self.group = order[own], group[own]  # strings within one context only
-        # names of groups without gaps
-        _, self.group = np.unique(self.group, return_inverse=True)
-        self.owner = owner[self.place]
-        self.least = np.full(self.group.max(initial=-1) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(self.least, self.group, docs[self.owner])
+        data, size = _joined(contexts)
+        starts = np.cumsum(size) - size
+        # strings within one context only
+        strings = np.maximum(size - length + 1, 0)
+        place = np.repeat(starts, strings) + _within(strings)
+        self.place = suffix_array(data, place, length)
+        common = common_prefixes(data, self.place, starts, length)
+        self.group = np.cumsum(common[self.place] < length) - 1
+        self.owner = np.repeat(np.arange(len(size)), size)[self.place]
+        first = np.flatnonzero(np.diff(self.group, prepend=-1))
+        self.least = np.minimum.reduceat(docs[self.owner], first) if len(first) else first
         self.offset = self.place - starts[self.owner]
-        _, first = np.unique(self.group, return_index=True)
         self.data, self.first = data, self.place[first]
 
     def strings(self) -> np.ndarray:
@@ -183,18 +216,26 @@ class Shard:
 
     def repeated(self, docs: np.ndarray):
         """(context, offset) of strings that a smaller document has, by context and offset."""
-        later = self.least[self.group] < docs[self.owner]
-        order = np.lexsort((self.offset[later], self.owner[later]))
-        return self.owner[later][order], self.offset[later][order]
+        later = np.flatnonzero(self.least[self.group] < docs[self.owner])
+        later = later[np.argsort(self.place[later])]
+        return self.owner[later], self.offset[later]
+
+
+def _joined(contexts: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all contexts, one after the other, and the size of each."""
+    ends = np.frombuffer(contexts.buffers()[1], dtype=np.int64)
+    ends = ends[contexts.offset : contexts.offset + len(contexts) + 1]
+    data = np.frombuffer(contexts.buffers()[2] or b"", dtype=np.uint8)
+    return data[ends[0] : ends[-1]], np.diff(ends)
 
 
-def repeated_strings(contexts: list[bytes], docs: np.ndarray, length: int):
+def repeated_strings(contexts: pa.LargeBinaryArray, docs: np.ndarray, length: int):
     """As ``Shard.repeated``, over as many shards as the contexts need."""
-    size = np.cumsum([len(c) for c in contexts])
+    size = np.cumsum(pc.binary_length(contexts).to_numpy())
     cuts = np.searchsorted(size, np.arange(SHARD_BYTES, size[-1], SHARD_BYTES))
     bounds = sorted({0, len(contexts), *cuts.tolist()})
     parts = list(zip(bounds, bounds[1:]))
-    shards = [Shard(contexts[a:b], docs[a:b], length) for a, b in parts]
+    shards = [Shard(contexts.slice(a, b - a), docs[a:b], length) for a, b in parts]
     for i in range(len(shards)):
         for j in range(i):
             shards[i].merge(shards[j])
@@ -226,7 +267,7 @@ def _names(length: int, buckets: int):
             names, text, place, _ = name_runs(data, offsets, length)
             if not len(names):
                 continue
-            order = np.argsort(names, kind="stable")
+            order = np.argsort(names)
             new = np.ones(len(names), dtype=bool)
             new[1:] = names[order[1:]] != names[order[:-1]]
             low = np.flatnonzero(new)
@@ -245,9 +286,9 @@ def _names(length: int, buckets: int):
         bucket = (names >> np.uint64(32)) % np.uint64(buckets)
         rest = kinds == DENSE_REST
         bucket[rest] = mix(starts[rest].astype(np.uint64)) % np.uint64(buckets)
-        groups = bucket.astype(np.int64) * 3 + kinds
+        groups = (bucket * np.uint64(3) + kinds).astype(np.min_scalar_type(3 * buckets))
         order = np.argsort(groups, kind="stable")  # in text order within a group
-        cuts = np.flatnonzero(np.diff(groups[order])) + 1
+        cuts = np.flatnonzero(np.diff(groups[order].astype(np.int64))) + 1
         packed = [
             (int(groups[own[0]]) // 3, int(groups[own[0]]) % 3)
             + _pack(names[own], docs[rows[own]], variants[rows[own]], starts[own])
@@ -313,7 +354,7 @@ def _repeated_names(held: list[tuple]):
     kinds = np.concatenate([np.full(len(h[1]), h[0], dtype=np.uint8) for h in held])
     names, docs, variants, starts = (np.concatenate([h[i] for h in held]) for i in range(1, 5))
     rest = kinds == DENSE_REST
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     order = order[~rest[order]]
     wanted, hot = rest.copy(), rest.copy()
     if len(order):
@@ -411,34 +452,34 @@ def _compare(length: int):
         held, size = [], 0
         before = (None, None, 0)  # name, context and least document of the last run
         for batch in batches:
+            if not batch.num_rows:
+                continue
             names, docs, variants, starts = _numbers(batch, 0, 1, 2, 3)
-            contexts = batch.column(5).to_pylist()
-            n = len(names)
-            stops = np.array(
-                [s if c is None else 0 for s, c in zip(batch.column(4).to_pylist(), contexts)],
-                dtype=np.int64,
-            )
-            ends = np.fromiter((0 if c is None else len(c) for c in contexts), np.int64, count=n)
-            stops = np.where(ends > 0, starts + ends, stops)
-            copy = np.zeros(n, dtype=bool)
-            for i, (name, context, doc) in enumerate(zip(names.tolist(), contexts, docs.tolist())):
-                if context is None:
-                    copy[i] = True
-                elif name == before[0] and context == before[1]:
-                    copy[i] = doc > before[2]
-                else:
-                    before = (name, context, doc)
+            contexts = batch.column(5).cast(pa.large_binary())
+            bare = contexts.is_null().to_numpy(zero_copy_only=False)
+            size_of = pc.binary_length(contexts).fill_null(0).to_numpy()
+            stops = np.where(bare, batch.column(4).fill_null(0).to_numpy(), starts + size_of)
+            # equal runs are neighbours, the least document first
+            new = np.ones(len(names), dtype=bool)
+            equal = pc.equal(contexts[1:], contexts[:-1]).fill_null(False)
+            new[1:] = (names[1:] != names[:-1]) | ~equal.to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(new)
+            least = docs[at]
+            if before[0] == names[0] and before[1] is not None and before[1] == contexts[0].as_py():
+                least[0] = before[2]
+            before = (names[-1], contexts[-1].as_py(), least[-1])
+            copy = bare | (docs > np.repeat(least, np.diff(np.append(at, len(names)))))
             if copy.any():
                 yield _spans(docs[copy], variants[copy], starts[copy], stops[copy])
             left = np.flatnonzero(~copy)
             if not len(left):
                 continue
-            kept = [contexts[i] for i in left.tolist()]
+            kept = contexts.take(pa.array(left))
             held.append(([x[left] for x in (names, docs, variants, starts)], kept))
-            size += sum(map(len, kept))
-            if size > SHARD_BYTES:
+            size += int(size_of[left].sum())
+            if size > SHARD_BYTES // 4:
                 held, decided = _settle(held, length, False)
-                size = sum(len(c) for _, own in held for c in own)
+                size = sum(pc.sum(pc.binary_length(own)).as_py() or 0 for _, own in held)
                 yield from decided
         if held:
             yield from _settle(held, length, True)[1]
@@ -449,7 +490,7 @@ def _compare(length: int):
 def _settle(held: list, length: int, last: bool):
     """(what is still open, spans): decides all names that can get no more runs."""
     columns = [np.concatenate([x[i] for x, _ in held]) for i in range(4)]
-    contexts = [c for _, own in held for c in own]
+    contexts = pa.concat_arrays([own for _, own in held])
     cut = len(contexts) if last else int(np.searchsorted(columns[0], columns[0][-1]))
     decided = list(_decide(*(c[:cut] for c in columns), contexts[:cut], length)) if cut else []
     return [([c[cut:] for c in columns], contexts[cut:])], decided
@@ -467,7 +508,7 @@ def _decide(names, docs, variants, starts, contexts, length: int):
         return
     # strings of different names differ, so one search serves all names
     docs, variants, starts = docs[chosen], variants[chosen], starts[chosen]
-    owner, offset = repeated_strings([contexts[i] for i in chosen.tolist()], docs, length)
+    owner, offset = repeated_strings(contexts.take(pa.array(chosen)), docs, length)
     if not len(owner):
         return
     begin = np.ones(len(owner), dtype=bool)
@@ -560,14 +601,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     it, and it stands for them. Every string has a name, the least hash of the 16-byte grams
     in it, and neighbouring strings with one name are a run, some 18 strings in 67 bytes.
     Names that only one document has need no more. The runs of the others meet by name in
-    shards. A shard drops copies, sorts the suffixes of the different runs and walks their
-    common prefixes: those of ``length`` or more are equal strings. Runs of one name that
-    fill several shards are merged by binary search in the sorted strings. A name that a
-    block of text has over 128 times, or that has over 200 000 runs, is hot: its runs are
-    cut into single strings that are dealt by their own hash. Copies within a block of 1 MiB
-    are decided there. A task holds a block of text, or the packed names of one bucket (the
-    runs by the number of shuffle partitions, so set that by the input's size), or the
-    different runs of one name that is not hot.
+    shards. A shard drops copies and sorts the suffixes of the different runs by ``length``
+    bytes, only those that begin a string. Neighbours with common prefixes of ``length`` are
+    equal strings. Runs of one name that fill several shards are merged by binary search in
+    the sorted strings. A name that a block of text has over 128 times, or that has over
+    200 000 runs, is hot: its runs are cut into single strings that are dealt by their own
+    hash. Copies within a block of 1 MiB are decided there. A task holds a block of text, or
+    the packed names of one bucket (the runs by the number of shuffle partitions, so set that
+    by the input's size), or the different runs of one name that is not hot.
 
     Null text counts as empty. Rows with null doc_id count as larger than all others and
     equal among themselves. Rows with equal doc_id never count as smaller than each other

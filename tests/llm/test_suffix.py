@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,3 +103,60 @@ def test_copies_of_one_text_are_dealt(spark, monkeypatch, places):
 def test_rows_of_one_id_and_text(spark):
     rows = [(r, "the same words again and again " * 4) for r in [3, 3, None, None, 2, 2, 5]]
     assert got(fixtures.plain(spark, rows).repartition(3)) == slow(rows)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab\0", min_size=60, max_size=400).map(str.encode), st.integers(20, 50))
+def test_suffixes_at_some_places_and_of_some_bytes(data, most):
+    raw = np.frombuffer(data, dtype=np.uint8)
+    places = np.arange(3, len(data), 2)
+    order = suffix_dedup.suffix_array(raw, places, most)
+    assert sorted(order) == places.tolist()
+    found = [data[i : i + most] for i in order]
+    assert found == sorted(found)
+    common = suffix_dedup.common_prefixes(raw, order, places, most)
+    assert [common[b] == most for b in order[1:]] == [len(y) == most and x == y for x, y in zip(found, found[1:])]
+
+
+RUN = ["name", "doc", "variant", "start", "stop", "context"]
+
+
+def run_batches(runs, rows):
+    columns = [pa.array(c, t) for c, t in zip(zip(*runs), [pa.int64()] * 5 + [pa.binary()])]
+    return iter(pa.Table.from_arrays(columns, RUN).to_batches(max_chunksize=rows))
+
+
+def test_only_strings_are_sorted(monkeypatch):
+    sizes, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: (sizes.append(len(x)), plain(x, *a, **k))[1])
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefgh", k=66)).encode() for _ in range(300)]
+    runs = [(i, doc, 0, 0, None, t + end) for i, t in enumerate(texts) for doc, end in [(1, b"x"), (2, b"y")]]
+    found = [tuple(r.values()) for b in suffix_dedup._compare(50)(run_batches(runs, 100)) for r in b.to_pylist()]
+    assert found == [(2, 0, 0, 66)] * 300
+    # 18 strings in 67 bytes, once each, and the few that 8 bytes do not tell apart
+    assert sum(sizes) < 2.5 * 600 * 18
+
+
+@pytest.mark.parametrize("size", [50, 64, 1000])
+def test_names_do_not_depend_on_passes(monkeypatch, size):
+    rng = random.Random(size)
+    parts = ["".join(rng.choices("abc", k=rng.randint(0, 300))).encode() for _ in range(40)]
+    data, offsets = b"".join(parts), np.cumsum([0, *map(len, parts)])
+    whole = suffix_dedup.name_runs(data, offsets, 50)
+    monkeypatch.setattr(suffix_dedup, "PASS", size)
+    assert all(np.array_equal(x, y) for x, y in zip(whole, suffix_dedup.name_runs(data, offsets, 50)))
+    strings = [(t, i) for t, p in enumerate(parts) for i in range(len(p) - 49)]
+    found = [(t, p - offsets[t] + i) for _, t, p, n in zip(*whole) for i in range(n)]
+    assert found == strings
+
+
+@pytest.mark.parametrize("rows", [1, 2, 5, 100])
+def test_copies_over_batches(rows):
+    same, other = b"x" * 30 + b"y" * 40, b"x" * 30 + b"z" * 40
+    runs = [(1, 9, 0, 5, 60, None)]
+    runs += [(1, d, 0, 0, None, same) for d in (3, 3, 4, 8)] + [(1, d, 0, 0, None, other) for d in (2, 7)]
+    runs += [(2, d, 0, 0, None, other) for d in (1, 6)]
+    batches = run_batches(runs, rows)
+    found = [tuple(r.values()) for b in suffix_dedup._compare(50)(batches) for r in b.to_pylist()]
+    assert sorted(found) == [(4, 0, 0, 70), (6, 0, 0, 70), (7, 0, 0, 70), (8, 0, 0, 70), (9, 0, 5, 60)]
